@@ -16,9 +16,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+def ranked_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
+    """First ``k`` rows per key with their rank."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
+    return df.withColumn(name, rank).filter(F.col(name) <= k)
+
+
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    return ranked_top(df, keys, order, k, "__rank").drop("__rank")
 
 
 def dedup_first(df: DataFrame, order: Sequence[Column], key: str = "url") -> DataFrame:

@@ -71,16 +71,10 @@ def parse_score_reply(replies: DataFrame, column: str = "reply") -> DataFrame:
     A reply without a readable array contributes nothing."""
     body = F.regexp_replace(column, "```(json)?\n?", "")
     array = F.regexp_extract(body, r"(?s)(\[.*\])", 1)
-    ddl = ", ".join(p.strip() for p in schemas.SCORE_DDL.split("\n") if p.strip()).replace(",,", ",")
-    parsed = F.from_json(array, f"array<struct<{_struct_ddl(ddl)}>>")
+    parsed = F.from_json(array, f"array<struct<{schemas.SCORE_DDL}>>")
     return replies.select(F.inline(parsed))
 
 
-def _struct_ddl(ddl: str) -> str:
-    fields = [f.strip() for f in ddl.replace("\n", " ").split(",") if f.strip()]
-    return ", ".join(f"{name}: {kind}" for name, kind in (f.split(" ", 1) for f in fields))
-
-
 def train_scorer(labelled: DataFrame, label: str = "label", features: int = 1 << 14):
     """TF-IDF and logistic regression on title and description; returns the fitted pipeline."""
     from pyspark.ml import Pipeline
