@@ -88,7 +88,7 @@ def articles_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     themes = F.when(i % 5 == 0, F.array().cast("array<string>")).when(label == "high", F.array(F.concat(F.lit("th"), (i % 7).cast("string"))))
     return d.select(
         i.alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 220).alias("title"), F.col("text").alias("content"),
-        F.lit(None).cast("string").alias("description"), url.alias("url"), F.col("lang").alias("language"),
+        F.col("text").alias("description"), url.alias("url"), F.col("lang").alias("language"),
         F.col("source").alias("source_name"), sid.alias("source_id"), F.concat("source", F.lit(".example.com")).alias("source_domain"),
         F.concat("source", F.lit(".example.com")).alias("source_url"), published.alias("published_at"),
         (published + F.expr("INTERVAL 1 HOUR")).alias("fetched_at"), label.alias("relevance_label"), score.alias("relevance_score"),
