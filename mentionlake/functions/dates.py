@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from mentionlake import constants as C
+from mentionlake.functions.text import let
 from mentionlake.functions.urls import path
 
 # Zone names accepted in mail-style dates.
@@ -25,13 +26,19 @@ def as_timestamp(value) -> Column:
 
 def parse_date(text: Column) -> Column:
     """ISO 8601 and mail-style dates to a timestamp; NULL when neither fits."""
-    value = F.trim(text)
-    iso = F.when(value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), value.try_cast("timestamp"))
-    mail = F.regexp_replace(value, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    mail = F.regexp_replace(F.replace(mail, F.lit(","), F.lit(" ")), r"\s+", " ")
-    for name, offset in _ZONES.items():
-        mail = F.regexp_replace(mail, rf" {name}$", f" {offset}")
-    return F.coalesce(iso, *[F.try_to_timestamp(mail, F.lit(p)) for p in _MAIL_PATTERNS])
+
+    def mail(value: Column) -> Column:
+        out = F.regexp_replace(value, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+        out = F.regexp_replace(F.replace(out, F.lit(","), F.lit(" ")), r"\s+", " ")
+        for name, offset in _ZONES.items():
+            out = F.regexp_replace(out, rf" {name}$", f" {offset}")
+        return let(out, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in _MAIL_PATTERNS]))
+
+    def parsed(value: Column) -> Column:
+        iso = F.when(value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), value.try_cast("timestamp"))
+        return F.when(F.length(value) >= 6, F.coalesce(iso, mail(value)))
+
+    return let(F.trim(text), parsed)
 
 
 def compact_date(text: Column) -> Column:
@@ -47,27 +54,28 @@ def _noon(year: Column, month: Column, day: Column) -> Column:
 
 def date_from_url(url: Column, as_of) -> Column:
     """Publication day written in a URL path (noon UTC), if it lies in (2000-01-01, as_of + 1 day)."""
-    p = path(url)
     upper = as_timestamp(as_of) + F.expr("INTERVAL 1 DAY")
     lower = F.lit("2000-01-01 00:00:00").cast("timestamp")
 
     def plausible(ts: Column) -> Column:
         return F.when((ts > lower) & (ts < upper), ts)
 
-    def dated(pattern: str) -> Column:
+    def dated(p: Column, pattern: str) -> Column:
         return F.when(p.rlike(pattern), _noon(*[F.regexp_extract(p, pattern, i) for i in (1, 2, 3)]))
 
     slashed = r"/(\d{4})/(\d{1,2})/(\d{1,2})(?:/|$)"
     dashed = r"(?:-|/)(\d{4})-(\d{2})-(\d{2})(?:/|$)"
-    numeric = F.when(p.rlike(slashed), dated(slashed)).otherwise(dated(dashed))
-
     named = rf"(?i)/(\d{{4}})/({'|'.join(C.URL_MONTHS)})(?:/|$)"
     months = F.create_map(*[F.lit(x) for kv in C.URL_MONTHS.items() for x in kv])
-    month = F.try_element_at(months, F.lower(F.regexp_extract(p, named, 2)))
-    by_name = F.when(p.rlike(named), _noon(F.regexp_extract(p, named, 1), month.cast("string"), F.lit("15")))
+    packed = r"[/-](\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?:[/-]|$)"
+
+    def found(p: Column) -> Column:
+        numeric = F.when(p.rlike(slashed), dated(p, slashed)).otherwise(dated(p, dashed))
+        month = F.try_element_at(months, F.lower(F.regexp_extract(p, named, 2)))
+        by_name = F.when(p.rlike(named), _noon(F.regexp_extract(p, named, 1), month.cast("string"), F.lit("15")))
+        return F.coalesce(plausible(numeric), plausible(by_name), plausible(dated(p, packed)))
 
-    packed = dated(r"[/-](\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?:[/-]|$)")
-    return F.coalesce(plausible(numeric), plausible(by_name), plausible(packed))
+    return let(path(url), lambda p: F.when(p.rlike(r"\d{4}"), found(p)))
 
 
 def age_days(ts: Column, as_of) -> Column:

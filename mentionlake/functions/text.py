@@ -8,6 +8,15 @@ from pyspark.sql import Column, functions as F
 NAMED_ENTITIES = [("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " ")]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it.
+
+    Nested string rules mention their input several times; without this the
+    optimizer would expand an expensive input at every mention.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _code_point(n: Column) -> Column:
     """One character from a code point held as bigint."""
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
@@ -21,16 +30,23 @@ def _numeric_entities(text: Column, pattern: str, base: int, prefix: str) -> Col
         legal = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
         return F.when(legal, F.replace(acc, F.concat(F.lit(prefix), code, F.lit(";")), _code_point(n))).otherwise(acc)
 
-    return F.when(F.contains(text, F.lit("&#")), F.aggregate(codes, text, replace_one)).otherwise(text)
+    return F.aggregate(codes, text, replace_one)
 
 
 def decode_entities(text: Column) -> Column:
-    """Decimal, hexadecimal and six named entities."""
-    out = _numeric_entities(text, r"&#(\d{1,7});", 10, "&#")
-    out = _numeric_entities(out, r"&#x([0-9a-fA-F]{1,6});", 16, "&#x")
-    for name, char in NAMED_ENTITIES:
-        out = F.regexp_replace(out, f"(?i)&{name};", char)
-    return out
+    """Decimal, hexadecimal and six named entities; text without '&' is returned as is."""
+
+    def numeric(t: Column) -> Column:
+        decimal = _numeric_entities(t, r"&#(\d{1,7});", 10, "&#")
+        return let(decimal, lambda x: _numeric_entities(x, r"&#x([0-9a-fA-F]{1,6});", 16, "&#x"))
+
+    def decoded(t: Column) -> Column:
+        out = F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t)
+        for name, char in NAMED_ENTITIES:
+            out = F.regexp_replace(out, f"(?i)&{name};", char)
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return let(text, decoded)
 
 
 def collapse(text: Column) -> Column:

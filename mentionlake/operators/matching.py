@@ -22,6 +22,15 @@ from mentionlake.session import bounded_rows
 MAX_INLINE_TERMS = 1000
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that later filters and projections must not expand again.
+
+    A one-element generator is a barrier for predicate pushdown and projection
+    merging, and still runs inside the same stage.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _needle(term: Column, how: str) -> Column:
     return X.normalized_plain(term) if how == "normalized" else F.lower(term)
 
@@ -78,22 +87,19 @@ def match_terms(
     """
     prepared = prepared_terms(terms, how)
     rows = bounded_rows(prepared, max_inline)
-    base = df.withColumn("__hay", F.coalesce(_hay(df, text, how), F.lit("")))
+    base = compute_once(df, "__hay", F.coalesce(_hay(df, text, how), F.lit("")))
     if rows is not None:
         entries = F.array(
             *[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.needle).alias("needle"), F.lit(r.pattern).alias("pattern")) for r in rows]
         )
         found = _keywords_of(F.col("__hay"), entries, how) if rows else literal_strings([])
-        return base.withColumn(out, found).drop("__hay")
+        return compute_once(base.drop(out), out, found).drop("__hay")
     slim = base.select(key, "__hay")
     pairs = _word_candidates(slim, prepared, key) if how == "word" else _substring_candidates(slim, prepared, key)
     grouped = pairs.groupBy(key).agg(F.collect_set(F.struct("keyword", "needle", "pattern")).alias("__cand"))
     verified = _keywords_of(F.col("__hay"), F.col("__cand"), how)
-    return (
-        base.join(grouped, key, "left")
-        .withColumn(out, F.coalesce(verified, literal_strings([])))
-        .drop("__hay", "__cand")
-    )
+    joined = base.drop(out).join(grouped, key, "left")
+    return compute_once(joined, out, F.coalesce(verified, literal_strings([]))).drop("__hay", "__cand")
 
 
 def _word_tokens(text: Column) -> Column:
@@ -201,7 +207,7 @@ def route_topics(
     tag = F.concat_ws("\x01", "topic_id", F.when(F.col("term") == F.col("keyword"), "1").otherwise("0"), "keyword")
     tagged = match_terms(cands, owned.select(tag.alias("keyword"), "term"), how="word", key=key, out="__tags")
     parts = F.transform("__tags", lambda t: F.split(t, "\x01"))
-    hits = tagged.withColumn("__hits", parts).withColumn(
+    hits = tagged.drop("topic_id", "route", "sources").withColumn("__hits", parts).withColumn(
         "__exact", F.array_distinct(F.transform("__hits", lambda p: p[0]))
     )
     by_id = active.select("topic_id", "sources")
@@ -224,7 +230,7 @@ def route_topics(
         F.filter("__hits", lambda p: (p[0] == F.col("topic_id")) & (p[1] == "1")), lambda p: p[2]
     )
     out = exact.unionByName(broad)
-    keep = [c for c in cands.columns if c != "matched_keywords"]
+    keep = [c for c in cands.columns if c not in ("matched_keywords", "topic_id", "route", "sources")]
     return out.select(*keep, "topic_id", "route", F.array_sort(F.array_distinct(own)).alias("matched_keywords"))
 
 

@@ -63,7 +63,7 @@ def main(argv):
     sf = argv[0] if argv else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
     spark = get_session("oracle-check", "local[8]", 8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
     oracles = entry.oracle_sql()
     bad = []
