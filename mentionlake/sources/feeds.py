@@ -50,7 +50,8 @@ def feed_items(raw_feeds: DataFrame) -> DataFrame:
         pick(X.xml_text(b, "id"), X.xml_text(b, "guid")).alias("guid"),
         F.when(~atom, F.coalesce(X.xml_attr(b, "media:content", "url"), X.xml_attr(b, "media:thumbnail", "url"))).alias("image_url"),
     )
-    return parsed.filter(F.col("title").isNotNull() & (F.col("link").isNotNull() | F.col("guid").isNotNull()))
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return parsed.filter(filled("title") & (filled("link") | filled("guid")))
 
 
 def ingest_feeds(raw_feeds: DataFrame, sources: DataFrame, as_of, max_age_days: int = 7, strict_dates: bool = True) -> DataFrame:

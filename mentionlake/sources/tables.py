@@ -51,8 +51,16 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Schema of the events table, for streams (files are never inspected).
+EVENTS_DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
 def articles_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return event_articles(read(spark, sf_dir, "events"))
+
+
+def event_articles(e: DataFrame) -> DataFrame:
+    """Events, batch or stream, as articles."""
     k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("int")
     kind = F.col("event_type")
     second = F.when(k % 3 == 0, F.array(F.concat(F.lit("kw"), (k % 5).cast("string")))).otherwise(F.array().cast("array<string>"))
@@ -177,8 +185,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
-    return e.select(
+    return event_notifications(read(spark, sf_dir, "events"))
+
+
+def event_notifications(e: DataFrame) -> DataFrame:
+    return e.filter(F.col("event_type") == "signup").select(
         F.col("event_id").alias("id"), "user_id", _moment("ts").alias("created_at"),
         F.when(F.col("event_id") % 2 == 0, _moment("ts")).alias("read_at"),
     )
@@ -201,3 +212,78 @@ def keywords(spark: SparkSession) -> DataFrame:
 
 def topic_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TOPICS, "topic_id int, name string, keywords array<string>, sources array<string>")
+
+
+# --- landed documents derived from the given tables -------------------------
+ITEMS_PER_BODY = 20
+
+
+def _bodies(spark: SparkSession, sf_dir: str, item: Column, opening: str, closing: str) -> DataFrame:
+    """Documents of one source packed into bodies of at most ITEMS_PER_BODY items.
+
+    A source owns every 20th doc_id, so a run of 400 ids bounds each group.
+    """
+    a = articles_from_documents(spark, sf_dir)
+    packed = a.select("source_id", "source_domain", F.floor(F.col("id") / (20 * ITEMS_PER_BODY)).alias("chunk"), F.struct("id", item.alias("x")).alias("i"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["x"]), "")
+    return packed.groupBy("source_id", "source_domain", "chunk").agg(F.concat(F.lit(opening), body, F.lit(closing)).alias("body"))
+
+
+def _tag(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+
+
+def _cdata(value: Column) -> Column:
+    return F.concat(F.lit("<![CDATA["), value, F.lit("]]>"))
+
+
+def raw_feeds(spark: SparkSession, sf_dir: str, publisher: bool = False) -> DataFrame:
+    """RSS bodies (even chunks) and Atom bodies (odd chunks). ``publisher`` appends a
+    publisher to the titles and names it in ``<source>``, as search feeds do."""
+    mail_date = F.concat(F.date_format("published_at", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    title, source = F.trim("title"), F.lit("")
+    if publisher:
+        name = F.when(F.col("id") % 3 == 0, "Reuters").when(F.col("id") % 3 == 1, "El País").otherwise(F.concat(F.lit("Paper "), F.col("source_name")))
+        title = F.concat(title, F.lit(" - "), name)
+        source = F.concat(F.lit('<source url="https://www.'), "source_domain", F.lit('">'), name, F.lit("</source>"))
+    item = _tag("item", F.concat(
+        _tag("title", _cdata(title)), _tag("link", F.col("url")), _tag("description", F.concat(F.lit("<b>about</b> "), F.col("id").cast("string"))),
+        _tag("pubDate", mail_date), _tag("dc:creator", F.col("source_name")), _tag("guid", F.col("id").cast("string")), source))
+    entry = _tag("entry", F.concat(
+        _tag("title", _cdata(title)), F.lit('<link rel="alternate" href="'), F.col("url"), F.lit('"/>'),
+        _tag("summary", F.concat(F.lit("about "), F.col("id").cast("string"))), _tag("published", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _tag("author", _tag("name", F.col("source_name"))), _tag("id", F.col("id").cast("string"))))
+    rss = _bodies(spark, sf_dir, item, "<?xml version=\"1.0\"?><rss><channel>", "</channel></rss>")
+    atom = _bodies(spark, sf_dir, entry, "<?xml version=\"1.0\"?><feed xmlns=\"http://www.w3.org/2005/Atom\">", "</feed>")
+    both = rss if publisher else rss.filter("chunk % 2 = 0").unionByName(atom.filter("chunk % 2 = 1"))
+    return both.select("source_id", "source_domain", "chunk", "body", F.lit(True).alias("http_ok"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"))
+
+
+def raw_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps of at most ITEMS_PER_BODY entries, and indexes over 20 sitemaps each."""
+    entry = _tag("url", F.concat(
+        _tag("loc", F.col("url")), _tag("lastmod", F.date_format("published_at", "yyyy-MM-dd")),
+        F.when(F.col("id") % 2 == 0, _tag("news:title", _cdata(F.trim("title")))).otherwise("")))
+    maps = _bodies(spark, sf_dir, entry, "<?xml version=\"1.0\"?><urlset>", "</urlset>")
+    number = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
+    url = F.concat(F.lit("https://"), "source_domain", F.lit("/sitemap-"), number("chunk"), F.lit(".xml"))
+    maps = maps.select("chunk", F.col("source_domain").alias("domain"), url.alias("url"), "body")
+    loc = F.struct("chunk", _tag("sitemap", _tag("loc", F.col("url"))).alias("x"))
+    index = maps.groupBy("domain", F.floor(F.col("chunk") / 20).alias("part")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(loc)), lambda c: c["x"]), "").alias("locs"))
+    index = index.select("domain", F.concat(F.lit("https://"), "domain", F.lit("/index-"), number("part"), F.lit(".xml")).alias("url"),
+                         F.concat(F.lit("<?xml version=\"1.0\"?><sitemapindex>"), "locs", F.lit("</sitemapindex>")).alias("body"))
+    return maps.drop("chunk").unionByName(index)
+
+
+def annotated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages with a date, a canonical link or a feed announcement added to their head."""
+    p = read(spark, sf_dir, "pages")
+    i, day = F.col("page_id"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    head = (
+        F.when(i % 4 == 0, F.concat(F.lit('<meta property="article:published_time" content="2024-01-'), day, F.lit('T10:00:00Z">')))
+        .when(i % 4 == 1, F.concat(F.lit('<link rel="canonical" href="https://canonical.example.com/p/'), i.cast("string"), F.lit('/?utm_source=x">')))
+        .when(i % 4 == 2, F.concat(F.lit('<script type="application/ld+json">{"datePublished": "2024-01-'), day, F.lit('"}</script>')))
+        .otherwise('<link rel="alternate" type="application/rss+xml" href="/feed.xml">')
+    )
+    return p.withColumn("html", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), head)))
