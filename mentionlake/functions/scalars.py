@@ -41,9 +41,26 @@ def lower_array(values: Column) -> Column:
     return F.transform(values, lambda v: F.lower(v))
 
 
-def literal_strings(values: list[str]) -> Column:
+def sql_literal(value) -> str:
+    """SQL text of a constant. Large constants are parsed from one text: building
+    them value by value costs a driver round trip each."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float)):
+        return repr(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_strings(values) -> Column:
     """A constant string array (empty lists keep their element type)."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return F.expr("cast(array(" + ", ".join(sql_literal(v) for v in values) + ") AS array<string>)")
+
+
+def literal_map(mapping: dict) -> Column:
+    """A constant map."""
+    return F.expr("map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in mapping.items()) + ")")
 
 
 def count_if(cond: Column) -> Column:

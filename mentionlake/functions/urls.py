@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from mentionlake import constants as C
+from mentionlake.functions.scalars import literal_strings
 
 _ABSOLUTE = r"(?i)^[a-z][a-z0-9+.\-]*://[^/?#\s]+"
 
@@ -46,7 +47,7 @@ def canonical_url(url: Column, params: list[str] | None = None) -> Column:
         F.coalesce(F.nullif(F.regexp_replace(raw_path, "/+$", ""), F.lit("")), F.lit("/"))
     )
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(drop))
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.array_contains(literal_strings(drop), F.substring_index(p, "=", 1)))
     suffix = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
     return F.when(is_absolute(url), F.concat(scheme, F.lit("://"), authority, clean_path, suffix)).otherwise(url)
 
@@ -62,12 +63,12 @@ def host_suffixes(domain: Column) -> Column:
 
 def on_host_list(domain: Column, hosts: list[str]) -> Column:
     """Exact host or sub-domain of a listed host; NULL counts as not listed."""
-    return F.coalesce(F.exists(host_suffixes(domain), lambda h: h.isin(hosts)), F.lit(False))
+    return F.coalesce(F.arrays_overlap(host_suffixes(domain), literal_strings(hosts)), F.lit(False))
 
 
 def contains_any(value: Column, needles: list[str]) -> Column:
     """Plain substring test against a short fixed list; NULL counts as no hit."""
-    hit = F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(value, n))
+    hit = F.exists(literal_strings(needles), lambda n: F.contains(value, n))
     return F.coalesce(hit, F.lit(False))
 
 

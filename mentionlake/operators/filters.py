@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mentionlake import constants as C
 from mentionlake.functions import dates as D, text as X, urls as U
-from mentionlake.functions.scalars import literal_strings, lower_array
+from mentionlake.functions.scalars import literal_map, literal_strings, lower_array
 
 
 def language_code(language: Column) -> Column:
@@ -287,12 +287,12 @@ def repair_articles(df: DataFrame, aggregator: str = "news.google.com") -> DataF
     unnamed = F.coalesce(F.col("source_name"), F.lit("")).isin("", aggregator, "Google News")
     name = F.when(aggregated & unnamed, from_title).otherwise(F.col("source_name"))
 
-    fixes = F.create_map(*[F.lit(x) for n, d, _ in C.AGGREGATOR_FIXES for x in (n, d)])
-    majors = F.create_map(*[F.lit(x) for n, _, m in C.AGGREGATOR_FIXES for x in (n, m)])
+    fixes = literal_map({n: d for n, d, _ in C.AGGREGATOR_FIXES})
+    majors = literal_map({n: m for n, _, m in C.AGGREGATOR_FIXES})
     fixed_domain = F.when(domain == aggregator, F.coalesce(F.try_element_at(fixes, name), domain)).otherwise(domain)
     major = F.coalesce(
         F.when(domain == aggregator, F.try_element_at(majors, name)),
-        F.when(fixed_domain.isin(C.MAJOR_OUTLETS), F.lit(True)),
+        F.when(F.array_contains(literal_strings(C.MAJOR_OUTLETS), fixed_domain), F.lit(True)),
         F.col("is_major_outlet"),
     )
     exact_suffix = (fixed_domain == aggregator) & (title == F.concat(headline, F.lit(" - "), from_title))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mentionlake import constants as C
 from mentionlake.functions import dates as D, text as X, urls as U
-from mentionlake.functions.scalars import count_if
+from mentionlake.functions.scalars import count_if, literal_map
 from mentionlake.operators.dedup import first_per_key
 
 HOT_KEYS = 1000
@@ -93,8 +93,7 @@ def discover_domains(
 
 def publisher_domain(name: Column, case_sensitive: bool = False, table: dict[str, str] = C.PUBLISHER_DOMAINS) -> Column:
     """Domain of a known publisher name from the fixed table, else NULL."""
-    mapping = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.try_element_at(mapping, name if case_sensitive else F.lower(F.trim(name)))
+    return F.try_element_at(literal_map(table), name if case_sensitive else F.lower(F.trim(name)))
 
 
 def resolve_publisher(df: DataFrame, publishers: DataFrame | None = None, case_sensitive: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mentionlake import constants as C
 from mentionlake.functions import text as X
-from mentionlake.functions.scalars import count_if, literal_strings
+from mentionlake.functions.scalars import count_if, literal_strings, sql_literal
 from mentionlake.session import bounded_rows
 
 MAX_INLINE_TERMS = 1000
@@ -89,9 +89,7 @@ def match_terms(
     rows = bounded_rows(prepared, max_inline)
     base = compute_once(df, "__hay", F.coalesce(_hay(df, text, how), F.lit("")))
     if rows is not None:
-        entries = F.array(
-            *[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.needle).alias("needle"), F.lit(r.pattern).alias("pattern")) for r in rows]
-        )
+        entries = _constant_entries(rows)
         found = _keywords_of(F.col("__hay"), entries, how) if rows else literal_strings([])
         return compute_once(base.drop(out), out, found).drop("__hay")
     slim = base.select(key, "__hay")
@@ -102,6 +100,11 @@ def match_terms(
     return compute_once(joined, out, F.coalesce(verified, literal_strings([]))).drop("__hay", "__cand")
 
 
+def _constant_entries(rows) -> Column:
+    texts = ([sql_literal(v) for v in (r.keyword, r.needle, r.pattern)] for r in rows)
+    return F.expr("array(" + ", ".join(f"named_struct('keyword', {k}, 'needle', {n}, 'pattern', {p})" for k, n, p in texts) + ")")
+
+
 def _word_tokens(text: Column) -> Column:
     """ASCII word runs plus every distinct non-ASCII character.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mentionlake import constants as C
+from mentionlake.functions.scalars import literal_strings
 from mentionlake.operators.dedup import first_per_key
 
 # Words of the older keyword rule, highest priority first, as
@@ -32,7 +33,7 @@ def source_priority(name: Column, domain: Column, region: Column | None = None,
     """Fetch priority. ``curated``: outlet lists, then topical words. ``keyword``: older word rules."""
     if rules == "curated":
         topical = _any(name, TOPICAL_NAME_WORDS) | _any(domain, ["energy"])
-        return F.when(domain.isin(C.PRIORITY_MAJOR), 100).when(domain.isin(C.PRIORITY_INDUSTRY), 90).when(topical, 50).otherwise(30)
+        return F.when(F.array_contains(literal_strings(C.PRIORITY_MAJOR), domain), 100).when(domain.isin(C.PRIORITY_INDUSTRY), 90).when(topical, 50).otherwise(30)
     out = None
     for value, names, domains in KEYWORD_RULES:
         hit = _any(name, names) | _any(domain, domains)
