@@ -46,15 +46,16 @@ def sitemap_items(raw: DataFrame, as_of, url_dates: bool = True, keep_tags: bool
     """One row per ``<url>`` entry with a location, with its position and the entry count."""
     blocks = F.regexp_extract_all("body", F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1))
     kept = F.filter(blocks, lambda b: X.xml_tag(b, "loc") != "")
+    keep = [c for c in raw.columns if c not in ("domain", "url", "body")]
     rows = raw.filter(F.col("body").rlike("(?i)<urlset")).withColumn("blocks", kept).select(
-        "domain", "url", F.size("blocks").alias("entries"), F.posexplode("blocks").alias("entry", "block")
+        *keep, "domain", "url", F.size("blocks").alias("entries"), F.posexplode("blocks").alias("entry", "block")
     )
     b, loc = F.col("block"), X.xml_tag(F.col("block"), "loc")
     title = X.first_non_empty(X.xml_tag(b, "news:title"), U.title_from_slug(loc))
     written = D.parse_date(X.first_non_empty(X.xml_tag(b, "news:publication_date"), X.xml_tag(b, "lastmod")))
     snippet = F.substring(X.strip_markup(X.xml_tag(b, "news:keywords")), 1, 500) if keep_tags else F.lit("")
     return rows.select(
-        "domain", F.col("url").alias("sitemap_url"), "entries", "entry", F.substring(X.strip_markup(title), 1, 220).alias("title"),
+        *keep, "domain", F.col("url").alias("sitemap_url"), "entries", "entry", F.substring(X.strip_markup(title), 1, 220).alias("title"),
         loc.alias("raw_url"), U.canonical_url(loc).alias("url"), snippet.alias("snippet"),
         (F.coalesce(written, D.date_from_url(loc, as_of)) if url_dates else written).alias("published_at"),
         U.normalize_domain("domain").alias("source_domain"),
@@ -81,18 +82,12 @@ def ingest_sitemaps(raw: DataFrame, domains: DataFrame, as_of, keep: str = "last
 
     wanted = children.join(chosen.select("domain", "url", "tier", "rank"), ["domain", "url"])
     wanted = wanted.filter(F.col("child") >= F.col("children") - cap(2) if keep == "last" else F.col("child") < cap(2))
-    child_items = sitemap_items(raw, as_of).join(
-        wanted.select("domain", F.col("child_url").alias("sitemap_url"), "tier", "rank", "child"), ["domain", "sitemap_url"]
+    roles = wanted.select("domain", F.col("child_url").alias("url"), "tier", "rank", "child", cap(3).alias("take")).unionByName(
+        chosen.select("domain", "url", "tier", "rank", F.lit(0).alias("child"), cap(4).alias("take"))
     )
-    top_items = sitemap_items(raw, as_of).join(
-        chosen.select("domain", F.col("url").alias("sitemap_url"), "tier", "rank"), ["domain", "sitemap_url"]
-    ).withColumn("child", F.lit(0))
-
-    def within(df: DataFrame, i: int) -> DataFrame:
-        return df.filter(F.col("entry") >= F.col("entries") - cap(i) if keep == "last" else F.col("entry") < cap(i))
-
-    items = within(child_items, 3).unionByName(within(top_items, 4))
+    parsed = sitemap_items(raw.select("domain", "url", "body").join(roles, ["domain", "url"]), as_of)
+    items = parsed.filter(F.col("entry") >= F.col("entries") - F.col("take") if keep == "last" else F.col("entry") < F.col("take"))
     order = [F.col("rank").asc(), F.col("child").asc(), F.col("entry").asc()]
     limits = {name: values[0] for name, values in caps.items()}
     parts = [top_per_key(items.filter(F.col("tier") == name), ["domain"], order, n) for name, n in limits.items()]
-    return parts[0].unionByName(parts[1]).drop("entries", "tier", "rank", "child")
+    return parts[0].unionByName(parts[1]).drop("entries", "tier", "rank", "child", "take")
