@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def round_half_up(x: Column) -> Column:
@@ -53,6 +53,20 @@ def sql_literal(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def literal_table(spark, columns: str, rows) -> DataFrame:
+    """A small constant table; ``columns`` is DDL. Planned as local data, no job needed to read it."""
+
+    def text(value) -> str:
+        if isinstance(value, (list, tuple)):
+            return "array(" + ", ".join(text(v) for v in value) + ")"
+        return sql_literal(value)
+
+    names = [c.strip().split(" ", 1) for c in columns.split(",")]
+    body = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+    casts = ", ".join(f"cast({n} AS {t}) AS {n}" for n, t in names)
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({', '.join(n for n, _ in names)})")
+
+
 def literal_strings(values) -> Column:
     """A constant string array (empty lists keep their element type)."""
     return F.expr("cast(array(" + ", ".join(sql_literal(v) for v in values) + ") AS array<string>)")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mentionlake import constants as C
 from mentionlake.functions import dates as D, text as X, urls as U
-from mentionlake.functions.scalars import count_if, percent, round_half_up, trend_dir, trend_pct
+from mentionlake.functions.scalars import count_if, literal_table, percent, round_half_up, trend_dir, trend_pct
 
 _TS = "published_at"
 
@@ -120,9 +120,8 @@ def geo_markers(df: DataFrame, coords: dict[str, tuple[float, float]] = C.COUNTR
 
     The coordinate table is a code constant, hence the broadcast.
     """
-    table = df.sparkSession.createDataFrame(
-        [(cc, float(x), float(y)) for cc, (x, y) in coords.items()], "country string, longitude double, latitude double"
-    )
+    rows = [(cc, float(x), float(y)) for cc, (x, y) in coords.items()]
+    table = literal_table(df.sparkSession, "country string, longitude double, latitude double", rows)
     counts = df.groupBy(F.col("source.country_code").alias("country")).agg(F.count(F.lit(1)).alias("articles"))
     located = counts.join(F.broadcast(table), "country")
     largest = located.select(F.greatest(F.max("articles"), F.lit(1))).scalar()

@@ -99,15 +99,15 @@ def _with_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", X.joined_lower(F.col("title"), F.col("description")))
 
 
-def _article_terms(articles: DataFrame, text, key: str = "id") -> DataFrame:
+def _article_terms(articles: DataFrame, text, key: str = "id", keep: tuple = ()) -> DataFrame:
     """Distinct (article, term) pairs: words of four or more letters and their bigrams."""
     words = F.filter(F.split(X.normalized_plain(text), " "), lambda w: F.length(w) > 3)
-    prepared = articles.select(key, words.alias("__w"))
+    prepared = articles.select(key, *keep, words.alias("__w"))
     bigrams = F.when(
         F.size("__w") > 1,
         F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.concat_ws(" ", F.element_at("__w", i), F.element_at("__w", i + 1))),
     ).otherwise(F.array().cast("array<string>"))
-    return prepared.select(key, F.explode(F.array_distinct(F.concat("__w", bigrams))).alias("term"))
+    return prepared.select(key, *keep, F.explode(F.array_distinct(F.concat("__w", bigrams))).alias("term"))
 
 
 def suggest_keywords(articles: DataFrame, keywords: DataFrame, k: int = 8, min_support: int = 5) -> DataFrame:
@@ -118,14 +118,15 @@ def suggest_keywords(articles: DataFrame, keywords: DataFrame, k: int = 8, min_s
     """
     matched = F.size(F.coalesce("matched_keywords", F.array().cast("array<string>"))) > 0
     flagged = articles.select("id", "title", matched.alias("m"))
-    terms = _article_terms(flagged, F.col("title")).join(flagged.select("id", "m"), "id")
+    terms = _article_terms(flagged, F.col("title"), keep=("m",))
     counts = terms.groupBy(F.col("term").alias("keyword")).agg(
         F.count(F.when(F.col("m"), 1)).alias("in_matched"), F.count(F.when(~F.col("m"), 1)).alias("in_other")
     ).filter(F.col("in_matched") >= min_support)
-    n_matched = flagged.select(F.count(F.when(F.col("m"), 1))).scalar()
-    n_other = flagged.select(F.count(F.when(~F.col("m"), 1))).scalar()
-    odds = ((F.col("in_matched") + 1) * (n_other + 2)) / ((F.col("in_other") + 1) * (n_matched + 2))
-    ranked = new_suggestions(counts, keywords).withColumn("odds", odds)
+    sizes = flagged.select(
+        F.struct(F.count(F.when(F.col("m"), 1)).alias("matched"), F.count(F.when(~F.col("m"), 1)).alias("other"))
+    ).scalar()
+    odds = ((F.col("in_matched") + 1) * (F.col("sizes.other") + 2)) / ((F.col("in_other") + 1) * (F.col("sizes.matched") + 2))
+    ranked = new_suggestions(counts, keywords).withColumn("sizes", sizes).withColumn("odds", odds).drop("sizes")
     return ranked.orderBy(F.col("odds").desc(), F.col("in_matched").desc(), "keyword").limit(k)
 
 

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mentionlake import constants as C
 from mentionlake.functions import text as X
-from mentionlake.functions.scalars import count_if, literal_strings, sql_literal
+from mentionlake.functions.scalars import count_if, literal_strings, literal_table, sql_literal
 from mentionlake.session import bounded_rows
 
 MAX_INLINE_TERMS = 1000
+_OPEN, _SHUT = "\x02", "\x03"
 
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -31,30 +32,44 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _marked(text: Column) -> Column:
+    """Every ASCII word run enclosed in markers. A phrase occurs between word
+    boundaries exactly when its marked form is a substring of the marked text, so
+    phrase matching needs no regular expression per term."""
+    return F.regexp_replace(text, "[a-z0-9_]+", f"{_OPEN}$0{_SHUT}")
+
+
 def _needle(term: Column, how: str) -> Column:
+    if how == "word":
+        return _marked(F.lower(term))
     return X.normalized_plain(term) if how == "normalized" else F.lower(term)
 
 
 def _pattern(needle: Column, how: str) -> Column:
+    """Extra check for a phrase whose first or last character is no ASCII word
+    character: the markers cannot express that boundary."""
     if how != "word":
         return F.lit("")
-    return F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), needle, F.lit(r"\E(?![A-Za-z0-9_])"))
+    inner = needle.rlike(f"^{_OPEN}.*{_SHUT}$")
+    return F.when(inner, "").otherwise(F.concat(F.lit(f"(?<!{_SHUT})\\Q"), needle, F.lit(f"\\E(?!{_OPEN})")))
 
 
 def _usable(term: Column, needle: Column, how: str) -> Column:
     if how == "word":
-        return (F.length(needle) >= 4) & ~needle.isin(C.BLOCKED_SHORT_TERMS)
+        return (F.length(term) >= 4) & ~F.lower(term).isin(C.BLOCKED_SHORT_TERMS)
     return F.length(F.trim(needle)) > 0
 
 
 def _hay(df: DataFrame, text: Column | None, how: str) -> Column:
     value = text if text is not None else F.concat_ws(" ", "title", "description")
-    return X.normalized(value) if how == "normalized" else F.lower(value)
+    if how == "normalized":
+        return X.normalized(value)
+    return _marked(F.lower(value)) if how == "word" else F.lower(value)
 
 
 def _hit(hay: Column, entry: Column, how: str) -> Column:
     found = (F.length(hay) >= F.length(entry["needle"])) & F.contains(hay, entry["needle"])
-    return found & F.rlike(hay, entry["pattern"]) if how == "word" else found
+    return found & ((entry["pattern"] == "") | F.rlike(hay, entry["pattern"])) if how == "word" else found
 
 
 def _keywords_of(hay: Column, entries: Column, how: str) -> Column:
@@ -68,7 +83,6 @@ def prepared_terms(terms: DataFrame, how: str) -> DataFrame:
     return (
         terms.filter(_usable(F.col("term"), needle, how))
         .select("keyword", needle.alias("needle"), _pattern(needle, how).alias("pattern"))
-        .distinct()
     )
 
 
@@ -89,15 +103,24 @@ def match_terms(
     rows = bounded_rows(prepared, max_inline)
     base = compute_once(df, "__hay", F.coalesce(_hay(df, text, how), F.lit("")))
     if rows is not None:
-        entries = _constant_entries(rows)
+        rows = list(dict.fromkeys(rows))
+        entries = _constant_entries(rows) if rows else None
         found = _keywords_of(F.col("__hay"), entries, how) if rows else literal_strings([])
         return compute_once(base.drop(out), out, found).drop("__hay")
+    prepared = prepared.distinct()
     slim = base.select(key, "__hay")
     pairs = _word_candidates(slim, prepared, key) if how == "word" else _substring_candidates(slim, prepared, key)
-    grouped = pairs.groupBy(key).agg(F.collect_set(F.struct("keyword", "needle", "pattern")).alias("__cand"))
-    verified = _keywords_of(F.col("__hay"), F.col("__cand"), how)
+    # A term that is its own anchor was found for certain; only the others are
+    # checked against the text. Both sets are bounded by the dictionary.
+    sure = F.when(F.col("pattern") != "", False).otherwise(F.col("needle") == (_marked(F.col("anchor")) if how == "word" else F.col("anchor")))
+    grouped = pairs.groupBy(key).agg(
+        F.collect_set(F.when(sure, F.col("keyword"))).alias("__sure"),
+        F.collect_set(F.when(~sure, F.struct("keyword", "needle", "pattern"))).alias("__cand"),
+    )
+    checked = F.array_union("__sure", _keywords_of(F.col("__hay"), F.col("__cand"), how))
     joined = base.drop(out).join(grouped, key, "left")
-    return compute_once(joined, out, F.coalesce(verified, literal_strings([]))).drop("__hay", "__cand")
+    found = F.coalesce(F.array_sort(checked), literal_strings([]))
+    return compute_once(joined, out, found).drop("__hay", "__cand", "__sure")
 
 
 def _constant_entries(rows) -> Column:
@@ -128,7 +151,7 @@ def _rarest_anchor(prepared: DataFrame, pieces: Column) -> DataFrame:
 def _word_candidates(slim: DataFrame, prepared: DataFrame, key: str) -> DataFrame:
     anchored = _rarest_anchor(prepared, _word_tokens(F.col("needle")))
     tokens = slim.select(key, F.explode(_word_tokens(F.col("__hay"))).alias("anchor"))
-    return tokens.join(anchored, "anchor").drop("anchor")
+    return tokens.join(anchored, "anchor")
 
 
 def _grams(token: Column) -> Column:
@@ -154,7 +177,7 @@ def _substring_candidates(slim: DataFrame, prepared: DataFrame, key: str) -> Dat
         vocabulary.select("token", F.explode(_grams(F.col("token"))).alias("gram"))
         .join(anchored, "gram")
         .filter(F.contains("token", "anchor"))
-        .select("token", "keyword", "needle", "pattern")
+        .select("token", "anchor", "keyword", "needle", "pattern")
     )
     return tokens.join(resolved, "token").drop("token")
 
@@ -173,7 +196,7 @@ def term_table(keywords: DataFrame, company: str | None = None, compat: bool = F
     ).select(F.lower(F.trim("raw")).alias("term"), "keyword", F.lit(1).alias("rank"), "id")
     table = own.unionByName(expanded)
     if company and company != "My Company":
-        one = keywords.sparkSession.createDataFrame([(company.strip(), company.strip())], "term string, keyword string")
+        one = literal_table(keywords.sparkSession, "term string, keyword string", [(company.strip(), company.strip())])
         table = table.unionByName(one.withColumns({"rank": F.lit(0), "id": F.lit(None)}), allowMissingColumns=True)
     table = table.filter(F.length("term") > 0)
     if compat:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mentionlake.functions import dates as D, text as X
 from mentionlake.operators.joins import skewed_lookup
-from mentionlake.session import ensure_checkpoint_dir
+from mentionlake.session import materialize
 
 FREQUENT_WORD = 2000
 SMALL_GROUP = 64
@@ -87,7 +87,6 @@ def set_links(
     """
     if threshold < 0.5:
         raise ValueError("the prefix filter needs a threshold of at least 0.5")
-    ensure_checkpoint_dir(sets.sparkSession)
     dated = sets.select("sid", "ord", "first_id")
     entries = (
         _ordered_sets(sets, threshold)
@@ -96,11 +95,11 @@ def set_links(
     )
     if same_date:
         entries = entries.withColumn("key", F.concat_ws("@", "key", "ord"))
-    entries = entries.checkpoint()
+    entries = materialize(entries, "title-entries")
 
     info = F.struct("ord", "first_id", "sid", "words")
     groups = entries.groupBy("key").agg(F.min(info).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    tagged = skewed_lookup(entries, groups, "key").checkpoint()
+    tagged = materialize(skewed_lookup(entries, groups, "key"), "title-groups")
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("key", F.struct("ord", "first_id", "sid", "words").alias(name), *[c for c in df.columns if c == "salt"])
@@ -143,7 +142,8 @@ def near_duplicates(
     if window_days is not None:
         articles = articles.filter(F.col("published_at") >= D.days_before(as_of, window_days))
     rows = _title_rows(articles)
-    sets = _word_sets(rows).select("set_key", "sid", "first.ord", "first.first_id", F.col("first.n_rows").alias("n_first")).checkpoint()
+    sets = _word_sets(rows).select("set_key", "sid", "first.ord", "first.first_id", F.col("first.n_rows").alias("n_first"))
+    sets = materialize(sets, "title-sets")
     links = set_links(sets, threshold, **tuning)
     earliest = links.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct("b_ord", "b_first")).alias("other"))
     keep = sets.join(earliest, "sid", "left").select(
@@ -182,12 +182,10 @@ def mark_duplicates(articles: DataFrame, flags: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) with the smallest node as component, by alternating
-    large-star and small-star contractions. Each round is checkpointed; the
+    large-star and small-star contractions. Each round is written out; the
     driver sees two numbers per round."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    current = (
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
-    )
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    current = materialize(pairs, "edges")
     nodes = current.select(F.col("u").alias("node")).unionByName(current.select(F.col("v").alias("node"))).distinct()
     before = None
     for _ in range(max_rounds):
@@ -197,7 +195,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        current = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        current = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = current.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (state.n, state.x) == before:
             break
@@ -220,7 +218,7 @@ def cluster_stories(
     if window_days is not None:
         articles = articles.filter(F.col(time_column) >= D.days_before(as_of, window_days))
     rows = _title_rows(articles)
-    sets = _word_sets(rows).select("set_key", "sid", "first.ord", "first.first_id", "members").checkpoint()
+    sets = materialize(_word_sets(rows).select("set_key", "sid", "first.ord", "first.first_id", "members"), "title-sets")
     parts = connected_components(set_links(sets, threshold, **tuning).select("a", "b"))
     labelled = sets.join(parts.withColumnRenamed("node", "sid"), "sid", "left").filter(
         F.col("component").isNotNull() | (F.col("members") > 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mentionlake.functions.scalars import literal_table
 from mentionlake.functions import text as X
 from mentionlake.operators import dedup, enrich, filters, joins, matching, similarity
 from mentionlake.operators import aggregates as A
@@ -209,7 +210,7 @@ def coverage_audit(s, d):
     text = F.concat_ws(" ", "title", "snippet", "url")
     cands = matching.match_terms(T.candidates_from_pages(s, d), terms(s), how="normalized", text=text)
     known = T.read(s, d, "pages").filter(F.contains("url", F.lit("/fr/"))).select("url")
-    outlets = cands.select(F.col("source_domain").alias("domain")).distinct().unionByName(s.createDataFrame([("bbc.com",)], "domain string"))
+    outlets = cands.select(F.col("source_domain").alias("domain")).distinct().unionByName(literal_table(s, "domain string", [("bbc.com",)]))
     return A.coverage_audit(cands, known, outlets)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mentionlake.functions.scalars import literal_table
 from mentionlake.functions import text as X
 from mentionlake.operators import dedup, enrich, filters, joins, matching, registry, saved
 from mentionlake.plans import report
@@ -464,7 +465,7 @@ def alerts_batch(s, d):
   f2=f"SELECT lower(title || ' ' || description) AS txt FROM docs WHERE published_at >= {SQL_NOW} - INTERVAL 30 DAY AND sentiment = 'positive'",
   **{f"e{k}": " UNION ALL ".join(f"SELECT '{n}' AS entity, count(*) FILTER ({' OR '.join(f'''contains(txt, '{x}')''' for x in t)}) AS mentions FROM f{k}" for n, t in T.ENTITIES.items()) for k in (1, 2)}))
 def report_templates(s, d):
-    templates = s.createDataFrame([(1, '{"languages": ["en"]}'), (2, '{"sentiments": ["positive"]}')], "template_id int, filters string")
+    templates = literal_table(s, "template_id int, filters string", [(1, '{"languages": ["en"]}'), (2, '{"sentiments": ["positive"]}')])
     out = report.run_reports(_doc(s, d), templates, T.ENTITIES, 30, NOW).filter("section = 'share_of_voice'")
     return out.select(
         "template_id", F.col("label").alias("entity"), F.substring_index("value", " ", 1).cast("bigint").alias("mentions"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mentionlake.functions.scalars import literal_table
 from mentionlake.functions import dates as D, text as X
 from mentionlake.operators import filters
 from mentionlake.plans import ingest
@@ -62,7 +63,7 @@ def discovery_items(s, d):
     AND len(list_filter(t.keywords, lambda k: regexp_matches(lower(trim(title) || ' about ' || id), '(^|[^A-Za-z0-9_])' || k || '($|[^A-Za-z0-9_])'))) > 0)) WHERE rn = 1""",
   t="SELECT * FROM (VALUES (1, ['of', 'that', 'with'], ['rss']), (2, ['from', 'this'], ['rss', 'gdelt'])) v(topic_id, keywords, sources)").replace("['of', 'that', 'with']", "['that', 'with']"))
 def scheduled_ingest(s, d):
-    topics = s.createDataFrame([(1, ["of", "that", "with"], ["rss"]), (2, ["from", "this"], ["rss", "gdelt"])], "topic_id int, keywords array<string>, sources array<string>")
+    topics = literal_table(s, "topic_id int, keywords array<string>, sources array<string>", [(1, ["of", "that", "with"], ["rss"]), (2, ["from", "this"], ["rss", "gdelt"])])
     raw = T.raw_feeds(s, d)
     out = ingest.scheduled_ingest(raw, T.sources(s, d), topics, None, NOW)
     return out.select("url", F.col("guid").cast("bigint").alias("id"), "topic_id", F.col("articles_era").alias("era"))
@@ -164,7 +165,7 @@ def import_blog(s, d):
 def discovery(s, d):
     cands = T.candidates_from_pages(s, d)
     known = cands.filter(F.contains("url", F.lit("/es/"))).select("url")
-    terms = s.createDataFrame([("hent", "hent"), ("anble", "anble"), ("ment", "ment")], "keyword string, term string")
+    terms = literal_table(s, "keyword string, term string", [("hent", "hent"), ("anble", "anble"), ("ment", "ment")])
     src = cands.select("id", F.col("source_domain").alias("domain"), F.lit(True).alias("active"), F.lit(30).alias("fetch_priority"))
     out = ingest.discovery(cands, P.extract_pages(T.read(s, d, "pages"), NOW), terms, src, known, NOW)
     return out.select("id", F.array_join("matched_keywords", "|").alias("keywords"), "matched_via", "source_id")
@@ -216,7 +217,7 @@ def payload_newsapi(s, d):
     raw = _articles_json(s, d, lambda a: F.struct(
         F.when(F.col("id") % 10 == 0, "[Removed]").otherwise(F.col("title")).alias("title"), "url", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt")), "articles")
     rows = payloads.normalize_payload(raw, "newsapi", NOW)
-    terms = s.createDataFrame([("that", "that"), ("with", "with")], "keyword string, term string")
+    terms = literal_table(s, "keyword string, term string", [("that", "that"), ("with", "with")])
     out = match_terms(rows, terms, how="word", key="url").filter(F.size("matched_keywords") > 0)
     return out.select("title", "url", "source_name", _stamp(), F.contains(F.lower("title"), F.lit("ment")).alias("hit"))
 
@@ -296,4 +297,4 @@ def upsert_ignore(s, d):
     counts = [("first", sinks.upsert_ignore(target, a.filter("language = 'en'"), order=order)),
               ("second", sinks.upsert_ignore(target, a, order=order)), ("again", sinks.upsert_ignore(target, a, order=order))]
     stored = s.read.parquet(target).agg(F.lit("stored").alias("run"), F.count(F.lit(1)).alias("inserted"))
-    return s.createDataFrame(counts, "run string, inserted bigint").unionByName(stored)
+    return literal_table(s, "run string, inserted bigint", counts).unionByName(stored)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mentionlake.functions.scalars import literal_table
 from mentionlake.operators import saved
 from mentionlake.plans import ingest
 from mentionlake.plans.oracle_base import sql
@@ -133,7 +134,7 @@ def registry_stream(s, d):
   AND regexp_matches(lower(trim(title) || ' about ' || id), '(^|[^A-Za-z0-9_])(that|with|from)($|[^A-Za-z0-9_])')) WHERE rn = 1"""))
 def ingest_stream(s, d):
     sources = T.sources(s, d)
-    topics = s.createDataFrame([(1, ["that", "with", "from"], ["rss"])], "topic_id int, keywords array<string>, sources array<string>")
+    topics = literal_table(s, "topic_id int, keywords array<string>, sources array<string>", [(1, ["that", "with", "from"], ["rss"])])
     target = shared_path(s, "ingested")
     pipeline = lambda raw: ingest.scheduled_ingest(raw, sources, topics, None, NOW)
     landed = _landed(s, T.raw_feeds(s, d), "landed-feeds")

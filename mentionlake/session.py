@@ -56,6 +56,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, survives lost
+    executors, and later readers prune columns and know the size."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_directory(spark: SparkSession, path: str) -> bool:
     """True when ``path`` is a directory on whatever file system it names."""
     jvm = spark.sparkContext._jvm

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from mentionlake.functions.scalars import literal_table
+
 AS_OF = "2024-01-31 00:00:00"
 
 # Words of medium frequency in the given documents; used as monitored terms.
@@ -26,8 +28,18 @@ ENTITIES = {
 }
 
 
+# Tables whose rows are expensive to process (whole texts and pages).
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A text table that arrives in fewer splits than there are
+    cores is spread over them; a large one already has more and is left alone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _moment(ts: str | Column) -> Column:
@@ -205,13 +217,12 @@ def social_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, t, True, x, 0) for i, t, x in KEYWORDS], "id int, text string, active boolean, expanded_terms array<string>, match_count bigint"
-    )
+    rows = [(i, t, True, x, 0) for i, t, x in KEYWORDS]
+    return literal_table(spark, "id int, text string, active boolean, expanded_terms array<string>, match_count bigint", rows)
 
 
 def topic_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TOPICS, "topic_id int, name string, keywords array<string>, sources array<string>")
+    return literal_table(spark, "topic_id int, name string, keywords array<string>, sources array<string>", TOPICS)
 
 
 # --- landed documents derived from the given tables -------------------------
