@@ -101,20 +101,44 @@ def alert_condition(c: Column) -> Column:
     )
 
 
+def _prefixed(prefix: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(prefix), v))
+
+
+def _rule_anchors(c: Column) -> Column:
+    """Join keys of a rule: the values of its most selective non-empty facet."""
+    filled = lambda name: F.size(F.coalesce(c[name], F.array().cast("array<string>"))) > 0
+    return (
+        F.when(filled("keywords"), _prefixed("k:", F.array_distinct(lower_array(c["keywords"]))))
+        .when(filled("sources"), _prefixed("s:", F.array_distinct(c["sources"])))
+        .when(filled("countries"), _prefixed("c:", F.array_distinct(c["countries"])))
+        .when(filled("sentiments"), _prefixed("t:", F.array_distinct(c["sentiments"])))
+        .otherwise(F.array(F.lit("a:")))
+    )
+
+
 def evaluate_alerts(articles: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, rule_type, schedule, id, at) for every active rule that accepts an article.
 
-    Works on batch and streaming articles: rules are a static table joined on
-    the alert category, which is an equi-join; ``media`` rules see everything
-    that is not social.
+    Works on batch and streaming articles; ``media`` rules see everything that is
+    not social. Article and rule meet on category and one facet value (an
+    equi-join), so an article is not paired with rules that cannot accept it. A
+    rule reached through several keywords is kept for the first of them only.
     """
+    empty = F.array().cast("array<string>")
     parsed = rules.filter("active").select(
         "rule_id", "rule_type", F.col("digest_schedule").alias("schedule"), F.col("alert_category").alias("category"),
         F.from_json("conditions", schemas.ALERT_CONDITIONS_DDL).alias("c"),
-    )
+    ).select("*", F.explode(_rule_anchors(F.col("c"))).alias("anchor"))
     category = F.when(F.col("source_category") == "social", "social").otherwise("media")
+    words = F.array_distinct(lower_array(F.coalesce("matched_keywords", empty)))
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    own = F.array(*[F.concat(F.lit(p), text(n)) for p, n in (("s:", "source_name"), ("c:", "country"), ("t:", "sentiment"))], F.lit("a:"))
+    keyed = articles.withColumn("category", category).select("*", F.explode(F.concat(_prefixed("k:", words), own)).alias("anchor"))
+    shared = F.array_sort(F.array_intersect(words, lower_array(F.coalesce(F.col("c.keywords"), empty))))
+    once = ~F.startswith("anchor", F.lit("k:")) | (F.col("anchor") == F.concat(F.lit("k:"), F.try_element_at(shared, F.lit(1))))
     return (
-        articles.withColumn("category", category).join(parsed, "category").filter(alert_condition(F.col("c")))
+        keyed.join(parsed, ["category", "anchor"]).filter(once & alert_condition(F.col("c")))
         .select("rule_id", "rule_type", "schedule", "id", F.col("published_at").alias("at"))
     )
 

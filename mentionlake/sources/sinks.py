@@ -27,8 +27,9 @@ def upsert_ignore(target: str, new: DataFrame, key: str = "url", order: Sequence
     existing = spark.read.parquet(target) if path_exists(spark, target) else None
     rows = new_rows(existing, new, key, order or [F.col(key).asc()])
     seen = Observation()
-    dated = rows.withColumn("day", F.to_date(time_column)).observe(seen, F.count(F.lit(1)).alias("n"))
-    dated.write.mode("append").partitionBy("day").parquet(target)
+    # Rebalancing gives few files per day and splits a day that is much larger than the rest.
+    dated = rows.withColumn("day", F.to_date(time_column)).hint("rebalance", "day")
+    dated.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("day").parquet(target)
     return seen.get["n"]
 
 
