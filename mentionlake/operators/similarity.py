@@ -142,12 +142,12 @@ def near_duplicates(
     if window_days is not None:
         articles = articles.filter(F.col("published_at") >= D.days_before(as_of, window_days))
     rows = _title_rows(articles)
-    sets = _word_sets(rows).select("set_key", "sid", "first.ord", "first.first_id", F.col("first.n_rows").alias("n_first"), "members")
+    sets = _word_sets(rows).select("set_key", "sid", "first.ord", "first.first_id", F.col("first.n_rows").alias("n_first"))
     sets = materialize(sets, "title-sets")
     links = set_links(sets, threshold, **tuning)
     earliest = links.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct("b_ord", "b_first")).alias("other"))
     keep = sets.join(earliest, "sid", "left").select(
-        "set_key", "ord", "first_id", "n_first", "members",
+        "set_key", "ord", "first_id", "n_first",
         F.when(F.col("other").isNull(), F.struct(F.col("ord").alias("o"), F.col("first_id").alias("i")))
         .otherwise(F.struct(F.col("other.b_ord").alias("o"), F.col("other.b_first").alias("i")))
         .alias("head"),
@@ -159,9 +159,9 @@ def near_duplicates(
         flagged = same.select(F.col("a").alias("sid")).unionByName(same.select(F.col("b").alias("sid"))).distinct()
         keep = keep.join(flagged.withColumn("twin", F.lit(True)), "sid", "left")
         twin = F.coalesce("twin", F.lit(False)) | (F.col("n_first") > 1)
-    heads = keep.select("set_key", "head.i", F.col("first_id").alias("set_first"), twin.alias("twin"), "members")
-    heads = materialize(heads, "title-heads")
-    member = skewed_lookup(rows.select("id", "set_key"), heads, "set_key", "members")
+    heads = keep.select("set_key", "head.i", F.col("first_id").alias("set_first"), twin.alias("twin"))
+    # One row per set on the right: AQE splits the partition of a very large set.
+    member = rows.select("id", "set_key").join(heads, "set_key")
     dup = (F.col("i") != F.col("id")) | (F.col("twin") & (F.col("id") == F.col("set_first")))
     flags = member.select(
         "id", dup.alias("is_duplicate"), F.when(F.col("i") != F.col("id"), F.col("i")).alias("duplicate_of")
@@ -224,6 +224,5 @@ def cluster_stories(
     labelled = sets.join(parts.withColumnRenamed("node", "sid"), "sid", "left").filter(
         F.col("component").isNotNull() | (F.col("members") > 1)
     )
-    labels = labelled.select("set_key", F.coalesce("component", "sid").alias("story_cluster_id"), "members")
-    labels = materialize(labels, "story-labels")
-    return skewed_lookup(rows.select("id", "set_key"), labels, "set_key", "members").select("id", "story_cluster_id")
+    labels = labelled.select("set_key", F.coalesce("component", "sid").alias("story_cluster_id"))
+    return rows.select("id", "set_key").join(labels, "set_key").select("id", "story_cluster_id")
