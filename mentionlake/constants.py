@@ -237,9 +237,3 @@ URL_MONTHS = {
 
 # --- order in which connectors arrive (fixed values) ---------------------
 CONNECTOR_ORDER = ["rss", "perigon", "guardian", "gdelt", "newsapi"]
-
-# --- stages of on-demand discovery (fixed values) ------------------------
-DISCOVERY_STAGES = [
-    "unified", "tier1_search", "tier1_rss", "google_news", "sources", "benchmark", "tier2",
-    "sitemaps", "firecrawl", "ai",
-]

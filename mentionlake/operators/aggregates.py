@@ -296,11 +296,15 @@ def update_health(sources: DataFrame, outcomes: DataFrame, error_at: int = 20, d
     )
 
 
-def coverage_audit(cands: DataFrame, known: DataFrame, outlets: DataFrame) -> DataFrame:
-    """Per outlet: distinct candidates, already known, matched, and candidates per
-    discovery method. ``cands``: source_domain, url, discovery_method, matched_keywords."""
+def coverage_audit(cands: DataFrame, known: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
+    """Per outlet (by default the curated list): distinct candidates, already known,
+    matched, and discovery methods that found something. ``cands``: source_domain,
+    url, discovery_method, matched_keywords."""
     from mentionlake.operators.dedup import first_per_key
 
+    if outlets is None:
+        outlets = literal_table(cands.sparkSession, "domain string, name string, region string", C.AUDIT_OUTLETS)
+
     rows = cands.withColumn("domain", U.normalize_domain("source_domain")).withColumn("canon", U.canonical_url(F.col("url")))
     unique = first_per_key(rows, ["domain", "canon"], [F.col("url").asc(), F.col("discovery_method").asc()])
     seen = known.select(U.canonical_url(F.col("url")).alias("canon")).distinct().withColumn("seen", F.lit(True))

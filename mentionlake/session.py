@@ -25,8 +25,15 @@ def get_session(app: str = "mentionlake", master: str | None = None, shuffle: in
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
-    """Day buckets are UTC days whatever the caller's locale."""
+    """Day buckets are UTC days whatever the caller's locale.
+
+    In local mode an untouched default of 200 shuffle partitions becomes the
+    number of cores; a cluster's setting is never changed.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     return spark
 
 
