@@ -15,10 +15,12 @@ def scheduled_ingest(raw_feeds: DataFrame, sources: DataFrame, topics: DataFrame
     first arrival per URL, drop stored URLs. Dedup and exclusion shuffle on the
     URL; everything before them is narrow apart from the source dimension.
     """
-    cands = feeds.ingest_feeds(raw_feeds, sources, as_of).withColumn("id", F.concat_ws("-", "source_id", "ordinal"))
+    cands = feeds.ingest_feeds(raw_feeds, sources, as_of)
+    place = [F.col(c).cast("string") for c in ("source_id", "fetched_at", "ordinal", "guid", "url")]
+    cands = cands.withColumn("id", F.sha2(F.concat_ws("\x01", *place), 256))
     routed = matching.route_topics(filters.filter_language(cands), topics)
     flagged = filters.flag_major(routed).withColumn("articles_era", filters.era(F.col("published_at"), as_of))
-    order = [F.col("source_id").asc(), F.col("ordinal").asc(), F.col("topic_id").asc()]
+    order = [F.col(c).asc() for c in ("source_id", "fetched_at", "ordinal", "guid", "topic_id")]
     first = dedup.dedup_first(flagged, order)
     return first if known is None else joins.exclude_known(first, known)
 

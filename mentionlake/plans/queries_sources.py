@@ -56,8 +56,8 @@ def discovery_items(s, d):
     return feeds.discovery_items(T.raw_feeds(s, d), NOW).select("title", "url", "snippet", _stamp(), "source_domain")
 
 
-@query("scheduled_ingest", sql("doc", f"""SELECT url, id, CAST(topic_id AS VARCHAR) AS topic_id, era FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_id, pos, CAST(topic_id AS VARCHAR)) AS rn FROM (
-  SELECT doc.id, url, source_id, id // 400 AS chunk, id AS pos, t.topic_id,
+@query("scheduled_ingest", sql("doc", f"""SELECT url, id, CAST(topic_id AS VARCHAR) AS topic_id, era FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_id, pos, CAST(id AS VARCHAR), CAST(topic_id AS VARCHAR)) AS rn FROM (
+  SELECT doc.id, url, source_id, (id % 400) // 20 AS pos, t.topic_id,
     CASE WHEN published_at >= {SQL_NOW} - INTERVAL 7 DAY THEN 'live' ELSE 'recent' END AS era FROM doc JOIN t ON list_contains(t.sources, 'rss')
   WHERE {_TRIM} <> '' AND published_at >= {SQL_NOW} - INTERVAL 7 DAY
     AND len(list_filter(t.keywords, lambda k: regexp_matches(lower(trim(title) || ' about ' || id), '(^|[^A-Za-z0-9_])' || k || '($|[^A-Za-z0-9_])'))) > 0)) WHERE rn = 1""",

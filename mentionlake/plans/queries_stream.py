@@ -129,7 +129,7 @@ def registry_stream(s, d):
     return jobs.latest_snapshot(s, snapshot).select("rss_url", "domain", "active", "fetch_priority")
 
 
-@query("ingest_stream", sql("doc", """SELECT url, id FROM (SELECT id, url, row_number() OVER (PARTITION BY url ORDER BY source_id, id) AS rn FROM doc
+@query("ingest_stream", sql("doc", """SELECT url, id FROM (SELECT id, url, row_number() OVER (PARTITION BY url ORDER BY source_id, (id % 400) // 20, CAST(id AS VARCHAR)) AS rn FROM doc
   WHERE trim(title) <> '' AND published_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY
   AND regexp_matches(lower(trim(title) || ' about ' || id), '(^|[^A-Za-z0-9_])(that|with|from)($|[^A-Za-z0-9_])')) WHERE rn = 1"""))
 def ingest_stream(s, d):

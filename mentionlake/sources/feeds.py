@@ -35,11 +35,12 @@ def feed_items(raw_feeds: DataFrame) -> DataFrame:
     ok = F.coalesce(F.col("http_ok"), F.lit(True)) & (F.length("body") <= MAX_BODY_CHARS)
     typed = raw_feeds.filter(ok).withColumn("atom", is_atom(F.col("body")))
     blocks = F.when(F.col("atom"), _blocks(F.col("body"), "entry")).otherwise(_blocks(F.col("body"), "item"))
-    items = typed.select("source_id", "atom", F.posexplode(blocks).alias("ordinal", "block"))
+    arrived = F.col("fetched_at") if "fetched_at" in raw_feeds.columns else F.lit(None).cast("timestamp")
+    items = typed.select("source_id", arrived.alias("fetched_at"), "atom", F.posexplode(blocks).alias("ordinal", "block"))
     b, atom = F.col("block"), F.col("atom")
     pick = lambda if_atom, if_rss: F.when(atom, if_atom).otherwise(if_rss)
     parsed = items.select(
-        "source_id", "atom", "ordinal",
+        "source_id", "fetched_at", "atom", "ordinal",
         X.xml_text(b, "title").alias("title"),
         pick(F.coalesce(X.xml_attr(b, "link", "href"), X.xml_text(b, "link")), X.xml_text(b, "link")).alias("link"),
         F.when(~atom, X.xml_attr(b, "source", "url")).alias("source_url"),
@@ -71,7 +72,7 @@ def ingest_feeds(raw_feeds: DataFrame, sources: DataFrame, as_of, max_age_days:
     feed_domain = F.coalesce("src_domain", U.domain_of(F.col("src_feed")))
     published = F.col("published_at") if strict_dates else F.coalesce("published_at", D.as_timestamp(as_of))
     return joined.select(
-        "source_id", "ordinal", "title", F.coalesce("link", F.lit("")).alias("url"), "description", "content", "author",
+        "source_id", "fetched_at", "ordinal", "title", F.coalesce("link", F.lit("")).alias("url"), "description", "content", "author",
         published.alias("published_at"), X.first_non_empty(F.col("src_name"), F.col("src_domain")).alias("source_name"),
         feed_domain.alias("source_url"), F.coalesce(U.domain_of(F.col("link")), feed_domain).alias("source_domain"),
         "image_url", F.coalesce("src_language", F.lit("en")).alias("language"), F.lit("web").alias("media_type"),
