@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mentionlake import constants as C
 from mentionlake.functions import text as X
 from mentionlake.functions.scalars import count_if, literal_strings, literal_table, sql_literal
+from mentionlake.operators.dedup import first_per_key
 from mentionlake.session import bounded_rows
 
 MAX_INLINE_TERMS = 1000
@@ -263,11 +264,13 @@ def route_topics(
 def match_bodies(unmatched: DataFrame, pages: DataFrame, terms: DataFrame) -> DataFrame:
     """Second chance for unmatched items: match the whole body of their page.
 
-    ``pages``: url, body_text, lang, published_at (output of ``extract_pages``).
+    ``pages``: url, body_text, lang, published_at (output of ``extract_pages``). A
+    page crawled several times counts once.
     """
+    crawled = pages.select("url", "body_text", F.col("lang").alias("body_lang"), F.col("published_at").alias("body_date"))
+    crawled = first_per_key(crawled, ["url"], [F.col("body_date").asc_nulls_last(), F.col("body_text").asc()])
     bodies = match_terms(
-        pages.select("url", "body_text", F.col("lang").alias("body_lang"), F.col("published_at").alias("body_date")),
-        terms, how="normalized", text=F.col("body_text"), key="url", out="body_keywords",
+        crawled, terms, how="normalized", text=F.col("body_text"), key="url", out="body_keywords",
     ).filter(F.size("body_keywords") > 0)
     return unmatched.join(bodies.drop("body_text"), "url").select(
         *[c for c in unmatched.columns if c not in ("matched_keywords", "matched_via", "language", "published_at")],

@@ -100,3 +100,12 @@ def test_fallback(spark):
     df = literal_table(spark, "id int, matched_keywords array<string>", [(1, ["a"]), (2, []), (3, None)])
     out = {r.id: r.matched_keywords for r in M.with_fallback(df, F.lit("q")).collect()}
     assert out == {1: ["a"], 2: ["q"], 3: ["q"]}
+
+
+def test_bodies_of_repeated_crawls_count_once(spark):
+    left = literal_table(spark, "id int, url string, language string, published_at string", [(1, "u", None, None), (2, "v", None, None)])
+    left = left.withColumn("published_at", F.col("published_at").cast("timestamp"))
+    pages = literal_table(spark, "url string, body_text string, lang string, published_at string", [("u", "wave power", "en", None), ("u", "wave power", "en", "2024-01-02"), ("v", "none", "en", None)])
+    pages = pages.withColumn("published_at", F.col("published_at").cast("timestamp"))
+    rows = M.match_bodies(left, pages, literal_table(spark, "keyword string, term string", [("w", "wave")])).collect()
+    assert [(r.id, r.matched_keywords, r.matched_via, r.language, str(r.published_at)) for r in rows] == [(1, ["w"], "body_scan", "en", "2024-01-02 00:00:00")]
