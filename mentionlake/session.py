@@ -65,10 +65,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost
-    executors, and later readers prune columns and know the size."""
+    executors, and later readers prune columns.
+
+    The result asks for merge joins: copies compress so well that the file size
+    would suggest a broadcast of a table that does not fit in memory.
+    """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def is_directory(spark: SparkSession, path: str) -> bool:
