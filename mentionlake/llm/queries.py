@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from mentionlake.llm.bpe import op2_bpe_round_trip
+from mentionlake.llm.decontamination import OP3_SQL, op3_decontamination
+from mentionlake.llm.factorisation import op4_quality_classifier
+from mentionlake.llm.pii import op6_pii
+from mentionlake.llm.quality_rules import op1_quality_rules
 from mentionlake.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_decontamination": op3_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
+    "op6_pii": op6_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
+}
