@@ -304,6 +304,10 @@ def redact(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     return spans.select("__row.*", "spans").withColumn(text, masked).select(*docs.columns)
 
 
+def count_kind(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """The spans as kind:start:end, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -314,5 +318,5 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base counts and digest, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_spans(docs, train(docs))
-    counts = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    counts = [count_kind(F.col("base"), n).alias(f"n_{k}") for n, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
