@@ -8,6 +8,7 @@ from mentionlake.llm.factorisation import op4_quality_classifier
 from mentionlake.llm.jaccard_join import op10_jaccard_join
 from mentionlake.llm.pii import op6_pii
 from mentionlake.llm.quality_rules import op1_quality_rules
+from mentionlake.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
 from mentionlake.llm.token_counts import op5_token_counts
 
 QUERIES = {
@@ -17,9 +18,11 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
+    "op8_suffix_dedup": OP8_SQL,
 }
