@@ -5,6 +5,7 @@ from __future__ import annotations
 from mentionlake.llm.bpe import op2_bpe_round_trip
 from mentionlake.llm.decontamination import OP3_SQL, op3_decontamination
 from mentionlake.llm.factorisation import op4_quality_classifier
+from mentionlake.llm.html_layout import op9_html_extraction
 from mentionlake.llm.jaccard_join import op10_jaccard_join
 from mentionlake.llm.pii import op6_pii
 from mentionlake.llm.quality_rules import op1_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
