@@ -11,6 +11,7 @@ from mentionlake.llm.pii import op6_pii
 from mentionlake.llm.quality_rules import op1_quality_rules
 from mentionlake.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
 from mentionlake.llm.token_counts import op5_token_counts
+from mentionlake.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
+    "op7_warc": op7_warc,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_jaccard_join": op10_jaccard_join,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
+    "op7_warc": OP7_SQL,
     "op8_suffix_dedup": OP8_SQL,
 }
