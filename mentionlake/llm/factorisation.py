@@ -104,15 +104,18 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, step: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Machine:
-    """AdaGrad on the log loss, in batches of 128 rows; the same rows give the same model."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, least_steps: int = 400, step: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Machine:
+    """AdaGrad on the log loss, in batches of 128 rows; the same rows give the same model.
+
+    Few rows are gone over more often, until ``least_steps`` batches were seen.
+    """
     random = np.random.default_rng(seed)
     share = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
     model = Machine(float(np.log(share / (1 - share))), np.zeros(SLOTS, np.float32), random.normal(0, 0.02, (SLOTS, RANK)).astype(np.float32))
     seen_w, seen_v = np.full(SLOTS, 1e-4, np.float32), np.full((SLOTS, RANK), 1e-4, np.float32)
-    for _ in range(epochs if len(rows) else 0):
-        order = random.permutation(len(rows))
-        for batch in np.array_split(order, max(1, len(order) // 128)):
+    batches = max(1, len(rows) // 128)
+    for _ in range(max(epochs, -(-least_steps // batches)) if len(rows) else 0):
+        for batch in np.array_split(random.permutation(len(rows)), batches):
             slots = np.concatenate([rows[i][0] for i in batch])
             values = np.concatenate([rows[i][1] for i in batch])
             sizes = np.array([len(rows[i][0]) for i in batch])

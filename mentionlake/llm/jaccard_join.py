@@ -394,6 +394,28 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     return out.select(F.col("__key").alias(key), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("low")).otherwise(F.col("__key")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_SETS // 4, **how) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row with the smallest key stays, of equal
+    keys the one with the smallest text hash, of wholly repeated (key, text) one. Null keys come last.
+    Rows without words link with nothing and stay.
+    """
+    named = docs.select(F.col(key).alias("__key"), F.xxhash64(whole(text)).alias("__hash"), F.col(text).alias("__text"))
+    slim, parts = similar_sets(named, "__text", **how)
+    rows = slim.filter("size > 0").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rows = rows.select(F.coalesce("component", "set_id").alias("part"), F.struct(F.col("__key").isNull(), "__key", "__hash").alias("row"))
+    first = rows.groupBy("part").agg(F.min("row").alias("first"))
+    rows = materialize(rows.join(first, "part").select(F.col("row.__key").alias("__key"), F.col("row.__hash").alias("__hash"), (F.col("row") == F.col("first")).alias("stays")), "near-copies")
+    gone = rows.filter("NOT stays").select("__key", "__hash").distinct()
+    few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
+    same = docs[key].eqNullSafe(F.col("__key")) & (F.xxhash64(whole(docs[text])) == F.col("__hash"))
+    left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    repeated = rows.filter("stays").groupBy("__key", "__hash").count().filter("count > 1").limit(1).count()
+    if repeated:  # rows without words are no copies of each other
+        wordless = whole(text).rlike(r"^[\x20\x09-\x0D]*$")
+        left = left.filter(~wordless).withColumn("__hash", F.xxhash64(whole(text))).dropDuplicates([key, "__hash"]).drop("__hash").unionByName(left.filter(wordless))
+    return left
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and the component of its near duplicates."""
     return components(table(spark, sf_dir, "documents").select("doc_id", "text"))
