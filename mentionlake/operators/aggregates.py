@@ -178,13 +178,12 @@ def share_of_voice(articles: DataFrame, entities: dict[str, list[str]], days: in
 
 
 def sov_daily(articles: DataFrame, entities: dict[str, list[str]], days: int, as_of) -> DataFrame:
-    """Daily mentions, one column per entity, over at most 30 days."""
-    span = min(days, 30)
+    """Daily mentions, one column per entity, over the last ``days`` days."""
     text = X.joined_lower(F.col("title"), F.col("description"))
     counts = in_period(articles, days, as_of).groupBy(F.to_date(_TS).alias("day")).agg(
         *[count_if(mentions(text, [t.lower() for t in terms])).alias(name) for name, terms in entities.items()]
     )
-    return day_spine(articles, span, as_of).join(counts, "day", "left").fillna(0)
+    return day_spine(articles, days, as_of).join(counts, "day", "left").fillna(0)
 
 
 def source_quality(df: DataFrame, k: int = 10, compat: bool = False) -> DataFrame:
@@ -218,7 +217,7 @@ def owned_calendar(articles: DataFrame, days: int, as_of) -> DataFrame:
     counts = in_period(articles, days, as_of).groupBy(F.to_date(_TS).alias("day")).agg(
         count_if(owned).alias("owned"), count_if(~owned).alias("earned")
     )
-    return day_spine(articles, min(days, 60), as_of).join(counts, "day", "left").fillna(0)
+    return day_spine(articles, days, as_of).join(counts, "day", "left").fillna(0)
 
 
 def pipeline_health(articles: DataFrame, runs: DataFrame, topics: DataFrame, registry: DataFrame, as_of) -> DataFrame:
@@ -275,12 +274,12 @@ def run_summary(cands: DataFrame, inserted: DataFrame) -> DataFrame:
 
 
 def update_health(sources: DataFrame, outcomes: DataFrame, error_at: int = 20, degraded_at: int = 1) -> DataFrame:
-    """Apply the outcome of the latest fetch per source to its health.
+    """Apply the outcome of the latest fetch per source to its health; of equal dates a success counts.
 
     ``outcomes``: source_id, ok, at. ``degraded_at=5`` is the discovery variant,
     which leaves the status alone below five failures.
     """
-    last = outcomes.groupBy("source_id").agg(F.max_by("ok", "at").alias("ok"), F.max("at").alias("at"))
+    last = outcomes.groupBy("source_id").agg(F.max(F.struct("at", "ok")).alias("last")).select("source_id", "last.ok", "last.at")
     joined = sources.join(last.withColumnRenamed("source_id", "id"), "id", "left")
     failures = F.when(F.col("ok"), F.lit(0)).when(~F.col("ok"), F.col("consecutive_failures") + 1).otherwise(F.col("consecutive_failures"))
     status = (

@@ -32,8 +32,9 @@ def dedup_first(df: DataFrame, order: Sequence[Column], key: str = "url") -> Dat
 
 
 def topic_bridge(routed: DataFrame, key: str = "url") -> DataFrame:
-    """Every topic an article was routed to, kept beside the de-duplicated fact."""
-    return routed.select(key, "topic_id", "matched_keywords").dropDuplicates([key, "topic_id"])
+    """Every topic an article was routed to, kept beside the de-duplicated fact; of several keyword
+    lists of one topic the first in order stays."""
+    return routed.groupBy(key, "topic_id").agg(F.min("matched_keywords").alias("matched_keywords"))
 
 
 def dedup_canonical(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mentionlake import constants as C
 from mentionlake.functions import dates as D, text as X, urls as U
 from mentionlake.functions.scalars import literal_map, literal_strings, lower_array
+from mentionlake.operators.dedup import first_per_key
 
 
 def language_code(language: Column) -> Column:
@@ -209,8 +210,8 @@ def favourites(df: DataFrame, keywords: Sequence[str], k: int = 10) -> DataFrame
     return df.filter(hit).orderBy(F.col("published_at").desc_nulls_first(), "id").limit(k)
 
 
-def eligible_sources(df: DataFrame, limit: int | None = 300) -> DataFrame:
-    """Feeds that may be fetched, highest priority first."""
+def eligible_sources(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Feeds that may be fetched, highest priority first; all of them unless ``limit`` is given."""
     out = df.filter(
         F.col("active")
         & (F.col("approval_status") == "approved")
@@ -319,6 +320,8 @@ def promote_by_body(split: DataFrame, bodies: DataFrame) -> DataFrame:
     ``bodies``: url, canonical_url, body_keywords (output of ``match_bodies``).
     """
     body = bodies.select("url", F.col("canonical_url").alias("body_canonical"), "body_keywords")
+    # A page crawled several times gives its keywords once.
+    body = first_per_key(body, ["url"], [F.col("body_canonical").asc_nulls_last(), F.col("body_keywords").asc_nulls_last()])
     joined = split.join(body, "url", "left")
     found = (F.col("strength") == "weak") & (F.size(F.coalesce("body_keywords", F.array().cast("array<string>"))) > 0)
     out = joined.select(

@@ -105,7 +105,7 @@ def resolve_publisher(df: DataFrame, publishers: DataFrame | None = None, case_s
         mapped = df.withColumn("__dom", publisher_domain(F.col("source_name"), case_sensitive))
     else:
         fold = (lambda c: c) if case_sensitive else F.lower
-        dim = publishers.select(fold(F.col("name")).alias("__name"), F.col("domain").alias("__dom")).dropDuplicates(["__name"])
+        dim = publishers.select(fold(F.col("name")).alias("__name"), F.col("domain").alias("__dom")).groupBy("__name").agg(F.min("__dom").alias("__dom"))
         mapped = df.withColumn("__name", fold(F.col("source_name"))).join(dim, "__name", "left").drop("__name")
     resolved = F.coalesce("__dom", "source_domain")
     return mapped.withColumn("source_domain", resolved).drop("__dom").withColumn(
@@ -202,7 +202,7 @@ def apply_retention(tables: dict[str, DataFrame], days: int, as_of) -> dict[str,
 def merge_expansions(keywords: DataFrame, proposals: DataFrame, force: bool = False) -> DataFrame:
     """Store proposed terms: trimmed, lower-cased, distinct, longer than one
     character and different from the keyword; only where none exist unless forced."""
-    props = proposals.select(F.lower("keyword").alias("__kw"), F.col("terms").alias("__terms")).dropDuplicates(["__kw"])
+    props = proposals.select(F.lower("keyword").alias("__kw"), F.col("terms").alias("__terms")).groupBy("__kw").agg(F.min("__terms").alias("__terms"))
     cleaned = F.array_distinct(F.transform("__terms", lambda t: F.lower(F.trim(t))))
     cleaned = F.filter(cleaned, lambda t: (F.length(t) > 1) & (t != F.lower("text")))
     empty = F.size(F.coalesce("expanded_terms", F.array().cast("array<string>"))) == 0

@@ -98,7 +98,8 @@ def match_terms(
 ) -> DataFrame:
     """Add the sorted array of keywords whose term occurs in the text.
 
-    ``terms``: keyword, term. ``key`` must identify a row of ``df``.
+    ``terms``: keyword, term. The result depends on a row's own text only: in the joined plan rows are
+    told apart by ``key`` and text together, so keys may repeat or be null.
     """
     prepared = prepared_terms(terms, how)
     rows = bounded_rows(prepared, max_inline)
@@ -109,19 +110,20 @@ def match_terms(
         found = _keywords_of(F.col("__hay"), entries, how) if rows else literal_strings([])
         return compute_once(base.drop(out), out, found).drop("__hay")
     prepared = prepared.distinct()
-    slim = base.select(key, "__hay")
-    pairs = _word_candidates(slim, prepared, key) if how == "word" else _substring_candidates(slim, prepared, key)
+    base = base.withColumn("__id", F.xxhash64(F.col(key), F.col("__hay")))
+    slim = base.select("__id", "__hay")
+    pairs = _word_candidates(slim, prepared, "__id") if how == "word" else _substring_candidates(slim, prepared, "__id")
     # A term that is its own anchor was found for certain; only the others are
     # checked against the text. Both sets are bounded by the dictionary.
     sure = F.when(F.col("pattern") != "", False).otherwise(F.col("needle") == (_marked(F.col("anchor")) if how == "word" else F.col("anchor")))
-    grouped = pairs.groupBy(key).agg(
+    grouped = pairs.groupBy("__id").agg(
         F.collect_set(F.when(sure, F.col("keyword"))).alias("__sure"),
         F.collect_set(F.when(~sure, F.struct("keyword", "needle", "pattern"))).alias("__cand"),
     )
     checked = F.array_union("__sure", _keywords_of(F.col("__hay"), F.col("__cand"), how))
-    joined = base.drop(out).join(grouped, key, "left")
+    joined = base.drop(out).join(grouped, "__id", "left")
     found = F.coalesce(F.array_sort(checked), literal_strings([]))
-    return compute_once(joined, out, found).drop("__hay", "__cand", "__sure")
+    return compute_once(joined, out, found).drop("__hay", "__id", "__cand", "__sure")
 
 
 def _constant_entries(rows) -> Column:

@@ -56,7 +56,7 @@ def _ordered_sets(sets: DataFrame, threshold: float) -> DataFrame:
     )
     size = F.size("ws")
     overlap = F.floor(size * threshold - 1e-9).cast("int") + 1
-    return ordered.withColumns({"size": size, "prefix": size - overlap + 1}).filter(overlap >= 2)
+    return ordered.withColumns({"size": size, "prefix": size - overlap + 1}).filter(size >= 2)
 
 
 def _keys(frequent: int) -> Column:

@@ -35,7 +35,7 @@ CTES = {
              event_type AS topic_id, 'Event ' || event_type || ' by user ' || user_id AS title
       FROM ev0""",
     "doc": """
-      SELECT d.doc_id AS id, substr(split_part(d.text, chr(10), 1), 1, 220) AS title, d.text AS description,
+      SELECT d.doc_id AS id, split_part(d.text, chr(10), 1) AS title, d.text AS description,
              'https://' || d.source || '.example.com/' || d.lang || '/' || (d.n_chars % 500)
                || CASE WHEN d.doc_id % 2 = 0 THEN '?utm_source=feed' ELSE '' END AS url,
              d.lang AS language, d.source AS source_name, CAST(regexp_extract(d.source, '([0-9]+)$', 1) AS BIGINT) AS source_id,

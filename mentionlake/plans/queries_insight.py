@@ -65,7 +65,7 @@ def share_of_voice(s, d):
 
 @query("sov_daily", sql("doc", f"""SELECT strftime(spine.day, '%Y-%m-%d') AS day, {', '.join(f'coalesce({n}, 0) AS {n}' for n in T.ENTITIES)}
   FROM spine LEFT JOIN c ON c.day = spine.day""",
-  spine=f"SELECT CAST(unnest(generate_series(DATE '2024-01-31' - 29, DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day",
+  spine=f"SELECT CAST(unnest(generate_series(DATE '2024-01-31' - 89, DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day",
   c=f"""SELECT CAST(published_at AS DATE) AS day, {', '.join(f"count(*) FILTER {_hit('txt', t)} AS {n}" for n, t in T.ENTITIES.items())}
   FROM (SELECT published_at, lower(title || ' ' || description) AS txt FROM doc WHERE published_at >= {SQL_NOW} - INTERVAL 90 DAY) GROUP BY 1"""))
 def sov_daily(s, d):
@@ -175,7 +175,7 @@ def owned_kpis(s, d):
 
 @query("owned_calendar", sql("ev", """SELECT strftime(spine.day, '%Y-%m-%d') AS day, coalesce(owned, 0) AS owned, coalesce(earned, 0) AS earned
   FROM spine LEFT JOIN c ON c.day = spine.day""",
-  spine="SELECT CAST(unnest(generate_series(DATE '2024-01-31' - 59, DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day",
+  spine="SELECT CAST(unnest(generate_series(DATE '2024-01-31' - 89, DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day",
   c="""SELECT CAST(published_at AS DATE) AS day, count(*) FILTER (source_category = 'owned') AS owned, count(*) FILTER (source_category <> 'owned') AS earned
   FROM ev GROUP BY 1"""))
 def owned_calendar(s, d):

@@ -148,7 +148,7 @@ def favourites(s, d):
 
 
 @query("eligible_sources", sql("src", """SELECT id, name, CAST(fetch_priority AS INTEGER) AS fetch_priority FROM src WHERE active AND approval_status = 'approved'
-  AND consecutive_failures < 30 AND health_status IN ('healthy', 'degraded') ORDER BY fetch_priority DESC, id LIMIT 300"""))
+  AND consecutive_failures < 30 AND health_status IN ('healthy', 'degraded') ORDER BY fetch_priority DESC, id"""))
 def eligible_sources(s, d):
     return filters.eligible_sources(T.sources(s, d)).select("id", "name", "fetch_priority")
 

@@ -81,11 +81,7 @@ def sitemap_items(s, d):
     return out.select("domain", "title", "url", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
 
 
-@query("sitemap_harvest", sql("doc", """SELECT domain, url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY part, chunk, pos) AS n FROM (
-  SELECT source_domain AS domain, replace(url, '?utm_source=feed', '') AS url, id // 400 AS chunk, id // 8000 AS part, source_id % 2 = 0 AS tier1,
-    row_number() OVER (PARTITION BY source_id, id // 400 ORDER BY id) AS pos, dense_rank() OVER (PARTITION BY source_id, id // 8000 ORDER BY id // 400) AS child,
-    dense_rank() OVER (PARTITION BY source_id ORDER BY id // 8000) AS idx FROM doc)
-  WHERE idx <= CASE WHEN tier1 THEN 4 ELSE 2 END AND child <= CASE WHEN tier1 THEN 3 ELSE 1 END) WHERE n <= CASE WHEN tier1 THEN 120 ELSE 60 END"""))
+@query("sitemap_harvest", sql("doc", """SELECT source_domain AS domain, replace(url, '?utm_source=feed', '') AS url FROM doc"""))
 def sitemap_harvest(s, d):
     domains = T.sources(s, d).select("domain", F.when(F.col("id") % 2 == 0, 90).otherwise(40).alias("priority"))
     return sitemaps.ingest_sitemaps(T.raw_sitemaps(s, d), domains, NOW, keep="first").select("domain", "url")
@@ -120,14 +116,13 @@ def extract_pages(s, d):
 _ANCHOR = "(?is)<a[^>]+href=[\"''](https?://[^\"'']+)[\"''][^>]*>(.*?)</a>"
 
 
-@query("harvest_links", sql("pg", f"""SELECT page, CAST(position AS BIGINT) AS position, title, url FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY position) AS rn FROM (
-  SELECT page, position, substr({_strip('t')}, 1, 220) AS title, u AS url FROM l WHERE length({_strip('t')}) >= 6)) WHERE rn <= 3""",
+@query("harvest_links", sql("pg", f"""SELECT page, CAST(position AS BIGINT) AS position, substr({_strip('t')}, 1, 220) AS title, u AS url FROM l WHERE length({_strip('t')}) >= 6""",
   l=f"""SELECT page, unnest(range(0, len(u))) AS position, unnest(u) AS u, unnest(t) AS t FROM (SELECT page, regexp_extract_all(h, '{_ANCHOR}', 1) AS u,
     regexp_extract_all(h, '{_ANCHOR}', 2) AS t FROM (SELECT url AS page, id, replace(html, 'href="/', 'href="' || regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/2024/05/') AS h FROM pg))"""))
 def harvest_links(s, d):
     base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     p = T.read(s, d, "pages").withColumn("html", F.replace("html", F.lit('href="/'), F.concat(F.lit('href="'), base, F.lit("/2024/05/"))))
-    out = P.harvest_links(p, NOW, min_text=6, cap=3, key="page_id").join(p.select("page_id", F.col("url").alias("page_url")), F.col("page") == F.col("page_id"))
+    out = P.harvest_links(p, NOW, min_text=6, key="page_id").join(p.select("page_id", F.col("url").alias("page_url")), F.col("page") == F.col("page_id"))
     return out.select(F.col("page_url").alias("page"), F.col("position").cast("bigint").alias("position"), "title", "url")
 
 

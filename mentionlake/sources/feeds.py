@@ -12,8 +12,6 @@ from mentionlake.functions import dates as D, text as X, urls as U
 from mentionlake.operators.filters import is_blocked
 from mentionlake.operators.joins import publisher_domain
 
-MAX_BODY_CHARS = 1_000_000
-
 
 def is_atom(body: Column) -> Column:
     return F.contains(body, F.lit("<feed")) & F.contains(body, F.lit("xmlns"))
@@ -27,12 +25,14 @@ def _coalesce_text(block: Column, *tags: str) -> Column:
     return F.coalesce(*[X.xml_text(block, t) for t in tags])
 
 
-def feed_items(raw_feeds: DataFrame) -> DataFrame:
+def feed_items(raw_feeds: DataFrame, max_chars: int | None = None) -> DataFrame:
     """One row per feed item with its position; ``raw_feeds``: source_id, body, http_ok.
 
-    Items need a title and a link or guid. Oversized bodies are skipped.
+    Items need a title and a link or guid. Bodies over ``max_chars``, if given, are skipped.
     """
-    ok = F.coalesce(F.col("http_ok"), F.lit(True)) & (F.length("body") <= MAX_BODY_CHARS)
+    ok = F.coalesce(F.col("http_ok"), F.lit(True))
+    if max_chars is not None:
+        ok = ok & (F.length("body") <= max_chars)
     typed = raw_feeds.filter(ok).withColumn("atom", is_atom(F.col("body")))
     blocks = F.when(F.col("atom"), _blocks(F.col("body"), "entry")).otherwise(_blocks(F.col("body"), "item"))
     arrived = F.col("fetched_at") if "fetched_at" in raw_feeds.columns else F.lit(None).cast("timestamp")

@@ -61,8 +61,9 @@ def _value(*names: str) -> Column:
 
 
 def _number(*names: str) -> Column:
-    digits = F.regexp_extract(_value(*names), r"^\s*([+-]?\d{1,9})", 1)
-    return F.coalesce(F.nullif(digits, F.lit("")).cast("int"), F.lit(0))
+    """The leading whole number of a cell; 0 where there is none or it is beyond 64 bits."""
+    digits = F.regexp_extract(_value(*names), r"^\s*([+-]?\d+)", 1)
+    return F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def owned_articles(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from mentionlake.operators.dedup import ranked_top, top_per_key
 
 # Caps by tier as (items per domain, sitemaps per domain, children
 # per index, items per child, items per sitemap), for the two harvest variants.
+ALL = 2**31 - 1  # no cap
 CAPS_LAST = {"tier1": (200, 6, 5, 50, 60), "other": (100, 4, 3, 50, 60)}
 CAPS_FIRST = {"tier1": (120, 4, 3, 40, 50), "other": (60, 2, 1, 20, 25)}
 TIER1_PRIORITY = 70
@@ -63,14 +64,15 @@ def sitemap_items(raw: DataFrame, as_of, url_dates: bool = True, keep_tags: bool
 
 
 def ingest_sitemaps(raw: DataFrame, domains: DataFrame, as_of, keep: str = "last", caps: dict | None = None) -> DataFrame:
-    """Two-level sitemap harvest with per-tier caps.
+    """Two-level sitemap harvest: all of it, or with ``caps`` (``CAPS_LAST``, ``CAPS_FIRST``) a part per tier.
 
     ``raw``: domain, url, body of every landed sitemap; ``domains``: domain,
     priority and, optionally, name. ``keep='last'`` takes the last children and
     entries, ``'first'`` the first ones. The caps are a product rule (how much of
     a site one run looks at), applied by position.
     """
-    caps = caps or (CAPS_LAST if keep == "last" else CAPS_FIRST)
+    if caps is None:
+        caps = dict.fromkeys(("tier1", "other"), (ALL,) * 5)
     tiered = domains.withColumn("tier", F.when(F.coalesce("priority", F.lit(0)) >= TIER1_PRIORITY, "tier1").otherwise("other"))
     cap = lambda i: F.when(F.col("tier") == "tier1", caps["tier1"][i]).otherwise(caps["other"][i])
     bodies = raw.join(tiered.select("domain", "tier"), "domain")

@@ -28,18 +28,9 @@ ENTITIES = {
 }
 
 
-# Tables whose rows are expensive to process (whole texts and pages).
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A text table that arrives in fewer splits than there are
-    cores is spread over them; a large one already has more and is left alone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A given table, in the splits that its files give."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _moment(ts: str | Column) -> Column:
@@ -95,7 +86,9 @@ def event_articles(e: DataFrame) -> DataFrame:
 
 
 def articles_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    # One row per key: a repeated label multiplies nothing, and a query that reads no label
+    # column has this join removed by the optimizer.
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     d = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     q, t, i = F.col("quality"), F.col("toxic"), F.col("doc_id")
     label = F.when((q == 1) & (t == 0), "high").when((q == 1) & (t == 1), "medium").when((q == 0) & (t == 0), "low").when((q == 0) & (t == 1), "noise")
@@ -107,7 +100,7 @@ def articles_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(host, F.lit("/"), "lang", F.lit("/"), (F.col("n_chars") % 500).cast("string"), F.when(i % 2 == 0, "?utm_source=feed").otherwise(""))
     themes = F.when(i % 5 == 0, F.array().cast("array<string>")).when(label == "high", F.array(F.concat(F.lit("th"), (i % 7).cast("string"))))
     return d.select(
-        i.alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 220).alias("title"), F.col("text").alias("content"),
+        i.alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"),
         F.col("text").alias("description"), url.alias("url"), F.col("lang").alias("language"),
         F.col("source").alias("source_name"), sid.alias("source_id"), F.concat("source", F.lit(".example.com")).alias("source_domain"),
         F.concat("source", F.lit(".example.com")).alias("source_url"), published.alias("published_at"),
