@@ -43,3 +43,14 @@ def test_no_local_state_in_the_package():
 def test_plans_stay_in_the_jvm_without_cartesian_products(spark, name):
     text = plan_text(QUERIES[name](spark, SMALL))
     assert "Python" not in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
+@pytest.mark.parametrize("name", ["share_of_voice", "match_word", "language_filter", "dedup_first"])
+def test_labels_and_round_robin_stay_out_of_queries_that_need_neither(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_text(QUERIES[name](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "labels.parquet" not in text and "RoundRobin" not in text and "quality" not in text

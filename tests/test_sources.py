@@ -45,7 +45,9 @@ def test_sitemap_caps(spark, keep, children, first, last, total):
     index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://d.com/{n}.xml</loc></sitemap>" for n in names) + "</sitemapindex>"
     raw = literal_table(spark, "domain string, url string, body string", [("d.com", "https://d.com/index.xml", index)] + [("d.com", f"https://d.com/{n}.xml", _sitemap(60, n)) for n in names])
     dom = literal_table(spark, "domain string, priority int", [("d.com", 50)])
-    urls = sorted(r.url for r in sitemaps.ingest_sitemaps(raw, dom, NOW, keep=keep).collect())
+    assert sitemaps.ingest_sitemaps(raw, dom, NOW, keep=keep).count() == 300
+    caps = sitemaps.CAPS_LAST if keep == "last" else sitemaps.CAPS_FIRST
+    urls = sorted(r.url for r in sitemaps.ingest_sitemaps(raw, dom, NOW, keep=keep, caps=caps).collect())
     assert len(urls) == total and urls[0] == f"https://d.com/{first}"
     assert {u.split("/")[-1][0] for u in urls} <= children
 
