@@ -295,10 +295,17 @@ def update_health(sources: DataFrame, outcomes: DataFrame, error_at: int = 20, d
     )
 
 
-def coverage_audit(cands: DataFrame, known: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
-    """Per outlet (by default the curated list): distinct candidates, already known,
-    matched, and discovery methods that found something. ``cands``: source_domain,
-    url, discovery_method, matched_keywords."""
+def coverage_audit(
+    cands: DataFrame, known: DataFrame, outlets: DataFrame | None = None, bodies: DataFrame | None = None,
+    inserted: DataFrame | None = None, attempts: DataFrame | None = None,
+) -> DataFrame:
+    """Per outlet (by default the curated list): distinct candidates, already known (skipped), matched by
+    title or body, inserted, methods tried, and methods that found something with their count of finds.
+
+    ``cands``: source_domain, url, discovery_method, matched_keywords. ``bodies``: url, body_keywords of
+    scanned pages. ``inserted``: url. ``attempts``: domain, method; methods with finds count as tried.
+    Finds are counted before candidates with one canonical URL become one.
+    """
     from mentionlake.operators.dedup import first_per_key
 
     if outlets is None:
@@ -308,14 +315,30 @@ def coverage_audit(cands: DataFrame, known: DataFrame, outlets: DataFrame | None
     unique = first_per_key(rows, ["domain", "canon"], [F.col("url").asc(), F.col("discovery_method").asc()])
     seen = known.select(U.canonical_url(F.col("url")).alias("canon")).distinct().withColumn("seen", F.lit(True))
     flagged = unique.join(seen, "canon", "left")
-    matched = F.size(F.coalesce("matched_keywords", F.array().cast("array<string>"))) > 0
+    def marks(urls: DataFrame | None, name: str) -> DataFrame:
+        """``flagged`` with whether a row's canonical URL is among ``urls``."""
+        if urls is None:
+            return flagged.withColumn(name, F.lit(False))
+        found = urls.select(U.canonical_url(F.col("url")).alias("canon")).distinct().withColumn(name, F.lit(True))
+        return flagged.join(found, "canon", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+    flagged = marks(None if bodies is None else bodies.filter(F.size("body_keywords") > 0), "by_body")
+    flagged = marks(inserted, "stored")
+    matched = (F.size(F.coalesce("matched_keywords", F.array().cast("array<string>"))) > 0) | F.col("by_body")
     fresh = F.col("seen").isNull()
     stats = flagged.groupBy("domain").agg(
         F.count(F.lit(1)).alias("candidates"), count_if(~fresh).alias("skipped"), count_if(fresh & matched).alias("matched"),
-        F.count_distinct("discovery_method").alias("methods_succeeded"),
+        count_if(fresh & matched & F.col("stored")).alias("inserted"),
+    )
+    finds = rows.groupBy("domain", F.col("discovery_method").alias("method")).agg(F.count(F.lit(1)).alias("n"))
+    tried = finds if attempts is None else attempts.select("domain", "method").distinct().join(finds, ["domain", "method"], "full")
+    # A handful of methods per outlet.
+    methods = tried.groupBy("domain").agg(
+        F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods_tried"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.concat("method", F.lit("("), F.col("n").cast("string"), F.lit(")"))))), ",").alias("methods_succeeded"),
     )
-    return outlets.join(stats, "domain", "left").fillna(
-        {"candidates": 0, "skipped": 0, "matched": 0, "methods_succeeded": 0}
+    return outlets.join(stats, "domain", "left").join(methods, "domain", "left").fillna(
+        {"candidates": 0, "skipped": 0, "matched": 0, "inserted": 0, "methods_tried": "", "methods_succeeded": ""}
     )
 
 

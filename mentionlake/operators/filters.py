@@ -27,21 +27,36 @@ def filter_language(df: DataFrame, allowed: Sequence[str] = C.ALLOWED_LANGUAGES)
 
 
 def is_blocked(
-    url: Column, domain: Column | None = None, hosts: list[str] | None = None, paths: list[str] | None = None
+    url: Column, domain: Column | None = None, hosts: list[str] | None = None, paths: list[str] | None = None, whole_url: bool = False
 ) -> Column:
-    """Blocked host (or sub-domain) or blocked path; an unparseable URL is not blocked."""
+    """Blocked host (or sub-domain) or blocked path; an unparseable URL is not blocked.
+
+    ``whole_url`` looks for the path patterns anywhere in the URL.
+    """
     hosts = C.BLOCKED_HOSTS_MAIN if hosts is None else hosts
     paths = C.BLOCKED_PATHS if paths is None else paths
     hit = U.on_host_list(U.host(url), hosts)
     if domain is not None:
         hit = hit | U.on_host_list(U.normalize_domain(domain), hosts)
     if paths:
-        hit = hit | F.coalesce(U.path(url).rlike("(?i)" + "|".join(paths)), F.lit(False))
+        hit = hit | F.coalesce((url if whole_url else U.path(url)).rlike("(?i)" + "|".join(paths)), F.lit(False))
     return hit
 
 
-def filter_blocked(df: DataFrame, hosts: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
+#: Hosts, path patterns and place of the patterns, by the job that applies them.
+BLOCK_VARIANTS = {
+    "main": (C.BLOCKED_HOSTS_MAIN, C.BLOCKED_PATHS, False),
+    "model": (C.BLOCKED_HOSTS_MODEL, C.BLOCKED_PATHS_MODEL, True),
+    "backfill": (C.BLOCKED_HOSTS_BACKFILL, [], False),
+}
+
+
+def filter_blocked(df: DataFrame, hosts: list[str] | None = None, paths: list[str] | None = None, variant: str | None = None) -> DataFrame:
+    """Rows that are not blocked, by own lists or by a named variant."""
     domain = F.col("source_domain") if "source_domain" in df.columns else None
+    if variant is not None:
+        hosts, paths, whole_url = BLOCK_VARIANTS[variant]
+        return df.filter(~is_blocked(F.col("url"), domain, hosts, paths, whole_url))
     return df.filter(~is_blocked(F.col("url"), domain, hosts, paths))
 
 
@@ -248,9 +263,11 @@ def purge_off_topic(
 
 
 def clean_terms(keywords: DataFrame) -> DataFrame:
-    """Keep expanded terms made of ASCII letters, digits and simple punctuation."""
+    """Keep expanded terms made of ASCII letters, digits and simple punctuation; a list with a
+    Chinese character anywhere is emptied."""
+    foreign = F.exists("expanded_terms", lambda t: t.rlike("[\u4e00-\u9fff]"))
     plain = F.filter(F.col("expanded_terms"), lambda t: t.rlike(r"^[a-zA-Z0-9 \-/.,()]+$"))
-    return keywords.withColumn("expanded_terms", plain)
+    return keywords.withColumn("expanded_terms", F.when(foreign, F.array().cast("array<string>")).otherwise(plain))
 
 
 def scope_to_user(df: DataFrame, uid) -> DataFrame:

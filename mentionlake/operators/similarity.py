@@ -55,7 +55,8 @@ def _ordered_sets(sets: DataFrame, threshold: float) -> DataFrame:
         skewed_lookup(tokens, frequency, "word").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ws"))
     )
     size = F.size("ws")
-    overlap = F.floor(size * threshold - 1e-9).cast("int") + 1
+    # Similar sets share more than threshold * size words, so at least one more than the floor.
+    overlap = F.floor(size * threshold + 1e-9).cast("int") + 1
     return ordered.withColumns({"size": size, "prefix": size - overlap + 1}).filter(size >= 2)
 
 

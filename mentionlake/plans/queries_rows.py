@@ -48,6 +48,22 @@ def blocked_filter(s, d):
     return filters.filter_blocked(T.candidates_from_pages(s, d), _HOSTS, ["^/fr/1", "^/de/"]).select("id", "url")
 
 
+@query("blocked_variants", """SELECT doc_id AS id, host NOT IN ('x.com', 'm.youtube.com') AND NOT contains(path, '/watch/') AS model, host = 'ok.example.com' AS backfill
+  FROM (SELECT doc_id, ['x.com', 'm.youtube.com', 'ok.example.com'][doc_id % 3 + 1] AS host, ['/a', '/watch/1', '/b?u=/watch/2'][doc_id % 7 % 3 + 1] AS path FROM documents)""")
+def blocked_variants(s, d):
+    i = F.col("doc_id")
+    host = F.get(F.array(*map(F.lit, ("x.com", "m.youtube.com", "ok.example.com"))), (i % 3).cast("int"))
+    path = F.get(F.array(*map(F.lit, ("/a", "/watch/1", "/b?u=/watch/2"))), (i % 7 % 3).cast("int"))
+    rows = T.read(s, d, "documents").select(i.alias("id"), F.concat(F.lit("https://"), host, path).alias("url"))
+
+    def passes(variant: str):
+        hosts, paths, whole_url = filters.BLOCK_VARIANTS[variant]
+        return ~filters.is_blocked(F.col("url"), None, hosts, paths, whole_url)
+
+    # m.youtube.com is a sub-domain of a listed host in both lists.
+    return rows.select("id", passes("model").alias("model"), passes("backfill").alias("backfill"))
+
+
 @query("recent_filter", sql("doc", f"SELECT id FROM doc WHERE published_at >= {SQL_NOW} - INTERVAL 30 DAY"))
 def recent_filter(s, d):
     return filters.filter_recent(T.articles_from_documents(s, d), 30, NOW).select("id")
@@ -164,7 +180,7 @@ def off_topic_purge(s, d):
 
 
 @query("term_hygiene", """SELECT doc_id AS id, array_to_string(list_filter(string_split(split_part(text, chr(10), 1), ' '),
-  lambda t: regexp_matches(t, '^[a-zA-Z0-9 \\-/.,()]+$')), '|') AS terms FROM documents""")
+  lambda t: regexp_matches(t, '^[a-zA-Z0-9 \\-/.,()]+$') AND NOT regexp_matches(split_part(text, chr(10), 1), '[\\x{4e00}-\\x{9fff}]')), '|') AS terms FROM documents""")
 def term_hygiene(s, d):
     kw = T.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.split(X.first_line(F.col("text")), " ").alias("expanded_terms"))
     return filters.clean_terms(kw).select("id", F.array_join("expanded_terms", "|").alias("terms"))

@@ -81,6 +81,13 @@ def run_status(s, d):
     return jobs.drain(jobs.run_status(changes), "run-status", "update", ["run_id"]).select("run_id", "status")
 
 
+@query("is_fetching", """SELECT count(*) FILTER (status = 'view') > 0 AS fetching, count(*) FILTER (status = 'view') AS running FROM (
+  SELECT arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY strftime(CAST(ts AS DATE), '%Y%m%d') || '-' || user_id % 10)""")
+def is_fetching(s, d):
+    running = F.when(F.col("status") == "view", "running").otherwise(F.col("status"))
+    return jobs.is_fetching(run_status(s, d).withColumn("status", running))
+
+
 @query("notification_feed", """SELECT user_id, event_id AS id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
   FROM events WHERE event_type = 'signup') WHERE rn <= 20""")
 def notification_feed(s, d):

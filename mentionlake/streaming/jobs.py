@@ -56,8 +56,9 @@ def stream_bursts(stream: DataFrame, gap: str = "30 minutes", by: Sequence[str]
 
 
 def run_status(changes: DataFrame) -> DataFrame:
-    """Latest status per ingestion run; ``changes``: run_id, status, at. Update mode."""
-    return changes.groupBy("run_id").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("at"))
+    """Latest status per ingestion run; ``changes``: run_id, status, at. Of equal times the last status
+    in order counts. Update mode."""
+    return changes.groupBy("run_id").agg(F.max(F.struct("at", "status")).alias("last")).select("run_id", "last.status", "last.at")
 
 
 def is_fetching(status: DataFrame) -> DataFrame:

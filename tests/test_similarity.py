@@ -135,3 +135,39 @@ def test_copies_are_not_enumerated(spark):
     assert S.set_links(sets, 0.65).count() < 3 * n
     flagged = S.near_duplicates(df, window_days=None).filter("is_duplicate").count()
     assert flagged >= 2 * (n // 3) - 2
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65])
+def test_short_titles_against_brute_force(spark, threshold):
+    import random
+
+    r = random.Random(11)
+    words = [f"word{c}" for c in "abcdefg"]
+    rows = [(i, " ".join(r.sample(words, r.randint(1, 4))), i % 5) for i in range(160)]
+    sets = S._word_sets(S._title_rows(frame(spark, rows))).select("set_key", "sid", "first.ord", "first.first_id")
+    for tuning in ({}, {"frequent": 3, "small": 2}):
+        links = S.set_links(sets, threshold, **tuning).select("a", "b")
+        got = {r.node: r.component for r in S.connected_components(links).collect()}
+        keys = {r.sid: set(r.set_key.split()) for r in sets.collect()}
+        parent = {k: k for k in keys}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x in keys:
+            for y in keys:
+                if x < y and len(keys[x] & keys[y]) / max(len(keys[x]), len(keys[y])) > threshold:
+                    parent[max(find(x), find(y))] = min(find(x), find(y))
+        assert {k: got.get(k, k) for k in keys} == {k: find(k) for k in keys}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65])
+def test_unlike_titles_that_share_two_frequent_words_do_not_meet(spark, threshold):
+    n = 20_000
+    rare = [F.concat(F.lit(f"w{k}x"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100_000)).cast("string")) for k in range(3)]
+    df = spark.range(n).select("id", F.concat_ws(" ", F.lit("market report"), *rare).alias("title"), F.lit("2024-01-01").cast("timestamp").alias("published_at"))
+    sets = S._word_sets(S._title_rows(df)).select("set_key", "sid", "first.ord", "first.first_id")
+    keys = S._ordered_sets(sets, threshold).select(F.explode(S._keys(S.FREQUENT_WORD)).alias("key")).groupBy("key").count()
+    assert keys.agg(F.sum(F.col("count") * F.col("count"))).first()[0] < 8 * n
