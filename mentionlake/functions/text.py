@@ -114,3 +114,8 @@ def title_words(title: Column) -> Column:
     cleaned = F.trim(F.regexp_replace(F.lower(title), r"[^a-z0-9\s]", ""))
     words = F.filter(F.split(cleaned, r"\s+"), lambda w: F.length(w) > 3)
     return F.array_distinct(F.coalesce(words, F.array().cast("array<string>")))
+
+
+def quoted(text: Column) -> Column:
+    """The text as a literal inside a regular expression, also if it holds the closing mark itself."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))

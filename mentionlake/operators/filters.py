@@ -130,7 +130,8 @@ def quick_search(df: DataFrame, q: str, cols: Sequence[str] = ("title", "descrip
 def _term_hit(text: Column, term: dict, compat: bool) -> Column:
     value = term["value"].lower()
     if term.get("exact") and not compat:
-        return text.rlike(rf"(?<![A-Za-z0-9_])\Q{value}\E(?![A-Za-z0-9_])")
+        literal = value.replace(r"\E", r"\E\\E\Q")
+        return text.rlike(rf"(?<![A-Za-z0-9_])\Q{literal}\E(?![A-Za-z0-9_])")
     return F.contains(text, F.lit(value))
 
 

@@ -52,7 +52,7 @@ def _pattern(needle: Column, how: str) -> Column:
     if how != "word":
         return F.lit("")
     inner = needle.rlike(f"^{_OPEN}.*{_SHUT}$")
-    return F.when(inner, "").otherwise(F.concat(F.lit(f"(?<!{_SHUT})\\Q"), needle, F.lit(f"\\E(?!{_OPEN})")))
+    return F.when(inner, "").otherwise(F.concat(F.lit(f"(?<!{_SHUT})"), X.quoted(needle), F.lit(f"(?!{_OPEN})")))
 
 
 def _usable(term: Column, needle: Column, how: str) -> Column:

@@ -31,7 +31,7 @@ def _search_view(articles: DataFrame) -> DataFrame:
 
 def _term_hit(text: Column, t: Column) -> Column:
     value = F.lower(t["value"])
-    phrase = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), value, F.lit(r"\E(?![A-Za-z0-9_])"))
+    phrase = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), X.quoted(value), F.lit(r"(?![A-Za-z0-9_])"))
     return F.contains(text, value) & F.when(F.coalesce(t["exact"], F.lit(False)), F.rlike(text, phrase)).otherwise(F.lit(True))
 
 
@@ -39,7 +39,9 @@ def _search_condition(q: Column, as_of) -> Column:
     text, ts = F.col("text"), F.col("published_at")
     terms = F.coalesce(q["terms"], F.array())
     of = lambda op: F.filter(terms, lambda t: t["operator"] == op)
-    required = F.forall(of("AND"), lambda t: _term_hit(text, t))
+    # A missing or unknown operator is AND, as in the search of one query.
+    plain = F.filter(terms, lambda t: ~F.coalesce(t["operator"], F.lit("AND")).isin("OR", "NOT"))
+    required = F.forall(plain, lambda t: _term_hit(text, t))
     either = (F.size(of("OR")) == 0) | F.exists(of("OR"), lambda t: _term_hit(text, t))
     without = ~F.exists(of("NOT"), lambda t: _term_hit(text, t))
     now = D.as_timestamp(as_of)
@@ -72,11 +74,13 @@ def run_saved_searches(articles: DataFrame, searches: DataFrame, as_of, chunk: i
 
 
 def _for_each_rule(view, rules, rule_id, json_col, ddl, condition, chunk):
-    """Explode the rules that accept a row. Rules are read in bounded chunks by id order."""
+    """Explode the rules that accept a row. Distinct rules are read in bounded chunks by id and text."""
+    rules = rules.select(rule_id, F.coalesce(F.col(json_col), F.lit("")).alias(json_col)).filter(F.col(rule_id).isNotNull()).distinct()
     out, last = None, None
     while True:
-        todo = rules if last is None else rules.filter(F.col(rule_id) > F.lit(last))
-        rows = todo.orderBy(rule_id).limit(chunk).select(rule_id, json_col).collect()
+        place = F.struct(rule_id, json_col)
+        todo = rules if last is None else rules.filter(place > F.struct(F.lit(last[0]), F.lit(last[1])))
+        rows = todo.orderBy(rule_id, json_col).limit(chunk).collect()
         if rows:
             constant = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.from_json(F.lit(r[1]), ddl).alias("q")) for r in rows])
             hits = view.withColumn("__rules", constant).select(
@@ -85,7 +89,7 @@ def _for_each_rule(view, rules, rule_id, json_col, ddl, condition, chunk):
             out = hits if out is None else out.unionByName(hits)
         if len(rows) < chunk:
             break
-        last = rows[-1][0]
+        last = rows[-1]
     return out if out is not None else view.select(F.lit(None).alias(rule_id), "id").limit(0)
 
 

@@ -226,3 +226,15 @@ def test_pushdown_reaches_the_scan(spark):
     a = T.articles_from_events(spark, SMALL)
     text = plan_text(A.sentiment_split(a.filter(F.col("user_id") == 5)))
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,5)]" in text and "ReadSchema: struct<user_id:bigint,event_type:string>" in text
+
+
+def test_saved_searches_keep_rules_that_share_an_id_at_a_page_border(spark):
+    def query(value):
+        return '{"terms": [{"id": "1", "value": "%s", "operator": "%s", "exact": true}]}' % value
+
+    rules = [(1, query(("tide", "AND"))), (1, query(("wave", "other"))), (1, query(("wave", "other"))), (2, query((r"a\\Eb", "AND")))]
+    frame = literal_table(spark, "search_id int, query string", rules)
+    ddl = "id int, title string, description string, source_name string, sentiment string, language string, published_at timestamp, source struct<name:string,country_code:string>, matched_keywords array<string>"
+    a = spark.createDataFrame([(i, t, "", None, None, "en", None, None, None) for i, t in ((7, "tide"), (8, "wave"), (9, "x a\\Eb"))], ddl)
+    for chunk in (1, 2, 100):
+        assert sorted(tuple(r) for r in saved.run_saved_searches(a, frame, "2024-01-31 00:00:00", chunk).collect()) == [(1, 7), (1, 8), (2, 9)]
