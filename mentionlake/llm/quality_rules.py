@@ -16,7 +16,8 @@ from mentionlake.llm.common import let, table, whole
 
 BUCKETS = 1 << 14
 UNIT = 1_000_000
-THRESHOLD = -0.15
+#: Between the scores of documents labelled good (over -0.07) and bad (under -0.1 for most) in the given tables.
+THRESHOLD = -0.1
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
