@@ -138,11 +138,11 @@ def top_authors(df: DataFrame, k: int = 8) -> DataFrame:
 
 def keyword_share(df: DataFrame, k: int = 10) -> DataFrame:
     """Top keywords with their share of all keyword hits."""
-    hits = df.select(F.explode("matched_keywords").alias("keyword"))
-    total = df.select(F.coalesce(F.sum(F.size("matched_keywords").cast("bigint")), F.lit(0))).scalar()
+    hits = df.select(F.explode("matched_keywords").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("hits"))
+    # The total is summed from the counts, whose exchange both uses share: one scan.
+    total = hits.select(F.coalesce(F.sum("hits"), F.lit(0))).scalar()
     return (
-        hits.groupBy("keyword").agg(F.count(F.lit(1)).alias("hits"))
-        .orderBy(F.col("hits").desc(), "keyword").limit(k)
+        hits.orderBy(F.col("hits").desc(), "keyword").limit(k)
         .withColumn("share", percent(F.col("hits"), total))
     )
 

@@ -267,14 +267,15 @@ def match_bodies(unmatched: DataFrame, pages: DataFrame, terms: DataFrame) -> Da
     """Second chance for unmatched items: match the whole body of their page.
 
     ``pages``: url, body_text, lang, published_at (output of ``extract_pages``). A
-    page crawled several times counts once.
+    page crawled several times counts once: its earliest crawl, of equal dates the one of smallest digest.
     """
     crawled = pages.select("url", "body_text", F.col("lang").alias("body_lang"), F.col("published_at").alias("body_date"))
-    crawled = first_per_key(crawled, ["url"], [F.col("body_date").asc_nulls_last(), F.col("body_text").asc()])
-    bodies = match_terms(
-        crawled, terms, how="normalized", text=F.col("body_text"), key="url", out="body_keywords",
-    ).filter(F.size("body_keywords") > 0)
-    return unmatched.join(bodies.drop("body_text"), "url").select(
+    # Bodies are matched where they are read; only their keywords and digest are shuffled.
+    found = match_terms(crawled, terms, how="normalized", text=F.col("body_text"), key="url", out="body_keywords")
+    found = found.select("url", "body_lang", "body_date", "body_keywords", F.md5("body_text").alias("__digest"))
+    first = first_per_key(found, ["url"], [F.col("body_date").asc_nulls_last(), F.col("__digest").asc()])
+    bodies = first.filter(F.size("body_keywords") > 0).drop("__digest")
+    return unmatched.join(bodies, "url").select(
         *[c for c in unmatched.columns if c not in ("matched_keywords", "matched_via", "language", "published_at")],
         F.col("body_keywords").alias("matched_keywords"),
         F.lit("body_scan").alias("matched_via"),

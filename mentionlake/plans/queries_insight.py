@@ -332,9 +332,9 @@ def order_trend(s, d):
 @query("lineitem_share", """SELECT l_suppkey, n, CAST(floor(n::DOUBLE / (SELECT count(*) FROM lineitem) * 10000 + 0.5::DOUBLE) AS BIGINT) AS share_bp
   FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 10)""")
 def lineitem_share(s, d):
-    lines = T.read(s, d, "lineitem")
-    total = lines.select(F.count(F.lit(1))).scalar()
-    top = lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "l_suppkey").limit(10)
+    counts = T.read(s, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.select(F.sum("n")).scalar()
+    top = counts.orderBy(F.col("n").desc(), "l_suppkey").limit(10)
     return top.withColumn("share_bp", F.floor(F.col("n") / total * 10000 + 0.5).cast("bigint"))
 
 
