@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import mentionlake
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs hand Python workers at most ``rows`` rows at once: long texts need less memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import ship, table, whole
+from mentionlake.llm.common import ship, small_batches, table, whole
 from mentionlake.operators.similarity import connected_components
 from mentionlake.session import materialize
 
@@ -46,7 +46,11 @@ CHECK_COST = 50
 LARGEST_LIGHT = 32
 #: Cross pairs per list row beyond which another round of leaders goes first.
 CROWDED = 20
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
+WORDS_KEPT = 150_000
+#: Rows of text that go to a Python worker at once.
+BATCH_ROWS = 2_000
+ONE = np.ones(1, bool)
 M1, M2, P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,29 +61,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """Hashes of the words a task has met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
 class Shingler:
     """Sets of shingle hashes; remembers word hashes within a task."""
 
     def __init__(self, width: int = WIDTH):
         self.width = width
-        self.known: dict[bytes, int] = {}
+        self.known = WordHashes()
 
     def tokens(self, text: str) -> np.ndarray:
         """Sorted distinct hashes: of ``width`` consecutive words, or of all words if there are fewer."""
         words = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        hashes = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         if not len(words):
             return hashes
         width = min(self.width, len(words))
-        total = np.full(len(words) - width + 1, width, np.uint64)
-        for i in range(width):
-            total = mix(total * P + hashes[i : len(words) - width + 1 + i])
-        return np.unique(total)
+        n = len(words) - width + 1
+        total = hashes[:n] + np.uint64(width)
+        for i in range(1, width):
+            total *= P
+            total += hashes[i : n + i]
+        total = mix(total)
+        total.sort()
+        return total[np.concatenate((ONE, total[1:] != total[:-1]))]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -95,21 +108,6 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def set_table(docs: DataFrame, text: str | Column = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with size (int) and set_id (long) of the shingle set; no words: size 0, set_id null."""
-    ship(docs.sparkSession)
-
-    @F.arrow_udf("struct<size:int,set_id:long>")
-    def describe(texts: pa.Array) -> pa.Array:
-        make = Shingler(width)
-        sets = [make.tokens(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays(
-            [pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["size", "set_id"]
-        )
-
-    return docs.withColumn("__set", describe(whole(text))).withColumns({"size": F.col("__set.size"), "set_id": F.col("__set.set_id")}).drop("__set")
-
-
 def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(set_id, tokens) of each set a task meets for the first time, nothing for empty ones."""
     make, seen = Shingler(width), set()
@@ -121,31 +119,48 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tu
                 yield key, tokens
 
 
-def _count_parts(width: int, bits: int):
-    """Sorted 4-byte prefixes of the shingles of a task's sets, cut into 2**bits ranges, as compressed differences."""
+NAMES = ["size", "set_id", "part", "steps", "counts"]
+DESCRIBED = "size int, set_id long, part int, steps binary, counts binary"
 
-    def parts(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
+
+def _describe(width: int, bits: int):
+    """Two kinds of rows from one reading of the texts: each document with its set's size and id, and
+    counts of the 4-byte prefixes of the task's sets, sorted, cut into 2**bits ranges, as compressed differences."""
+
+    def parts(held: list[np.ndarray], like: pa.Schema) -> pa.RecordBatch:
+        values = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate((ONE, values[1:] != values[:-1])))
+        values, counts = values[first], np.diff(first, append=len(values)).astype(np.uint32)
+        cuts = np.searchsorted(values, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.uint32))
         pack = zstandard.ZstdCompressor(level=1).compress
         rows = [
-            (k, pack(np.diff(v, prepend=np.uint32(0)).tobytes()), pack(n.astype(np.uint32).tobytes()))
+            (k, pack(np.diff(v, prepend=np.uint32(0)).tobytes()), pack(n.tobytes()))
             for k, (v, n) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts), strict=True))
             if len(v)
         ]
-        names = ["part", "steps", "counts"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+        own = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), f.type) for f in like), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), *own], [*like.names, *NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for _, tokens in _distinct_sets(batches, width):
-            held.append((tokens >> np.uint64(32)).astype(np.uint32))
-            n += len(tokens)
-            if n > FLUSH_TOKENS:
-                yield parts(held)
-                held, n = [], 0
+        make, seen, held, n, like = Shingler(width), set(), [], 0, None
+        for batch in batches:
+            kept = batch.select([c for c in batch.schema.names if c != "__text"])
+            like, sizes, ids = kept.schema, [], []
+            for text in batch.column("__text"):
+                tokens = make.tokens(text.as_py())
+                sizes.append(len(tokens))
+                ids.append(set_id(tokens) if len(tokens) else None)
+                if len(tokens) and ids[-1] not in seen:
+                    seen.add(ids[-1])
+                    held.append((tokens >> np.uint64(32)).astype(np.uint32))
+                    n += len(tokens)
+                    if n > FLUSH_TOKENS:
+                        yield parts(held, like)
+                        held, n = [], 0
+            rest = [pa.nulls(len(sizes), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()), *rest], [*like.names, *NAMES])
         if held:
-            yield parts(held)
+            yield parts(held, like)
 
     return run
 
@@ -153,32 +168,43 @@ def _count_parts(width: int, bits: int):
 def _sum_counts(least: int):
     def run(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        values = np.concatenate([np.cumsum(np.frombuffer(unpack(x), np.uint32), dtype=np.uint32) for x in group.column("steps").to_pylist()])
-        counts = np.concatenate([np.frombuffer(unpack(x), np.uint32) for x in group.column("counts").to_pylist()])
-        order = np.argsort(values, kind="stable")
-        values, first = np.unique(values[order], return_index=True)
-        counts = np.add.reduceat(counts[order].astype(np.int64), first)
-        often = counts >= least
-        token = [None, *values[often].tolist()]
-        return pa.table({"token": pa.array(token, pa.int64()), "n": pa.array([int(counts.sum()), *counts[often].tolist()], pa.int64()), "shared": pa.array([int(counts[counts > 1].sum())] + [None] * int(often.sum()), pa.int64())})
+        values = [np.cumsum(np.frombuffer(unpack(x), np.uint32), dtype=np.uint32) for x in group.column("steps").to_pylist()]
+        counts = [np.frombuffer(unpack(x), np.uint32) for x in group.column("counts").to_pylist()]
+        both = np.sort(np.concatenate([v.astype(np.uint64) << np.uint64(32) | n for v, n in zip(values, counts, strict=True)]))
+        value, count = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate((ONE, value[1:] != value[:-1])))
+        value, count = value[first], np.add.reduceat(count, first)
+        often = count >= least
+        token = [None, *value[often].tolist()]
+        shared = [int(count[count > 1].sum())] + [None] * int(often.sum())
+        return pa.table({"token": pa.array(token, pa.int64()), "n": pa.array([int(count.sum()), *count[often].tolist()], pa.int64()), "shared": pa.array(shared, pa.int64())})
 
     return run
 
 
-def frequent_tokens(texts: DataFrame, total: int, width: int, hot: int, least: int = 6) -> tuple[np.ndarray, float]:
+def frequent_tokens(described: DataFrame, hot: int, least: int = 6) -> tuple[np.ndarray, float]:
     """(4-byte prefixes of the most frequent shingles, rarest first; share of shingles that recur).
 
     Counts are exact over all distinct sets of each task. They move as compressed differences in
     ranges whose number grows with the input, so no task holds more than about a million.
     """
-    bits = max(4, min(24, int(np.ceil(np.log2(max(1, total) / 500_000 + 1)))))
-    parts = texts.mapInArrow(_count_parts(width, bits), "part int, steps binary, counts binary")
+    parts = described.filter("part IS NOT NULL").select("part", "steps", "counts")
     counts = materialize(parts.groupBy("part").applyInArrow(_sum_counts(least), "token long, n long, shared long"), "shingle-counts")
     seen = counts.filter("token IS NULL").agg(F.sum("n"), F.sum("shared")).first()
     top = counts.filter("token IS NOT NULL").orderBy(F.desc("n"), "token").limit(hot).select("token").toArrow()
     return top.column(0).to_numpy().astype(np.uint32)[::-1], (seen[1] or 0) / max(1, seen[0] or 0)
 
 
+def describe(docs: DataFrame, text: str, width: int = WIDTH) -> DataFrame:
+    """The columns of ``docs`` but for the text, with DESCRIBED columns, in the shared folder; see ``_describe``."""
+    size = docs.agg(F.sum(F.octet_length(whole(text)))).first()[0] or 0
+    bits = max(4, min(24, int(np.ceil(np.log2(size / 6 / 500_000 + 1)))))
+    kept = docs.drop(text, *NAMES)
+    inner = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept.columns], whole(text).alias("__text"))
+    return materialize(rows.mapInArrow(_describe(width, bits), f"{inner}{', ' if inner else ''}{DESCRIBED}"), "sets")
+
+
 def choose_boundary(sizes: dict[int, int], recur: float, percent: int = PERCENT) -> int:
     """The largest light size: least total of subset rows below, list rows and expected checks above."""
     light = lambda n: sum(comb(n, j) for j in range(n - (percent * n + 99) // 100 + 1))
@@ -306,13 +332,19 @@ def similar_sets(
     """
     if percent < 50:
         raise ValueError("the list lengths assume a similarity of at least one half")
-    ship(docs.sparkSession)
+    with small_batches(ship(docs.sparkSession), BATCH_ROWS):
+        return _similar_sets(docs, text, width, percent, hot, boundary, crowded, broadcast_sets)
+
+
+def _similar_sets(
+    docs: DataFrame, text: str, width: int, percent: int, hot: int, boundary: int | None, crowded: int, broadcast_sets: int
+) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(whole(text).alias("text"))
-    slim = materialize(set_table(docs.select([c for c in docs.columns if c != text] + [F.col(text)]), text, width).drop(text), "sets")
-    distinct = slim.filter("size > 0").select("set_id", "size").distinct()
-    total = distinct.agg(F.sum("size")).first()[0] or 0
-    common, recur = frequent_tokens(texts, total, width, hot)
+    described = describe(docs, text, width)
+    slim = described.filter("part IS NULL").drop("part", "steps", "counts")
+    common, recur = frequent_tokens(described, hot)
     if boundary is None:
+        distinct = slim.filter("size > 0").select("set_id", "size").distinct()
         sizes = distinct.filter(F.col("size") <= LARGEST_LIGHT).groupBy("size").count().collect()
         boundary = choose_boundary({r[0]: r[1] for r in sizes}, recur, percent)
     held = docs.sparkSession.sparkContext.broadcast(common)
