@@ -9,8 +9,8 @@ from the start. Two sets link if their Jaccard similarity reaches ``percent`` pe
   members may link at all, both link to it, so components lose nothing and no pairs are made.
 * Heavy sets stand in the inverted lists of their first (rarest) shingles, as many as the
   similarity leaves room to differ. Lists are scanned in rounds: first every member meets the
-  list's most connected member; components of verified links then tell which lists still
-  hold sets that are not connected, and only such pairs are tried.
+  list's most connected member; verified links then tell which lists still hold sets that are
+  not connected, and of such pairs only those are tried that the sets' bitmaps allow.
 * The boundary is where the total cost, from the sizes' histogram and the measured share of
   shingles that recur, is least.
 
@@ -46,6 +46,11 @@ CHECK_COST = 50
 LARGEST_LIGHT = 32
 #: Cross pairs per list row beyond which another round of leaders goes first.
 CROWDED = 20
+#: 64-bit words of a set's bitmap.
+BITMAP_WORDS = 16
+WORDS = [f"w{i}" for i in range(BITMAP_WORDS)]
+#: Lists longer than this carry bitmaps when their pairs are formed.
+SHORT_LIST = 32
 FLUSH_TOKENS = 2_000_000
 WORDS_KEPT = 150_000
 #: Rows of text that go to a Python worker at once.
@@ -271,8 +276,35 @@ def _narrow(sets: DataFrame, ids: DataFrame, limit: int = BROADCAST_SETS) -> Dat
     return sets.join(F.broadcast(ids) if few else ids, "set_id", "left_semi")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by comparing all their shingles."""
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(set_id, size, bits, w0..): a bitmap of each set's shingles, by a part of their hashes, and its number of ones."""
+    fields = ",".join(f"w{i}:long" for i in range(BITMAP_WORDS))
+
+    @F.arrow_udf(f"struct<size:int,bits:int,{fields}>")
+    def draw(column: pa.Array) -> pa.Array:
+        sizes, rows = [], np.zeros((len(column), BITMAP_WORDS * 64), bool)
+        for i, x in enumerate(column):
+            tokens = np.frombuffer(x.as_buffer(), np.uint64)
+            sizes.append(len(tokens))
+            rows[i, (tokens >> np.uint64(32)) % np.uint64(BITMAP_WORDS * 64)] = True
+        words = np.packbits(rows, axis=1).view(np.int64).reshape(len(column), BITMAP_WORDS)
+        drawn = [pa.array(np.ascontiguousarray(words[:, i])) for i in range(BITMAP_WORDS)]
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(rows.sum(1), pa.int32()), *drawn], ["size", "bits", *WORDS])
+
+    return sets.select("set_id", draw("tokens").alias("m")).select("set_id", "m.*")
+
+
+def _may_overlap(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be similar by their bitmaps: a bit of one that the other lacks is a shingle it lacks."""
+    both = " + ".join(f"bit_count({a}.{w} & {b}.{w})" for w in WORDS)
+    need = f"({percent} * ({a}.size + {b}.size) + {percent} + 99) DIV (100 + {percent})"
+    return F.expr(f"least({a}.size - {a}.bits, {b}.size - {b}.bits) + {both} >= {need}")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: bitmaps rule most others out before all shingles are compared."""
+    side = lambda name: bitmaps.select(F.col("set_id").alias(name), F.struct("size", "bits", *WORDS).alias(f"m{name}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_overlap("ma", "mb", percent)).select("a", "b")
     pairs = materialize(pairs, "set-pairs")
     used = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     held = _narrow(sets, used)
@@ -322,6 +354,15 @@ def _star_pairs(rows: DataFrame, rank: Column, percent: int, boundary: int) -> D
     return _ordered(met, "r", "l").distinct()
 
 
+def _hubs(links: DataFrame) -> DataFrame:
+    """(set_id, component): the best connected set among each linked set and its neighbours. Sets with one
+    hub are connected, which is all that the choice of further pairs needs; it takes one pass, not rounds."""
+    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
+    degree = both.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = both.join(degree.withColumnRenamed("x", "y"), "y").select("x", "n", "y").unionByName(degree.select("x", "n", F.col("x").alias("y")))
+    return ranked.groupBy("x").agg(F.max(F.struct("n", "y"))["y"].alias("component")).withColumnRenamed("x", "set_id")
+
+
 def similar_sets(
     docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, boundary: int | None = None,
     crowded: int = CROWDED, broadcast_sets: int = BROADCAST_SETS,
@@ -359,33 +400,38 @@ def _similar_sets(
     lengths = heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = heavy.join(lengths, "key").groupBy("set_id").agg(F.sum("n").alias("weight"))
     heavy = materialize(heavy.join(weight, "set_id"), "heavy-lists")
+    bitmaps = materialize(_bitmaps(sets), "set-bitmaps")
     tested = None
-    for turn in range(5):
+    for turn in range(3):
         if turn:
-            parts = connected_components(links)
-            labelled = heavy.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+            labelled = heavy.join(_hubs(links), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         else:
             labelled = heavy.withColumn("component", F.col("set_id"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-        open_rows = labelled.join(mixed.select("key"), "key", "left_semi")
+        open_rows = labelled.join(mixed.select("key", "n"), "key")
         if turn:
             open_rows = materialize(open_rows, "open-lists")
             by_part = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
             load = by_part.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("x"), F.sum("n").alias("n")).agg(F.sum("x"), F.sum("n")).first()
-            last = turn == 4 or (load[0] or 0) <= 2 * crowded * (load[1] or 0)
+            last = turn == 2 or (load[0] or 0) <= 2 * crowded * (load[1] or 0)
         else:
             last = False
         if last:
-            side = lambda s: open_rows.select("key", F.struct("set_id", "size", "pos", "component").alias(s))
-            met = side("p").join(side("q"), "key").filter((F.col("p.set_id") < F.col("q.set_id")) & (F.col("p.component") != F.col("q.component")) & _may_link("p", "q", percent, boundary))
-            pairs = _ordered(met, "p", "q").distinct()
+            long = open_rows.filter(F.col("n") > SHORT_LIST).join(bitmaps.drop("size"), "set_id")
+            pairs = None
+            for part, extra in ((open_rows.filter(F.col("n") <= SHORT_LIST), []), (long, ["bits", *WORDS])):
+                side = lambda s, part=part, extra=extra: part.select("key", F.struct("set_id", "size", "pos", "component", *extra).alias(s))
+                test = (F.col("p.set_id") < F.col("q.set_id")) & (F.col("p.component") != F.col("q.component")) & _may_link("p", "q", percent, boundary)
+                met = side("p").join(side("q"), "key").filter(test & _may_overlap("p", "q", percent) if extra else test)
+                pairs = _ordered(met, "p", "q") if pairs is None else pairs.unionByName(_ordered(met, "p", "q"))
+            pairs = pairs.distinct()
         else:
             pairs = _star_pairs(open_rows, F.col("weight") if not turn else F.xxhash64("set_id", F.lit(turn)), percent, boundary)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "candidates")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(_verify(pairs, sets, percent))
+        links = links.unionByName(_verify(pairs, sets, bitmaps, percent))
         if last:
             break
     return slim, connected_components(links)
