@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import ship, small_batches, table, whole
+from mentionlake.llm.common import discard, ship, small_batches, table, whole
 from mentionlake.operators.similarity import connected_components
 from mentionlake.session import materialize
 
@@ -382,8 +382,9 @@ def _similar_sets(
 ) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(whole(text).alias("text"))
     described = describe(docs, text, width)
-    slim = described.filter("part IS NULL").drop("part", "steps", "counts")
+    slim = materialize(described.filter("part IS NULL").drop("part", "steps", "counts"), "slim-sets")
     common, recur = frequent_tokens(described, hot)
+    discard(described)
     if boundary is None:
         distinct = slim.filter("size > 0").select("set_id", "size").distinct()
         sizes = distinct.filter(F.col("size") <= LARGEST_LIGHT).groupBy("size").count().collect()
@@ -391,8 +392,9 @@ def _similar_sets(
     held = docs.sparkSession.sparkContext.broadcast(common)
     rows = texts.mapInArrow(_list_rows(width, percent, boundary, held), "key long, set_id long, size int, pos int, light boolean")
     rows = materialize(rows, "set-lists")
-    shared = rows.groupBy("key", "light").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low <> high")
-    lists = materialize(rows.join(shared.select("key", "light"), ["key", "light"]).distinct(), "shared-lists")
+    shared = rows.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low <> high")
+    lists = materialize(rows.join(shared.select("key"), "key").distinct(), "shared-lists")
+    discard(rows)
 
     links = materialize(_light_links(lists, percent), "light-links")
     heavy = lists.filter("NOT light").select("key", "set_id", "size", "pos")
@@ -497,3 +499,25 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and the component of its near duplicates."""
     return components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT rid, count(*) AS n FROM s GROUP BY rid
+), o AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS shared FROM s a JOIN s b USING (g) WHERE a.rid <> b.rid GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM o JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * shared >= {PERCENT} * (nx.n + ny.n - shared)
+), r(x, y) AS (
+  SELECT rid, rid FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+), low AS (
+  SELECT r.x AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) JOIN low USING (rid)
+"""

@@ -6,7 +6,7 @@ from mentionlake.llm.bpe import op2_bpe_round_trip
 from mentionlake.llm.decontamination import OP3_SQL, op3_decontamination
 from mentionlake.llm.factorisation import op4_quality_classifier
 from mentionlake.llm.html_layout import op9_html_extraction
-from mentionlake.llm.jaccard_join import op10_jaccard_join
+from mentionlake.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from mentionlake.llm.pii import op6_pii
 from mentionlake.llm.quality_rules import op1_quality_rules
 from mentionlake.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
@@ -30,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op7_warc": OP7_SQL,
     "op8_suffix_dedup": OP8_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }
