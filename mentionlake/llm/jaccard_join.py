@@ -436,6 +436,8 @@ def _similar_sets(
         links = links.unionByName(_verify(pairs, sets, bitmaps, percent))
         if last:
             break
+    for used in (lists, heavy, sets, bitmaps):  # the links are written
+        discard(used)
     return slim, connected_components(links)
 
 
