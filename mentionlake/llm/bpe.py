@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from mentionlake.llm.common import ship, table, whole
 
 #: Pre-tokens a worker remembers; beyond it the memory starts anew. Speed only.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 SHIFT = 20
 GAP, DEAD = -1, -2
 
