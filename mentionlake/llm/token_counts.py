@@ -64,7 +64,7 @@ def count_tokens(docs: DataFrame, path: str, text: str | Column = "text", out: s
     source = tokenizer_text(path)
     # At most ``top`` rows reach the driver; their lengths come from the same coder.
     words = [r.pretoken for r in frequent_pretokens(docs, path, text, top).collect()]
-    lengths = np.array([len(ids) // 4 for ids in Coder(source).learn(words)] if words else [], np.uint16)
+    lengths = np.array([len(ids) // 4 for ids in Coder(source).learn(words)] if words else [], np.int64)
     spec = spark.sparkContext.broadcast(source)
     tier = spark.sparkContext.broadcast((words, lengths.tobytes()))
     frequent: dict[str, int] = {}  # filled once in each task
@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, path: str, text: str | Column = "text", out: s
     def count(column: pa.Array) -> pa.Array:
         coder = worker_coder(spec)
         if not frequent:
-            frequent.update(zip(tier.value[0], np.frombuffer(tier.value[1], np.uint16).tolist(), strict=True))
+            frequent.update(zip(tier.value[0], np.frombuffer(tier.value[1], np.int64).tolist(), strict=True))
         texts, totals = column.to_pylist(), []
         for start, end in slices([len(t) for t in texts], BLOCK_CHARS):
             cut = [coder.pretokens(t) for t in texts[start:end]]

@@ -51,6 +51,16 @@ def test_counts_equal_the_library_and_do_not_depend_on_the_table(odd):
         assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(odd, path, top=top).collect()} == want
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_a_frequent_pretoken_may_have_any_length(spark, copies):
+    path = bpe.default_path("word_bpe_49k.json")
+    text = "a" * 1_000_000
+    want = len(library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids)
+    docs = spark.createDataFrame([(i, text) for i in range(copies)], "doc_id long, text string")
+    assert want > 65_535 and text in {r.pretoken for r in token_counts.frequent_pretokens(docs, path).collect()}
+    assert [r.n_tokens for r in token_counts.count_tokens(docs, path).collect()] == [want] * copies
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(none, bpe.default_path("word_bpe_49k.json")).count() == 0
