@@ -47,6 +47,10 @@ HEAD_PARTS = frozenset("base link meta title style script template noscript".spl
 
 SPACE = re.compile(r"[ \t\n\f\r]+")
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: The attributes of a tag, up to its ">" or the page's end. A quote opens a value after "=" only; one that is never closed belongs to a name.
+TAG_BODY = re.compile(
+    r"""(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^ \t\n\f\r>]*+))?+)*+"""
+)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 MAX_INDENT, MAX_PAD = 20, 60
@@ -124,15 +128,8 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             at = open_at + 1
             continue
         name = m[1].lower()
-        at = end = close(">", m.end())
-        # A quoted attribute value may hold the closing sign.
-        body = html[m.end() : end - 1]
-        while end < n and (body.count('"') % 2 or body.count("'") % 2 and '"' not in body) and end - m.end() < 20_000:
-            later = close(">", end)
-            if later >= n:
-                break
-            end, body = later, html[m.end() : later - 1]
-            at = end
+        stop = TAG_BODY.match(html, m.end()).end()
+        at, body = min(stop + 1, n), html[m.end() : stop]
         if html.startswith("</", open_at):
             yield "end", name, ""
             continue

@@ -37,6 +37,23 @@ def test_layout(html):
     assert H.render(html) == CASES[html]
 
 
+LONG = "a > b <style> " * 5_000
+
+
+@pytest.mark.parametrize(
+    "tag", [f'<img alt="{LONG}">', f"<p title='{LONG}'>", f"<p a = \"{LONG}\" b='{LONG}'>", """<p class="x" title='a > b'>""", """<p title='"' alt="'>">""", "<p title='it>", "<p it's>", '</p x=">">']
+)
+def test_a_tag_ends_after_its_quoted_values(tag):
+    assert H.render(tag + "seen<b>too</b>") == "seentoo"
+
+
+@pytest.mark.parametrize("piece", ["<a x='>\" ", '<a x=">" ', "<a ' \" =", "<a x=' y=\" >"])
+def test_broken_quotes_are_read_in_about_linear_time(piece):
+    start = time.process_time()
+    H.render(piece * 20_000)
+    assert time.process_time() - start < 8
+
+
 @pytest.mark.parametrize("piece", ["<div>", "<!--", "<ul><li>", "<", "<a b='", "<p>", "<table><td>", "<script>", "<b><i></b>", "&", "<td colspan=99999>x"])
 def test_hostile_markup_is_read_in_about_linear_time(piece):
     start = time.process_time()
