@@ -45,6 +45,7 @@ TABLE_PARTS = frozenset("caption tr td th thead tbody tfoot colgroup".split())
 P_ENDERS = BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "option", "optgroup", "caption"}
 HEAD_PARTS = frozenset("base link meta title style script template noscript".split())
 
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 SPACE = re.compile(r"[ \t\n\f\r]+")
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 #: The attributes of a tag, up to its ">" or the page's end. A quote opens a value after "=" only; one that is never closed belongs to a name.
@@ -98,7 +99,7 @@ class Element:
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, body): kinds are text, start, end; the body is the text or the tag's attributes."""
     at, n = 0, len(html)
-    low, raw_end = None, {}
+    raw_end: dict[str, int] = {}
     closers = {"-->": 0, ">": 0}
 
     def close(mark: str, start: int) -> int:
@@ -135,11 +136,9 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "start", name, body
         if name in RAW:
-            low = html.lower() if low is None else low
-            if len(low) != n:  # a letter whose small form is longer: look without regard to case
-                low = html
             if raw_end.get(name, 0) >= 0:
-                raw_end[name] = low.find(f"</{name}", at)
+                found = RAW_END[name].search(html, at)
+                raw_end[name] = found.start() if found else -1
             stop = n if raw_end[name] < 0 else raw_end[name]
             yield "raw", name, html[at:stop]
             at = stop

@@ -54,6 +54,11 @@ def test_broken_quotes_are_read_in_about_linear_time(piece):
     assert time.process_time() - start < 8
 
 
+@pytest.mark.parametrize("name", ["SCRIPT", "Style", "TITLE", "script"])
+def test_raw_elements_end_in_any_case_on_turkish_pages(name):
+    assert H.render(f"<p>İstanbul<{name}>x < y</{name.swapcase()}>da<{name}>z</{name}> İzmir") == "İstanbulda İzmir"
+
+
 @pytest.mark.parametrize("piece", ["<div>", "<!--", "<ul><li>", "<", "<a b='", "<p>", "<table><td>", "<script>", "<b><i></b>", "&", "<td colspan=99999>x"])
 def test_hostile_markup_is_read_in_about_linear_time(piece):
     start = time.process_time()
