@@ -10,7 +10,7 @@ in linear time.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -23,7 +23,10 @@ from mentionlake.llm.common import ship, table, whole
 # Element names of the HTML standard, by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe noembed noframes object audio video canvas svg math select".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe noembed noframes object audio video canvas".split())
+#: Elements of SVG and MathML that show nothing, and those of HTML content inside them.
+FOREIGN_HIDDEN = frozenset("title desc defs metadata annotation annotation-xml".split())
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset xmp".split())
 BLOCK = SPACED | frozenset(
     "address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav "
@@ -94,10 +97,15 @@ class Element:
     count: int | None = None
     rows: list[list[tuple[str, int]]] | None = None
     summary_only: bool = False
+    #: Part of an SVG or MathML tree.
+    foreign: bool = False
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, body): kinds are text, start, end; the body is the text or the tag's attributes."""
+def tokens(html: str, foreign: Callable[[], bool] = bool) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, body): kinds are text, raw, start, end; the body is the text or the tag's attributes.
+
+    ``foreign`` tells whether the place is inside SVG or MathML, where a tag may close itself.
+    """
     at, n = 0, len(html)
     raw_end: dict[str, int] = {}
     closers = {"-->": 0, ">": 0}
@@ -134,8 +142,9 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
         if html.startswith("</", open_at):
             yield "end", name, ""
             continue
+        closed = name in RAW and body.endswith("/") and foreign()
         yield "start", name, body
-        if name in RAW:
+        if name in RAW and not closed:
             if raw_end.get(name, 0) >= 0:
                 found = RAW_END[name].search(html, at)
                 raw_end[name] = found.start() if found else -1
@@ -189,7 +198,8 @@ class Page:
         if name in ("td", "th") and self.stack[-1].name in ("table", "thead", "tbody", "tfoot"):
             self.push("tr", True)
         a = attributes(body) if body.strip(" /") else {}
-        hidden = name in HIDDEN or "hidden" in a or bool(UNSEEN.search(a.get("style", ""))) or (name == "dialog" and "open" not in a)
+        foreign = name in ("svg", "math") or self.foreign()
+        hidden = name in HIDDEN or foreign and name in FOREIGN_HIDDEN or "hidden" in a or bool(UNSEEN.search(a.get("style", ""))) or (name == "dialog" and "open" not in a)
         if name == "br":
             if self.stack[-1].visible:
                 box = self.boxes[-1]
@@ -204,18 +214,22 @@ class Page:
             elif name == "wbr":
                 pass
             return
-        self.push(name, not hidden, a)
-        if body.rstrip().endswith("/") and name in ("path", "circle", "rect"):
+        self.push(name, not hidden, a, foreign)
+        if body.rstrip().endswith("/") and (foreign or name in ("path", "circle", "rect")):
             self.pop()
 
-    def push(self, name: str, visible: bool, a: dict[str, str] | None = None) -> None:
+    def foreign(self) -> bool:
+        """Whether the next element is part of an SVG or MathML tree."""
+        return self.stack[-1].foreign and self.stack[-1].name not in HTML_INSIDE
+
+    def push(self, name: str, visible: bool, a: dict[str, str] | None = None, foreign: bool = False) -> None:
         a, parent = a or {}, self.stack[-1]
         visible = visible and parent.visible and not (parent.summary_only and name != "summary")
-        e = Element(name, visible)
+        e = Element(name, visible, foreign=foreign)
         if name == "details":
             e.summary_only = "open" not in a
         if visible:
-            if name in BLOCK and name not in ("td", "th"):
+            if (name in BLOCK or foreign and name == "text") and name not in ("td", "th"):
                 self.boxes[-1].end_line(blank=name in SPACED and not (name in ("ul", "ol") and parent.name == "li"))
             if name in ("ol", "ul", "menu", "dir"):
                 start = a.get("start", "1").strip()
@@ -298,7 +312,7 @@ class Page:
             for line in aligned(e.rows or []):
                 box.put(line)
             box.blank = True
-        elif e.name in BLOCK:
+        elif e.name in BLOCK or e.foreign and e.name == "text":
             box.end_line(blank=e.name in SPACED)
 
     def mark(self) -> str:
@@ -341,7 +355,7 @@ def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
 def render(html: str) -> str:
     """All visible text of a page, one block a line, with blank lines where the layout has space."""
     page = Page()
-    for kind, name, body in tokens(html):
+    for kind, name, body in tokens(html, page.foreign):
         if kind == "start":
             page.start(name, body)
         elif kind == "end":

@@ -54,6 +54,21 @@ def test_broken_quotes_are_read_in_about_linear_time(piece):
     assert time.process_time() - start < 8
 
 
+FOREIGN = {
+    "Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></math> be.": "Let x=1 be.",
+    "<math><semantics><mi>x</mi><annotation-xml><p>no</p></annotation-xml></semantics></math>y": "xy",
+    "a<svg><title>no</title><desc/><title/><style/><defs><text>no</text></defs><path d='M0'/><text x=1>Jan</text><text>Fe<tspan>b</tspan></text><metadata>no</metadata></svg>b": "a\nJan\nFeb\nb",
+    "<svg><foreignObject><div/>x<p>y</foreignObject></svg>z<desc>d</desc>": "x\n\ny\n\nzd",
+    "<p>Pick <select><option>one<option selected>two</select> now": "Pick\none\ntwo\nnow",
+    "<select><optgroup label=x><option>a<optgroup label=y><option>b</select>c": "a\nb\nc",
+}
+
+
+@pytest.mark.parametrize("html", FOREIGN)
+def test_formulas_labels_and_options_are_visible(html):
+    assert H.render(html) == FOREIGN[html]
+
+
 @pytest.mark.parametrize("name", ["SCRIPT", "Style", "TITLE", "script"])
 def test_raw_elements_end_in_any_case_on_turkish_pages(name):
     assert H.render(f"<p>İstanbul<{name}>x < y</{name.swapcase()}>da<{name}>z</{name}> İzmir") == "İstanbulda İzmir"
