@@ -39,7 +39,7 @@ from mentionlake.session import materialize
 WIDTH = 4
 PERCENT = 85
 HOT = 1 << 18
-#: Ids of sets are broadcast up to this many (8 bytes each); beyond it the join shuffles.
+#: Ids of sets in candidate pairs are broadcast up to this many (8 bytes each); beyond it the join shuffles.
 BROADCAST_SETS = 2_000_000
 #: What fetching and comparing a candidate costs, in list rows; for the boundary only.
 CHECK_COST = 50
@@ -270,7 +270,7 @@ def _list_rows(width: int, percent: int, boundary: int, hot):
     return run
 
 
-def _narrow(sets: DataFrame, ids: DataFrame, limit: int = BROADCAST_SETS) -> DataFrame:
+def _narrow(sets: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
     """The rows of ``sets`` whose set_id is in ``ids``: by broadcast if these are few, else by shuffle."""
     few = ids.limit(limit + 1).count() <= limit
     return sets.join(F.broadcast(ids) if few else ids, "set_id", "left_semi")
@@ -301,13 +301,13 @@ def _may_overlap(a: str, b: str, percent: int) -> Column:
     return F.expr(f"least({a}.size - {a}.bits, {b}.size - {b}.bits) + {both} >= {need}")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int, broadcast_sets: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: bitmaps rule most others out before all shingles are compared."""
     side = lambda name: bitmaps.select(F.col("set_id").alias(name), F.struct("size", "bits", *WORDS).alias(f"m{name}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_overlap("ma", "mb", percent)).select("a", "b")
     pairs = materialize(pairs, "set-pairs")
     used = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    held = _narrow(sets, used)
+    held = _narrow(sets, used, broadcast_sets)
 
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -398,7 +398,7 @@ def _similar_sets(
 
     links = materialize(_light_links(lists, percent), "light-links")
     heavy = lists.filter("NOT light").select("key", "set_id", "size", "pos")
-    sets = materialize(_tokens_of(texts, heavy.select("set_id").distinct(), width, broadcast_sets), "set-tokens")
+    sets = materialize(_tokens_of(texts, heavy.select("set_id").distinct(), width), "set-tokens")
     lengths = heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = heavy.join(lengths, "key").groupBy("set_id").agg(F.sum("n").alias("weight"))
     heavy = materialize(heavy.join(weight, "set_id"), "heavy-lists")
@@ -433,7 +433,7 @@ def _similar_sets(
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "candidates")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(_verify(pairs, sets, bitmaps, percent))
+        links = links.unionByName(_verify(pairs, sets, bitmaps, percent, broadcast_sets))
         if last:
             break
     for used in (lists, heavy, sets, bitmaps):  # the links are written
@@ -441,17 +441,12 @@ def _similar_sets(
     return slim, connected_components(links)
 
 
-def _tokens_of(texts: DataFrame, ids: DataFrame, width: int, limit: int) -> DataFrame:
+def _tokens_of(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(set_id, tokens binary), one row for each set in ``ids``."""
-    few = [r[0] for r in ids.limit(limit + 1).collect()] if ids.limit(limit + 1).count() <= limit else None
-    wanted = texts.sparkSession.sparkContext.broadcast(None if few is None else np.sort(np.array(few, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = wanted.value
         out, size = [], 0
         for key, tokens in _distinct_sets(batches, width):
-            if keep is not None and (not len(keep) or keep[min(int(np.searchsorted(keep, key)), len(keep) - 1)] != key):
-                continue
             out.append((key, tokens.tobytes()))
             size += 8 * len(tokens)
             if size > 8_000_000:
@@ -460,10 +455,7 @@ def _tokens_of(texts: DataFrame, ids: DataFrame, width: int, limit: int) -> Data
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], ["set_id", "tokens"])
 
-    found = texts.mapInArrow(run, "set_id long, tokens binary")
-    if few is None:
-        found = found.join(ids, "set_id", "left_semi")
-    return found.dropDuplicates(["set_id"])
+    return texts.mapInArrow(run, "set_id long, tokens binary").join(ids.hint("merge"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

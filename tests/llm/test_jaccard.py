@@ -77,6 +77,25 @@ def test_plans_and_bounds_do_not_change_links(spark, family, how):
     assert run(spark, family, **how) == brute(family)
 
 
+def test_ids_of_sets_are_joined_not_collected(spark, monkeypatch):
+    from conftest import plan_text
+    from pyspark.sql import DataFrame
+
+    def refuse(*_):
+        raise AssertionError("rows on the driver")
+
+    texts = spark.createDataFrame([("a b c d e",), ("a b c d e",), ("f g h i j",)], "text string")
+    wanted = J.set_id(J.Shingler().tokens("a b c d e"))
+    ids = spark.createDataFrame([(wanted,)], "set_id long")
+    with monkeypatch.context() as m:
+        for name in ("collect", "toArrow", "toPandas", "count"):
+            m.setattr(type(texts), name, refuse)
+            m.setattr(DataFrame, name, refuse)
+        found = J._tokens_of(texts, ids, 4)
+    assert [r.set_id for r in found.collect()] == [wanted]
+    assert "Broadcast" not in plan_text(found)
+
+
 def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect()]
     got = J.op10_jaccard_join(spark, SMALL).collect()
