@@ -110,15 +110,17 @@ def _article_terms(articles: DataFrame, text, key: str = "id", keep: tuple = ())
     return prepared.select(key, *keep, F.explode(F.array_distinct(F.concat("__w", bigrams))).alias("term"))
 
 
-def suggest_keywords(articles: DataFrame, keywords: DataFrame, k: int = 8, min_support: int = 5) -> DataFrame:
+def suggest_keywords(articles: DataFrame, keywords: DataFrame, text=None, k: int = 8, min_support: int = 5) -> DataFrame:
     """Terms over-represented in matched articles, ranked by smoothed odds, minus existing keywords.
 
-    ``articles``: id, title, matched_keywords. One grouped count per term with
+    ``articles``: id, title, matched_keywords; terms come from the column ``text``, the
+    title unless given. One grouped count per term with
     map-side combination; the two corpus sizes come in as scalars.
     """
     matched = F.size(F.coalesce("matched_keywords", F.array().cast("array<string>"))) > 0
-    flagged = articles.select("id", "title", matched.alias("m"))
-    terms = _article_terms(flagged, F.col("title"), keep=("m",))
+    body = F.col("title") if text is None else text
+    flagged = articles.select("id", body.alias("__text"), matched.alias("m"))
+    terms = _article_terms(flagged, F.col("__text"), keep=("m",))
     counts = terms.groupBy(F.col("term").alias("keyword")).agg(
         F.count(F.when(F.col("m"), 1)).alias("in_matched"), F.count(F.when(~F.col("m"), 1)).alias("in_other")
     ).filter(F.col("in_matched") >= min_support)
