@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import mentionlake
-from pyspark.sql import Column, DataFrame, SparkSession
+from mentionlake.session import materialize
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(mentionlake.__file__)))
@@ -73,3 +74,37 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def running(df: DataFrame, label: str, group: list[str], order: list[str], values: dict[str, str] | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``__index``, a row's place in its group (from 0), and per item of ``values`` the sum of that column before it.
+
+    Rows are range-partitioned by group and order, so a group of any size lies in many partitions; only
+    counts and sums per group and partition meet, and each partition numbers its own rows. Fully equal rows are
+    interchangeable and dealt out by a salt. Null groups and null order values are groups and values like others, null
+    order values last. ``facts`` (one row per group) are joined where only those sums are, never to the rows.
+    """
+    values = values or {}
+    spread = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
+    by = [F.col(c).asc_nulls_last() for c in [*group, *order]]
+    cut = materialize(spread.repartitionByRange(*by, "__salt").drop("__salt").withColumn("__part", F.spark_partition_id()), label)
+    sums = cut.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(c) for c in values])
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = {"__n": F.sum("__n").over(earlier)} | {c: F.sum(c).over(earlier) for c in values}
+    if facts is not None:
+        same = F.lit(True)
+        for c in group:
+            same = same & sums[c].eqNullSafe(facts[c])
+        sums = sums.join(facts, same).select(*[sums[c] for c in sums.columns], *[facts[c] for c in facts.columns if c not in group])
+    extra = [] if facts is None else [c for c in facts.columns if c not in group]
+    sums = sums.select(*[F.col(c).alias(f"__g_{c}") for c in group], F.col("__part").alias("__p"), *extra, *[F.coalesce(v, F.lit(0)).alias(f"__b_{c}") for c, v in base.items()])
+    on = F.col("__part") == F.col("__p")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    here = Window.partitionBy(*group, "__part").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    upto = here.rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.join(sums, on).withColumns(
+        {"__index": F.col("__b___n") + F.row_number().over(here) - 1}
+        | {name: F.col(f"__b_{c}") + F.coalesce(F.sum(c).over(upto), F.lit(0)) for c, name in values.items()}
+    )
+    return placed.select(*df.columns, *extra, "__index", *values.values())

@@ -7,6 +7,7 @@ from mentionlake.llm.decontamination import OP3_SQL, op3_decontamination
 from mentionlake.llm.factorisation import op4_quality_classifier
 from mentionlake.llm.html_layout import op9_html_extraction
 from mentionlake.llm.jaccard_join import OP10_SQL, op10_jaccard_join
+from mentionlake.llm.mixing import OP11_SQL, op11_mixing
 from mentionlake.llm.pii import op6_pii
 from mentionlake.llm.quality_rules import op1_quality_rules
 from mentionlake.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_mixing": op11_mixing,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op8_suffix_dedup": OP8_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op11_mixing": OP11_SQL,
 }
