@@ -7,6 +7,7 @@ from mentionlake.llm.decontamination import OP3_SQL, op3_decontamination
 from mentionlake.llm.factorisation import op4_quality_classifier
 from mentionlake.llm.html_layout import op9_html_extraction
 from mentionlake.llm.jaccard_join import OP10_SQL, op10_jaccard_join
+from mentionlake.llm.merkle import OP13_SQL, op13_merkle
 from mentionlake.llm.mixing import OP11_SQL, op11_mixing
 from mentionlake.llm.pii import op6_pii
 from mentionlake.llm.quality_rules import op1_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_mixing": op11_mixing,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op8_suffix_dedup": OP8_SQL,
     "op10_jaccard_join": OP10_SQL,
     "op11_mixing": OP11_SQL,
+    "op13_merkle": OP13_SQL,
 }
