@@ -5,6 +5,7 @@ from __future__ import annotations
 from mentionlake.llm.bpe import op2_bpe_round_trip
 from mentionlake.llm.decontamination import OP3_SQL, op3_decontamination
 from mentionlake.llm.factorisation import op4_quality_classifier
+from mentionlake.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from mentionlake.llm.html_layout import op9_html_extraction
 from mentionlake.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from mentionlake.llm.merkle import OP13_SQL, op13_merkle
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_mixing": op11_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle": op13_merkle,
 }
 
@@ -36,5 +38,6 @@ ORACLES: dict[str, str] = {
     "op8_suffix_dedup": OP8_SQL,
     "op10_jaccard_join": OP10_SQL,
     "op11_mixing": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }
