@@ -172,7 +172,7 @@ def _scan(shared, dims: int, layers: int, kind: str, few: int, same: bool):
                 along, rest = _matrix(batch.column("along"), "<f8", layers), batch.column("rest").to_numpy()
                 for rows, tile in _tiles(labels, a["label"], same):
                     floor = np.where(high[tile] >= low[tile], best.floor(low.ravel()).reshape(low.shape)[tile].astype(float), np.inf).min(1)
-                    top = high[tile].max(1).astype(float)
+                    top = np.inf if same else high[tile].max(1).astype(float)
                     part = {k: a[k][tile] for k in ("planes", "low", "step", "steps", "error", "length")}
                     lowest, highest = intervals(words[rows], along[rows], rest[rows], part, dims)
                     open_ = (highest >= floor) & (lowest <= top)

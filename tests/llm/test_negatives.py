@@ -45,11 +45,14 @@ def test_all_pairs(spark, n, dims, block, monkeypatch):
 
 
 def test_large_numbers_and_empty(spark):
-    rows = [(i, [float(2 ** (i % 29)), -3.0e6, 1.0], i % 2, "x", 0) for i in range(40)]
+    rows = [(i, [float(2 ** (i % 23)), -3.0e6, 1.0], i % 2, "x", 0) for i in range(40)]
     frame = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, N.mine(frame, frame.vec_id % 10 == 0).collect())) == brute(rows, lambda i: i % 10 == 0)
     assert N.mine(frame.limit(0), frame.vec_id % 10 == 0).collect() == []
     assert N.mine(frame, frame.vec_id < 0).collect() == []
+    huge = spark.createDataFrame([(i, [2.0**40], 0, "x", 0) for i in range(3)], SCHEMA)
+    with pytest.raises(Exception, match="too large"):
+        N.mine(huge, huge.vec_id == 0).collect()
 
 
 @pytest.mark.parametrize("dims", [1, 64, 100])
