@@ -1,8 +1,8 @@
 """Hard-negative mining (operator 12): rotated one-bit codes with stored alignments, interval filter, integer scores.
 
 Vectors are whole numbers. A fixed random rotation spreads a vector evenly over its coordinates; their signs are its code,
-and the projection onto the code's direction is the stored alignment. What the code leaves over is coded again the same way,
-``LAYERS`` times, and the length of the last remainder is stored too. For an anchor in eight bit planes, popcounts of
+and the projection onto the code's direction is the stored alignment. What the code leaves over is turned and coded again,
+``LAYERS`` times, and the length of the last remainder is stored too. For an anchor, turned as often, in eight bit planes, popcounts of
 code and plane give its product with every code, hence an estimate of the score. The remainder is at right angles to the last
 code, so by Cauchy-Schwarz it can add at most (its length) * (the part of the anchor at right angles to that code): the true
 score lies in an interval that holds for certain. Pairs whose interval misses the wanted range, or lies below the
@@ -48,11 +48,15 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(raw, [(0, 0)] * (raw.ndim - 1) + [(0, -raw.shape[-1] % 8)])).view(np.uint64)
 
 
-def codes_of(rotated: np.ndarray, layers: int = LAYERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, alignments, remainder): per row and layer its code and alignment, per row the length of what is left."""
-    left, root = rotated.copy(), np.sqrt(max(1, rotated.shape[1]))
+def codes_of(vectors: np.ndarray, turn: np.ndarray, layers: int = LAYERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, alignments, remainder): per row and layer its code and alignment, per row the length of what is left.
+
+    What is left is turned again for every layer; else its coordinates would all have about one size.
+    """
+    left, root = vectors, np.sqrt(max(1, vectors.shape[1]))
     words, along = [], []
     for _ in range(layers):
+        left = left @ turn
         up = left >= 0
         words.append(_packed(up))
         along.append(np.abs(left).sum(1) / root)
@@ -60,14 +64,18 @@ def codes_of(rotated: np.ndarray, layers: int = LAYERS) -> tuple[np.ndarray, np.
     return np.stack(words, 1), np.stack(along, 1), np.linalg.norm(left, axis=1)
 
 
-def planes_of(rotated: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchors as ``PLANES``-bit numbers: bit planes, their scale, and the length of the rounding error."""
-    low = rotated.min(1, initial=0)
-    step = np.maximum((rotated.max(1, initial=0) - low) / (2**PLANES - 1), 1e-300)
-    steps = np.rint((rotated - low[:, None]) / step[:, None]).astype(np.int64)
-    planes = np.stack([_packed((steps >> j) & 1 == 1) for j in range(PLANES)], 1)
-    error = np.linalg.norm(rotated - (low[:, None] + step[:, None] * steps), axis=1)
-    return {"planes": planes, "low": low, "step": step, "steps": steps.sum(1), "error": error, "length": np.linalg.norm(rotated, axis=1)}
+def planes_of(vectors: np.ndarray, turn: np.ndarray, layers: int = LAYERS) -> dict[str, np.ndarray]:
+    """Anchors as ``PLANES``-bit numbers after every turn: bit planes, their scale, and the length of the rounding error."""
+    turned, out = vectors, []
+    for _ in range(layers):
+        turned = turned @ turn
+        low = turned.min(1, initial=0)
+        step = np.maximum((turned.max(1, initial=0) - low) / (2**PLANES - 1), 1e-300)
+        steps = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
+        planes = np.stack([_packed((steps >> j) & 1 == 1) for j in range(PLANES)], 1)
+        error = np.linalg.norm(turned - (low[:, None] + step[:, None] * steps), axis=1)
+        out.append((planes, low, step, steps.sum(1), error))
+    return dict(zip(("planes", "low", "step", "steps", "error"), (np.stack(x, 1) for x in zip(*out)), strict=True)) | {"length": np.linalg.norm(vectors, axis=1)}
 
 
 def _dense(lists: pa.Array, dims: int) -> np.ndarray:
@@ -85,7 +93,7 @@ def _encode(dims: int, kind: str, scale: float):
             for at in range(0, len(whole), ROWS):
                 batch = whole.slice(at, ROWS)
                 whole_numbers = np.floor(scale * _dense(batch.column("vector"), dims))
-                words, along, rest = codes_of(whole_numbers @ turn)
+                words, along, rest = codes_of(whole_numbers, turn)
                 blobs = [np.ascontiguousarray(x).view(np.uint8).reshape(len(batch), -1) for x in (whole_numbers.astype(kind), words, along)]
                 binary = [pa.array([r.tobytes() for r in b], pa.binary()) for b in blobs]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("anchor"), *binary, pa.array(rest)], ["id", "label", "anchor", "vector", "code", "along", "rest"])
@@ -100,7 +108,8 @@ def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
 def intervals(words: np.ndarray, along: np.ndarray, rest: np.ndarray, a: dict[str, np.ndarray], dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(lowest, highest) possible score of every row with every anchor."""
     root = np.sqrt(max(1, dims))
-    guess = np.zeros((len(words), len(a["low"])))
+    guess = np.zeros((len(words), len(a["length"])))
+    reach = np.zeros(guess.shape)
     for layer in range(words.shape[1]):
         code = words[:, layer]
         ones = np.bitwise_count(code).sum(1, dtype=np.int64)
@@ -108,13 +117,13 @@ def intervals(words: np.ndarray, along: np.ndarray, rest: np.ndarray, a: dict[st
         for j in range(PLANES):
             hits = np.zeros(guess.shape, np.int64)
             for w in range(code.shape[1]):
-                hits += np.bitwise_count(code[:, None, w] & a["planes"][None, :, j, w])
+                hits += np.bitwise_count(code[:, None, w] & a["planes"][None, :, layer, j, w])
             total += hits << j
-        beta = (a["low"] * (2 * ones[:, None] - dims) + a["step"] * (2 * total - a["steps"])) / root
+        beta = (a["low"][:, layer] * (2 * ones[:, None] - dims) + a["step"][:, layer] * (2 * total - a["steps"][:, layer])) / root
         guess += along[:, layer, None] * beta
-    aside = np.sqrt(np.maximum(a["length"] ** 2 - np.maximum(np.abs(beta) - a["error"], 0) ** 2, 0))
-    reach = aside * rest[:, None] + along.sum(1)[:, None] * a["error"]
-    reach += SLACK * a["length"] * (along.sum(1) + rest)[:, None]
+        reach += along[:, layer, None] * a["error"][:, layer]
+    aside = np.sqrt(np.maximum(a["length"] ** 2 - np.maximum(np.abs(beta) - a["error"][:, -1], 0) ** 2, 0))
+    reach += aside * rest[:, None] + SLACK * a["length"] * (along.sum(1) + rest)[:, None]
     return guess - reach, guess + reach
 
 
@@ -238,7 +247,7 @@ def mine(vectors: DataFrame, anchors: Column, key: str = "vec_id", vector: str =
         if not len(rows):
             continue
         value = _matrix(rows.column("vector").combine_chunks(), kind, dims)
-        a = {"id": rows.column("id").to_numpy(), "label": rows.column("label").to_numpy(), "vector": value} | planes_of(value.astype(float) @ rotation(dims))
+        a = {"id": rows.column("id").to_numpy(), "label": rows.column("label").to_numpy(), "vector": value} | planes_of(value.astype(float), rotation(dims))
 
         def scan(few: int, same: bool, window: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             sent = spark.sparkContext.broadcast(a | {"window": window})

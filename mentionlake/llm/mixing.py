@@ -134,7 +134,8 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mix(docs, cycled_schedule(docs), columns=["doc_id"])
     rows = mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", F.try_element_at("mix.positions", F.lit(1)).alias("position"))
-    return rows.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]  # the key spreads rows that are not taken
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 OP11_SQL = f"""

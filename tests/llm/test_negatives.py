@@ -61,11 +61,11 @@ def test_intervals_hold_and_prune(dims):
     rows, anchors = np.floor(256 * r.normal(size=(500, dims)) / dims**0.5), np.floor(256 * r.normal(size=(30, dims)) / dims**0.5)
     rows[0], anchors[0] = 0, 0
     turn = N.rotation(dims)
-    low, high = N.intervals(*N.codes_of(rows @ turn), N.planes_of(anchors @ turn), dims)
+    low, high = N.intervals(*N.codes_of(rows, turn), N.planes_of(anchors, turn), dims)
     true = rows @ anchors.T
     assert (low <= true).all() and (true <= high).all()
     if dims > 1:
-        assert ((high - low) / 2 < 0.2 * np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(anchors, axis=1) + 1e-6).mean() > 0.95
+        assert ((high - low) / 2 < 0.18 * np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(anchors, axis=1) + 1e-6).mean() > 0.95
 
 
 def test_best_few():
