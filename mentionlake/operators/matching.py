@@ -4,20 +4,20 @@ Strategies: ``word`` (whole phrase, ASCII word boundaries), ``normalized``
 (substring of normalised text) and ``substring`` (substring of lower-cased text).
 
 Plans: a dictionary of at most ``MAX_INLINE_TERMS`` rows is compiled into the
-projection (no shuffle, one pass). A larger one goes through equi-joins on
-anchor tokens, so no plan holds a nested-loop join.
+projection (no shuffle, one pass). A larger one goes through equi-joins on whole
+phrases (``phrases.py``): only phrases that may match leave the scan, no text is
+shuffled for it, and no plan holds a nested-loop join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mentionlake import constants as C
 from mentionlake.functions import text as X
-from mentionlake.functions.scalars import count_if, literal_strings, literal_table, sql_literal
+from mentionlake.functions.scalars import literal_strings, literal_table, sql_literal
 from mentionlake.operators.dedup import first_per_key
+from mentionlake.operators.phrases import substring_pairs, word_pairs
 from mentionlake.session import bounded_rows
 
 MAX_INLINE_TERMS = 1000
@@ -51,7 +51,7 @@ def _pattern(needle: Column, how: str) -> Column:
     character: the markers cannot express that boundary."""
     if how != "word":
         return F.lit("")
-    inner = needle.rlike(f"^{_OPEN}.*{_SHUT}$")
+    inner = needle.rlike(rf"(?s)^{_OPEN}.*{_SHUT}\z")
     return F.when(inner, "").otherwise(F.concat(F.lit(f"(?<!{_SHUT})"), X.quoted(needle), F.lit(f"(?!{_OPEN})")))
 
 
@@ -99,7 +99,8 @@ def match_terms(
     """Add the sorted array of keywords whose term occurs in the text.
 
     ``terms``: keyword, term. The result depends on a row's own text only: in the joined plan rows are
-    told apart by ``key`` and text together, so keys may repeat or be null.
+    told apart by ``key`` and the digest of the text, so keys may repeat or be null; the columns of ``df`` that
+    the caller goes on to use, the text among them if it is wanted, are then joined on those two.
     """
     prepared = prepared_terms(terms, how)
     rows = bounded_rows(prepared, max_inline)
@@ -109,21 +110,17 @@ def match_terms(
         entries = _constant_entries(rows) if rows else None
         found = _keywords_of(F.col("__hay"), entries, how) if rows else literal_strings([])
         return compute_once(base.drop(out), out, found).drop("__hay")
-    prepared = prepared.distinct()
-    base = base.withColumn("__id", F.xxhash64(F.col(key), F.col("__hay")))
-    slim = base.select("__id", "__hay")
-    pairs = _word_candidates(slim, prepared, "__id") if how == "word" else _substring_candidates(slim, prepared, "__id")
-    # A term that is its own anchor was found for certain; only the others are
-    # checked against the text. Both sets are bounded by the dictionary.
-    sure = F.when(F.col("pattern") != "", False).otherwise(F.col("needle") == (_marked(F.col("anchor")) if how == "word" else F.col("anchor")))
-    grouped = pairs.groupBy("__id").agg(
-        F.collect_set(F.when(sure, F.col("keyword"))).alias("__sure"),
-        F.collect_set(F.when(~sure, F.struct("keyword", "needle", "pattern"))).alias("__cand"),
-    )
-    checked = F.array_union("__sure", _keywords_of(F.col("__hay"), F.col("__cand"), how))
-    joined = base.drop(out).join(grouped, "__id", "left")
-    found = F.coalesce(F.array_sort(checked), literal_strings([]))
-    return compute_once(joined, out, found).drop("__hay", "__id", "__cand", "__sure")
+    value = F.coalesce(text if text is not None else F.concat_ws(" ", "title", "description"), F.lit(""))
+    named = df.withColumn("__digest", F.unhex(F.md5(value)))
+    slim = named.select(F.col(key).alias("__key"), "__digest", F.lower(value).alias("__hay") if how == "word" else _hay(df, text, how).alias("__hay"))
+    slim = slim.withColumn("__hay", F.coalesce("__hay", F.lit("")))
+    usable = _usable(F.col("term"), _needle(F.col("term"), how), how)
+    plain = F.lower("term") if how == "word" else _needle(F.col("term"), how)
+    phrases = terms.filter(usable).select("keyword", plain.alias("phrase"))
+    pairs = (word_pairs if how == "word" else substring_pairs)(slim, phrases, ["__key", "__digest"], "__hay")
+    grouped = pairs.groupBy("__key", F.col("__digest").alias("__of")).agg(F.array_sort(F.collect_set("keyword")).alias("__found"))
+    joined = named.drop(out).join(grouped, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__digest") == F.col("__of")), "left")
+    return joined.withColumn(out, F.coalesce("__found", literal_strings([]))).drop("__key", "__digest", "__of", "__found")
 
 
 def _constant_entries(rows) -> Column:
@@ -131,60 +128,6 @@ def _constant_entries(rows) -> Column:
     return F.expr("array(" + ", ".join(f"named_struct('keyword', {k}, 'needle', {n}, 'pattern', {p})" for k, n, p in texts) + ")")
 
 
-def _word_tokens(text: Column) -> Column:
-    """ASCII word runs plus every distinct non-ASCII character.
-
-    A whole-phrase occurrence keeps each ASCII run of the phrase intact, so any
-    run is a safe anchor; a phrase without one is anchored on a character.
-    """
-    runs = F.filter(F.split(text, "[^a-z0-9_]+"), lambda t: t != "")
-    other = F.filter(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), ""), lambda t: t != "")
-    return F.array_distinct(F.concat(runs, other))
-
-
-def _rarest_anchor(prepared: DataFrame, pieces: Column) -> DataFrame:
-    """Attach to each term the piece shared by the fewest terms (longest on ties)."""
-    exploded = prepared.select("*", F.explode(pieces).alias("piece"))
-    counts = exploded.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    ranked = exploded.join(counts, "piece")
-    best = F.min(F.struct("n", (-F.length("piece")).alias("neg_len"), "piece"))
-    return ranked.groupBy("keyword", "needle", "pattern").agg(best["piece"].alias("anchor"))
-
-
-def _word_candidates(slim: DataFrame, prepared: DataFrame, key: str) -> DataFrame:
-    anchored = _rarest_anchor(prepared, _word_tokens(F.col("needle")))
-    tokens = slim.select(key, F.explode(_word_tokens(F.col("__hay"))).alias("anchor"))
-    return tokens.join(anchored, "anchor")
-
-
-def _grams(token: Column) -> Column:
-    """Distinct character grams of one, two and three characters."""
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.length(token)),
-                lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr(token, i, n)),
-            )
-        )
-    )
-
-
-def _substring_candidates(slim: DataFrame, prepared: DataFrame, key: str) -> DataFrame:
-    """Every piece of a term lies inside one token of a matching text. Tokens are
-    resolved once per distinct token (the vocabulary), by equi-join on a gram."""
-    anchored = _rarest_anchor(prepared, F.filter(F.split("needle", r"\s+"), lambda t: t != ""))
-    anchored = anchored.withColumn("gram", F.substring("anchor", 1, 3))
-    tokens = slim.select(key, F.explode(F.array_distinct(F.split("__hay", r"\s+"))).alias("token")).filter("token <> ''")
-    vocabulary = tokens.select("token").distinct()
-    resolved = (
-        vocabulary.select("token", F.explode(_grams(F.col("token"))).alias("gram"))
-        .join(anchored, "gram")
-        .filter(F.contains("token", "anchor"))
-        .select("token", "anchor", "keyword", "needle", "pattern")
-    )
-    return tokens.join(resolved, "token").drop("token")
-
-
 def term_table(keywords: DataFrame, company: str | None = None, compat: bool = False) -> DataFrame:
     """Search terms with their owning keyword: the keywords themselves, their
     expansions, and the company name unless it is the default.
@@ -295,10 +238,3 @@ def keyword_totals(matched: DataFrame) -> DataFrame:
     return matched.select(F.explode("matched_keywords").alias("keyword")).groupBy("keyword").agg(
         F.count(F.lit(1)).alias("n")
     )
-
-
-def mention_counts(df: DataFrame, terms: Sequence[str], text: Column) -> DataFrame:
-    """Rows mentioning each term (plain substring), all terms in one pass."""
-    counts = df.agg(*[count_if(F.contains(text, F.lit(t.lower()))).alias(f"c{i}") for i, t in enumerate(terms)])
-    rows = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"c{i}").alias("n")) for i, t in enumerate(terms)])
-    return counts.select(F.inline(rows))
