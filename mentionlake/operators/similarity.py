@@ -4,12 +4,14 @@ Titles are compared as sets of words: shared / max(size) must exceed a
 threshold. The join is exact and avoids enumerating groups of copies:
 
 1. Titles with the same word set collapse to one set before anything else.
-2. Words are ordered by document frequency; two similar sets share a word among
-   their rarest few (prefix filter), which gives an equi-join key. A frequent
-   word is never a key by itself: it is paired with the next words.
-3. In a key shared by many sets, each set is first compared with the earliest
-   one only (the leader). Sets similar to the leader need no further comparison
-   inside that key; only the rest is joined, salted.
+2. Words are ordered by document frequency, rarest first. If two sets must share t words, the l-th
+   word they share is among the first size - t + l of each, so their first l shared words are a key of both
+   for any l up to t. Keys have one word, or two if the first is frequent.
+3. In a key that few sets hold, all of them are compared. In a crowded one, every set is compared with the earliest
+   (the leader); sets similar to it need no further comparison inside that key. If others remain, the key
+   is extended by every next word of its sets, round by round, until few hold it. Sets that need no more shared words
+   than the key has are similar to one another and are linked to the first of them.
+4. Before the words of a pair are compared, their numbers and the places of the key must allow enough shared words.
 
 The resulting links hold, for every set, its earliest similar set, and connect
 the same components as the full similarity graph.
@@ -60,18 +62,40 @@ def _ordered_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return ordered.withColumns({"size": size, "prefix": size - overlap + 1}).filter(size >= 2)
 
 
-def _keys(frequent: int) -> Column:
-    """Join keys of one set: rare prefix words, or pairs that start with a frequent one."""
+def _entries(frequent: int) -> Column:
+    """(key, at, depth) of one set: rare prefix words, or pairs that start with a frequent one; ``at`` is the place of the key's last word."""
+
+    def entry(key: Column, at: Column, depth: int) -> Column:
+        return F.struct(key.alias("key"), at.cast("int").alias("at"), F.lit(depth).alias("depth"))
 
     def of_position(i: Column) -> Column:
         first = F.element_at("ws", i)
-        later = F.slice("ws", i + 1, F.greatest(F.col("prefix") + 1 - i, F.lit(0)))
-        pairs = F.transform(later, lambda w: F.concat(first["word"], F.lit(" "), w["word"]))
-        return F.when(first["n"] > frequent, pairs).otherwise(F.array(first["word"]))
+        later = F.when(i <= F.col("prefix"), F.sequence(i + 1, F.col("prefix") + 1))
+        pairs = F.transform(later, lambda j: entry(F.concat(first["word"], F.lit(" "), F.element_at("ws", j)["word"]), j, 2))
+        return F.when(first["n"] > frequent, pairs).otherwise(F.array(entry(first["word"], i, 1)))
 
     return F.flatten(F.transform(F.sequence(F.lit(1), F.col("prefix")), of_position))
 
 
+def _keys(frequent: int) -> Column:
+    """The keys a set starts with."""
+    return F.transform(_entries(frequent), lambda e: e["key"])
+
+
+def _extended(member: str = "m") -> Column:
+    """(key, at, depth) one word longer: with every later word that can be the next shared one."""
+    size, at, depth = F.size(f"{member}.words"), F.col("at"), F.col("depth")
+    last = F.least(size, size - F.col(f"{member}.need") + depth + 1)
+    places = F.when(at < last, F.sequence(at + 1, last))
+    return F.transform(places, lambda q: F.struct(F.concat("key", F.lit(" "), F.element_at(f"{member}.words", q)).alias("key"), q.cast("int").alias("at"), (depth + 1).alias("depth")))
+
+
+def _may_be_similar() -> Column:
+    """Enough words are left behind the key in both sets; holds for a similar pair in the key of its first shared words."""
+    rest = F.least(F.size("a.words") - F.col("a_at"), F.size("b.words") - F.col("b_at"))
+    return F.col("depth") + rest >= F.greatest("a.need", "b.need")
+
+
 def _similar(a: Column, b: Column, threshold: float) -> Column:
     largest = F.greatest(F.size(a), F.size(b))
     close = F.least(F.size(a), F.size(b)) > largest * threshold
@@ -79,56 +103,54 @@ def _similar(a: Column, b: Column, threshold: float) -> Column:
 
 
 def set_links(
-    sets: DataFrame, threshold: float, same_date: bool = False, frequent: int = FREQUENT_WORD, small: int = SMALL_GROUP
+    sets: DataFrame, threshold: float, same_date: bool = False, frequent: int = FREQUENT_WORD, small: int = SMALL_GROUP, trace: list | None = None
 ) -> DataFrame:
     """Links (a later, b earlier) between similar word sets; see the module text.
 
     ``sets``: sid, ord, first_id, set_key. ``same_date`` restricts comparisons to
-    sets whose earliest article has the same date.
+    sets whose earliest article has the same date. ``trace`` receives, per round, the numbers of
+    entries and of pairs that meet in keys of at most ``small`` sets.
     """
     if threshold < 0.5:
         raise ValueError("the prefix filter needs a threshold of at least 0.5")
     dated = sets.select("sid", "ord", "first_id")
-    entries = (
-        _ordered_sets(sets, threshold)
-        .join(dated, "sid")
-        .select("sid", "ord", "first_id", F.transform("ws", lambda w: w["word"]).alias("words"), F.explode(_keys(frequent)).alias("key"))
-    )
+    member = F.struct("ord", "first_id", "sid", F.transform("ws", lambda w: w["word"]).alias("words"), (F.col("size") - F.col("prefix") + 1).alias("need"))
+    entries = _ordered_sets(sets, threshold).join(dated, "sid").select(member.alias("m"), F.explode(_entries(frequent)).alias("e"), F.lit(False).alias("led"))
     if same_date:
-        entries = entries.withColumn("key", F.concat_ws("@", "key", "ord"))
-    entries = materialize(entries, "title-entries")
-
-    info = F.struct("ord", "first_id", "sid", "words")
-    groups = entries.groupBy("key").agg(F.min(info).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    tagged = materialize(skewed_lookup(entries, groups, "key"), "title-groups")
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("key", F.struct("ord", "first_id", "sid", "words").alias(name), *[c for c in df.columns if c == "salt"])
-
-    few = tagged.filter(F.col("n") <= small)
-    near = side(few, "a").join(side(few, "b"), "key").filter(
-        (F.struct("b.ord", "b.first_id") < F.struct("a.ord", "a.first_id")) & _similar(F.col("a.words"), F.col("b.words"), threshold)
-    )
-
-    many = tagged.filter(F.col("n") > small).withColumn(
-        "led", (F.col("sid") == F.col("lead.sid")) | _similar(F.col("words"), F.col("lead.words"), threshold)
-    )
-    to_leader = many.filter(F.col("led") & (F.col("sid") != F.col("lead.sid"))).select(
-        F.struct("ord", "first_id", "sid", "words").alias("a"), F.col("lead").alias("b")
-    )
-    grid = F.greatest(F.ceil(F.sqrt(F.col("n") / 1024.0)).cast("int"), F.lit(1))
-    probes = many.filter(~F.col("led")).withColumn("salt", F.pmod(F.xxhash64("sid"), grid).cast("int"))
-    targets = many.withColumn("salt", F.explode(F.sequence(F.lit(0), grid - 1)))
-    rest = side(probes, "p").join(side(targets, "t"), ["key", "salt"]).filter(
-        (F.col("p.sid") != F.col("t.sid")) & _similar(F.col("p.words"), F.col("t.words"), threshold)
-    )
-    probe_later = F.struct("t.ord", "t.first_id") < F.struct("p.ord", "p.first_id")
-    rest = rest.select(
-        F.when(probe_later, F.col("p")).otherwise(F.col("t")).alias("a"),
-        F.when(probe_later, F.col("t")).otherwise(F.col("p")).alias("b"),
-    )
+        entries = entries.withColumn("e", F.struct(F.concat_ws("@", "e.key", "m.ord").alias("key"), "e.at", "e.depth"))
     slim = [F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.col("b.ord").alias("b_ord"), F.col("b.first_id").alias("b_first")]
-    return near.select(*slim).unionByName(to_leader.select(*slim)).unionByName(rest.select(*slim)).distinct()
+    links: list[DataFrame] = []
+    while True:
+        entries = materialize(entries.select("m", "e.*", "led"), "title-entries")
+        first_closed = F.min(F.when(F.col("m.need") <= F.col("depth"), F.col("m"))).alias("closed")
+        groups = entries.groupBy("key").agg(F.min("m").alias("lead"), F.count(F.lit(1)).alias("n"), F.min("led").alias("covered"), first_closed)
+        groups = groups.filter("n > 1 and not covered")
+        if trace is not None:
+            pairs = F.sum(F.when(F.col("n") <= small, F.col("n") * (F.col("n") - 1) / 2))
+            trace.append((entries.count(), int(groups.agg(F.coalesce(pairs, F.lit(0))).first()[0])))
+
+        few = entries.join(groups.filter(F.col("n") <= small).select("key"), "key")
+        side = lambda name: few.select("key", "depth", F.col("m").alias(name), F.col("at").alias(f"{name}_at"), F.col("led").alias(f"{name}_led"))
+        later = F.struct("b.ord", "b.first_id") < F.struct("a.ord", "a.first_id")
+        met = side("a").join(side("b").drop("depth"), "key").filter(later & ~(F.col("a_led") & F.col("b_led")) & _may_be_similar())
+        links.append(met.filter(_similar(F.col("a.words"), F.col("b.words"), threshold)).select(*slim))
+
+        crowd = skewed_lookup(entries, groups.filter(F.col("n") > small), "key")
+        led = (F.col("m.sid") == F.col("lead.sid")) | _similar(F.col("m.words"), F.col("lead.words"), threshold)
+        crowd = materialize(crowd.withColumn("led", led), "title-crowds")
+        heads = F.array(F.when(F.col("led"), F.col("lead")), F.when(F.col("m.need") <= F.col("depth"), F.col("closed")))
+        to_head = crowd.select(F.col("m").alias("a"), F.explode(heads).alias("b")).filter("b is not null and a.sid <> b.sid")
+        links.append(to_head.select(*slim))
+        unlike = crowd.filter(~F.col("led")).groupBy("key").agg(F.count(F.lit(1)).alias("m_unlike"))
+        # A key whose sets are all similar to the leader is done; the others go on with longer keys.
+        open_ = skewed_lookup(crowd, unlike, "key", "m_unlike")
+        if unlike.limit(1).count() == 0:
+            break
+        entries = open_.select("m", F.explode(_extended()).alias("e"), "led")
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def near_duplicates(

@@ -171,3 +171,29 @@ def test_unlike_titles_that_share_two_frequent_words_do_not_meet(spark, threshol
     sets = S._word_sets(S._title_rows(df)).select("set_key", "sid", "first.ord", "first.first_id")
     keys = S._ordered_sets(sets, threshold).select(F.explode(S._keys(S.FREQUENT_WORD)).alias("key")).groupBy("key").count()
     assert keys.agg(F.sum(F.col("count") * F.col("count"))).first()[0] < 8 * n
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65])
+def test_pairs_in_crowded_keys_grow_with_the_sets(spark, threshold):
+    """Unlike titles from few words, all with two words in common: longer keys keep the pairs about linear."""
+
+    def met(n):
+        words = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.struct(F.xxhash64("id", k).alias("h"), F.concat(F.lit("word"), k).alias("w"))))
+        df = spark.range(n).select("id", F.concat(F.lit("market report "), F.array_join(F.transform(F.slice(words, 1, 6), lambda x: x["w"]), " ")).alias("title"), F.lit("2024-01-01").cast("timestamp").alias("published_at"))
+        sets = S._word_sets(S._title_rows(df)).select("set_key", "sid", "first.ord", "first.first_id")
+        trace = []
+        S.set_links(sets, threshold, frequent=200, trace=trace).write.format("noop").mode("overwrite").save()
+        return sum(p for _, p in trace), trace
+
+    few, many = met(2500), met(20_000)
+    assert len(many[1]) > 1
+    assert many[0] < 2.5 * 8 * few[0] and many[0] < 400 * 20_000  # all pairs would be 200 million, 64 times as many
+
+
+def test_small_round_sizes_on_crowded_random_titles(spark):
+    rng = random.Random(31)
+    vocab = [f"word{i}" for i in range(14)]
+    rows = [(i, " ".join(rng.sample(vocab, rng.randrange(2, 9))), rng.randrange(6)) for i in range(260)]
+    for threshold, tuning in ((0.65, {"small": 1, "frequent": 1}), (0.5, {"small": 3, "frequent": 10_000})):
+        out = S.near_duplicates(frame(spark, rows), window_days=None, threshold=threshold, **tuning)
+        assert {r.id: (r.is_duplicate, r.duplicate_of) for r in out.collect()} == brute(rows, threshold)
