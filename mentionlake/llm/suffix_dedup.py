@@ -1,17 +1,16 @@
 """Suffix-array dedup (operator 8): bytes inside long strings that occur more than once go.
 
-A string of ``length`` bytes is a window. Every window has an anchor: the place of its
-smallest hashed q-gram, leftmost on ties. Equal windows have equal anchors at equal offsets, so
-windows can be dealt out by the hash of their anchor's q-gram, about one row for every
-``length / 2`` bytes, and never meet in more than one bucket. A row covers the consecutive
-windows of one anchor; the bytes they span are its snippet.
+A string of ``length`` bytes is a window. Every window has an anchor, a place of its smallest hashed q-gram:
+the one of the window before as long as it will do, else the rightmost. Equal windows have equal smallest q-grams, so
+windows can be dealt out by that hash, about one row for every ``length / 2`` bytes, and never meet in more
+than one bucket. A row covers the consecutive windows of one anchor; the bytes they span are its snippet.
 
-* Rows whose q-gram hash occurs once cannot repeat and end there.
+* Buckets with one row repeat only inside it, where its q-gram occurs again; the others end there.
 * Equal snippets repeat as a whole; that is a count per snippet, combined on the map side, and
   only one of each goes on. This is where large groups of copies collapse.
-* Different snippets of one bucket are sorted by bucket-pointer refinement: buckets of equal
-  8-byte grams are refined by sorting on the bucket numbers found further on, first 8 bytes on,
-  then 16, and so on with the refined numbers, until buckets hold equal windows.
+* Different snippets of one bucket, cut once from the documents that hold them, are sorted by bucket-pointer
+  refinement: buckets of equal 8-byte grams are refined by sorting on the bucket numbers found further on, first
+  8 bytes on, then 16, and so on with the refined numbers, until buckets hold equal windows.
 * Buckets of more than ``max_bucket`` different snippets, which could outgrow a task, compare
   windows by 128-bit hashes in a grouped count instead. The result is the same.
 """
@@ -22,22 +21,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import ship, table, whole
+from mentionlake.llm.common import discard, ship, slices, table, whole
+from mentionlake.operators.joins import skewed_lookup
 from mentionlake.session import materialize
 
 LENGTH = 400
 GRAM = 32
 #: Bytes of a text looked at together; longer texts are cut with full overlap.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 16
 #: Bytes of snippets refined together; a block ends between buckets.
 BLOCK = 2_000_000
 MAX_BUCKET = 20_000
-#: Bucket hashes broadcast at once; more of them mean more passes.
-MAX_HASHES = 2_000_000
+#: Text handled and rows returned at once.
+SLICE, ROWS = 4_000_000, 50_000
 M1, M2, P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 PLACE = np.uint64(SEGMENT * 2 - 1)
 
@@ -63,67 +64,91 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(raw: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
-    """(bucket hash, first window start, last window start, anchor place) of each anchor of a text."""
+def anchors(raw: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(bucket hash, first window start, last window start, anchor place, whether its q-gram recurs) of each anchor of a text."""
     for at in range(0, max(0, len(raw) - length + 1), SEGMENT):
         part = np.frombuffer(raw, np.uint8)[at : at + SEGMENT + length - 1]
         eight = words_at(part)
         grams = np.zeros(len(part) - gram + 1, np.uint64)
         for k in range(0, gram, 8):
             grams = mix(grams * P + eight[k : k + len(grams)])
-        ranked = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
-        place = (sliding_least(ranked, length - gram + 1) & PLACE).astype(np.int64)
-        cut = np.flatnonzero(np.diff(place)) + 1
-        first = np.concatenate(([0], cut))
-        last = np.concatenate((cut, [len(place)])) - 1
-        spots = place[first]
-        yield from zip(grams[spots].view(np.int64).tolist(), (first + at).tolist(), (last + at).tolist(), (spots + at).tolist(), strict=True)
+        # The bits that rank places count them backwards, so that of equal hashes the rightmost is the least.
+        ranked = (grams & ~PLACE) | (PLACE - np.arange(len(grams), dtype=np.uint64))
+        least = sliding_least(ranked, length - gram + 1)
+        place = (PLACE - (least & PLACE)).astype(np.int64)
+        least = (least & ~PLACE).view(np.int64)
+        cut = np.flatnonzero(np.diff(least)) + 1
+        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(place)])) - 1
+        for s, e, spot, end, bucket in zip(first.tolist(), last.tolist(), place[first].tolist(), place[last].tolist(), least[first].tolist(), strict=True):
+            if spot == end:
+                yield bucket, s + at, e + at, spot + at, False
+                continue
+            while s <= e:  # equal hashes in sight: an anchor serves until windows leave it behind
+                spot = int(place[s])
+                to = min(spot, e)
+                yield bucket, s + at, to + at, spot + at, int(place[to]) != spot
+                s = to + 1
 
 
 def _snippet(raw: bytes, first: int, last: int, spot: int, length: int) -> int:
     return xxhash.xxh3_64_intdigest(raw[first : last + length], spot - first) - (1 << 63)
 
 
+def _texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, bytes]]:
+    """(row, UTF-8 bytes) of a batch, unpacked a part at a time."""
+    texts = batch.column(column)
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    for a, b in slices(sizes, SLICE):
+        yield from enumerate(texts.slice(a, b - a).cast(pa.binary()).to_pylist(), a)
+
+
 def _anchor_rows(length: int, gram: int):
+    names = ["bucket", "snippet", "first", "last", "again"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+
+    def packed(batch: pa.RecordBatch, owner: list[int], out: list[tuple]) -> pa.RecordBatch:
+        taken = batch.select(["key", "text_hash"]).take(pa.array(owner, pa.int64()))
+        columns = zip(*out, strict=True) if out else ([],) * len(kinds)
+        return pa.RecordBatch.from_arrays([*taken.columns, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["key", "text_hash", *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, out = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                raw = text.encode()
-                for bucket, first, last, spot in anchors(raw, length, gram):
+            for i, raw in _texts(batch):
+                for bucket, first, last, spot, again in anchors(raw, length, gram):
                     owner.append(i)
-                    out.append((bucket, _snippet(raw, first, last, spot, length), first, last))
-            taken = batch.select(["key", "text_hash"]).take(pa.array(owner, pa.int64()))
-            columns = zip(*out, strict=True) if out else ([], [], [], [])
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*taken.columns, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["key", "text_hash", "bucket", "snippet", "first", "last"])
+                    out.append((bucket, _snippet(raw, first, last, spot, length), first, last, again))
+                    if len(out) >= ROWS:
+                        yield packed(batch, owner, out)
+                        owner, out = [], []
+            yield packed(batch, owner, out)
 
     return run
 
 
-def _snippet_bytes(length: int, gram: int, wanted):
+def _snippet_bytes(length: int):
+    """Rows (bucket, snippet, body) from texts with the ranges wanted of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, seen = wanted.value, set()
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                raw = text.encode()
-                rows = list(anchors(raw, length, gram))
-                if not rows or not len(keep):
-                    continue
-                found = np.array([r[0] for r in rows], np.int64)
-                slot = np.minimum(np.searchsorted(keep, found), len(keep) - 1)
-                for i in np.flatnonzero(keep[slot] == found).tolist():
-                    bucket, first, last, spot = rows[i]
-                    name = (bucket, _snippet(raw, first, last, spot, length))
-                    if name not in seen:
-                        seen.add(name)
-                        out.append((*name, raw[first : last + length]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "snippet", "body"])
+            out, size = [], 0
+            wanted = batch.column("wanted")
+            for i, raw in _texts(batch):
+                for w in wanted[i].as_py():
+                    out.append((w["bucket"], w["snippet"], raw[w["first"] : w["last"] + length]))
+                    size += len(out[-1][2])
+                if size > SLICE:
+                    yield _bodies(out)
+                    out, size = [], 0
+            yield _bodies(out)
 
     return run
 
 
+def _bodies(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "snippet", "body"])
+
+
 def repeated_windows(body: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
     """Places in ``body``, snippets laid end to end, where a window starts that also starts elsewhere.
 
@@ -200,45 +225,53 @@ def _window_hashes(length: int):
 
 
 def _compare(bodies: DataFrame, length: int, max_bucket: int) -> DataFrame:
-    """(bucket, snippet, low, high) of windows that another snippet of the bucket holds too."""
+    """(bucket, snippet, low, high) of windows that occur elsewhere in the bodies of their bucket."""
     counts = bodies.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    marked = bodies.join(counts, "bucket")
+    marked = skewed_lookup(bodies, counts, "bucket")
     usual = marked.filter(F.col("n") <= max_bucket).select("bucket", "snippet", "body")
     refined = usual.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine(length), "bucket long, snippet long, low int, high int")
     large = marked.filter(F.col("n") > max_bucket).select("bucket", "snippet", "body").mapInArrow(_window_hashes(length), "bucket long, snippet long, low int, name binary")
-    twice = large.groupBy("bucket", "name").agg(F.min("snippet").alias("a"), F.max("snippet").alias("b")).filter("a <> b").select("bucket", "name")
-    counted = large.join(twice, ["bucket", "name"]).select("bucket", "snippet", "low", F.col("low").alias("high"))
-    return refined.unionByName(counted)
+    twice = large.groupBy("bucket", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counted = skewed_lookup(large.select(F.struct("bucket", "name").alias("at"), "snippet", "low"), twice.select(F.struct("bucket", "name").alias("at"), "n"), "at")
+    return refined.unionByName(counted.select("at.bucket", "snippet", "low", F.col("low").alias("high")))
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, max_bucket: int = MAX_BUCKET, max_hashes: int = MAX_HASHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(key, text_hash, spans): the byte ranges of each document that lie in repeated windows, unmerged."""
     if gram % 8 or not 8 <= gram <= length:
         raise ValueError("a q-gram has a multiple of 8 bytes and fits the length")
     ship(docs.sparkSession)
     named = docs.select(F.col(key).alias("key"), F.xxhash64(whole(text)).alias("text_hash"), whole(text).alias("text")).filter(F.octet_length("text") >= length)
     kind = named.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, text_hash long, bucket long, snippet long, first int, last int"
+    schema = f"key {kind}, text_hash long, bucket long, snippet long, first int, last int, again boolean"
     rows = materialize(named.mapInArrow(_anchor_rows(length, gram), schema), "anchors")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("snippet").alias("a"), F.max("snippet").alias("b")).filter("n > 1")
-    shared = shared.select("bucket", (F.col("a") != F.col("b")).alias("mixed"))
-    rows = materialize(rows.join(shared, "bucket"), "shared-anchors")
-    copies = rows.groupBy("bucket", "snippet").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "snippet")
-    equal = rows.join(copies, ["bucket", "snippet"]).select("key", "text_hash", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-
-    mixed = rows.filter("mixed").select("bucket").distinct()
-    blocks = max(1, -(-mixed.count() // max_hashes))
-    found = None
-    for k in range(blocks):
-        part = mixed.filter(F.pmod(F.xxhash64("bucket"), F.lit(blocks)) == k).toArrow().column(0).to_numpy()
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(part.astype(np.int64)))
-        bodies = named.select("text").mapInArrow(_snippet_bytes(length, gram, wanted), "bucket long, snippet long, body binary")
-        bodies = materialize(bodies.dropDuplicates(["bucket", "snippet"]), "snippets")
-        ranges = _compare(bodies, length, max_bucket)
-        found = ranges if found is None else found.unionByName(ranges)
-    found = materialize(found, "repeated-windows")
-    partly = rows.filter("mixed").join(found, ["bucket", "snippet"]).select("key", "text_hash", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + length).alias("end"))
-    return equal.unionByName(partly).groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    # One row per snippet, with a place where it can be read, and what its bucket holds.
+    place = F.min(F.struct("key", "text_hash", "first", "last")).alias("place")
+    names = rows.groupBy("bucket", "snippet").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), place)
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), (F.min("snippet") != F.max("snippet")).alias("several"), F.max("again").alias("any_again"))
+    buckets = materialize(buckets.filter("m > 1 or any_again"), "shared-buckets")
+    names = skewed_lookup(names, buckets, "bucket", "m").select("bucket", "snippet", "n", "place", (F.col("several") | F.col("any_again")).alias("mixed"))
+    names = materialize(names, "shared-snippets")
+
+    # Copied snippets repeat as a whole, wherever they are.
+    copied = names.filter("n > 1").select(F.struct("bucket", "snippet").alias("name"), "n")
+    equal = skewed_lookup(rows.withColumn("name", F.struct("bucket", "snippet")), copied, "name")
+    equal = equal.select("key", "text_hash", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+
+    # The others are compared with what their bucket holds; each snippet is cut from one of its documents.
+    wanted = names.filter("mixed").select("place.*", F.struct("bucket", "snippet", "place.first", "place.last").alias("w"))
+    wanted = wanted.groupBy(F.col("key").alias("__key"), F.col("text_hash").alias("__hash")).agg(F.collect_list("w").alias("wanted"))
+    held = named.join(wanted, named["key"].eqNullSafe(F.col("__key")) & (F.col("text_hash") == F.col("__hash"))).select("text", "wanted")
+    bodies = held.mapInArrow(_snippet_bytes(length), "bucket long, snippet long, body binary").dropDuplicates(["bucket", "snippet"])
+    bodies = materialize(bodies, "snippets")
+    found = materialize(_compare(bodies, length, max_bucket), "repeated-windows")
+    single = names.filter("mixed and n = 1").select("bucket", "snippet", "place")
+    partly = single.join(found, ["bucket", "snippet"]).select("place.key", "place.text_hash", (F.col("place.first") + F.col("low")).alias("start"), (F.col("place.first") + F.col("high") + length).alias("end"))
+    spans = materialize(equal.unionByName(partly).groupBy("key", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-spans")
+    for done in (rows, buckets, names, bodies, found):
+        discard(done)
+    return spans
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

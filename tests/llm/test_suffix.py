@@ -40,7 +40,7 @@ def texts():
     return [*out, base, base, prose(5000)]
 
 
-@pytest.mark.parametrize("how", [{}, {"max_bucket": 1}, {"max_hashes": 3}])
+@pytest.mark.parametrize("how", [{}, {"max_bucket": 1}])
 def test_removal(spark, texts, how):
     rows = [(i % 7 if i % 3 else None, t, "x") for i, t in enumerate(texts)]
     rows += rows[-3:]  # whole rows repeated
@@ -56,7 +56,7 @@ def test_segments_overlap(spark, texts, monkeypatch):
     monkeypatch.setattr(S, "SEGMENT", 64)
     monkeypatch.setattr(S, "PLACE", np.uint64(127))
     raw = texts[-1].encode()
-    starts = [i for _, a, b, _ in S.anchors(raw, 50, 16) for i in range(a, b + 1)]
+    starts = [i for _, a, b, _, _ in S.anchors(raw, 50, 16) for i in range(a, b + 1)]
     assert starts == list(range(len(raw) - 49))
 
 
@@ -78,3 +78,16 @@ def test_empty_table(spark):
 def test_whole_table_equals_sql(spark):
     status, _, _, diff = compare(spark, duck(SMALL), S.op8_suffix_dedup, S.OP8_SQL, SMALL)
     assert status == "ok", diff
+
+
+def test_a_run_of_one_letter_is_few_rows():
+    rows = list(S.anchors(b"a" * 3_000_000, 400, 32))
+    assert len(rows) < 20_000 and rows[0][1] == 0 and rows[-1][2] == 3_000_000 - 400 and any(r[4] for r in rows)
+    assert [r[1] for r in rows[1:]] == [r[2] + 1 for r in rows[:-1]]
+
+
+@pytest.mark.parametrize("texts_", [["a" * 401], ["a" * 400], ["ab" * 500 + "c" * 30 + "ab" * 230], ["a" * 450 + "b" + "a" * 420, "b" + "a" * 401], ["xyz" * 200, "q" + "xyz" * 180]])
+def test_periodic_texts(spark, texts_):
+    frame = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {r.doc_id: (bytes(r.cut.kept), r.cut.n_removed, r.cut.n_spans) for r in S.remove_repeats(frame).collect()}
+    assert got == dict(enumerate(brute(texts_, 400)))
