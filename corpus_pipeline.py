@@ -16,27 +16,38 @@ from mentionlake.llm.common import table
 from mentionlake.session import shared_path
 
 LEAST_QUALITY = 0.3
+#: What a stage holds at once: bytes of a batch handed to a Python worker, bytes of a row group that is being written.
+PORTIONS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "parquet.block.size": str(32 << 20)}
+
+
+def in_portions(spark: SparkSession) -> SparkSession:
+    """From here on the session moves whole texts in small portions; long texts still travel whole."""
+    for name, value in PORTIONS.items():
+        spark.conf.set(name, value)
+    return spark
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine accepts; it learns from the labels of its input."""
-    model = factorisation.train(docs, table(spark, sf_dir, "labels"))
+    model = factorisation.train(docs, table(in_portions(spark), sf_dir, "labels"))
     scored = factorisation.score_documents(docs, model, out="__score")
     return scored.filter(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    in_portions(spark)
     return jaccard_join.keep_one(docs, width=5, percent=80).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontamination.decontaminate(docs, table(in_portions(spark), sf_dir, "benchmark")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the new text."""
+    in_portions(spark)
     masked = pii.redact(docs, pii.train(docs))
     counted = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return masked.withColumns(counted).select(*docs.columns)
@@ -44,6 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether decoding gives the text back."""
+    in_portions(spark)
     path = bpe.default_path("byte_bpe_50k.json")
     coded = bpe.decode_documents(bpe.encode_documents(docs, path, ids="ids"), path, text="__decoded")
     return coded.select(
