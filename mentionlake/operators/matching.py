@@ -55,8 +55,8 @@ def _pattern(needle: Column, how: str) -> Column:
     return F.when(inner, "").otherwise(F.concat(F.lit(f"(?<!{_SHUT})"), X.quoted(needle), F.lit(f"(?!{_OPEN})")))
 
 
-def _usable(term: Column, needle: Column, how: str) -> Column:
-    if how == "word":
+def _usable(term: Column, needle: Column, how: str, any_term: bool = False) -> Column:
+    if how == "word" and not any_term:
         return (F.length(term) >= 4) & ~F.lower(term).isin(C.BLOCKED_SHORT_TERMS)
     return F.length(F.trim(needle)) > 0
 
@@ -78,11 +78,11 @@ def _keywords_of(hay: Column, entries: Column, how: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(hits, lambda e: e["keyword"])))
 
 
-def prepared_terms(terms: DataFrame, how: str) -> DataFrame:
+def prepared_terms(terms: DataFrame, how: str, any_term: bool = False) -> DataFrame:
     """(keyword, needle, pattern) of the usable terms."""
     needle = _needle(F.col("term"), how)
     return (
-        terms.filter(_usable(F.col("term"), needle, how))
+        terms.filter(_usable(F.col("term"), needle, how, any_term))
         .select("keyword", needle.alias("needle"), _pattern(needle, how).alias("pattern"))
     )
 
@@ -95,14 +95,15 @@ def match_terms(
     key: str = "id",
     out: str = "matched_keywords",
     max_inline: int = MAX_INLINE_TERMS,
+    any_term: bool = False,
 ) -> DataFrame:
     """Add the sorted array of keywords whose term occurs in the text.
 
-    ``terms``: keyword, term. The result depends on a row's own text only: in the joined plan rows are
+    ``terms``: keyword, term. ``any_term`` lets short and blocked words take part in ``word`` matching. The result depends on a row's own text only: in the joined plan rows are
     told apart by ``key`` and the digest of the text, so keys may repeat or be null; the columns of ``df`` that
     the caller goes on to use, the text among them if it is wanted, are then joined on those two.
     """
-    prepared = prepared_terms(terms, how)
+    prepared = prepared_terms(terms, how, any_term)
     rows = bounded_rows(prepared, max_inline)
     base = compute_once(df, "__hay", F.coalesce(_hay(df, text, how), F.lit("")))
     if rows is not None:
@@ -114,7 +115,7 @@ def match_terms(
     named = df.withColumn("__digest", F.unhex(F.md5(value)))
     slim = named.select(F.col(key).alias("__key"), "__digest", F.lower(value).alias("__hay") if how == "word" else _hay(df, text, how).alias("__hay"))
     slim = slim.withColumn("__hay", F.coalesce("__hay", F.lit("")))
-    usable = _usable(F.col("term"), _needle(F.col("term"), how), how)
+    usable = _usable(F.col("term"), _needle(F.col("term"), how), how, any_term)
     plain = F.lower("term") if how == "word" else _needle(F.col("term"), how)
     phrases = terms.filter(usable).select("keyword", plain.alias("phrase"))
     pairs = (word_pairs if how == "word" else substring_pairs)(slim, phrases, ["__key", "__digest"], "__hay")

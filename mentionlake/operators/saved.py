@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mentionlake import schemas
 from mentionlake.functions import dates as D, text as X
 from mentionlake.functions.scalars import lower_array
+from mentionlake.operators.matching import match_terms
 
 MAX_RULES = 1000
 
@@ -18,6 +19,10 @@ def _any_or_open(wanted: Column, value: Column) -> Column:
     )
 
 
+def _prefixed(prefix: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(prefix), v))
+
+
 def _search_view(articles: DataFrame) -> DataFrame:
     text = X.joined_lower(F.col("title"), F.col("description"), F.concat_ws(" ", F.col("matched_keywords")))
     return articles.select(
@@ -29,21 +34,7 @@ def _search_view(articles: DataFrame) -> DataFrame:
     )
 
 
-def _term_hit(text: Column, t: Column) -> Column:
-    value = F.lower(t["value"])
-    phrase = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), X.quoted(value), F.lit(r"(?![A-Za-z0-9_])"))
-    return F.contains(text, value) & F.when(F.coalesce(t["exact"], F.lit(False)), F.rlike(text, phrase)).otherwise(F.lit(True))
-
-
-def _search_condition(q: Column, as_of) -> Column:
-    text, ts = F.col("text"), F.col("published_at")
-    terms = F.coalesce(q["terms"], F.array())
-    of = lambda op: F.filter(terms, lambda t: t["operator"] == op)
-    # A missing or unknown operator is AND, as in the search of one query.
-    plain = F.filter(terms, lambda t: ~F.coalesce(t["operator"], F.lit("AND")).isin("OR", "NOT"))
-    required = F.forall(plain, lambda t: _term_hit(text, t))
-    either = (F.size(of("OR")) == 0) | F.exists(of("OR"), lambda t: _term_hit(text, t))
-    without = ~F.exists(of("NOT"), lambda t: _term_hit(text, t))
+def _dates_accept(q: Column, ts: Column, as_of) -> Column:
     now = D.as_timestamp(as_of)
     name = F.coalesce(q["dateRange"], F.lit("all"))
     cutoff = (
@@ -55,42 +46,70 @@ def _search_condition(q: Column, as_of) -> Column:
     fresh = (name == "all") | F.coalesce(ts >= cutoff, ts.isNotNull() & cutoff.isNull(), F.lit(False))
     start = q["dateFrom"].isNull() | F.coalesce(ts >= q["dateFrom"].try_cast("timestamp"), F.lit(False))
     end = q["dateTo"].isNull() | F.coalesce(ts <= F.concat(q["dateTo"], F.lit(" 23:59:59")).try_cast("timestamp"), F.lit(False))
-    return (
-        required & either & without & fresh & start & end
-        & _any_or_open(q["sources"], F.col("src")) & _any_or_open(q["countries"], F.col("cc"))
-        & _any_or_open(q["sentiments"], F.col("sent")) & _any_or_open(q["languages"], F.col("lang"))
-    )
+    return fresh & start & end
+
+
+#: Facets of a search, the most selective kind first, with the article column each asks for.
+_FACETS = (("sources", "src"), ("languages", "lang"), ("countries", "cc"), ("sentiments", "sent"))
+
+
+def filed_searches(searches: DataFrame, search_id: str = "search_id", query: str = "query") -> DataFrame:
+    """(search_id, q, plain, either, needs_either, without, anchor): stored searches filed under what an accepted article must have.
+
+    Terms are tags: ``x:`` and the lower-case value of an exact term, ``s:`` of another. An anchor is the longest required
+    term, else each of the alternatives, else each value of one facet; a search without any is filed under
+    ``a:``. Searches that no article can satisfy (a null term required or excluded, a blank one excluded) are left out.
+    """
+    empty = F.array().cast("array<string>")
+    rows = searches.select(F.col(search_id).alias("search_id"), F.from_json(F.coalesce(F.col(query), F.lit("")), schemas.SEARCH_QUERY_DDL).alias("q"))
+    rows = rows.filter("search_id is not null").distinct()
+    terms = F.coalesce(F.col("q.terms"), F.array())
+    # A missing or unknown operator is AND, as in the search of one query.
+    op = lambda t: F.when(t["operator"].isin("OR", "NOT"), t["operator"]).otherwise("AND")
+    of = lambda kind: F.filter(terms, lambda t: op(t) == kind)
+    blank = lambda t: F.coalesce(F.trim(t["value"]) == "", F.lit(False))
+    tag = lambda t: F.concat(F.when(F.coalesce(t["exact"], F.lit(False)), "x:").otherwise("s:"), F.lower(t["value"]))
+    tags = lambda kind: F.array_distinct(F.transform(F.filter(of(kind), lambda t: t["value"].isNotNull() & ~blank(t)), tag))
+    missing = lambda kind: F.exists(of(kind), lambda t: t["value"].isNull())
+    rows = rows.withColumns({
+        "plain": tags("AND"), "either": tags("OR"), "without": tags("NOT"),
+        "needs_either": (F.size(of("OR")) > 0) & ~F.exists(of("OR"), blank),
+        "dead": missing("AND") | missing("NOT") | F.exists(of("NOT"), blank),
+    }).filter(~F.col("dead") & (~F.col("needs_either") | (F.size("either") > 0))).drop("dead")
+    longest = F.element_at(F.array_sort(F.transform("plain", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
+    anchors = F.when(F.size("plain") > 0, F.array(longest)).when(F.col("needs_either"), F.col("either"))
+    for facet, column in _FACETS:
+        wanted = F.coalesce(F.col(f"q.{facet}"), empty)
+        anchors = anchors.when(F.size(wanted) > 0, _prefixed(f"{column}:", F.array_distinct(wanted)))
+    return rows.withColumn("anchor", F.explode(anchors.otherwise(F.array(F.lit("a:")))))
 
 
 def run_saved_searches(articles: DataFrame, searches: DataFrame, as_of, chunk: int = MAX_RULES) -> DataFrame:
-    """(search_id, id) hits of every stored search in one scan of the articles.
+    """(search_id, id) hits of every stored search, any number of them, in one matching of the articles.
 
-    ``searches``: search_id, query (JSON text). Up to ``chunk`` searches are
-    inlined as one constant array; more are processed in chunks of that size,
-    each chunk one further scan.
+    ``searches``: search_id, query (JSON text). A reverse index: the terms of all searches are one dictionary, matched once per
+    article (up to ``chunk`` terms inside the scan, more through the phrase index); every search is filed under
+    one thing an accepted article must have, articles look their own terms and facets up there by an equi-join,
+    and only the searches met are tested. From the matching on rows hold term names and facets, no text. A blank term accepts
+    every text.
     """
+    filed = filed_searches(searches)
+    words = filed.select(F.explode(F.array_distinct(F.concat("plain", "either", "without"))).alias("keyword")).distinct()
+    words = words.select("keyword", F.expr("substring(keyword, 3)").alias("term"))
     view = _search_view(articles)
-    return _for_each_rule(view, searches, "search_id", "query", schemas.SEARCH_QUERY_DDL, lambda q: _search_condition(q, as_of), chunk)
-
-
-def _for_each_rule(view, rules, rule_id, json_col, ddl, condition, chunk):
-    """Explode the rules that accept a row. Distinct rules are read in bounded chunks by id and text."""
-    rules = rules.select(rule_id, F.coalesce(F.col(json_col), F.lit("")).alias(json_col)).filter(F.col(rule_id).isNotNull()).distinct()
-    out, last = None, None
-    while True:
-        place = F.struct(rule_id, json_col)
-        todo = rules if last is None else rules.filter(place > F.struct(F.lit(last[0]), F.lit(last[1])))
-        rows = todo.orderBy(rule_id, json_col).limit(chunk).collect()
-        if rows:
-            constant = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.from_json(F.lit(r[1]), ddl).alias("q")) for r in rows])
-            hits = view.withColumn("__rules", constant).select(
-                "id", F.explode(F.filter("__rules", lambda r: condition(r["q"]))).alias("__r")
-            ).select(F.col("__r.rule").alias(rule_id), "id")
-            out = hits if out is None else out.unionByName(hits)
-        if len(rows) < chunk:
-            break
-        last = rows[-1]
-    return out if out is not None else view.select(F.lit(None).alias(rule_id), "id").limit(0)
+    view = match_terms(view, words.filter("keyword like 's:%'"), how="substring", text=F.col("text"), out="loose", max_inline=chunk)
+    view = match_terms(view, words.filter("keyword like 'x:%'"), how="word", text=F.col("text"), out="strict", max_inline=chunk, any_term=True)
+    own = F.array(*[F.concat(F.lit(f"{column}:"), column) for _, column in _FACETS], F.lit("a:"))
+    probes = view.select("id", "published_at", *[c for _, c in _FACETS], F.concat("loose", "strict").alias("hits")).select("*", F.explode(F.concat("hits", own)).alias("anchor"))
+    q = F.col("q")
+    accepted = F.forall("plain", lambda t: F.array_contains("hits", t)) & ~F.arrays_overlap("without", "hits") & _dates_accept(q, F.col("published_at"), as_of)
+    accepted = accepted & (~F.col("needs_either") | F.arrays_overlap("either", "hits"))
+    for facet, column in _FACETS:
+        accepted = accepted & _any_or_open(q[facet], F.col(column))
+    # A search filed under several alternatives counts where the article's first of them meets it.
+    by_either = F.col("needs_either") & (F.size("plain") == 0)
+    first = F.try_element_at(F.array_sort(F.array_intersect("either", "hits")), F.lit(1))
+    return probes.join(filed, "anchor").filter(accepted & (~by_either | (F.col("anchor") == first))).select("search_id", "id")
 
 
 def alert_condition(c: Column) -> Column:
@@ -105,10 +124,6 @@ def alert_condition(c: Column) -> Column:
     )
 
 
-def _prefixed(prefix: str, values: Column) -> Column:
-    return F.transform(values, lambda v: F.concat(F.lit(prefix), v))
-
-
 def _rule_anchors(c: Column) -> Column:
     """Join keys of a rule: the values of its most selective non-empty facet."""
     filled = lambda name: F.size(F.coalesce(c[name], F.array().cast("array<string>"))) > 0
