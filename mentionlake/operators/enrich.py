@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mentionlake import schemas
 from mentionlake.functions import text as X
 from mentionlake.operators.joins import new_suggestions
+from mentionlake.operators.phrases import Sieve
+from mentionlake.session import materialize
 
 # What an unscored article receives, by merge variant.
 BY_ID_DEFAULTS = {
@@ -99,36 +101,47 @@ def _with_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", X.joined_lower(F.col("title"), F.col("description")))
 
 
-def _article_terms(articles: DataFrame, text, key: str = "id", keep: tuple = ()) -> DataFrame:
-    """Distinct (article, term) pairs: words of four or more letters and their bigrams."""
-    words = F.filter(F.split(X.normalized_plain(text), " "), lambda w: F.length(w) > 3)
-    prepared = articles.select(key, *keep, words.alias("__w"))
-    bigrams = F.when(
-        F.size("__w") > 1,
-        F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.concat_ws(" ", F.element_at("__w", i), F.element_at("__w", i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
-    return prepared.select(key, *keep, F.explode(F.array_distinct(F.concat("__w", bigrams))).alias("term"))
+def _words_of(text) -> Column:
+    """The words of four or more letters, in order."""
+    return F.filter(F.split(X.normalized_plain(text), " "), lambda w: F.length(w) > 3)
+
+
+def _supported_words(articles: DataFrame, text, min_support: int) -> Sieve:
+    """A sieve of the words that occur in at least ``min_support`` articles; it needs no matching."""
+    words = articles.select(F.explode(F.array_distinct(_words_of(text))).alias("piece"))
+    often = words.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
+    return Sieve(often.select("piece", F.lit(1).alias("mark")))
+
+
+def _article_terms(articles: DataFrame, text, keep: tuple, sieve: Sieve) -> DataFrame:
+    """``keep`` and ``terms``: an article's distinct words and bigrams that can have support. A term is as rare as its
+    rarest word, so bigrams are only made of words that pass."""
+    prepared = articles.select(*keep, F.explode(F.array(_words_of(text))).alias("__w"))
+    marked = prepared.select(*keep, F.explode(F.array(F.transform("__w", lambda w: F.struct(w.alias("w"), sieve.passes(w).alias("ok"))))).alias("__w"))
+    kept = F.transform(F.filter("__w", lambda x: x["ok"]), lambda x: x["w"])
+    pairs = F.zip_with(F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 1, F.lit(0))), F.slice("__w", F.lit(2), F.size("__w")), lambda a, b: F.when(a["ok"] & b["ok"], F.concat_ws(" ", a["w"], b["w"])))
+    return marked.select(*keep, F.array_distinct(F.concat(kept, F.array_compact(pairs))).alias("terms"))
 
 
 def suggest_keywords(articles: DataFrame, keywords: DataFrame, text=None, k: int = 8, min_support: int = 5) -> DataFrame:
     """Terms over-represented in matched articles, ranked by smoothed odds, minus existing keywords.
 
-    ``articles``: id, title, matched_keywords; terms come from the column ``text``, the
-    title unless given. One grouped count per term with
-    map-side combination; the two corpus sizes come in as scalars.
+    ``articles``: title, matched_keywords; terms come from the column ``text``, the title unless given. Words with
+    too little support are sieved out first, so bigrams of rare words never leave the scan; the articles are matched
+    once, and one count with map-side combination gives the terms and, under the empty term, both corpus sizes.
     """
     matched = F.size(F.coalesce("matched_keywords", F.array().cast("array<string>"))) > 0
     body = F.col("title") if text is None else text
-    flagged = articles.select("id", body.alias("__text"), matched.alias("m"))
-    terms = _article_terms(flagged, F.col("__text"), keep=("m",))
-    counts = terms.groupBy(F.col("term").alias("keyword")).agg(
+    sieve = _supported_words(articles, body, min_support)
+    terms = _article_terms(articles.select(body.alias("__text"), matched.alias("m")), F.col("__text"), ("m",), sieve)
+    counts = terms.select("m", F.explode(F.concat("terms", F.array(F.lit("")))).alias("keyword")).groupBy("keyword").agg(
         F.count(F.when(F.col("m"), 1)).alias("in_matched"), F.count(F.when(~F.col("m"), 1)).alias("in_other")
-    ).filter(F.col("in_matched") >= min_support)
-    sizes = flagged.select(
-        F.struct(F.count(F.when(F.col("m"), 1)).alias("matched"), F.count(F.when(~F.col("m"), 1)).alias("other"))
-    ).scalar()
-    odds = ((F.col("in_matched") + 1) * (F.col("sizes.other") + 2)) / ((F.col("in_other") + 1) * (F.col("sizes.matched") + 2))
-    ranked = new_suggestions(counts, keywords).withColumn("sizes", sizes).withColumn("odds", odds).drop("sizes")
+    )
+    counts = materialize(counts.filter((F.col("in_matched") >= min_support) | (F.col("keyword") == "")), "term-counts")
+    sizes = counts.filter("keyword = ''").first()
+    in_all, other = (sizes.in_matched, sizes.in_other) if sizes else (0, 0)
+    odds = ((F.col("in_matched") + 1) * F.lit(other + 2)) / ((F.col("in_other") + 1) * F.lit(in_all + 2))
+    ranked = new_suggestions(counts.filter("keyword <> ''"), keywords).withColumn("odds", odds)
     return ranked.orderBy(F.col("odds").desc(), F.col("in_matched").desc(), "keyword").limit(k)
 
 
@@ -137,24 +150,26 @@ def propose_expansions(
 ) -> DataFrame:
     """Terms that co-occur with a keyword more than chance (lift), best ``k`` per keyword.
 
-    The keyword side is an explode of the matched keywords, so the join emits
-    (article, keyword, term) rows and never term x term pairs.
+    One matching and one count: every article gives its (keyword, term) pairs, with an empty keyword and an empty term
+    beside its own, so the same count holds pairs, terms, keywords and the total. Pairs that survive
+    ``min_support`` are few; words without that support are sieved out before bigrams are made.
     """
     from mentionlake.operators.dedup import top_per_key
 
     body = F.col("title") if text is None else text
-    terms = _article_terms(articles, body)
-    tagged = articles.select("id", F.explode(F.array_distinct("matched_keywords")).alias("keyword"))
+    sieve = _supported_words(articles, body, min_support)
+    own = F.array_distinct(F.coalesce("matched_keywords", F.array().cast("array<string>")))
+    found = _article_terms(articles.select(body.alias("__text"), own.alias("own")), F.col("__text"), ("own",), sieve)
+    pairs = found.select(F.explode(F.concat("own", F.array(F.lit("")))).alias("keyword"), "terms").select("keyword", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    counts = materialize(pairs.groupBy("keyword", "term").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_support) | (F.col("keyword") == "") & (F.col("term") == "")), "pair-counts")
+    total = counts.filter("keyword = '' and term = ''").first()
+    by_term = counts.filter("keyword = '' and term <> ''").select("term", F.col("n").alias("n_term"))
+    by_keyword = counts.filter("keyword <> '' and term = ''").select("keyword", F.col("n").alias("n_keyword"))
     known = keywords.select(F.col("text").alias("keyword"))
-    pair = terms.join(tagged, "id").join(known, "keyword").groupBy("keyword", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    by_term = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    by_keyword = tagged.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_keyword"))
-    total = articles.select(F.count(F.lit(1))).scalar()
     scored = (
-        pair.filter(F.col("n_both") >= min_support)
-        .join(by_term, "term").join(by_keyword, "keyword")
+        counts.filter("keyword <> '' and term <> ''").withColumnRenamed("n", "n_both").join(known, "keyword").join(by_term, "term").join(by_keyword, "keyword")
         .filter(F.col("term") != F.lower("keyword"))
-        .withColumn("lift", (F.col("n_both") * total) / (F.col("n_term") * F.col("n_keyword")))
+        .withColumn("lift", (F.col("n_both") * F.lit(total.n if total else 0)) / (F.col("n_term") * F.col("n_keyword")))
     )
     order = [F.col("lift").desc(), F.col("n_both").desc(), F.col("term").asc()]
     return top_per_key(scored, ["keyword"], order, k)

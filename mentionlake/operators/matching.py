@@ -183,26 +183,20 @@ def route_topics(
     hits = tagged.drop("topic_id", "route", "sources").withColumn("__hits", parts).withColumn(
         "__exact", F.array_distinct(F.transform("__hits", lambda p: p[0]))
     )
-    by_id = active.select("topic_id", "sources")
-    exact = (
-        hits.select("*", F.explode("__exact").alias("topic_id"))
-        .join(by_id, "topic_id")
-        .filter(F.array_contains("sources", F.col("connector")))
-        .withColumn("route", F.lit("exact"))
-    )
     text = X.joined_lower(F.col("title"), F.col("description"))
     mentions = F.exists(literal_strings(broad_terms), lambda b: F.contains(text, b))
-    by_connector = active.select("topic_id", "sources", F.explode(F.array_distinct("sources")).alias("connector"))
-    broad = (
-        hits.filter((F.coalesce("fetch_priority", F.lit(0)) >= min_priority) & mentions)
-        .join(by_connector, "connector")
-        .filter(~F.array_contains("__exact", F.col("topic_id")))
-        .withColumn("route", F.lit("broad"))
-    )
+    # A matched row asks for its exact topics by id and, if it may be routed broadly, for all topics of its connector.
+    exact = F.transform("__exact", lambda t: F.struct(F.lit("exact").alias("route"), F.concat(F.lit("t:"), t).alias("ask")))
+    broad = F.array(F.struct(F.lit("broad").alias("route"), F.concat(F.lit("c:"), "connector").alias("ask")))
+    may = (F.coalesce("fetch_priority", F.lit(0)) >= min_priority) & mentions
+    asked = hits.select("*", F.inline(F.concat(exact, F.when(may, broad).otherwise(F.filter(broad, lambda b: F.lit(False))))))
+    asks = F.concat(F.array(F.concat(F.lit("t:"), "topic_id")), F.transform(F.array_distinct("sources"), lambda c: F.concat(F.lit("c:"), c)))
+    answers = active.select("topic_id", "sources", F.explode(asks).alias("ask"))
+    fits = F.when(F.col("route") == "exact", F.array_contains("sources", F.col("connector"))).otherwise(~F.array_contains("__exact", F.col("topic_id")))
+    out = asked.join(answers, "ask").filter(fits)
     own = F.transform(
         F.filter("__hits", lambda p: (p[0] == F.col("topic_id")) & (p[1] == "1")), lambda p: p[2]
     )
-    out = exact.unionByName(broad)
     keep = [c for c in cands.columns if c not in ("matched_keywords", "topic_id", "route", "sources")]
     return out.select(*keep, "topic_id", "route", F.array_sort(F.array_distinct(own)).alias("matched_keywords"))
 

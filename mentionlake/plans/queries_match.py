@@ -340,20 +340,20 @@ _TERMS_OF = """SELECT DISTINCT id, term FROM (SELECT id, unnest(ws || list_trans
   ((in_other + 1) * ((SELECT count(*) FROM m WHERE hit) + 2)) AS odds FROM c WHERE in_matched >= 5 AND keyword NOT IN (SELECT lower(keyword) FROM terms WHERE keyword = term)
   ORDER BY odds DESC, in_matched DESC, keyword LIMIT 8""", terms=_TERMS,
   m=f"SELECT id, bool_or(coalesce(regexp_matches(lower(title || ' ' || description), {_WORD_RE}), false)) AS hit FROM doc CROSS JOIN terms GROUP BY id",
-  t=_TERMS_OF.replace("{x}", "title"), c="SELECT term AS keyword, count(*) FILTER (hit) AS in_matched, count(*) FILTER (NOT hit) AS in_other FROM t JOIN m USING (id) GROUP BY 1"))
+  t=_TERMS_OF.replace("{x}", "title || ' ' || description"), c="SELECT term AS keyword, count(*) FILTER (hit) AS in_matched, count(*) FILTER (NOT hit) AS in_other FROM t JOIN m USING (id) GROUP BY 1"))
 def suggest_keywords(s, d):
     m = matching.match_terms(T.articles_from_documents(s, d), terms(s), how="word")
-    return enrich.suggest_keywords(m, T.keywords(s))
+    return enrich.suggest_keywords(m, T.keywords(s), text=F.concat_ws(" ", "title", "description"))
 
 
 @query("propose_expansions", sql("doc", """SELECT keyword, term, n_both, lift FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY lift DESC, n_both DESC, term) AS rn FROM (
   SELECT keyword, term, n_both, (n_both * (SELECT count(*) FROM doc))::DOUBLE / (n_term * n_keyword) AS lift FROM (
     SELECT keyword, term, count(*) AS n_both FROM t JOIN m USING (id) GROUP BY 1, 2) JOIN (SELECT term, count(*) AS n_term FROM t GROUP BY 1) USING (term)
     JOIN (SELECT keyword, count(*) AS n_keyword FROM m GROUP BY 1) USING (keyword) WHERE n_both >= 3 AND term <> keyword)) WHERE rn <= 10""", terms=_TERMS,
-  m=f"SELECT DISTINCT id, keyword FROM doc JOIN terms ON regexp_matches(lower(title || ' ' || description), {_WORD_RE})", t=_TERMS_OF.replace("{x}", "title")))
+  m=f"SELECT DISTINCT id, keyword FROM doc JOIN terms ON regexp_matches(lower(title || ' ' || description), {_WORD_RE})", t=_TERMS_OF.replace("{x}", "title || ' ' || description")))
 def propose_expansions(s, d):
     m = matching.match_terms(T.articles_from_documents(s, d), terms(s), how="word")
-    return enrich.propose_expansions(m, T.keywords(s)).select("keyword", "term", "n_both", "lift")
+    return enrich.propose_expansions(m, T.keywords(s), text=F.concat_ws(" ", "title", "description")).select("keyword", "term", "n_both", "lift")
 
 
 def _length_scorer(batches):

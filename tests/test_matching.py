@@ -120,3 +120,10 @@ def test_repeated_and_null_keys_keep_their_own_keywords(spark, how):
         assert sorted((str(r.id), r.title, r.matched_keywords) for r in rows) == [
             ("1", "solar power", ["s"]), ("1", "tidal wave", ["t"]), ("None", "nothing", []), ("None", "tidal wave", ["t"])
         ]
+
+
+def test_routing_reads_and_matches_the_articles_once(spark):
+    docs = T.articles_from_documents(spark, SMALL)
+    topics = literal_table(spark, "topic_id int, keywords array<string>, sources array<string>", [(1, ["wave energy"], ["rss"])])
+    plan = plan_text(M.route_topics(docs, topics))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*text#", plan)) == 1
