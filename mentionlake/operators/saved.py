@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mentionlake import schemas
@@ -23,14 +25,14 @@ def _prefixed(prefix: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.concat(F.lit(prefix), v))
 
 
-def _search_view(articles: DataFrame) -> DataFrame:
+def _search_view(articles: DataFrame, keep: Sequence[Column] = ()) -> DataFrame:
     text = X.joined_lower(F.col("title"), F.col("description"), F.concat_ws(" ", F.col("matched_keywords")))
     return articles.select(
         "id", text.alias("text"), "published_at",
         F.coalesce(X.first_non_empty(F.col("source.name"), F.col("source_name")), F.lit("")).alias("src"),
         F.coalesce("source.country_code", F.lit("")).alias("cc"),
         F.coalesce("sentiment", F.lit("")).alias("sent"),
-        F.coalesce("language", F.lit("")).alias("lang"),
+        F.coalesce("language", F.lit("")).alias("lang"), F.struct(F.lit(0).alias("__"), *keep).alias("kept"),
     )
 
 
@@ -84,8 +86,8 @@ def filed_searches(searches: DataFrame, search_id: str = "search_id", query: str
     return rows.withColumn("anchor", F.explode(anchors.otherwise(F.array(F.lit("a:")))))
 
 
-def run_saved_searches(articles: DataFrame, searches: DataFrame, as_of, chunk: int = MAX_RULES) -> DataFrame:
-    """(search_id, id) hits of every stored search, any number of them, in one matching of the articles.
+def run_saved_searches(articles: DataFrame, searches: DataFrame, as_of, chunk: int = MAX_RULES, keep: Sequence[Column] = ()) -> DataFrame:
+    """(search_id, id, and what ``keep`` takes from the article) hits of every stored search, any number of them, in one matching of the articles.
 
     ``searches``: search_id, query (JSON text). A reverse index: the terms of all searches are one dictionary, matched once per
     article (up to ``chunk`` terms inside the scan, more through the phrase index); every search is filed under
@@ -96,11 +98,11 @@ def run_saved_searches(articles: DataFrame, searches: DataFrame, as_of, chunk: i
     filed = filed_searches(searches)
     words = filed.select(F.explode(F.array_distinct(F.concat("plain", "either", "without"))).alias("keyword")).distinct()
     words = words.select("keyword", F.expr("substring(keyword, 3)").alias("term"))
-    view = _search_view(articles)
+    view = _search_view(articles, keep)
     view = match_terms(view, words.filter("keyword like 's:%'"), how="substring", text=F.col("text"), out="loose", max_inline=chunk)
     view = match_terms(view, words.filter("keyword like 'x:%'"), how="word", text=F.col("text"), out="strict", max_inline=chunk, any_term=True)
     own = F.array(*[F.concat(F.lit(f"{column}:"), column) for _, column in _FACETS], F.lit("a:"))
-    probes = view.select("id", "published_at", *[c for _, c in _FACETS], F.concat("loose", "strict").alias("hits")).select("*", F.explode(F.concat("hits", own)).alias("anchor"))
+    probes = view.select("id", "kept", "published_at", *[c for _, c in _FACETS], F.concat("loose", "strict").alias("hits")).select("*", F.explode(F.concat("hits", own)).alias("anchor"))
     q = F.col("q")
     accepted = F.forall("plain", lambda t: F.array_contains("hits", t)) & ~F.arrays_overlap("without", "hits") & _dates_accept(q, F.col("published_at"), as_of)
     accepted = accepted & (~F.col("needs_either") | F.arrays_overlap("either", "hits"))
@@ -109,7 +111,7 @@ def run_saved_searches(articles: DataFrame, searches: DataFrame, as_of, chunk: i
     # A search filed under several alternatives counts where the article's first of them meets it.
     by_either = F.col("needs_either") & (F.size("plain") == 0)
     first = F.try_element_at(F.array_sort(F.array_intersect("either", "hits")), F.lit(1))
-    return probes.join(filed, "anchor").filter(accepted & (~by_either | (F.col("anchor") == first))).select("search_id", "id")
+    return probes.join(filed, "anchor").filter(accepted & (~by_either | (F.col("anchor") == first))).select("search_id", "id", "kept.*").drop("__")
 
 
 def alert_condition(c: Column) -> Column:
