@@ -202,13 +202,6 @@ def between_dates(ts: Column, date_from: str | None, date_to: str | None) -> Col
     return cond
 
 
-def filter_dates(df: DataFrame, as_of, name: str | None = None, date_from=None, date_to=None) -> DataFrame:
-    ts = F.col("published_at")
-    if name and name != "all":
-        df = df.filter(date_range_condition(ts, name, as_of))
-    return df.filter(between_dates(ts, date_from, date_to))
-
-
 def keyword_condition(keywords: Sequence[str]) -> Column:
     wanted = literal_strings(sorted({k.lower() for k in keywords}))
     return F.coalesce(F.arrays_overlap(lower_array(F.col("matched_keywords")), wanted), F.lit(False))

@@ -16,9 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mentionlake.session import shared_path
+
 SLOTS = 1 << 18
-#: Entries of a dictionary that are broadcast, if their texts together have at most so many bytes.
-FEW, FEW_BYTES = 100_000, 8 << 20
 #: Word runs, or any other single character.
 TOKEN = r"[a-z0-9_]+|[^a-z0-9_]"
 #: Words and the white space between them.
@@ -50,10 +50,11 @@ class Sieve:
         return F.conv(F.hex(self._byte(piece)), 16, 10).cast("int")
 
 
-def _sized(entries: DataFrame) -> DataFrame:
-    """``entries`` (with a column phrase), broadcast if counted and found small; else both sides are shuffled by phrase."""
-    size = entries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("phrase") + F.octet_length("keyword")).alias("bytes")).first()
-    return F.broadcast(entries) if size.n <= FEW and (size.bytes or 0) <= FEW_BYTES else entries
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """Written once and read back: used for the sieve and for the join, which Catalyst makes a broadcast only if the files are small."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _places(tokens: Column, test) -> Column:
@@ -69,7 +70,7 @@ def _run(tokens: Column, place: Column) -> Column:
 def word_pairs(rows: DataFrame, terms: DataFrame, ids: list[str], hay: str) -> DataFrame:
     """(ids, keyword), not distinct: every term found between word boundaries. ``hay`` is lower-case text; ``terms``: keyword, phrase (lower-case)."""
     cut = F.regexp_extract_all("phrase", F.lit(TOKEN), F.lit(0))
-    entries = terms.select("keyword", "phrase", F.size(cut).alias("k"), F.element_at(cut, 1).alias("head")).distinct()
+    entries = _stored(terms.select("keyword", "phrase", F.size(cut).alias("k"), F.element_at(cut, 1).alias("head")).distinct(), "phrases")
     lengths = sorted(r.k for r in entries.select("k").distinct().collect())  # as many as lengths of terms
     # Lengths beyond the seventh share one bit of the sieve.
     bit_of = {k: 1 << min(n, 7) for n, k in enumerate(lengths)}
@@ -92,7 +93,7 @@ def word_pairs(rows: DataFrame, terms: DataFrame, ids: list[str], hay: str) -> D
     # A run that follows a term's last run would be part of it; the first token of a term after a run is no run.
     spots = _places(tokens, sieve.passes)
     phrase = F.explode(F.array_distinct(F.flatten(F.transform(spots, phrases))))
-    return cut_rows.select(*ids, phrase.alias("phrase")).join(_sized(entries.select("phrase", "keyword")), "phrase").select(*ids, "keyword")
+    return cut_rows.select(*ids, phrase.alias("phrase")).join(entries.select("phrase", "keyword"), "phrase").select(*ids, "keyword")
 
 
 def _grams(token: Column) -> Column:
@@ -125,6 +126,7 @@ def substring_pairs(rows: DataFrame, terms: DataFrame, ids: list[str], hay: str)
         vocabulary.select("token", F.explode(_grams(F.col("token"))).alias("gram")).join(anchored, "gram").filter(F.contains("token", "anchor"))
         .select("token", "keyword", "phrase", (F.col("phrase") == F.col("anchor")).alias("sure"))
     )
+    resolved = _stored(resolved, "resolved-tokens")
     sieve = Sieve(resolved.select(F.col("token").alias("piece"), F.when(F.col("sure"), 1).otherwise(2).alias("mark")))
     reach = anchored.agg(F.max(F.size(F.regexp_extract_all("phrase", F.lit(PIECE), F.lit(0)))).alias("n")).first().n or 0
 

@@ -1,42 +1,5 @@
 """Explicit schemas; nothing in this package infers one."""
 
-# Rows produced by every acquisition job before matching and dedup.
-CANDIDATE_DDL = """
-  title string, url string, snippet string, description string, content string, author string,
-  published_at timestamp, source_name string, source_domain string, source_url string,
-  language string, country string, image_url string, media_type string, source_category string,
-  ingestion_source string, discovery_method string, external_id string, guid string,
-  engagement_score int, comment_count int, matched_keywords array<string>, matched_via string
-"""
-
-ARTICLE_DDL = """
-  id string, url string, external_id string, topic_id string, user_id string,
-  title string, snippet string, description string, content string, image_url string,
-  author string, author_name string, author_email string, author_url string,
-  source_id string, source_name string, source_domain string, source_url string,
-  source_category string, media_type string, country string, language string,
-  ingestion_source string, discovery_method string, matched_via string, ingestion_run_id string,
-  published_at timestamp, fetched_at timestamp, enriched_at timestamp,
-  sentiment string, sentiment_score double, relevance_score double, relevance_label string,
-  relevance_reason string, importance string, confidence double, primary_entity string,
-  matched_reason string, ai_summary string, key_themes array<string>, matched_keywords array<string>,
-  is_duplicate boolean, duplicate_of string, story_cluster_id string,
-  is_enriched boolean, is_major_outlet boolean, articles_era string,
-  engagement_score int, comment_count int, impressions int, clicks int, shares int, reach_estimate int
-"""
-
-SOURCE_DDL = """
-  id string, name string, domain string, rss_url string, source_type string, country_code string,
-  region string, language string, active boolean, approval_status string, health_status string,
-  consecutive_failures int, fetch_priority int, last_fetched_at timestamp, last_success_at timestamp
-"""
-
-REGISTRY_DDL = """
-  domain string, name string, country_code string, region string, language string,
-  source_type string, feed_url string, sitemap_url string, approval_status string,
-  active boolean, priority int
-"""
-
 SEARCH_QUERY_DDL = """
   terms array<struct<id: string, value: string, operator: string, exact: boolean>>,
   sources array<string>, countries array<string>, languages array<string>,

@@ -107,8 +107,3 @@ def discovery_items(raw_feeds: DataFrame, as_of, block: bool = True) -> DataFram
         U.domain_of(F.col("link")).alias("source_domain"),
     )
     return out.filter(~is_blocked(F.col("url"))) if block else out
-
-
-def feed_outcomes(raw_feeds: DataFrame) -> DataFrame:
-    """Fetch outcome per landed feed body, input of the health roll-up."""
-    return raw_feeds.select("source_id", F.coalesce("http_ok", F.lit(False)).alias("ok"), F.col("fetched_at").alias("at"))
