@@ -10,7 +10,7 @@ from mentionlake.plans import ingest
 from mentionlake.plans.oracle_base import sql
 from mentionlake.plans.queries_rows import ALERT_SQL, ORACLES as ROW_ORACLES, alert_rules
 from mentionlake.session import shared_path
-from mentionlake.sources import tables as T
+from mentionlake.sources import buckets, tables as T
 from mentionlake.streaming import jobs
 
 NOW = T.AS_OF
@@ -115,7 +115,7 @@ def alert_digest(s, d):
 def update_stream(s, d):
     a = T.articles_from_documents(s, d)
     snapshot = shared_path(s, "live")
-    a.filter("language = 'en'").select("id", "title", "fetched_at").write.parquet(f"{snapshot}/batch=-1")
+    buckets.create(snapshot, a.filter("language = 'en'").select("id", "title", "fetched_at"), "id")
     changes = a.filter("relevance_label = 'noise'").select("id", F.lit("seen").alias("title"), "fetched_at")
     jobs.update_stream(_landed(s, changes, "changes"), snapshot, shared_path(s, "live-state")).awaitTermination()
     return jobs.latest_snapshot(s, snapshot).select("id", "title")

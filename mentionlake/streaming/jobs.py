@@ -2,7 +2,8 @@
 scheduled ingest and registry changes.
 
 State is bounded by a watermark on the arrival time. Writers that keep a
-snapshot write one folder per batch id, so a replayed batch overwrites itself.
+snapshot rewrite only the hash buckets a batch touches, under its batch id, so
+a replayed batch overwrites itself.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from mentionlake.operators.dedup import first_per_key, top_per_key
 from mentionlake.operators.filters import visible
 from mentionlake.operators.registry import sync_registry
 from mentionlake.session import is_directory, path_exists, shared_path
+from mentionlake.sources.buckets import BUCKETS, is_bucketed, merge as merge_buckets, read as read_buckets
 from mentionlake.sources.sinks import apply_updates, upsert_ignore
 
 ARRIVAL_DELAY = "7 days"
@@ -95,21 +97,28 @@ def drain(df: DataFrame, label: str, mode: str = "append", keys: Sequence[str] =
     return out.drop("batch")
 
 
-def notification_feed(stream: DataFrame, snapshot: str, checkpoint: str, k: int = 20) -> StreamingQuery:
-    """Keep the newest ``k`` notifications per user in ``snapshot`` (one folder per batch)."""
+def notification_feed(stream: DataFrame, snapshot: str, checkpoint: str, k: int = 20, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the newest ``k`` notifications per user in ``snapshot``, bucketed by user.
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = latest_snapshot(spark, snapshot, batch_id)
+    A batch rewrites the lists of the buckets its users fall into; the snapshot holds at most
+    ``k`` rows per user, whatever has arrived. Of equal times the largest id counts as newest.
+    """
+
+    def newest(before: DataFrame | None, batch: DataFrame) -> DataFrame:
         rows = batch if before is None else before.unionByName(batch)
-        newest = top_per_key(rows.dropDuplicates(["id"]), ["user_id"], [F.col("created_at").desc(), F.col("id").desc()], k)
-        newest.write.mode("overwrite").parquet(f"{snapshot}/batch={batch_id}")
+        return top_per_key(rows.dropDuplicates(["id"]), ["user_id"], [F.col("created_at").desc(), F.col("id").desc()], k)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_buckets(snapshot, batch, batch_id, "user_id", newest, buckets)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
 
 
 def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """Newest batch folder below ``root`` (older than ``before``), or None."""
+    """Newest state below ``root`` (older than batch ``before``), or None: the current version of
+    every bucket, or the newest batch folder of a snapshot without buckets."""
+    if is_bucketed(spark, root):
+        return read_buckets(spark, root, before)
     if not path_exists(spark, root):
         return None
     jvm = spark.sparkContext._jvm
@@ -120,12 +129,19 @@ def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -
     return spark.read.parquet(f"{root}/batch={max(ids)}") if ids else None
 
 
-def update_stream(stream: DataFrame, snapshot: str, checkpoint: str, order: str = "fetched_at") -> StreamingQuery:
-    """Apply article updates to a snapshot that must already hold ``batch=-1``."""
+def update_stream(
+    stream: DataFrame, snapshot: str, checkpoint: str, order: str = "fetched_at", key: str = "id", buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Apply article updates to a snapshot made by ``buckets.create``; only touched buckets are rewritten.
+
+    Updates of unknown ids are ignored; of several updates of an id in a batch the latest counts.
+    """
+
+    def update(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return batch.limit(0) if before is None else apply_updates(before, batch, key, [F.col(order).desc()])
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        target = latest_snapshot(batch.sparkSession, snapshot, batch_id)
-        apply_updates(target, batch, order=[F.col(order).desc()]).write.mode("overwrite").parquet(f"{snapshot}/batch={batch_id}")
+        merge_buckets(snapshot, batch, batch_id, key, update, buckets)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
 
