@@ -138,13 +138,36 @@ def _rule_anchors(c: Column) -> Column:
     )
 
 
-def evaluate_alerts(articles: DataFrame, rules: DataFrame) -> DataFrame:
+#: A rule table up to these sizes is a decision table that every task holds whole.
+DECISION_ROWS = 10_000
+DECISION_CHARS = 8_000_000
+#: Pieces of an anchor in a larger table: facets of few values meet very many articles, keywords fewer.
+FACET_PIECES = 64
+KEYWORD_PIECES = 8
+
+
+def _pieces() -> Column:
+    return F.when(F.startswith("anchor", F.lit("k:")), KEYWORD_PIECES).otherwise(FACET_PIECES)
+
+
+def fits_in_a_task(anchors: DataFrame, rows: int = DECISION_ROWS, chars: int = DECISION_CHARS) -> bool:
+    """Whether a table of anchored rules is small in rows and text; reads at most ``rows + 1`` of them."""
+    sizes = anchors.select(F.length(F.to_json("c")).alias("n")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return sizes[0] <= rows and sizes[1] <= chars
+
+
+def evaluate_alerts(articles: DataFrame, rules: DataFrame, decision_rows: int = DECISION_ROWS) -> DataFrame:
     """(rule_id, rule_type, schedule, id, at) for every active rule that accepts an article.
 
     Works on batch and streaming articles; ``media`` rules see everything that is
     not social. Article and rule meet on category and one facet value (an
     equi-join), so an article is not paired with rules that cannot accept it. A
     rule reached through several keywords is kept for the first of them only.
+
+    A rule table of checked size is broadcast: articles stay where they are. A
+    larger one is joined on (category, anchor, piece): the articles of an anchor
+    are dealt to pieces by their id and its rules stand in every piece, so that an
+    anchor that every article has ("all rules") is spread over many tasks.
     """
     empty = F.array().cast("array<string>")
     parsed = rules.filter("active").select(
@@ -156,12 +179,14 @@ def evaluate_alerts(articles: DataFrame, rules: DataFrame) -> DataFrame:
     text = lambda name: F.coalesce(F.col(name), F.lit(""))
     own = F.array(*[F.concat(F.lit(p), text(n)) for p, n in (("s:", "source_name"), ("c:", "country"), ("t:", "sentiment"))], F.lit("a:"))
     keyed = articles.withColumn("category", category).select("*", F.explode(F.concat(_prefixed("k:", words), own)).alias("anchor"))
+    if fits_in_a_task(parsed, decision_rows):
+        met = keyed.join(F.broadcast(parsed), ["category", "anchor"])
+    else:
+        dealt = keyed.withColumn("piece", F.pmod(F.xxhash64("id"), _pieces()).cast("int"))
+        met = dealt.join(parsed.withColumn("piece", F.explode(F.sequence(F.lit(0), _pieces() - 1))), ["category", "anchor", "piece"])
     shared = F.array_sort(F.array_intersect(words, lower_array(F.coalesce(F.col("c.keywords"), empty))))
     once = ~F.startswith("anchor", F.lit("k:")) | (F.col("anchor") == F.concat(F.lit("k:"), F.try_element_at(shared, F.lit(1))))
-    return (
-        keyed.join(parsed, ["category", "anchor"]).filter(once & alert_condition(F.col("c")))
-        .select("rule_id", "rule_type", "schedule", "id", F.col("published_at").alias("at"))
-    )
+    return met.filter(once & alert_condition(F.col("c"))).select("rule_id", "rule_type", "schedule", "id", F.col("published_at").alias("at"))
 
 
 # Digest schedules as window lengths.

@@ -68,10 +68,11 @@ def stream_volume_sliding(s, d):
 @query("stream_bursts", sql("ev", """SELECT source_id, strftime(min(published_at), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS articles FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY published_at, id) AS burst FROM (SELECT *, CASE WHEN published_at >= lag(published_at) OVER (
   PARTITION BY source_id ORDER BY published_at, id) + INTERVAL 30 MINUTE OR lag(id) OVER (PARTITION BY source_id ORDER BY published_at, id) IS NULL THEN 1 ELSE 0 END AS fresh FROM ev))
-  GROUP BY source_id, burst HAVING max(published_at) + INTERVAL 30 MINUTE <= (SELECT max(published_at) FROM ev) - INTERVAL 1 HOUR"""))
+  GROUP BY source_id, burst"""))
 def stream_bursts(s, d):
-    """Closed bursts: those that ended before the watermark (newest event minus one hour)."""
-    return jobs.drain(jobs.stream_bursts(_events(s, d), delay="1 hour"), "bursts").select("source_id", _stamp("window_start"), "articles")
+    """All bursts: closed ones as the stream wrote them, those still open at the end of the input from its state."""
+    found = jobs.all_bursts(_events(s, d), shared_path(s, "bursts"), shared_path(s, "bursts-state"), delay="1 hour")
+    return found.select("source_id", _stamp("window_start"), "articles")
 
 
 @query("run_status", """SELECT strftime(CAST(ts AS DATE), '%Y%m%d') || '-' || user_id % 10 AS run_id, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY 1""")

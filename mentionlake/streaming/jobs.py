@@ -9,9 +9,11 @@ a replayed batch overwrites itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from mentionlake.operators import saved
 from mentionlake.operators.dedup import first_per_key, top_per_key
@@ -57,15 +59,81 @@ def stream_bursts(stream: DataFrame, gap: str = "30 minutes", by: Sequence[str]
     )
 
 
-def run_status(changes: DataFrame) -> DataFrame:
-    """Latest status per ingestion run; ``changes``: run_id, status, at. Of equal times the last status
-    in order counts. Update mode."""
-    return changes.groupBy("run_id").agg(F.max(F.struct("at", "status")).alias("last")).select("run_id", "last.status", "last.at")
+def open_bursts(spark: SparkSession, checkpoint: str, by: Sequence[str] = ("source_id",)) -> DataFrame:
+    """Bursts a stopped ``stream_bursts`` still holds open, read from its state."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(
+        *[F.col(f"value.{c}") for c in by], F.col("value.session_window.start").alias("window_start"),
+        F.col("value.session_window.end").alias("window_end"), F.col("value.count").alias("articles"),
+    )
+
+
+def all_bursts(
+    stream: DataFrame, target: str, checkpoint: str, gap: str = "30 minutes", by: Sequence[str] = ("source_id",), delay: str = ARRIVAL_DELAY
+) -> DataFrame:
+    """Take everything that has arrived; returns the bursts of all runs so far, ``open`` telling those that may grow.
+
+    A stream alone shows a burst once its watermark has passed it, so the last bursts of a
+    bounded input would never come out. They are read from the state after the run, which is left as
+    it is: the next run with the same ``checkpoint`` continues them.
+    """
+    spark = stream.sparkSession
+    bursts = stream_bursts(stream, gap, by, delay)
+    _write_batches(bursts, target, "append", checkpoint)
+    if not path_exists(spark, target):
+        return spark.createDataFrame([], bursts.schema).withColumn("open", F.lit(False))
+    closed = spark.read.schema(bursts.schema).parquet(target).select(*bursts.columns, F.lit(False).alias("open"))
+    return closed.unionByName(open_bursts(spark, checkpoint, by).withColumn("open", F.lit(True)))
+
+
+#: The status of a run that has not ended.
+RUNNING = "running"
 
 
-def is_fetching(status: DataFrame) -> DataFrame:
-    """One row: is any run still running, and how many."""
-    running = F.count(F.when(F.col("status") == "running", 1))
+def _track_run(stale_after_ms: int):
+    """State of one run: its last change. A run without changes for the given time is reported once more and forgotten."""
+
+    def track(key, frames, state):
+        import pandas as pd
+
+        row = lambda at, status, stale: pd.DataFrame({"run_id": [key[0]], "status": [status], "at": [at], "stale": [stale]})
+        last = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield row(*last, last[1] == RUNNING)
+            return
+        rank = lambda change: (change[0], change[1] is not None, change[1] or "")
+        changes = [(int(at), None if pd.isna(status) else status) for f in frames for at, status in zip(f["at_us"], f["status"])]
+        last = max(changes if last is None else [*changes, tuple(last)], key=rank)
+        state.update(last)
+        state.setTimeoutTimestamp(last[0] // 1000 + stale_after_ms)
+        yield row(*last, False)
+
+    return track
+
+
+def run_status(changes: DataFrame, stale_after: timedelta = timedelta(days=7), delay: str = "1 day") -> DataFrame:
+    """Latest status per ingestion run; ``changes``: run_id, status, at. Of equal times the last status
+    in order counts. Update mode.
+
+    A stream also tells ``stale``: a run that is still running when the watermark (the newest change
+    minus ``delay``) is ``stale_after`` beyond its last change. Its state goes then, as that of ended runs
+    does, so state holds the runs of a bounded time. Changes without a time or behind the
+    watermark take no part in a stream.
+    """
+    if not changes.isStreaming:
+        return changes.groupBy("run_id").agg(F.max(F.struct("at", "status")).alias("last")).select("run_id", "last.status", "last.at")
+    ms = max(1, int(stale_after.total_seconds() * 1000))
+    timed = changes.filter("at IS NOT NULL").withWatermark("at", delay).select("run_id", "status", "at", F.unix_micros("at").alias("at_us"))
+    out = f"run_id {changes.schema['run_id'].dataType.simpleString()}, status string, at long, stale boolean"
+    tracked = timed.groupBy("run_id").applyInPandasWithState(_track_run(ms), out, "at long, status string", "update", GroupStateTimeout.EventTimeTimeout)
+    return tracked.withColumn("at", F.timestamp_micros("at"))
+
+
+def is_fetching(status: DataFrame, count_stale: bool = True) -> DataFrame:
+    """One row: is any run still running, and how many; with ``count_stale=False`` runs given up do not count."""
+    counted = F.lit(True) if count_stale else ~F.coalesce("stale", F.lit(False))
+    running = F.count(F.when((F.col("status") == RUNNING) & counted, 1))
     return status.agg((running > 0).alias("fetching"), running.alias("running"))
 
 

@@ -1,12 +1,13 @@
 """Streams: late rows, replays, and equality with the batch operators."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from mentionlake.functions.scalars import literal_table
 from mentionlake.operators import aggregates as A, saved
+from mentionlake.operators.dedup import first_per_key
 from mentionlake.plans.queries_rows import alert_rules
 from mentionlake.session import shared_path
 from mentionlake.sources import tables as T
@@ -81,3 +82,49 @@ def test_bursts_close_after_the_gap(spark):
     out = jobs.drain(jobs.stream_bursts(T.event_articles(events), gap="2 hours", by=("source_category",), delay="1 hour"), "b")
     assert all(r.window_end > r.window_start for r in out.collect())
     assert isinstance(out.first().window_start, datetime)
+
+
+def _land(spark, path, ddl, rows, times):
+    df = literal_table(spark, ddl, rows)
+    df.select(*[F.col(c).cast("timestamp").alias(c) if c in times else F.col(c) for c in df.columns]).write.mode("append").parquet(path)
+
+
+def test_open_bursts_come_from_the_state_and_go_on_in_the_next_run(spark):
+    path, target, state = shared_path(spark, "b"), shared_path(spark, "bout"), shared_path(spark, "bstate")
+    read = lambda: spark.readStream.schema("source_id int, published_at timestamp").parquet(path)
+
+    def step(*rows):
+        _land(spark, path, "source_id int, published_at string", [(k, f"2024-03-01 {t}:00") for k, t in rows], ["published_at"])
+        found = jobs.all_bursts(read(), target, state, "30 minutes", delay="1 hour").collect()
+        return sorted((r.source_id, r.window_start.strftime("%H:%M"), r.articles, r.open) for r in found)
+
+    assert step((1, "08:00"), (1, "08:20"), (2, "08:10")) == [(1, "08:00", 2, True), (2, "08:10", 1, True)]
+    assert step((1, "08:45"), (1, "09:20")) == [(1, "08:00", 3, True), (1, "09:20", 1, True), (2, "08:10", 1, True)]
+    assert step((3, "12:00")) == [(1, "08:00", 3, False), (1, "09:20", 1, False), (2, "08:10", 1, False), (3, "12:00", 1, True)]
+
+
+def test_bursts_of_an_empty_folder(spark):
+    path = shared_path(spark, "none")
+    spark.range(0).select(F.lit(1).alias("source_id"), F.current_timestamp().alias("published_at")).write.parquet(path)
+    stream = spark.readStream.schema("source_id int, published_at timestamp").parquet(path)
+    assert jobs.all_bursts(stream, shared_path(spark, "o"), shared_path(spark, "s")).count() == 0
+
+
+def test_runs_without_an_end_turn_stale_and_leave_the_state(spark):
+    path, target, state = shared_path(spark, "r"), shared_path(spark, "rout"), shared_path(spark, "rstate")
+    read = lambda: spark.readStream.schema("run_id string, status string, at timestamp").parquet(path)
+
+    def step(*rows):
+        _land(spark, path, "run_id string, status string, at string", rows, ["at"])
+        status = jobs.run_status(read(), stale_after=timedelta(hours=6), delay="1 hour")
+        jobs._write_batches(status, target, "update", state)
+        last = first_per_key(spark.read.parquet(target), ["run_id"], [F.col("batch").desc()])
+        held = {r[0] for r in spark.read.format("statestore").load(state).filter("value.groupState.status IS NOT NULL").select("key.run_id").collect()}
+        return {r.run_id: (r.status, r.stale) for r in last.collect()}, held, jobs.is_fetching(last, count_stale=False).first().running
+
+    out, held, running = step(("a", "running", "2024-03-01 08:00:00"), ("a", "success", "2024-03-01 09:00:00"), ("b", "running", "2024-03-01 09:00:00"), ("x", "running", None))
+    assert out == {"a": ("success", False), "b": ("running", False)} and held == {"a", "b"} and running == 1
+    out, held, running = step(("c", "running", "2024-03-02 08:00:00"))
+    assert out == {"a": ("success", False), "b": ("running", True), "c": ("running", False)} and held == {"c"} and running == 1
+    out, held, running = step(("b", "success", "2024-03-02 08:30:00"), ("c", "failed", "2024-03-02 08:00:00"))
+    assert out == {"a": ("success", False), "b": ("success", False), "c": ("running", False)} and running == 1
