@@ -9,28 +9,67 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from mentionlake.functions import dates as D, text as X
 from mentionlake.operators.dedup import first_per_key
 from mentionlake.session import path_exists
+from mentionlake.sources.buckets import bucket_of
 
 
-def new_rows(existing: DataFrame | None, new: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Rows to append: the first of the batch per key whose key is not stored yet."""
-    first = first_per_key(new.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != ""), [key], order)
-    return first if existing is None else first.join(existing.select(key), key, "left_anti")
+#: Folders per day of an insert-ignore table, and the batch keys up to which stored keys stay where they are.
+KEY_BUCKETS = 8
+BUCKET_COLUMN = "key_bucket_of_"
+BATCH_KEYS = 200_000
+BATCH_CHARS = 32_000_000
+
+
+def _few(keys: DataFrame, rows: int) -> bool:
+    """Whether a column of keys is small in number and text; one row of sums reaches the driver."""
+    n, chars = keys.select(F.length(F.col(keys.columns[0]).cast("string")).alias("c")).agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    return n <= rows and chars <= BATCH_CHARS
 
 
-def upsert_ignore(target: str, new: DataFrame, key: str = "url", order: Sequence[Column] | None = None, time_column: str = "published_at") -> int:
-    """Append unseen rows to the Parquet table at ``target``, partitioned by day; returns their number.
+def new_rows(existing: DataFrame | None, new: DataFrame, key: str, order: Sequence[Column], batch_keys: int = BATCH_KEYS) -> DataFrame:
+    """Rows to append: the first of the batch per key whose key is not stored yet.
 
-    A stored row is never changed. The number comes from the write itself
-    (an observed metric), not from a second count.
+    Stored keys are first cut down to those of the batch. A batch of checked size is broadcast
+    for it, so the stored keys are filtered where they are read and only known keys meet the
+    batch; a larger one is joined by shuffle.
+    """
+    first = first_per_key(new.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != ""), [key], order)
+    if existing is None:
+        return first
+    stored = existing.select(key)
+    if _few(new.select(key), batch_keys):
+        stored = stored.join(F.broadcast(first.select(key)), key, "left_semi")
+    return first.join(stored, key, "left_anti")
+
+
+def upsert_ignore(
+    target: str, new: DataFrame, key: str = "url", order: Sequence[Column] | None = None, time_column: str = "published_at", buckets: int = KEY_BUCKETS
+) -> int:
+    """Append unseen rows to the Parquet table at ``target``, partitioned by day and bucket of the key; returns their number.
+
+    A stored row is never changed. Only the buckets that the batch's keys fall into are searched
+    for them, and of these only the key column; a table written without buckets is searched whole
+    and goes on without. The name of the folder column tells the number of buckets; it is fixed by the
+    first batch. The number of rows comes from the write itself (an observed metric), not from a second count.
     """
     spark = new.sparkSession
     existing = spark.read.parquet(target) if path_exists(spark, target) else None
-    rows = new_rows(existing, new, key, order or [F.col(key).asc()])
-    seen = Observation()
-    # Rebalancing gives few files per day and splits a day that is much larger than the rest.
-    dated = rows.withColumn("day", F.to_date(time_column)).hint("rebalance", "day")
-    dated.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("day").parquet(target)
-    return seen.get["n"]
+    column = f"{BUCKET_COLUMN}{buckets}" if existing is None else next((c for c in existing.columns if c.startswith(BUCKET_COLUMN)), None)
+    new = new.persist()
+    try:
+        place = {column: bucket_of(key, int(column.removeprefix(BUCKET_COLUMN)))} if column else {}
+        if existing is not None and column:
+            # At most as many numbers as there are buckets reach the driver.
+            touched = [r[0] for r in new.select(place[column]).distinct().collect()]
+            existing = existing.filter(F.col(column).isin(touched))
+        rows = new_rows(existing, new, key, order or [F.col(key).asc()])
+        seen = Observation()
+        # Rebalancing gives few files per folder and splits a day that is much larger than the rest.
+        folders = ["day", *place]
+        dated = rows.withColumns({"day": F.to_date(time_column)} | place).hint("rebalance", *folders)
+        dated.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*folders).parquet(target)
+        return seen.get["n"]
+    finally:
+        new.unpersist()
 
 
 def upsert_merge(target: DataFrame, new: DataFrame, keys: Sequence[str], update_cols: Sequence[str]) -> DataFrame:
