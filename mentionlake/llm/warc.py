@@ -5,6 +5,10 @@ records spread over it, stands in a leading skippable frame, and every record is
 frame of its own, so a reader can start at any record. Equal payloads are stored once: the
 other records are revisits that refer to the stored one. Reading goes the same way back, archive
 by archive.
+
+A task that is lost and run again, or runs twice, writes archives of its own: names tell the
+attempt. The list of archives, a small table in the folder, holds those of the attempts that
+counted; readers open what it names and nothing else.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ import hashlib
 import io
 import re
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -25,13 +30,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionlake.llm.common import ship, table
-from mentionlake.session import materialize, shared_path
+from mentionlake.session import shared_path
 
 LEAST_SHARED = 1_000
 #: Bytes of records in one archive before compression; a larger record has one to itself.
 ARCHIVE_BYTES = 16_000_000
 DICTIONARY_BYTES, SAMPLE_BYTES, SAMPLES_PER_DICTIONARY = 32_768, 600_000, 8
 LEVEL = 3
+#: The table of archives within their folder, and the pages a task unpacks at once.
+LIST = "_archives"
+PORTION = 64
 # The frame of a WARC file's dictionary, and the profile of a revisit.
 DICTIONARY_MAGIC = 0x184D2A5D
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,32 +113,31 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/(?!//)", "file:///", uri))
 
 
-def _writer(folder: str, date: str, limit: int):
+def _writer(folder: str, run_id: str, date: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
+        attempt = TaskContext.get().taskAttemptId()
         fs, root = _filesystem(folder)
         held, size, files = [], 0, []
 
         def flush() -> None:
-            """Write one archive under a name that a repeated task reuses, whole or not at all."""
+            """Write one archive under a name no other attempt has."""
             nonlocal size
-            name = f"{root}/part-{task.partitionId():05d}-{len(files):05d}.warc.zst"
-            draft = f"{root}/_draft-{task.taskAttemptId()}-{len(files)}"
+            name = f"{run_id}-{attempt:08d}-{len(files):05d}.warc.zst"
             body = pack(held, date)
-            with fs.open_output_stream(draft) as out:
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(body)
-            fs.move(draft, name)
             files.append((name, len(held), len(body)))
             held.clear()
             size = 0
 
         for batch in batches:
-            for row in batch.to_pylist():
-                record = page_record(row["key"], row["url"], row["payload"], row["digest"], row["size"], row["refers_to"], date)
-                if held and size + len(record) > limit:
-                    flush()
-                held.append(record)
-                size += len(record)
+            for start in range(0, batch.num_rows, PORTION):
+                for row in batch.slice(start, PORTION).to_pylist():
+                    record = page_record(row["key"], row["url"], row["payload"], row["digest"], row["size"], row["refers_to"], date)
+                    if held and size + len(record) > limit:
+                        flush()
+                    held.append(record)
+                    size += len(record)
         if held:
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in files], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["name", "records", "bytes"])
@@ -147,8 +154,10 @@ def write_archives(
     date: str = "2000-01-01T00:00:00Z", limit: int = ARCHIVE_BYTES,
 ) -> DataFrame:
     """Write one record per row of ``pages`` below ``folder``, a place every executor can write to;
-    returns (name, records, bytes) of the archives.
+    returns (name, records, bytes) of the archives. Archives that were there before are replaced, and
+    those of attempts that did not count are deleted.
 
+    Columns of ``pages`` but for the three named take no part, whatever their names.
     Of equal payloads of at least ``least`` bytes the one with the largest key is a response, the
     others are revisits. Rows that share the largest key are responses all; a null key is
     smaller than any other. A null html is an empty payload, a null url about:blank.
@@ -166,11 +175,43 @@ def write_archives(
     )
     fs, root = _filesystem(folder)
     fs.create_dir(root)
-    return materialize(records.mapInArrow(_writer(folder, date, limit), "name string, records long, bytes long"), "archive-list")
+    written = records.mapInArrow(_writer(folder, uuid.uuid4().hex, date, limit), "name string, records long, bytes long")
+    written.write.mode("overwrite").parquet(f"{folder}/{LIST}")
+    delete_strays(pages.sparkSession, folder)
+    return archives(pages.sparkSession, folder)
+
+
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, records, bytes) of the archives of a folder."""
+    return spark.read.schema("name string, records long, bytes long").parquet(f"{folder}/{LIST}")
+
+
+def _in_folder(folder: str, act: Callable[[pyarrow.fs.FileSystem, str, str], Iterator[pa.RecordBatch]]):
+    """Worker code that calls ``act`` for every name it is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _filesystem(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                yield from act(fs, root, name)
+
+    return run
+
+
+def delete_strays(spark: SparkSession, folder: str) -> None:
+    """Delete archives that the list does not name; only names are listed, and tasks delete."""
+
+    def drop(fs: pyarrow.fs.FileSystem, root: str, name: str) -> Iterator[pa.RecordBatch]:
+        if fs.get_file_info(f"{root}/{name}").type != pyarrow.fs.FileType.NotFound:
+            fs.delete_file(f"{root}/{name}")
+        yield pa.RecordBatch.from_pydict({"name": pa.array([name], pa.string())})
+
+    there = ship(spark).read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    there.join(archives(spark, folder), "name", "left_anti").mapInArrow(_in_folder(folder, drop), "name string").count()
 
 
 def read_archives(spark: SparkSession, folder: str, key_type: str = "long", with_payload: bool = False) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of the archives' records.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of the records of the listed archives.
 
     The size and digest of a response are taken from its payload and must agree with its headers.
     """
@@ -181,25 +222,26 @@ def read_archives(spark: SparkSession, folder: str, key_type: str = "long", with
         found = uri and uri.strip("<>").removeprefix(KEY_URI)
         return None if found in (None, "null") else found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for kind, headers, block in unpack(content.as_buffer().to_pybytes()):
-                    if kind == "warcinfo":
-                        continue
-                    digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    size, payload = int(headers["X-Payload-Length"]), None
-                    if kind == "response":
-                        payload = block[block.index(HEAD_END) + len(HEAD_END) :]
-                        if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
-                            raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
-                    rows.append((key_of(headers["WARC-Record-ID"]), size, digest, kind, key_of(headers.get("WARC-Refers-To")), payload))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names)
+    def records(fs: pyarrow.fs.FileSystem, root: str, name: str) -> Iterator[pa.RecordBatch]:
+        with fs.open_input_stream(f"{root}/{name}", compression=None) as source:
+            content = source.read()
+        rows = []
+        for kind, headers, block in unpack(content):
+            if kind == "warcinfo":
+                continue
+            digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+            size, payload = int(headers["X-Payload-Length"]), None
+            if kind == "response":
+                payload = block[block.index(HEAD_END) + len(HEAD_END) :]
+                if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
+                    raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
+            rows.append((key_of(headers["WARC-Record-ID"]), size, digest, kind, key_of(headers.get("WARC-Refers-To")), payload if with_payload else None))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names)
 
     schema = "key string, payload_bytes long, payload_digest string, record_type string, refers string" + (", payload binary" if with_payload else "")
-    files = ship(spark).read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    out = files.mapInArrow(run, schema)
+    # A list is small and its archives are large: its names are dealt to the tasks of a shuffle.
+    spread = archives(ship(spark), folder).select("name").repartition(spark.sparkContext.defaultParallelism * 4, "name")
+    out = spread.mapInArrow(_in_folder(folder, records), schema)
     return out.select(
         F.col("key").cast(key_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(key_type).alias("refers_to"), *names[5:]
     )

@@ -63,3 +63,28 @@ def test_empty_table(spark, tmp_path):
 def test_whole_table_equals_sql(spark):
     status, _, _, diff = compare(spark, duck(SMALL), W.op7_warc, W.OP7_SQL, SMALL)
     assert status == "ok", diff
+
+
+def test_archives_of_attempts_that_did_not_count_are_neither_read_nor_kept(spark, tmp_path):
+    folder = f"file:{tmp_path}/w"
+    rows = [(i, "u", f"page {i} " * 300, None) for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    first = {r.name for r in W.write_archives(frame.repartition(3), folder, limit=20_000).collect()}
+    # A lost or doubled attempt cuts the stream elsewhere and leaves archives the list does not name.
+    stray = W.pack([W.page_record(str(i), "u", rows[i][2].encode(), hashlib.sha1(rows[i][2].encode()).hexdigest(), len(rows[i][2]), None, "d") for i in range(9)], "d")
+    (tmp_path / "w" / "0-00000099-00000.warc.zst").write_bytes(stray)
+    assert sorted(r.page_id for r in W.read_archives(spark, folder).collect()) == list(range(40))
+    W.delete_strays(spark, folder)
+    on_disk = lambda: {f.name for f in (tmp_path / "w").glob("*.warc.zst")}
+    assert on_disk() == first
+    # Written again with other cuts, nothing is doubled and no former archive stays.
+    second = W.write_archives(frame.repartition(7), folder, limit=35_000)
+    assert on_disk() == {r.name for r in second.collect()} and not on_disk() & first
+    assert sorted(r.page_id for r in W.read_archives(spark, folder).collect()) == list(range(40))
+    assert second.groupBy().sum("records").first()[0] == 40
+
+
+def test_columns_with_clashing_names_take_no_part(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "u", "a" * 2000, "x", 7, "y"), (2, "u", "a" * 2000, "x", 8, "y")], "page_id long, url string, html string, payload string, size long, largest string")
+    W.write_archives(frame, f"file:{tmp_path}/w")
+    assert {(r.page_id, r.record_type, r.refers_to) for r in W.read_archives(spark, f"file:{tmp_path}/w").collect()} == {(2, "response", None), (1, "revisit", 2)}
