@@ -147,15 +147,18 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def _meta(docs: DataFrame, metadata: tuple[str, ...]) -> Column:
-    have = [F.col(c).cast("double") for c in metadata if c in docs.columns]
+    """The metadata numbers of a row; a missing, infinite or undefined one is null."""
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+    have = [finite(F.col(c).cast("double")) for c in metadata if c in docs.columns]
     return F.array(*have) if have else F.array().cast("array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("n_chars",), max_rows: int = 12_000) -> Machine:
     """A machine fitted on at most ``max_rows`` labelled rows, those of smallest hash; held-out rows are never read.
 
-    Only sparse vectors of these rows reach the driver. Rows without a label, id or document are
-    left out; without any the model is the constant one half.
+    Only sparse vectors of these rows reach the driver, ``max_rows`` of them also where ids repeat: then the
+    first in order of id and vector count. Of conflicting labels of an id the largest counts. Rows without a
+    label, id or document are left out; without any the model is the constant one half.
     """
     ship(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
@@ -169,14 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
     # The broadcast side has at most ``max_rows`` rows of two numbers.
     chosen = docs.join(F.broadcast(sample), docs[key] == F.col("__key")).select("__key", "__label", vectors(whole(text), _meta(docs, metadata)).alias("x"))
-    rows = sorted(chosen.select("__key", "__label", "x.slots", "x.shares").collect(), key=lambda r: (r[0], bytes(r[2])))[:max_rows]
+    rows = chosen.select("__key", "__label", "x.slots", "x.shares").orderBy("__key", "slots", "shares").limit(max_rows).collect()
     return fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], np.array([r[1] for r in rows], np.float32))
 
 
 def score_documents(docs: DataFrame, model: Machine, text: str = "text", metadata: tuple[str, ...] = ("n_chars",), out: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 in column ``out`` (replaced if it exists).
 
-    Empty and null texts are scored by their statistics; missing metadata has a bin of its own.
+    Empty and null texts are scored by their statistics; missing, infinite or undefined metadata has a bin of its own.
     """
     held = ship(docs.sparkSession).sparkContext.broadcast((model.bias, model.weights, model.vectors))
     machine: list[Machine] = []

@@ -184,6 +184,22 @@ def plain_base(text):
     return ",".join(f"{pii.KINDS[n]}:{a}:{b}" for a, n, b in sorted(out))
 
 
+def test_metadata_that_are_no_numbers_and_repeated_ids(spark):
+    odd = [float("nan"), float("inf"), float("-inf"), None, -3.0, 0.0, 1e300]
+    docs = spark.createDataFrame([(i % 20, f"some text {i % 30} here", odd[i % len(odd)]) for i in range(140)], "doc_id long, text string, n_chars double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(1, 0)], "doc_id long, quality int")
+    models = [M.train(d, labels, max_rows=15) for d in (docs, docs.repartition(7))]
+    assert (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+    scored = M.score_documents(docs, models[0]).collect()
+    assert len(scored) == 140 and all(0 <= r.score <= 1 for r in scored)
+    # What is not a finite number is scored as missing.
+    by_text = defaultdict(set)
+    for r in scored:
+        if r.n_chars is None or math.isnan(r.n_chars) or math.isinf(r.n_chars):
+            by_text[r.text].add(round(r.score, 9))
+    assert all(len(scores) == 1 for scores in by_text.values())
+
+
 def test_base_spans_equal_the_plain_patterns(spark, docs, odd):
     for data in (odd, docs.select("doc_id", "text"), table(spark, "/root/testdata/sf0.01", "documents")):
         for r in pii.with_spans(data, pii.Trees()).select("text", "base", "spans").collect():
