@@ -1,21 +1,26 @@
 """Token counts (operator 5): a two-tier lookup on the map side.
 
-A first pass over all documents lets every task keep the most frequent pre-tokens it saw;
-these bounded summaries are added up and the most frequent ones become a compact table
-(hash slot -> text, length) that is broadcast. The counting pass looks pre-tokens up there;
-those it misses are encoded by the worker's own coder, whose memory serves later batches.
-No pre-token is shuffled: only the summaries are, at most ``per_task`` rows a task. The table
-never changes a result, it only saves encoding.
+A first pass over all documents lets every task keep the most frequent pre-tokens it saw, as one
+row. These summaries of bounded size are merged in a tree, group by group of tasks, each merge
+again bounded, so no exchange is keyed by a pre-token and no task sees more than some summaries. The
+last one becomes a compact hash table of packed arrays (sorted hashes, places, bytes, lengths)
+that is broadcast. The counting pass looks the distinct pre-tokens of a block up there; those it
+misses are encoded by the worker's own coder, whose memory serves later blocks. The table never
+changes a result, it only saves encoding.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,22 +29,44 @@ from mentionlake.llm.common import ship, slices, table, whole
 
 #: Characters of text whose pre-tokens are held at once.
 BLOCK_CHARS = 4_000_000
+#: Longer pre-tokens are left to the workers' coders.
+TIER_CHARS = 512
+#: Groups of summaries in each round of merging.
+TREE = (4_096, 64, 1)
 
 
-def _summaries(spec, per_task: int):
+SUMMARY = "part long, words array<string>, counts array<long>"
+
+
+def _summary(part: int, seen: Counter, keep: int) -> pa.RecordBatch:
+    """One row: the ``keep`` most frequent pre-tokens, ties by the text."""
+    top = heapq.nsmallest(keep, seen.items(), key=lambda x: (-x[1], x[0]))
+    words, counts = pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), words, counts], ["part", "words", "counts"])
+
+
+def _summarise(spec, per_task: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen = worker_coder(spec), Counter()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for start, end in slices([len(t) for t in texts], BLOCK_CHARS):
                 for text in texts[start:end]:
-                    seen.update(coder.pretokens(text))
+                    seen.update(w for w in coder.pretokens(text) if isinstance(w, str))
                 if len(seen) > 50 * per_task:  # rare ones go; this tier needs the frequent ones only
                     seen = Counter(dict(seen.most_common(10 * per_task)))
-        top = [(w, n) for w, n in seen.most_common(per_task) if isinstance(w, str)]
-        yield pa.RecordBatch.from_pydict(
-            {"pretoken": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())}
-        )
+        yield _summary(TaskContext.get().partitionId(), seen, per_task)
+
+    return run
+
+
+def _merge(keep: int):
+    def run(group: pa.Table) -> pa.Table:
+        seen: Counter = Counter()
+        for words, counts in zip(group.column("words"), group.column("counts"), strict=True):
+            for word, n in zip(words.as_py(), counts.as_py(), strict=True):
+                seen[word] += n
+        return pa.Table.from_batches([_summary(group.column("part")[0].as_py(), seen, keep)])
 
     return run
 
@@ -50,8 +77,40 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str | Column = "text",
     Ties are broken by the text. An empty table gives no rows.
     """
     spec = ship(docs.sparkSession).sparkContext.broadcast(tokenizer_text(path))
-    parts = docs.select(whole(text).alias("text")).mapInArrow(_summaries(spec, per_task), "pretoken string, n long")
-    return parts.groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(top)
+    parts = docs.select(whole(text).alias("text")).mapInArrow(_summarise(spec, per_task), SUMMARY)
+    for groups in TREE:
+        parts = parts.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInArrow(_merge(top), SUMMARY)
+    return parts.select(F.explode(F.arrays_zip(F.col("words").alias("pretoken"), F.col("counts").alias("n"))).alias("x")).select("x.pretoken", "x.n")
+
+
+@dataclass
+class Tier:
+    """A hash table of texts and their numbers of tokens in four arrays."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    text: bytes
+    lengths: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str], lengths: list[int]) -> Tier:
+        raw = [w.encode() for w in words]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        order = np.argsort(hashes, kind="stable")
+        starts = np.concatenate([[0], np.cumsum([len(raw[i]) for i in order])]).astype(np.int64)
+        return cls(hashes[order], starts, b"".join(raw[i] for i in order), np.array(lengths, np.int64)[order])
+
+    def find(self, words: list[str]) -> dict[str, int]:
+        """The lengths of the words it holds; a hash alone decides nothing, the bytes must agree."""
+        if not len(self.hashes) or not words:
+            return {}
+        raw = [w.encode() for w in words]
+        wanted = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        held = np.flatnonzero(self.hashes[at] == wanted)
+        at = at[held]
+        found = zip(held.tolist(), self.starts[at].tolist(), self.starts[at + 1].tolist(), self.lengths[at].tolist(), strict=True)
+        return {words[i]: n for i, start, end, n in found if self.text[start:end] == raw[i]}
 
 
 def count_tokens(docs: DataFrame, path: str, text: str | Column = "text", out: str = "n_tokens", top: int = 32_768) -> DataFrame:
@@ -62,24 +121,24 @@ def count_tokens(docs: DataFrame, path: str, text: str | Column = "text", out: s
     """
     spark = ship(docs.sparkSession)
     source = tokenizer_text(path)
-    # At most ``top`` rows reach the driver; their lengths come from the same coder.
-    words = [r.pretoken for r in frequent_pretokens(docs, path, text, top).collect()]
-    lengths = np.array([len(ids) // 4 for ids in Coder(source).learn(words)] if words else [], np.int64)
+    # At most ``top`` rows of at most TIER_CHARS characters reach the driver; their lengths come from the same coder.
+    frequent = frequent_pretokens(docs, path, text, top).filter(F.length("pretoken") <= TIER_CHARS)
+    words = [r.pretoken for r in frequent.collect()]
+    tier = Tier.of(words, [len(ids) // 4 for ids in Coder(source).learn(words)] if words else [])
     spec = spark.sparkContext.broadcast(source)
-    tier = spark.sparkContext.broadcast((words, lengths.tobytes()))
-    frequent: dict[str, int] = {}  # filled once in each task
+    held = spark.sparkContext.broadcast((tier.hashes, tier.starts, tier.text, tier.lengths))
 
     @F.arrow_udf("long")
     def count(column: pa.Array) -> pa.Array:
-        coder = worker_coder(spec)
-        if not frequent:
-            frequent.update(zip(tier.value[0], np.frombuffer(tier.value[1], np.int64).tolist(), strict=True))
+        coder, known = worker_coder(spec), Tier(*held.value)
         texts, totals = column.to_pylist(), []
         for start, end in slices([len(t) for t in texts], BLOCK_CHARS):
             cut = [coder.pretokens(t) for t in texts[start:end]]
-            missed = list(set(chain.from_iterable(cut)).difference(frequent))
-            rest = {w: len(ids) // 4 for w, ids in zip(missed, coder.learn(missed), strict=True)}
-            totals += [sum(frequent[w] if w in frequent else rest[w] for w in words) for words in cut]
+            distinct = set(chain.from_iterable(cut))
+            sizes = known.find([w for w in distinct if isinstance(w, str)])
+            missed = list(distinct.difference(sizes))
+            sizes.update((w, len(ids) // 4) for w, ids in zip(missed, coder.learn(missed), strict=True))
+            totals += [sum(map(sizes.__getitem__, words)) for words in cut]
         return pa.array(totals, pa.int64())
 
     return docs.withColumn(out, count(whole(text)))

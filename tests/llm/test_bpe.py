@@ -61,6 +61,26 @@ def test_a_frequent_pretoken_may_have_any_length(spark, copies):
     assert [r.n_tokens for r in token_counts.count_tokens(docs, path).collect()] == [want] * copies
 
 
+def test_the_table_tells_texts_of_equal_hashes_apart():
+    words = [f"w{i}é" for i in range(2_000)]
+    tier = token_counts.Tier.of(words, list(range(2_000)))
+    assert tier.find([*words[::7], "absent", ""]) == {w: int(w[1:-1]) for w in words[::7]}
+    tier.text = tier.text.replace("w70é".encode(), "x70é".encode())
+    assert "w70é" not in tier.find(words) and len(tier.find(words)) == 1_999
+    assert token_counts.Tier.of([], []).find(words) == {} and tier.find([]) == {}
+
+
+def test_summaries_are_merged_in_a_tree_without_a_key_of_texts(spark):
+    from conftest import plan_text
+
+    docs = spark.range(0, 300, 1, 40).selectExpr("id as doc_id", "concat('the the of w', id % 3) as text")
+    found = token_counts.frequent_pretokens(docs, bpe.default_path("word_bpe_49k.json"), top=4)
+    plan = plan_text(found)
+    assert "hashpartitioning(pretoken" not in plan and plan.count("hashpartitioning(part") == len(token_counts.TREE)
+    counts = {r.pretoken.strip(" \u2581\u0120"): r.n for r in found.collect()}
+    assert counts["of"] == 300 and len(counts) <= 4
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(none, bpe.default_path("word_bpe_49k.json")).count() == 0
