@@ -138,7 +138,7 @@ def _rule_anchors(c: Column) -> Column:
     )
 
 
-#: A rule table up to these sizes is a decision table that every task holds whole.
+#: A rule table up to these sizes is a decision table that Catalyst lets every task hold whole.
 DECISION_ROWS = 10_000
 DECISION_CHARS = 8_000_000
 #: Pieces of an anchor in a larger table: facets of few values meet very many articles, keywords fewer.
@@ -164,8 +164,8 @@ def evaluate_alerts(articles: DataFrame, rules: DataFrame, decision_rows: int =
     equi-join), so an article is not paired with rules that cannot accept it. A
     rule reached through several keywords is kept for the first of them only.
 
-    A rule table of checked size is broadcast: articles stay where they are. A
-    larger one is joined on (category, anchor, piece): the articles of an anchor
+    A rule table of checked size is joined as it is: below Catalyst's own limit for a
+    broadcast, so articles stay where they are. A larger one is joined on (category, anchor, piece): the articles of an anchor
     are dealt to pieces by their id and its rules stand in every piece, so that an
     anchor that every article has ("all rules") is spread over many tasks.
     """
@@ -180,10 +180,11 @@ def evaluate_alerts(articles: DataFrame, rules: DataFrame, decision_rows: int =
     own = F.array(*[F.concat(F.lit(p), text(n)) for p, n in (("s:", "source_name"), ("c:", "country"), ("t:", "sentiment"))], F.lit("a:"))
     keyed = articles.withColumn("category", category).select("*", F.explode(F.concat(_prefixed("k:", words), own)).alias("anchor"))
     if fits_in_a_task(parsed, decision_rows):
-        met = keyed.join(F.broadcast(parsed), ["category", "anchor"])
+        met = keyed.join(parsed, ["category", "anchor"])
     else:
         dealt = keyed.withColumn("piece", F.pmod(F.xxhash64("id"), _pieces()).cast("int"))
-        met = dealt.join(parsed.withColumn("piece", F.explode(F.sequence(F.lit(0), _pieces() - 1))), ["category", "anchor", "piece"])
+        # Catalyst does not count the copies of a rule: a merge join keeps it from broadcasting them.
+        met = dealt.join(parsed.withColumn("piece", F.explode(F.sequence(F.lit(0), _pieces() - 1))).hint("merge"), ["category", "anchor", "piece"])
     shared = F.array_sort(F.array_intersect(words, lower_array(F.coalesce(F.col("c.keywords"), empty))))
     once = ~F.startswith("anchor", F.lit("k:")) | (F.col("anchor") == F.concat(F.lit("k:"), F.try_element_at(shared, F.lit(1))))
     return met.filter(once & alert_condition(F.col("c"))).select("rule_id", "rule_type", "schedule", "id", F.col("published_at").alias("at"))

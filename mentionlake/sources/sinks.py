@@ -12,33 +12,23 @@ from mentionlake.session import path_exists
 from mentionlake.sources.buckets import bucket_of
 
 
-#: Folders per day of an insert-ignore table, and the batch keys up to which stored keys stay where they are.
+#: Folders per day of an insert-ignore table.
 KEY_BUCKETS = 8
 BUCKET_COLUMN = "key_bucket_of_"
-BATCH_KEYS = 200_000
-BATCH_CHARS = 32_000_000
 
 
-def _few(keys: DataFrame, rows: int) -> bool:
-    """Whether a column of keys is small in number and text; one row of sums reaches the driver."""
-    n, chars = keys.select(F.length(F.col(keys.columns[0]).cast("string")).alias("c")).agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    return n <= rows and chars <= BATCH_CHARS
-
-
-def new_rows(existing: DataFrame | None, new: DataFrame, key: str, order: Sequence[Column], batch_keys: int = BATCH_KEYS) -> DataFrame:
+def new_rows(existing: DataFrame | None, new: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """Rows to append: the first of the batch per key whose key is not stored yet.
 
-    Stored keys are first cut down to those of the batch. A batch of checked size is broadcast
-    for it, so the stored keys are filtered where they are read and only known keys meet the
-    batch; a larger one is joined by shuffle.
+    Stored keys are first cut down to those of the batch. Catalyst broadcasts a batch that it
+    knows to be small, so the stored keys are filtered where they are read and only known keys
+    meet the batch; a larger batch is joined by one shuffle, which both joins share.
     """
     first = first_per_key(new.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != ""), [key], order)
     if existing is None:
         return first
-    stored = existing.select(key)
-    if _few(new.select(key), batch_keys):
-        stored = stored.join(F.broadcast(first.select(key)), key, "left_semi")
-    return first.join(stored, key, "left_anti")
+    known = existing.select(key).join(first.select(key), key, "left_semi")
+    return first.join(known, key, "left_anti")
 
 
 def upsert_ignore(

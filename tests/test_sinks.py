@@ -1,6 +1,5 @@
-"""The insert-ignore sink: what it reads of the stored table, large batches, and tables of either layout."""
+"""The insert-ignore sink: what it reads of the stored table, and tables of either layout."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from mentionlake.session import shared_path
@@ -27,10 +26,9 @@ def test_only_touched_buckets_are_searched_and_stored_keys_are_not_shuffled(spar
     assert "LeftSemi, BuildRight" in plan.split("Physical Plan")[1]
 
 
-@pytest.mark.parametrize("batch_keys", [0, sinks.BATCH_KEYS])
-def test_batches_of_any_size_give_the_same_rows(spark, batch_keys):
+def test_the_first_row_of_an_unknown_key_is_new(spark):
     batch = _urls(spark, 5, 15).unionByName(_urls(spark, 12, 15)).unionByName(_urls(spark, 0, 1).withColumn("url", F.lit(None).cast("string")))
-    rows = sinks.new_rows(_urls(spark, 0, 10), batch, "url", [F.col("id")], batch_keys)
+    rows = sinks.new_rows(_urls(spark, 0, 10), batch, "url", [F.col("id")])
     assert sorted(r.id for r in rows.collect()) == list(range(10, 15))
 
 
