@@ -53,6 +53,11 @@ def _noon(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_timestamp(F.concat(parts, F.lit(" 12:00:00")), F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
+def _digits(value: Column, least: int, most: int | None = None) -> Column:
+    """Whether a text is that many ASCII digits; false for NULL."""
+    return F.coalesce(value.rlike(rf"^[0-9]{{{least},{most or least}}}$"), F.lit(False))
+
+
 def date_from_url(url: Column, as_of) -> Column:
     """Publication day written in a URL path (noon UTC), if it lies in (2000-01-01, as_of + 1 day)."""
     upper = as_timestamp(as_of) + F.expr("INTERVAL 1 DAY")
@@ -61,20 +66,31 @@ def date_from_url(url: Column, as_of) -> Column:
     def plausible(ts: Column) -> Column:
         return F.when((ts > lower) & (ts < upper), ts)
 
-    def dated(p: Column, pattern: str) -> Column:
-        return F.when(p.rlike(pattern), _noon(*[F.regexp_extract(p, pattern, i) for i in (1, 2, 3)]))
-
-    slashed = r"/(\d{4})/(\d{1,2})/(\d{1,2})(?:/|$)"
-    dashed = r"(?:-|/)(\d{4})-(\d{2})-(\d{2})(?:/|$)"
-    named = rf"(?i)/(\d{{4}})/({'|'.join(C.URL_MONTHS)})(?:/|$)"
-    months = literal_map(C.URL_MONTHS)
-    packed = r"[/-](\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?:[/-]|$)"
+    def days(p: Column) -> Column:
+        """Per shape of path the first date written in it, read segment by segment."""
+        segments = F.split(F.lower(p), "/")
+        words = F.transform(segments, lambda s: F.split(s, "-"))
+        triple = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+        runs = F.transform(segments, lambda s, i: triple(s, F.get(segments, i + 1), F.get(segments, i + 2)))
+        ends = F.transform(F.filter(words, lambda w: F.size(w) >= 3), lambda w: triple(*[F.element_at(w, k) for k in (-3, -2, -1)]))
+        packed = F.transform(
+            F.filter(F.flatten(words), lambda w: _digits(w, 8)),
+            lambda w: triple(F.substring(w, 1, 4), F.substring(w, 5, 2), F.substring(w, 7, 2)),
+        )
+        first = lambda rows, fits: F.get(F.filter(rows, lambda r: _digits(r["y"], 4) & fits(r)), F.lit(0))
+        months = literal_map(C.URL_MONTHS)
+        named = first(runs, lambda r: F.map_contains_key(months, F.coalesce(r["m"], F.lit(""))))
+        numeric = F.coalesce(
+            first(runs, lambda r: _digits(r["m"], 1, 2) & _digits(r["d"], 1, 2)),
+            first(ends, lambda r: _digits(r["m"], 2) & _digits(r["d"], 2)),
+        )
+        by_name = triple(named["y"], F.try_element_at(months, named["m"]).cast("string"), F.lit("15"))
+        real = lambda r: r["m"].cast("int").between(1, 12) & r["d"].cast("int").between(1, 31)
+        return F.array(numeric, F.when(named.isNotNull(), by_name), first(packed, real))
 
     def found(p: Column) -> Column:
-        numeric = F.when(p.rlike(slashed), dated(p, slashed)).otherwise(dated(p, dashed))
-        month = F.try_element_at(months, F.lower(F.regexp_extract(p, named, 2)))
-        by_name = F.when(p.rlike(named), _noon(F.regexp_extract(p, named, 1), month.cast("string"), F.lit("15")))
-        return F.coalesce(plausible(numeric), plausible(by_name), plausible(dated(p, packed)))
+        dates = F.transform(days(p), lambda r: plausible(_noon(r["y"], r["m"], r["d"])))
+        return F.get(F.filter(dates, lambda t: t.isNotNull()), F.lit(0))
 
     return let(path(url), lambda p: F.when(p.rlike(r"\d{4}"), found(p)))
 

@@ -85,6 +85,17 @@ def test_slug_and_hash(value):
     ("https://e.com/2024/03/12/", None),
     ("https://e.com/2024/13/40/", None),
     ("https://e.com/plain", None),
+    ("https://e.com/2023/2024/3/5", datetime(2024, 3, 5, 12)),
+    ("https://e.com/2024//3/5", None),
+    ("https://e.com/x2024/3/5", None),
+    ("https://e.com/2024-03-05-x", None),
+    ("https://e.com/2024-03-05/x", datetime(2024, 3, 5, 12)),
+    ("https://e.com/a-20241340-20240305-b", datetime(2024, 3, 5, 12)),
+    ("https://e.com/x20240305", None),
+    ("https://e.com/2024/13/40/20240305", datetime(2024, 3, 5, 12)),
+    ("https://e.com/2020/Sept/x", None),
+    ("https://e.com/2020/SEP", datetime(2020, 9, 15, 12)),
+    (None, None),
 ])
 def test_date_from_url(value, url, out):
     assert value(lambda c: D.date_from_url(c, NOW), url) == out

@@ -72,6 +72,15 @@ def test_extract_pages(spark):
     assert (two.published_at, two.body_text, two.lang, two.canonical_url) == (datetime(2024, 3, 1), "plain", None, "https://w.com/2024/3/5/b")
 
 
+def test_attributes_in_any_order(spark):
+    html = """<HTML data-lang='xx' lang='pt'><meta content="2024-01-09" name='parsely-pub-date'><link href="https://c.com/x/" hreflang="de" rel='canonical'>
+<meta content='It is "ours"' property="og:site_name"></HTML><nav class=a>n</nav ><navigation>kept</navigation><NAV>n</nav>"""
+    raw = literal_table(spark, "url string, html string", [("https://w.com/a", html), ("https://w.com/b", ""), ("https://w.com/c", None)])
+    one, two, three = P.extract_pages(raw, NOW).orderBy("url").collect()
+    assert (one.lang, one.site_name, one.published_at, one.canonical_url, one.body_text) == ("pt", 'It is "ours"', datetime(2024, 1, 9), "https://c.com/x", "kept")
+    assert (two.lang, two.site_name, two.published_at, two.body_text) == (None, None, None, "") and three.canonical_url == "https://w.com/c"
+
+
 def test_listing_links(spark):
     html = "".join(f'<a class="x" href="{u}">{t}</a>' for u, t in [
         ("https://www.w.com/2024/03/x?utm_source=a", "A long enough title"), ("https://other.com/2024/03/x", "A long enough title"), ("https://w.com/short", "A long enough title"),
