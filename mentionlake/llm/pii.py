@@ -1,12 +1,16 @@
 """Personal data (operator 6): candidate generators, boosted trees, calibrated thresholds.
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers; their spans always
-stand. High-recall generators propose looser, overlapping spans. Format and context of each
-candidate are binned into a feature vector of a few small integers, so the whole corpus
-reduces to counts per vector (at most ``VECTORS`` rows, whatever the input). Boosted trees are
-fitted on those counts, with candidates that hold a base span as positives; a calibration fold
-gives each generator the lowest score at which its candidates are precise enough. The trees
-become one SQL expression: no Python touches a document.
+stand. High-recall generators propose what those rules cannot read: spelled-out and bracketed
+addresses, defanged and version 6 IP addresses, card groups inside longer runs, numbers without
+a country code. Format and context of each proposal are binned into a feature vector of a few small
+integers, so the whole corpus reduces to counts per vector (at most ``VECTORS`` rows, whatever the
+input). Boosted trees are fitted on those counts. Their labels do not come from the base rules'
+tests: positives are the corpus' own base spans rewritten, in their own context, into forms that the
+rules miss; negatives are decoys (rewritten numbers that break their check digit or range, or stand
+behind "version", "order no." and the like) and every proposal in the texts that touches no base span. A
+third of the documents calibrates: each generator gets the lowest score at which its proposals are
+precise enough. The trees become one SQL expression: no Python touches a document.
 """
 
 from __future__ import annotations
@@ -34,17 +38,29 @@ BASE = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 
-#: Looser shapes; spans of different generators may overlap.
+AT = r"(?:\x20?(?:@|[(\[{<](?:at|AT)[)\]}>])\x20?|\x20(?:at|AT)\x20)"
+DOT = r"(?:\.|\x20\.\x20|\x20?[(\[{<](?:dot|DOT|\.)[)\]}>]\x20?|\x20(?:dot|DOT)\x20)"
+
+#: Looser shapes: (name, what a text must hold, pattern); spans of different generators may overlap.
 GENERATORS = (
-    ("email", r"[A-Za-z0-9]", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{2,63}+){1,4}+"),
-    ("ip", r"[0-9]", r"(?<![0-9.,])[0-9]{1,3}+(?:\x20?[.,]\x20?[0-9]{1,3}+){3}+(?![0-9])"),
-    ("number", r"[0-9]", r"(?<![0-9])\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){8,22}+(?![0-9])"),
-)
-GENERATOR_NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\x20?[.,]\x20?[0-9]", "number": r"[0-9](?:[\x20()./-]{0,2}[0-9]){8}"}
-CUES = r"(?i)(?:tel|phone|call|fax|mobile|mobil|contact|contacto|kontakt|e-?mail|courriel|correo|card|carte|karte|tarjeta|visa|host|server|addr)[a-z]*[\x20:.]*$"
-
-#: Each feature and the number of its values.
-FEATURES = {"generator": 3, "digits": 7, "first": 4, "separator": 5, "groups": 5, "luhn": 2, "octets": 2, "before": 3, "after": 3, "cue": 2, "tail": 2}
+    (
+        "email",
+        rf"@|[(\[{{<](?:at|AT)[)\]}}>]|\x20(?:at|AT)\x20[A-Za-z0-9-]{{1,63}}+{DOT}[A-Za-z0-9]",
+        rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{AT}[A-Za-z0-9-]{{1,63}}+(?:{DOT}[A-Za-z0-9-]{{2,63}}+){{1,4}}+",
+    ),
+    ("ip", r"[0-9][^0-9]{1,5}[0-9]", rf"(?<![0-9.,])[0-9]{{1,3}}+(?:(?:\x20?,\x20?|{DOT})[0-9]{{1,3}}+){{3}}+(?![0-9])"),
+    ("ip6", r":[0-9A-Fa-f]{0,4}:", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}+:?[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}+(?![0-9A-Za-z:])"),
+    ("number", r"[0-9](?:[\x20()./-]{0,3}[0-9]){8}", r"(?<![0-9])\+?\(?[0-9](?:[\x20()./-]{0,3}[0-9]){8,22}+(?![0-9])"),
+    ("card", r"[0-9]{4}[\x20./-]{0,3}[0-9]{4}", r"(?<![0-9])(?:[0-9]{12,19}+|[0-9]{4}(?:[\x20./-]{1,3}[0-9]{4}){3})(?![0-9])"),
+)
+#: Words before a span that speak for it, and words that speak against it.
+CUES = r"(?i)(?:tel|phone|call|fax|mobile|mobil|contact|contacto|kontakt|e-?mail|courriel|correo|card|carte|karte|tarjeta|visa|host|server|addr)[a-z]*(?:\x20(?:no|nr|number))?[\x20:.]*$"
+COUNTER_CUES = r"(?i)(?<![a-z])(?:version|ver|v|build|release|section|chapter|order|invoice|ref|reference|isbn|item|serial|sku|part|page|figure|date|no|nr)[\x20:.#]*$"
+
+#: Each feature and the number of its values; a generator leaves those that say nothing about it at 0.
+FEATURES = {
+    "generator": 5, "digits": 7, "first": 5, "separator": 5, "groups": 5, "luhn": 2, "octets": 2, "at": 3, "dot": 3, "before": 3, "after": 3, "cue": 3, "tail": 2,
+}
 VECTORS = math.prod(FEATURES.values())
 
 TREES, RATE, LEAST = 24, 0.4, 2.0
@@ -127,34 +143,98 @@ def candidates(text: Column) -> Column:
     """array<struct<start,end,x>>: the spans of all generators with their feature vectors."""
 
     def features(n: int, hit: Column, before: Column, after: Column) -> Column:
-        digits = digits_of(hit)
-        marks = [hit.contains(c).cast("int") for c in (" ", "-", ".", "(")]
-        kinds = reduce(lambda a, b: a + b, marks)
-        single = F.when(marks[0] == 1, 1).when(marks[1] == 1, 2).when(marks[2] == 1, 3).otherwise(4)
+        name, digits = GENERATORS[n][0], digits_of(hit)
+        spelled = lambda word, sign: F.when(hit.rlike(rf"(?i)[(\[{{<](?:{word}|\.)[)\]}}>]"), 1).when(hit.rlike(rf"(?i)\x20{word}\x20"), 2).otherwise(F.lit(sign))
         values = {
-            "generator": F.lit(n),
-            "digits": _bin(F.length(digits), [1, 9, 12, 16, 17, 20]),
-            "first": F.when(hit.startswith("+"), 1).when(hit.startswith("("), 2).when(hit.rlike("^[0-9]"), 0).otherwise(3),
-            "separator": F.when((kinds == 0) | F.lit(n == 0), 0).when(kinds == 1, single).otherwise(4),
-            "groups": F.least(F.size(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))), F.lit(5)) - F.least(F.size(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))), F.lit(1)),
-            "luhn": F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False).cast("int"),
-            "octets": F.translate(hit, ", ", ".").rlike(OCTETS).cast("int"),
-            "before": _side(F.right(before, F.lit(1))),
-            "after": _side(after),
-            "cue": before.rlike(CUES).cast("int"),
-            "tail": hit.rlike(r"[A-Za-z]{2,6}$").cast("int"),
-        }
-        return F.struct(*[values[f].alias(f) for f in FEATURES])
+            "generator": F.lit(n), "before": _side(F.right(before, F.lit(1))), "after": _side(after),
+            "cue": F.when(before.rlike(CUES), 1).when(before.rlike(COUNTER_CUES), 2).otherwise(0),
+        }
+        if name == "email":
+            values |= {"at": spelled("at", 0), "dot": spelled("dot", 0), "tail": hit.rlike(r"[A-Za-z]{2,6}$").cast("int")}
+        elif name == "ip":
+            values |= {
+                "separator": F.when(hit.contains(","), 1).when(hit.contains(" "), 2).otherwise(0), "dot": spelled("dot", 0),
+                "octets": F.regexp_replace(hit, "[^0-9]+", ".").rlike(OCTETS).cast("int"),
+            }
+        elif name == "ip6":
+            values |= {"groups": _bin(F.size(F.split(hit, ":")), [4, 6, 7, 8]), "tail": hit.rlike("[0-9A-Fa-f]{3}").cast("int")}
+        else:
+            marks = [hit.contains(c).cast("int") for c in (" ", "-", ".", "/")]
+            single = F.when(marks[0] == 1, 1).when(marks[1] == 1, 2).otherwise(3)
+            values |= {
+                "digits": _bin(F.length(digits), [1, 9, 12, 16, 17, 20]),
+                "first": F.when(hit.startswith("+"), 1).when(hit.startswith("("), 2).when(hit.startswith("00"), 3).when(hit.rlike("^(?:19|20)[0-9]{2}[^0-9]"), 4).otherwise(0),
+                "separator": F.when(reduce(lambda a, b: a + b, marks) > 1, 4).when(reduce(lambda a, b: a + b, marks) == 1, single).otherwise(0),
+                "groups": _bin(F.size(F.split(hit, "[^0-9]+")), [2, 3, 4, 5]),
+                "luhn": F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False).cast("int"),
+            }
+        return F.struct(*[values.get(f, F.lit(0)).alias(f) for f in FEATURES])
 
     def of(n: int) -> Column:
-        name, _, pattern = GENERATORS[n]
+        _, needs, pattern = GENERATORS[n]
         found = F.transform(places(text, pattern), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), features(n, c["hit"], c["before"], c["after"]).alias("x")))
         inner = ",".join(f"{f}:int" for f in FEATURES)
-        return F.when(text.rlike(GENERATOR_NEEDS[name]), found).otherwise(F.array().cast(f"array<struct<start:int,end:int,x:struct<{inner}>>>"))
+        return F.when(text.rlike(needs), found).otherwise(F.array().cast(f"array<struct<start:int,end:int,x:struct<{inner}>>>"))
 
     return F.concat(*[of(n) for n in range(len(GENERATORS))])
 
 
+def rewritten(text: Column) -> Column:
+    """array<struct<text,start,end,good>>: what each base span of the text teaches.
+
+    Good ones are the span in forms that the base rules do not read, others are decoys made of it; each
+    stands in a short text of its own with the characters around the span.
+    """
+
+    def forms(kind: str, hit: Column) -> tuple[list[Column], list[tuple[str | None, Column]]]:
+        """(good forms, decoys); a decoy may bring the words before it."""
+        digits = digits_of(hit)
+        if kind == "email":
+            local, host = F.substring_index(hit, "@", 1), F.substring_index(hit, "@", -1)
+            dotted = lambda at, dot: F.concat(local, F.lit(at), F.replace(host, F.lit("."), F.lit(dot)))
+            return [dotted(" (at) ", "."), dotted("(at)", "(dot)"), dotted("[at]", "[dot]"), dotted(" at ", " dot "), dotted(" @ ", ".")], [
+                (None, F.concat(F.lit("look at "), host)), (None, F.concat(F.lit("us at "), F.replace(host, F.lit("."), F.lit(" . ")))),
+            ]
+        if kind == "ip":
+            dotted = lambda value, dot: F.replace(value, F.lit("."), F.lit(dot))
+            wrong = F.regexp_replace(hit, r"^[0-9]+", "999")
+            colons = lambda width, size: F.regexp_replace(F.left(F.sha2(hit, 256), F.lit(size)), rf"(.{{{width}}})(?=.)", "$1:")
+            return [dotted(hit, "[.]"), dotted(hit, " . "), dotted(hit, " dot "), colons(4, 32), F.concat(colons(4, 12), F.lit("::1"))], [
+                (None, dotted(wrong, "[.]")), (None, dotted(wrong, " . ")), (None, dotted(wrong, " dot ")), ("version ", dotted(hit, " . ")), ("section ", dotted(hit, ", ")),
+                (None, dotted(hit, ", ")), (None, colons(2, 12)), (None, F.concat_ws(":", F.lit("12"), F.lit("30"), F.lit("45"))),
+            ]
+        if kind == "card":
+            last = F.pmod(F.right(digits, F.lit(1)).cast("int") + 1, F.lit(10)).cast("string")
+            wrong = F.concat(F.left(digits, F.length(digits) - 1), last)
+            apart = lambda value, mark: F.regexp_replace(value, "([0-9]{4})(?=[0-9])", f"$1{mark}")
+            return [apart(digits, "."), apart(digits, " / "), F.concat(digits, F.lit(" "), digits)], [
+                (None, wrong), (None, apart(wrong, ".")), (None, apart(wrong, " / ")), (None, apart(wrong, " ")), ("order no. ", wrong), ("order no. ", digits),
+            ]
+        national, groups = F.regexp_replace(hit, r"^\+[0-9]{1,3}[\x20.-]*", ""), F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))
+        joined = lambda mark: F.array_join(F.slice(groups, F.lit(2), F.size(groups)), mark)
+        return [
+            national, joined(" "), joined("-"), joined("."), F.concat(F.lit("("), F.regexp_replace(joined(" "), "^[0-9]+", "$0)")),
+            F.concat(F.lit("00"), F.substring(hit, F.lit(2), F.length(hit))), F.concat(F.lit("00"), F.array_join(groups, " ")),
+        ], [
+            ("order no. ", digits), ("invoice ", joined(".")), ("ref ", national), ("item ", joined("-")), ("order ", joined(" ")),
+            (None, F.lit("2024-01-15 10.22.33")), (None, F.lit("2023/11/05 - 2024/02/17")),
+        ]
+
+    def of(kind: str) -> Column:
+        def taught(x: Column) -> Column:
+            good, decoys = forms(kind, x["hit"])
+            rows = [(x["before"], form, True) for form in good] + [(x["before"] if words is None else F.lit(words), form, False) for words, form in decoys]
+            return F.array(*[
+                F.struct(F.concat(b, form, x["after"]).alias("text"), F.length(b).alias("start"), (F.length(b) + F.length(form)).alias("end"), F.lit(label).alias("good"))
+                for b, form, label in rows
+            ])
+
+        none = F.array().cast("array<struct<text:string,start:int,end:int,good:boolean>>")
+        return F.when(text.rlike(NEEDS[kind]), F.flatten(F.transform(F.filter(places(text, BASE[kind]), lambda x: _passes(kind, x["hit"])), taught))).otherwise(none)
+
+    return F.concat(*[of(kind) for kind in KINDS])
+
+
 def overlaps(spans: Column, c: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
 
@@ -184,11 +264,8 @@ class Trees:
             total = total + F.when(x[f] == v, left).otherwise(right)
         return total
 
-    def selects(self, c: Column) -> Column:
-        chosen = F.lit(False)
-        for generator, threshold in self.thresholds.items():
-            chosen = chosen | ((c["x"]["generator"] == generator) & (self.expression(c["x"]) >= threshold))
-        return chosen
+    def selects(self, generator: Column, score: Column) -> Column:
+        return reduce(lambda a, g: a | ((generator == g) & (score >= self.thresholds[g])), sorted(self.thresholds), F.lit(False))
 
 
 def _best_split(rows: list[tuple[dict[str, int], float, float]]) -> tuple[str, int]:
@@ -248,16 +325,20 @@ def fit_trees(counts: list[tuple[dict[str, int], int, int, int]]) -> Trees:
 
 
 def train(docs: DataFrame, text: str = "text") -> Trees:
-    """Fit on the candidates of all documents. What reaches the driver is one row of counts per
-    distinct feature vector and fold: at most ``VECTORS * 2`` rows at any input size."""
+    """Fit on the proposals of all documents and on their rewritten base spans.
+
+    What reaches the driver is one row of counts per distinct feature vector and fold: at most
+    ``VECTORS * 2`` rows at any input size. All that comes from one text is in one fold.
+    """
     body = whole(text)
-    found = docs.filter(body.rlike("[0-9@]|[(\\[]at[)\\]]")).select(body.alias("t"))
-    found = found.withColumn("base", base_spans(F.col("t"))).withColumn("all", candidates(F.col("t"))).select("t", "base", F.explode("all").alias("c"))
-    rows = found.select(
-        *[F.col(f"c.x.{f}").alias(f) for f in FEATURES],
-        (F.pmod(F.xxhash64("t", "c.start"), F.lit(3)) > 0).cast("int").alias("fold"),
-        overlaps(F.col("base"), F.col("c")).alias("good"),
-    )
+    wide = "|".join(f"(?:{needs})" for _, needs, _ in GENERATORS)
+    texts = docs.filter(body.rlike(wide)).select(body.alias("t"), (F.pmod(F.xxhash64(body), F.lit(3)) > 0).cast("int").alias("fold"))
+    free = F.filter(candidates(F.col("t")), lambda c: ~overlaps(F.col("base"), c))
+    raw = texts.withColumn("base", base_spans(F.col("t"))).select("fold", F.explode(free).alias("c"), F.lit(False).alias("good"))
+    short = texts.select("fold", F.explode(rewritten(F.col("t"))).alias("s"))
+    covers = lambda c: F.least(c["end"], F.col("s.end")) - F.greatest(c["start"], F.col("s.start")) >= 0.45 * (F.col("s.end") - F.col("s.start"))
+    taught = short.select("fold", F.explode(F.filter(candidates(F.col("s.text")), covers)).alias("c"), F.col("s.good").alias("good"))
+    rows = raw.unionByName(taught).select(*[F.col(f"c.x.{f}").alias(f) for f in FEATURES], "fold", "good")
     counts = rows.groupBy(*FEATURES, "fold").agg(F.count_if("good").alias("p"), F.count_if(~F.col("good")).alias("n"))
     return fit_trees(sorted(((({f: r[f] for f in FEATURES}), r.fold, r.p, r.n) for r in counts.collect()), key=lambda r: (tuple(r[0].values()), r[1])))
 
@@ -266,23 +347,39 @@ def with_spans(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """``docs`` with base (the base rules' spans) and spans (those and the trees' own), each sorted
     array<struct<start,kind,end>>, columns of these names replaced.
 
-    An added span never overlaps a base span or an earlier added one. A null or empty text has none.
+    An added span never overlaps a base span; of two proposals that overlap the one with the higher
+    score stays, of equal ones the earlier, longer one. A null or empty text has none.
     """
     body = whole(text)
+    email, ip, ip6 = 0, 1, 2
+    proposal = "struct<start:int,back:int,kind:int,end:int,score:double>"
+
+    def scored(c: Column) -> Column:
+        x = c["x"]
+        kind = F.when(x["generator"] == email, 0).when(x["generator"].isin(ip, ip6), 1).when((x["digits"] >= 3) & ~x["first"].isin(1, 2, 3), 2).otherwise(3)
+        row = lambda score: F.when(
+            model.selects(x["generator"], score),
+            F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), kind.alias("kind"), c["end"].alias("end"), score.alias("score")),
+        )
+        return let(model.expression(x), row)
+
+    def apart(found: Column) -> Column:
+        """The proposals in order, each compared with the last one that stands."""
 
-    def chosen(c: Column, base: Column) -> Column:
-        kind = F.when(c["x"]["generator"] == 0, 0).when(c["x"]["generator"] == 1, 1).when(c["x"]["digits"] >= 3, 2).otherwise(3)
-        return F.when(model.selects(c) & ~overlaps(base, c), F.struct(c["start"].alias("start"), kind.alias("kind"), c["end"].alias("end")))
+        def step(a: Column, s: Column) -> Column:
+            free = F.struct(s.alias("last"), F.when(a["last"].isNotNull(), F.array_append(a["out"], a["last"])).otherwise(a["out"]).alias("out"))
+            better = F.struct(s.alias("last"), a["out"].alias("out"))
+            return F.when(a["last"].isNull() | (s["start"] >= a["last"]["end"]), free).when(s["score"] > a["last"]["score"], better).otherwise(a)
 
-    def apart(spans: Column) -> Column:
-        step = lambda a, s: F.when(s["start"] >= a["end"], F.struct(s["end"].alias("end"), F.array_append(a["out"], s).alias("out"))).otherwise(a)
-        return F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{SPAN}>").alias("out")), step)["out"]
+        zero = F.struct(F.lit(None).cast(proposal).alias("last"), F.array().cast(f"array<{proposal}>").alias("out"))
+        return F.aggregate(found, zero, step, lambda a: F.when(a["last"].isNotNull(), F.array_append(a["out"], a["last"])).otherwise(a["out"]))
 
     docs = docs.withColumn("base", base_spans(body))
     added = F.array().cast(f"array<{SPAN}>")
     if model.thresholds:
-        own = F.filter(F.transform(candidates(body), lambda c: chosen(c, F.col("base"))), lambda s: s.isNotNull())
-        added = apart(F.sort_array(own))
+        free = F.filter(candidates(body), lambda c: ~overlaps(F.col("base"), c))
+        own = F.filter(F.transform(free, scored), lambda s: s.isNotNull())
+        added = F.transform(apart(F.sort_array(own)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return docs.withColumn("spans", F.sort_array(F.concat("base", added)))
 
 

@@ -224,6 +224,60 @@ def test_trees_add_spans_and_keep_base_ones(spark):
     assert frame.select(model.expression(pii.F.col("x"))).first()[0] == pytest.approx(model.margin(x))
 
 
+def checked(digits):
+    """The digits with the check digit that makes them pass."""
+    return next(digits + d for d in "0123456789" if luhn(digits + d))
+
+
+def planted(i):
+    """(kind, what no base rule reads, a decoy that looks like it), in forms of their own."""
+    card = checked(f"45{i * 7919 + 10**12:013d}")
+    wrong = card[:-1] + str((int(card[-1]) + 3) % 10)
+    cut = lambda digits, mark: mark.join(digits[k : k + 4] for k in range(0, 16, 4))
+    return [
+        ("email", f"ann{i}{{at}}web{i}.example.org", f"talk at site{i}.example.org"), ("email", f"bo.{i} AT post DOT example DOT net", f"stay at home{i} . then go"),
+        ("email", f"cy-{i} <at> mail <dot> org", f"{i} (at) night"), ("ip", f"10(.){i % 250}(.)7(.)9", f"{300 + i}(.){i % 250}(.)7(.)9"),
+        ("ip", f"192 DOT 168 DOT {i % 250} DOT 4", f"release 192 . 168 . {i % 250} . 4"), ("ip", f"fe80:{i:04x}:1a2b:3c4d:5e6f:7081:92a3:b4c5", f"0a:1b:2c:3d:4e:{i % 100:02d}"),
+        ("card", cut(card, "/"), cut(wrong, "/")), ("card", cut(card, "."), cut(wrong, ".")),
+        ("phone", f"(0{200 + i}) 555 {1000 + i}", f"ref (0{200 + i}) 555 {1000 + i}"), ("phone", f"0044 20 7946 {1000 + i}", f"order no. 442079461{1000 + i}"),
+    ]
+
+
+def planted_figures(spark, sf_dir):
+    """Per kind (planted, found, decoys taken) of 200 planted strings and 200 decoys put into the given documents, and other added spans."""
+    texts = [r.text or "" for r in table(spark, sf_dir, "documents").orderBy("doc_id").collect()]
+    wanted = [p for i in range(20) for p in planted(i)]
+    rows = []
+    for i, text in enumerate(texts):
+        kind, good, decoy = wanted[i % 200] if i < 400 else (None, "", "")
+        put, words = (good if i < 200 else decoy), text.split(" ")
+        half = " ".join(words[: len(words) // 2]) + " so "
+        rows.append((i, kind, i < 200, len(half), len(half) + len(put), half + put + " and " + " ".join(words[len(words) // 2 :])))
+    data = spark.createDataFrame(rows, "doc_id long, kind string, good boolean, start int, end int, text string").repartition(8)
+    figures, other = defaultdict(lambda: [0, 0, 0]), 0
+    for r in pii.with_spans(data, pii.train(data)).collect():
+        assert ",".join(f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" for s in r.base) == plain_base(r.text)
+        own = [s for s in r.spans if s not in r.base]
+        assert all(s.start < s.end <= len(r.text) for s in own) and all(a.end <= b.start for a, b in zip(own, own[1:], strict=False))
+        assert not any(a.start < b.end and b.start < a.end for a in own for b in r.base)
+        hits = [s for s in own if s.start < r.end and s.end > r.start] if r.kind else []
+        other += len(own) - len(hits)
+        if r.kind and r.good:
+            figures[r.kind][0] += 1
+            figures[r.kind][1] += any(pii.KINDS[s.kind] == r.kind and (s.start, s.end) == (r.start, r.end) for s in hits)
+        elif r.kind:
+            figures[r.kind][2] += bool(hits)
+    return dict(figures), other
+
+
+def test_planted_forms_are_found_and_decoys_left(spark):
+    figures, other = planted_figures(spark, "/root/testdata/sf0.1")
+    print(figures, other)
+    found, taken = (sum(f[k] for f in figures.values()) for k in (1, 2))
+    assert sum(f[0] for f in figures.values()) == 200
+    assert found >= 180 and taken <= 20 and other <= 10, (figures, other)
+
+
 def test_personal_data_of_the_whole_table(spark):
     texts = {r.doc_id: r.text for r in table(spark, SMALL, "documents").collect()}
     frame = pii.op6_pii(spark, SMALL)
