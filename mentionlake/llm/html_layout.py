@@ -57,7 +57,18 @@ TAG_BODY = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-MAX_INDENT, MAX_PAD = 20, 60
+#: Bounds of the layout, none of which loses text: levels of indentation and of cells kept as boxes, width a
+#: column is padded to, lines of a cell printed beside others, rows a cell reaches down.
+MAX_INDENT, MAX_PAD, MAX_BESIDE, MAX_DOWN = 20, 60, 12, 100
+
+
+@dataclass
+class Cell:
+    """The lines of a table cell and the columns and rows it covers."""
+
+    lines: list[str]
+    span: int = 1
+    down: int = 1
 
 
 @dataclass
@@ -95,7 +106,9 @@ class Element:
     box: Box | None = None
     #: Number of the next item of an ordered list, or rows of a table.
     count: int | None = None
-    rows: list[list[tuple[str, int]]] | None = None
+    rows: list[list[Cell]] | None = None
+    #: Rows that a cell covers.
+    down: int = 1
     summary_only: bool = False
     #: Part of an SVG or MathML tree.
     foreign: bool = False
@@ -238,8 +251,7 @@ class Page:
                 e.box = Box()
                 self.boxes.append(e.box)
             if name in ("td", "th"):
-                span = a.get("colspan", "1").strip()
-                e.count = min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,6}", span) else 1
+                e.count, e.down = covered(a.get("colspan", ""), 1000), covered(a.get("rowspan", ""), MAX_DOWN)
             if name == "table":
                 e.rows = []
             if name == "tr" and (owner := self.nearest("table")):
@@ -292,11 +304,11 @@ class Page:
             if e.name in ("td", "th"):
                 box.end_line()
                 owner = self.nearest("table")
-                cell = " ".join(line for line in box.lines if line)
+                lines = box.lines if len(self.boxes) < MAX_INDENT else [" ".join(filter(None, box.lines))]
                 if owner is not None:
                     if not owner.rows:
                         owner.rows.append([])
-                    owner.rows[-1].append((cell, e.count or 1))
+                    owner.rows[-1].append(Cell(lines, e.count or 1, e.down))
             elif e.name == "blockquote":
                 outer.end_line(blank=True)
                 outer.take(box, *(["> "] * 2 if len(self.boxes) < MAX_INDENT else ["", ""]))
@@ -309,8 +321,15 @@ class Page:
             return
         if e.name == "table":
             box.end_line(blank=True)
-            for line in aligned(e.rows or []):
-                box.put(line)
+            rows = e.rows or []
+            if is_layout(rows):
+                for cell in (c for row in rows for c in row):
+                    for line in cell.lines:
+                        box.put(line)
+                    box.blank = len(cell.lines) > 1
+            else:
+                for line in aligned(rows):
+                    box.put(line)
             box.blank = True
         elif e.name in BLOCK or e.foreign and e.name == "text":
             box.end_line(blank=e.name in SPACED)
@@ -330,25 +349,63 @@ class Page:
         return "\n".join(line.replace("\xa0", " ").rstrip() for line in self.root.lines)
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Cells padded to the width of their column (at most ``MAX_PAD``; longer cells stay whole)."""
-    widths: dict[int, int] = {}
+def covered(value: str, most: int) -> int:
+    """A colspan or rowspan as a number from 1 to ``most``."""
+    return min(most, max(1, int(value))) if re.fullmatch(r"[0-9]{1,6}", value := value.strip()) else 1
+
+
+def is_layout(rows: list[list[Cell]]) -> bool:
+    """Whether a table arranges blocks: one column, or a cell too tall or too wide to stand beside others."""
+    blocks = [c for row in rows for c in row if len(c.lines) > 1]
+    alone = all(len(row) < 2 for row in rows)
+    return bool(blocks) and (alone or any(len(c.lines) > MAX_BESIDE or max(map(len, c.lines)) > MAX_PAD for c in blocks))
+
+
+def placed(rows: list[list[Cell]]) -> Iterator[list[tuple[int, Cell]]]:
+    """Each row's cells with their first columns, beside the cells that reach down from rows above."""
+    reaching: list[tuple[int, int, int]] = []
     for row in rows:
-        column = 0
-        for cell, span in row:
-            if span == 1:
-                widths[column] = max(widths.get(column, 0), min(MAX_PAD, len(cell)))
-            column += span
+        column, at, out, new = 0, 0, [], []
+        for cell in row:
+            while at < len(reaching) and reaching[at][0] < column + cell.span:
+                column = max(column, reaching[at][1])
+                at += 1
+            out.append((column, cell))
+            if cell.down > 1:
+                new.append((column, column + cell.span, cell.down))
+            column += cell.span
+        reaching = sorted((start, end, left - 1) for start, end, left in reaching + new if left > 1)
+        yield out
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Cells side by side, line by line, padded to the width of their columns (at most ``MAX_PAD``; longer cells stay whole)."""
+    grid = list(placed(rows))
+    widths: dict[int, int] = {}
+    for row in grid:
+        for column, cell in row:
+            if cell.span == 1:
+                widths[column] = max(widths.get(column, 0), min(MAX_PAD, max(map(len, cell.lines), default=0)))
+    most = MAX_PAD * 4
+
+    def across(start: int, end: int) -> int:
+        gaps = 2 * (end - start - 1)
+        return most if gaps >= most else min(most, gaps + sum(widths.get(c, 0) for c in range(start, end)))
+
     out = []
-    for row in rows:
-        column, parts = 0, []
-        for cell, span in row:
-            width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-            parts.append(cell.ljust(min(width, MAX_PAD * 4)))
-            column += span
-        line = "  ".join(parts).rstrip()
-        if line:
-            out.append(line)
+    for row in grid:
+        parts: list[tuple[int, list[str]]] = []
+        column = 0
+        for start, cell in row:
+            if start > column:
+                parts.append((across(column, start), []))
+            parts.append((across(start, start + cell.span), cell.lines))
+            column = start + cell.span
+        height = max((len(lines) for _, lines in parts), default=0)
+        for k in range(height):
+            line = "  ".join((lines[k] if k < len(lines) else "").ljust(width) for width, lines in parts).rstrip()
+            if line or height > 1:
+                out.append(line)
     return out
 
 

@@ -19,7 +19,14 @@ CASES = {
     "<ul><li>one<li>two<ul><li>in</ul><li>three</ul>": "- one\n- two\n  - in\n- three",
     "<ol start=9><li>x</li><li>y<p>more</ol>": "9. x\n10. y\n\n    more",
     "<table><tr><th>name<th>n<tr><td>long name<td>1<tr><td colspan=2>whole row here, wide</table>": "name       n\nlong name  1\nwhole row here, wide",
-    "a<table><td>b<table><td>c</table><td>d</table>e": "a\n\nb c  d\n\ne",
+    # Cells are boxes: a table in a cell stands below the cell's text, not on its line.
+    "a<table><td>b<table><td>c</table><td>d</table>e": "a\n\nb  d\n\nc\n\ne",
+    "<table><tr><td><p>First para.<p>Second.<ul><li>a<li>b</ul><td>x<br>y<tr><td>z<td>w</table>": "First para.  x\n             y\nSecond.\n\n- a\n- b\nz            w",
+    "<table><tr><td><h1>Head</h1><p>text<tr><td>foot</table>": "Head\n\ntext\n\nfoot",
+    "<table><tr><td>menu<td><p>" + "long " * 20 + "<p>more<tr><td>l<td>r</table>": "menu\n" + ("long " * 20).strip() + "\n\nmore\n\nl\nr",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+    "<table><tr><td>a<td rowspan=3 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>": "a  b   c\nd      e\nf      g",
+    "<table><td><pre>x  y\n z</pre><td>q</table>": "x  y  q\n z",
     "<p hidden>no<p style='display: none'>no<p>yes<div style='visibility:hidden'>no<p>no</div>": "yes",
     "<details><summary>head</summary>no</details><details open><summary>h</summary>yes</details>": "head\nh\nyes",
     "<pre>a  b\n  c\n\nd</pre>x  y": "a  b\n  c\n\nd\n\nx y",
@@ -81,6 +88,14 @@ def test_hostile_markup_is_read_in_about_linear_time(piece):
     assert time.process_time() - start < 8
 
 
+@pytest.mark.parametrize("piece", ["<table><td>x", "<table><td>x<br>y<td>z", "<tr><td>x<p>y<td rowspan=65000 colspan=1000>z", "<tr><td rowspan=65000>x<td>y", "<td>x<br>y<td>"])
+def test_hostile_tables_are_read_in_about_linear_time(piece):
+    start = time.process_time()
+    text = H.render("<table>" + piece * 20_000)
+    assert time.process_time() - start < 8 and len(text) < 100_000_000
+    assert text.count("x") == 20_000
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (1, "", "x"), (1, "<p>a", "x"), (None, "<p>a", None), (1, "<p>a", "x")]
     got = H.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
