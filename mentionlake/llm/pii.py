@@ -333,8 +333,9 @@ def train(docs: DataFrame, text: str = "text") -> Trees:
     body = whole(text)
     wide = "|".join(f"(?:{needs})" for _, needs, _ in GENERATORS)
     texts = docs.filter(body.rlike(wide)).select(body.alias("t"), (F.pmod(F.xxhash64(body), F.lit(3)) > 0).cast("int").alias("fold"))
-    free = F.filter(candidates(F.col("t")), lambda c: ~overlaps(F.col("base"), c))
-    raw = texts.withColumn("base", base_spans(F.col("t"))).select("fold", F.explode(free).alias("c"), F.lit(False).alias("good"))
+    # The base spans are evaluated once a text: named inside the filter alone, they would be once a proposal.
+    free = let(base_spans(F.col("t")), lambda base: F.filter(candidates(F.col("t")), lambda c: ~overlaps(base, c)))
+    raw = texts.select("fold", F.explode(free).alias("c"), F.lit(False).alias("good"))
     short = texts.select("fold", F.explode(rewritten(F.col("t"))).alias("s"))
     covers = lambda c: F.least(c["end"], F.col("s.end")) - F.greatest(c["start"], F.col("s.start")) >= 0.45 * (F.col("s.end") - F.col("s.start"))
     taught = short.select("fold", F.explode(F.filter(candidates(F.col("s.text")), covers)).alias("c"), F.col("s.good").alias("good"))
