@@ -8,9 +8,11 @@ threshold. The join is exact and avoids enumerating groups of copies:
    word they share is among the first size - t + l of each, so their first l shared words are a key of both
    for any l up to t. Keys have one word, or two if the first is frequent.
 3. In a key that few sets hold, all of them are compared. In a crowded one, every set is compared with the earliest
-   (the leader); sets similar to it need no further comparison inside that key. If others remain, the key
-   is extended by every next word of its sets, round by round, until few hold it. Sets that need no more shared words
-   than the key has are similar to one another and are linked to the first of them.
+   (the leader); sets similar to it need no further comparison inside that key. If others remain, their pairs are
+   compared where they are few beside the entries of longer keys; else the key is extended by every next word of its sets.
+   Longer keys are kept, and extended in turn, only where they at least halve the pairs: in a key of sets that share
+   a passage they would not, and their number would multiply round by round, so there the key's own pairs are compared.
+   Sets that need no more shared words than the key has are similar to one another and are linked to the first of them.
 4. Before the words of a pair are compared, their numbers and the places of the key must allow enough shared words.
 
 The resulting links hold, for every set, its earliest similar set, and connect
@@ -27,6 +29,11 @@ from mentionlake.session import materialize
 
 FREQUENT_WORD = 2000
 SMALL_GROUP = 64
+#: So many pairs cost less than one more entry, which is written, shuffled and grouped.
+PAIRS_PER_ENTRY = 16
+#: Sets of a key that one task compares with all others of it.
+BLOCK = 1000
+_SLIM = ["a.sid as a", "b.sid as b", "b.ord as b_ord", "b.first_id as b_first"]
 _UNDATED = -(2**62)
 
 
@@ -82,14 +89,25 @@ def _keys(frequent: int) -> Column:
     return F.transform(_entries(frequent), lambda e: e["key"])
 
 
+def _last_place(member: str) -> Column:
+    """The last place where the next shared word can stand."""
+    size = F.size(f"{member}.words")
+    return F.least(size, size - F.col(f"{member}.need") + F.col("depth") + 1)
+
+
 def _extended(member: str = "m") -> Column:
     """(key, at, depth) one word longer: with every later word that can be the next shared one."""
-    size, at, depth = F.size(f"{member}.words"), F.col("at"), F.col("depth")
-    last = F.least(size, size - F.col(f"{member}.need") + depth + 1)
+    at, depth, last = F.col("at"), F.col("depth"), _last_place(member)
     places = F.when(at < last, F.sequence(at + 1, last))
     return F.transform(places, lambda q: F.struct(F.concat("key", F.lit(" "), F.element_at(f"{member}.words", q)).alias("key"), q.cast("int").alias("at"), (depth + 1).alias("depth")))
 
 
+def _pairs(n: str, unled: str) -> Column:
+    """Pairs of ``n`` sets, but for those of two sets that are similar to the leader."""
+    u = F.col(unled)
+    return u * (F.col(n) - u) + F.floor(u * (u - 1) / 2)
+
+
 def _may_be_similar() -> Column:
     """Enough words are left behind the key in both sets; holds for a similar pair in the key of its first shared words."""
     rest = F.least(F.size("a.words") - F.col("a_at"), F.size("b.words") - F.col("b_at"))
@@ -102,6 +120,18 @@ def _similar(a: Column, b: Column, threshold: float) -> Column:
     return close & (F.size(F.array_intersect(a, b)) / largest > threshold)
 
 
+def _compared(entries: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """Links among the sets of every key in ``keys`` (key, n). One side of a key of many sets is dealt to blocks, the other stands in each."""
+    blocks = keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    listed = entries.join(blocks, "key")
+    one = F.pmod(F.xxhash64("m.sid"), F.col("blocks")).cast("int")
+    a = listed.select("key", one.alias("block"), "depth", F.col("m").alias("a"), F.col("at").alias("a_at"), F.col("led").alias("a_led"))
+    b = listed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("m").alias("b"), F.col("at").alias("b_at"), F.col("led").alias("b_led"))
+    later = F.struct("b.ord", "b.first_id") < F.struct("a.ord", "a.first_id")
+    met = a.join(b, ["key", "block"]).filter(later & ~(F.col("a_led") & F.col("b_led")) & _may_be_similar())
+    return met.filter(_similar(F.col("a.words"), F.col("b.words"), threshold)).selectExpr(*_SLIM)
+
+
 def set_links(
     sets: DataFrame, threshold: float, same_date: bool = False, frequent: int = FREQUENT_WORD, small: int = SMALL_GROUP, trace: list | None = None
 ) -> DataFrame:
@@ -109,7 +139,7 @@ def set_links(
 
     ``sets``: sid, ord, first_id, set_key. ``same_date`` restricts comparisons to
     sets whose earliest article has the same date. ``trace`` receives, per round, the numbers of
-    entries and of pairs that meet in keys of at most ``small`` sets.
+    entries and of pairs that meet.
     """
     if threshold < 0.5:
         raise ValueError("the prefix filter needs a threshold of at least 0.5")
@@ -118,35 +148,56 @@ def set_links(
     entries = _ordered_sets(sets, threshold).join(dated, "sid").select(member.alias("m"), F.explode(_entries(frequent)).alias("e"), F.lit(False).alias("led"))
     if same_date:
         entries = entries.withColumn("e", F.struct(F.concat_ws("@", "e.key", "m.ord").alias("key"), "e.at", "e.depth"))
-    slim = [F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.col("b.ord").alias("b_ord"), F.col("b.first_id").alias("b_first")]
+    entries = entries.withColumn("parent", F.lit(None).cast("string"))
+    fields = ["m", "key", "at", "depth", "led"]
     links: list[DataFrame] = []
+    tried = None  # the entries of the keys that ``entries`` extends, with their numbers of sets and pairs
     while True:
-        entries = materialize(entries.select("m", "e.*", "led"), "title-entries")
+        entries = materialize(entries.select("m", "e.*", "led", "parent"), "title-entries")
         first_closed = F.min(F.when(F.col("m.need") <= F.col("depth"), F.col("m"))).alias("closed")
-        groups = entries.groupBy("key").agg(F.min("m").alias("lead"), F.count(F.lit(1)).alias("n"), F.min("led").alias("covered"), first_closed)
-        groups = groups.filter("n > 1 and not covered")
+        n, unled = F.count(F.lit(1)), F.count(F.when(~F.col("led"), 1))
+        groups = entries.groupBy("key").agg(F.min("m").alias("lead"), n.alias("n"), unled.alias("unled"), F.min("parent").alias("parent"), first_closed)
+        groups = materialize(groups.filter("n > 1 and unled > 0"), "title-groups")
+        few = groups.filter(F.col("n") <= small).select("key", "parent", "n", _pairs("n", "unled").alias("pairs"), F.lit(0).cast("bigint").alias("longer"))
+
+        due, crowded = few, groups.filter(F.col("n") > small).limit(1).count() > 0
+        if crowded:
+            crowd = skewed_lookup(entries.drop("parent"), groups.filter(F.col("n") > small).drop("unled"), "key")
+            like = (F.col("m.sid") == F.col("lead.sid")) | _similar(F.col("m.words"), F.col("lead.words"), threshold)
+            crowd = materialize(crowd.withColumn("led", like), "title-crowds")
+            heads = F.array(F.when(F.col("led"), F.col("lead")), F.when(F.col("m.need") <= F.col("depth"), F.col("closed")))
+            to_head = crowd.select(F.col("m").alias("a"), F.explode(heads).alias("b")).filter("b is not null and a.sid <> b.sid")
+            links.append(to_head.selectExpr(*_SLIM))
+            # A key whose sets are all similar to the leader is done.
+            longer = F.sum(F.greatest(_last_place("m") - F.col("at"), F.lit(0)))
+            left = crowd.groupBy("key").agg(F.min("parent").alias("parent"), n.alias("n"), unled.alias("unled"), longer.cast("bigint").alias("longer"))
+            left = left.filter("unled > 0").select("key", "parent", "n", _pairs("n", "unled").alias("pairs"), "longer")
+            due = materialize(few.unionByName(left), "title-costs")
+
+        # Longer keys count only where they halve the pairs of the key they extend; elsewhere its own pairs are compared.
+        if tried is not None:
+            own = tried.groupBy("key").agg(F.max("pairs").alias("own"), F.max("n").alias("n"))
+            below = due.groupBy("parent").agg(F.sum("pairs").alias("below")).withColumnRenamed("parent", "key")
+            vain = own.join(below, "key").filter(2 * F.col("below") > F.col("own")).select("key", "n", F.col("own").alias("pairs"))
+            vain = materialize(vain, "title-vain")
+            if vain.limit(1).count() > 0:
+                links.append(_compared(tried.select(*fields), vain, threshold))
+                due = due.join(vain.select(F.col("key").alias("parent")), "parent", "left_anti")
+        now = (F.col("n") <= small) | (F.col("pairs") <= PAIRS_PER_ENTRY * F.col("longer"))
         if trace is not None:
-            pairs = F.sum(F.when(F.col("n") <= small, F.col("n") * (F.col("n") - 1) / 2))
-            trace.append((entries.count(), int(groups.agg(F.coalesce(pairs, F.lit(0))).first()[0])))
-
-        few = entries.join(groups.filter(F.col("n") <= small).select("key"), "key")
-        side = lambda name: few.select("key", "depth", F.col("m").alias(name), F.col("at").alias(f"{name}_at"), F.col("led").alias(f"{name}_led"))
-        later = F.struct("b.ord", "b.first_id") < F.struct("a.ord", "a.first_id")
-        met = side("a").join(side("b").drop("depth"), "key").filter(later & ~(F.col("a_led") & F.col("b_led")) & _may_be_similar())
-        links.append(met.filter(_similar(F.col("a.words"), F.col("b.words"), threshold)).select(*slim))
-
-        crowd = skewed_lookup(entries, groups.filter(F.col("n") > small), "key")
-        led = (F.col("m.sid") == F.col("lead.sid")) | _similar(F.col("m.words"), F.col("lead.words"), threshold)
-        crowd = materialize(crowd.withColumn("led", led), "title-crowds")
-        heads = F.array(F.when(F.col("led"), F.col("lead")), F.when(F.col("m.need") <= F.col("depth"), F.col("closed")))
-        to_head = crowd.select(F.col("m").alias("a"), F.explode(heads).alias("b")).filter("b is not null and a.sid <> b.sid")
-        links.append(to_head.select(*slim))
-        unlike = crowd.filter(~F.col("led")).groupBy("key").agg(F.count(F.lit(1)).alias("m_unlike"))
-        # A key whose sets are all similar to the leader is done; the others go on with longer keys.
-        open_ = skewed_lookup(crowd, unlike, "key", "m_unlike")
-        if unlike.limit(1).count() == 0:
+            met = due.filter(now).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+            if tried is not None:
+                met += vain.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+            trace.append((entries.count(), int(met)))
+        links.append(_compared(entries.select(*fields), due.filter(F.col("n") <= small), threshold))
+        if not crowded:
+            break
+        links.append(_compared(crowd.select(*fields), due.filter(now & (F.col("n") > small)), threshold))
+        rest = due.filter(~now).select("key", "n", "pairs")
+        if rest.limit(1).count() == 0:
             break
-        entries = open_.select("m", F.explode(_extended()).alias("e"), "led")
+        tried = materialize(skewed_lookup(crowd.select(*fields), rest, "key", "pairs"), "title-tried")
+        entries = tried.select("m", F.explode(_extended()).alias("e"), "led", F.col("key").alias("parent"))
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)

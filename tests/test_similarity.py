@@ -197,3 +197,18 @@ def test_small_round_sizes_on_crowded_random_titles(spark):
     for threshold, tuning in ((0.65, {"small": 1, "frequent": 1}), (0.5, {"small": 3, "frequent": 10_000})):
         out = S.near_duplicates(frame(spark, rows), window_days=None, threshold=threshold, **tuning)
         assert {r.id: (r.is_duplicate, r.duplicate_of) for r in out.collect()} == brute(rows, threshold)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65])
+def test_a_passage_shared_by_unlike_titles_multiplies_no_keys(spark, threshold):
+    """Longer keys from the words of a passage hold the same sets again: their number must not grow with the choices of its words."""
+    rng = random.Random(7)
+    passage, vocab = [f"passage{i}" for i in range(16)], [f"common{i}" for i in range(30)]
+    rows = [(i, " ".join((passage if i % 3 == 0 else []) + rng.sample(vocab, 16)), rng.randrange(6)) for i in range(300)]
+    df = frame(spark, rows)
+    sets = S._word_sets(S._title_rows(df)).select("set_key", "sid", "first.ord", "first.first_id")
+    trace = []
+    S.set_links(sets, threshold, trace=trace).write.format("noop").mode("overwrite").save()
+    assert sum(n for n, _ in trace) < 4 * trace[0][0] and len(trace) < 5
+    out = S.near_duplicates(df, window_days=None, threshold=threshold)
+    assert {r.id: (r.is_duplicate, r.duplicate_of) for r in out.collect()} == brute(rows, threshold)
