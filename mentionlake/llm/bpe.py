@@ -11,20 +11,26 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections import defaultdict
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import unicodedata
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import ship, table, whole
+from mentionlake.llm.common import ship, slices, table, whole
 
 #: Pre-tokens a worker remembers; beyond it the memory starts anew. Speed only.
 CACHE_ENTRIES = 300_000
+#: Bytes of text that a worker codes at once.
+PORTION_BYTES = 4_000_000
 SHIFT = 20
 GAP, DEAD = -1, -2
 
@@ -39,6 +45,33 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@cache
+def _members(kind: str) -> str:
+    """The characters of a regex class up to U+FFFF, as ranges that stand between brackets."""
+    inside = regex.compile(kind).fullmatch
+    found = np.fromiter((inside(chr(i)) is not None for i in range(0x10000)), bool, 0x10000)
+    edges = np.flatnonzero(np.diff(found, prepend=False, append=False)).tolist()
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """``findall`` of a pattern of the regex module. Texts without characters beyond U+FFFF go to the
+    standard module, which takes half the time once the classes are spelled out."""
+    every = regex.compile(pattern).findall
+    if "(?i" in pattern or re.search(r"\\(?!p\{[LN]\}|[sS|])", pattern) or re.search(r"\[[^]]*\\S", pattern):
+        return every
+    spelled, depth = [], 0
+    for part in re.findall(r"\\p\{[LN]\}|\\.|.", pattern, re.S):
+        depth += (part == "[") - (part == "]")
+        kind = part.lower() if part == "\\S" else part
+        if kind == "\\s" or kind.startswith("\\p"):
+            part = _members(kind) if depth else f"[{'^' if part == '\\S' else ''}{_members(kind)}]"
+        spelled.append(part)
+    low = re.compile("".join(spelled)).findall
+    beyond = re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: low(text) if text.isascii() or not beyond(text) else every(text)
+
+
 class Coder:
     """Encodes texts by a tokenizer file of the byte-level BPE family."""
 
@@ -66,7 +99,7 @@ class Coder:
         self.nfc = "NFC" in kinds
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         split = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), BYTE_LEVEL)
-        self.find = regex.compile(split).findall
+        self.find = finder(split)
         letter_bytes = {c: b for b, c in letters.items()}
         self.bytes_of = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for token, i in vocab.items():
@@ -74,6 +107,7 @@ class Coder:
             self.bytes_of[i] = bytes(letter_bytes[c] for c in body)
         for token, i in special.items():
             self.bytes_of[i] = token.encode()
+        self.pieces = pa.array(self.bytes_of, pa.large_binary())
         self.cache: dict[str | int, bytes] = {}
 
     def normal(self, text: str) -> str:
@@ -197,6 +231,16 @@ class Coder:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_all(self, ids: pa.Array, counts: np.ndarray) -> pa.Array:
+        """The texts of all ids in a row, ``counts`` of them each."""
+        bodies = self.pieces.take(ids)
+        ends = np.concatenate(([0], np.cumsum(pc.binary_length(bodies).to_numpy())))[np.concatenate(([0], np.cumsum(counts)))]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), bodies.buffers()[2] or pa.py_buffer(b"")])
+        try:
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # ids that do not come from a text may cut a character
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
 
 _CODERS: dict[int, Coder] = {}
 
@@ -235,7 +279,7 @@ def decoder(spark: SparkSession, path: str):
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         coder = worker_coder(spec)
-        return pa.array([coder.decode(row.values.tolist() if row.is_valid else []) for row in column], pa.string())
+        return coder.decode_all(column.flatten(), pc.list_value_length(column).fill_null(0).to_numpy())
 
     return decode
 
@@ -245,6 +289,7 @@ def encode_documents(docs: DataFrame, path: str, text: str | Column = "text", id
 
     A null or empty text has no tokens. Special strings inside a text are one token each.
     Rows are independent: no shuffle, repeated rows give repeated results, an empty table an empty one.
+    A decoder of that column in the same plan would encode the text once more: see ``round_trip_documents``.
     """
     return docs.withColumn(ids, encoder(docs.sparkSession, path)(whole(text)))
 
@@ -254,6 +299,28 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
     return docs.withColumn(text, decoder(docs.sparkSession, path)(F.col(ids)))
 
 
+def round_trip_documents(docs: DataFrame, path: str, text: str | Column = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the token ids of the whole text and the text these decode to; each text is encoded once.
+
+    Texts are coded in portions, so that a worker's memory does not depend on the batches it gets.
+    """
+    spec = ship(docs.sparkSession).sparkContext.broadcast(tokenizer_text(path))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def recode(column: pa.Array) -> pa.Array:
+        coder = worker_coder(spec)
+        lists, texts = [], []
+        for i, j in slices(pc.binary_length(column).fill_null(0).to_pylist(), PORTION_BYTES):
+            found, counts = coder.encode([t or "" for t in column[i:j].to_pylist()])
+            lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(found)))
+            texts.append(coder.decode_all(lists[-1].values, counts))
+        both = [pa.concat_arrays(x) if x else pa.array([], t) for x, t in ((lists, pa.list_(pa.int32())), (texts, pa.string()))]
+        return pa.StructArray.from_arrays(both, ["ids", "decoded"])
+
+    coded = recode(whole(text))
+    return docs.withColumns({ids: coded["ids"], decoded: coded["decoded"]})
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 
@@ -264,7 +331,7 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of every document, as digests."""
     path = default_path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode_documents(encode_documents(docs, path), path)
+    coded = round_trip_documents(docs, path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

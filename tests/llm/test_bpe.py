@@ -106,3 +106,45 @@ def test_counting_shuffles_summaries_only(spark):
 
     plan = plan_text(token_counts.op5_token_counts(spark, SMALL))
     assert "Exchange" not in plan
+
+
+def test_a_round_trip_encodes_each_text_once(spark, odd, monkeypatch):
+    import corpus_pipeline
+    from conftest import plan_text
+
+    path = bpe.default_path("byte_bpe_50k.json")
+    two = bpe.decode_documents(bpe.encode_documents(odd, path), path)
+    one = bpe.round_trip_documents(odd, path)
+    assert one.columns == two.columns and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    monkeypatch.setattr(bpe, "PORTION_BYTES", 40)
+    assert sorted(map(repr, bpe.round_trip_documents(odd, path).collect())) == sorted(map(repr, two.collect()))
+    assert bpe.round_trip_documents(odd.limit(0), path).count() == 0
+    docs = odd.select("doc_id", "text")
+    for plan in (bpe.op2_bpe_round_trip(spark, SMALL), corpus_pipeline.tokens(spark, docs, SMALL)):
+        assert "decode(encode(" not in plan_text(plan) and plan_text(plan).count("ArrowEvalPython [") == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_both_regular_expression_modules_cut_alike(name, monkeypatch):
+    import random
+
+    import regex
+
+    r = random.Random(8)
+    pool = [chr(c) for c in (*range(0x250), 0x2028, 0x3000, 0x4E00, 0x0663, 0x2160, 0xFEFF, 0xD7FF, 0xFFFF, 0x1D7D8, 0x1F642, 0x10400)] + [" "] * 60 + list("'s't're'll") * 5
+    texts = ["".join(r.choices(pool, k=r.randint(0, 60))) for _ in range(2_000)] + ["".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))]
+    text = bpe.tokenizer_text(bpe.default_path(name))
+    quick = bpe.Coder(text)
+    monkeypatch.setattr(bpe, "finder", lambda pattern: regex.compile(pattern).findall)
+    plain = bpe.Coder(text)
+    assert all(quick.find(t) == plain.find(t) for t in texts)
+
+
+def test_ids_that_cut_characters_decode_as_the_library_does(spark):
+    path = bpe.default_path("byte_bpe_50k.json")
+    lib = library("byte_bpe_50k.json")
+    ids = lib.encode("é🙂ab日", add_special_tokens=False).ids
+    lists = [ids[1:], ids[::-1], ids, [], None, ids[:1] * 3]
+    rows = spark.createDataFrame(list(enumerate(lists)), "doc_id int, ids array<int>").coalesce(1)
+    got = {r.doc_id: r.decoded for r in bpe.decode_documents(rows, path).collect()}
+    assert got == {i: lib.decode(x or [], skip_special_tokens=False) for i, x in enumerate(lists)}
