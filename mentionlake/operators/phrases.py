@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mentionlake.session import shared_path
+from mentionlake.session import stored
 
 SLOTS = 1 << 18
 #: Word runs, or any other single character.
@@ -50,13 +50,6 @@ class Sieve:
         return F.conv(F.hex(self._byte(piece)), 16, 10).cast("int")
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """Written once and read back: used for the sieve and for the join, which Catalyst makes a broadcast only if the files are small."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _places(tokens: Column, test) -> Column:
     """Places (from 1) of the tokens that pass ``test``."""
     places = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens)))
@@ -70,7 +63,7 @@ def _run(tokens: Column, place: Column) -> Column:
 def word_pairs(rows: DataFrame, terms: DataFrame, ids: list[str], hay: str) -> DataFrame:
     """(ids, keyword), not distinct: every term found between word boundaries. ``hay`` is lower-case text; ``terms``: keyword, phrase (lower-case)."""
     cut = F.regexp_extract_all("phrase", F.lit(TOKEN), F.lit(0))
-    entries = _stored(terms.select("keyword", "phrase", F.size(cut).alias("k"), F.element_at(cut, 1).alias("head")).distinct(), "phrases")
+    entries = stored(terms.select("keyword", "phrase", F.size(cut).alias("k"), F.element_at(cut, 1).alias("head")).distinct(), "phrases")
     lengths = sorted(r.k for r in entries.select("k").distinct().collect())  # as many as lengths of terms
     # Lengths beyond the seventh share one bit of the sieve.
     bit_of = {k: 1 << min(n, 7) for n, k in enumerate(lengths)}
@@ -126,7 +119,7 @@ def substring_pairs(rows: DataFrame, terms: DataFrame, ids: list[str], hay: str)
         vocabulary.select("token", F.explode(_grams(F.col("token"))).alias("gram")).join(anchored, "gram").filter(F.contains("token", "anchor"))
         .select("token", "keyword", "phrase", (F.col("phrase") == F.col("anchor")).alias("sure"))
     )
-    resolved = _stored(resolved, "resolved-tokens")
+    resolved = stored(resolved, "resolved-tokens")
     sieve = Sieve(resolved.select(F.col("token").alias("piece"), F.when(F.col("sure"), 1).otherwise(2).alias("mark")))
     reach = anchored.agg(F.max(F.size(F.regexp_extract_all("phrase", F.lit(PIECE), F.lit(0)))).alias("n")).first().n or 0
 

@@ -10,6 +10,7 @@ from mentionlake import schemas
 from mentionlake.functions import dates as D, text as X
 from mentionlake.functions.scalars import lower_array
 from mentionlake.operators.matching import match_terms
+from mentionlake.session import stored
 
 MAX_RULES = 1000
 
@@ -164,7 +165,9 @@ def evaluate_alerts(articles: DataFrame, rules: DataFrame, decision_rows: int =
     equi-join), so an article is not paired with rules that cannot accept it. A
     rule reached through several keywords is kept for the first of them only.
 
-    A rule table of checked size is joined as it is: below Catalyst's own limit for a
+    The anchored rules are written once: what they were made from, a scan of a large table perhaps, would make Catalyst
+    take a few rules for a large table and deal the articles by an anchor that very many share. A rule table of checked size
+    is joined as it is read back: below Catalyst's own limit for a
     broadcast, so articles stay where they are. A larger one is joined on (category, anchor, piece): the articles of an anchor
     are dealt to pieces by their id and its rules stand in every piece, so that an
     anchor that every article has ("all rules") is spread over many tasks.
@@ -174,6 +177,7 @@ def evaluate_alerts(articles: DataFrame, rules: DataFrame, decision_rows: int =
         "rule_id", "rule_type", F.col("digest_schedule").alias("schedule"), F.col("alert_category").alias("category"),
         F.from_json("conditions", schemas.ALERT_CONDITIONS_DDL).alias("c"),
     ).select("*", F.explode(_rule_anchors(F.col("c"))).alias("anchor"))
+    parsed = stored(parsed, "alert-rules")
     category = F.when(F.col("source_category") == "social", "social").otherwise("media")
     words = F.array_distinct(lower_array(F.coalesce("matched_keywords", empty)))
     text = lambda name: F.coalesce(F.col(name), F.lit(""))

@@ -75,3 +75,20 @@ def test_many_rules_that_accept_everything_keep_tasks_even(spark):
             spark.conf.set(name, value)
     assert sum(sizes) == 400 * (saved.DECISION_ROWS + 1)
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+
+def test_few_rules_made_from_a_large_table_leave_articles_where_they_are(spark, tmp_path):
+    from conftest import plan_text
+
+    rng = random.Random(6)
+    literal_table(spark, RULES, _rules(40, rng)).write.parquet(str(tmp_path / "rules"))
+    literal_table(spark, ARTICLES, _articles(60, rng)).write.parquet(str(tmp_path / "articles"))
+    rules, articles = spark.read.parquet(str(tmp_path / "rules")), spark.read.parquet(str(tmp_path / "articles"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        wide = rules.crossJoin(spark.range(200_000)).groupBy(*rules.columns).agg(F.count(F.lit(1)).alias("n")).drop("n")
+        plan = plan_text(saved.evaluate_alerts(articles, wide))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
