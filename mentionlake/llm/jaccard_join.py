@@ -51,7 +51,10 @@ BITMAP_WORDS = 16
 WORDS = [f"w{i}" for i in range(BITMAP_WORDS)]
 #: Lists longer than this carry bitmaps when their pairs are formed.
 SHORT_LIST = 32
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
+#: What a task hands on at once: list rows (25 bytes each), bytes of tokens. Larger batches stay in the executor's direct memory.
+FLUSH_ROWS = 100_000
+FLUSH_BYTES = 2_000_000
 WORDS_KEPT = 150_000
 #: Rows of text that go to a Python worker at once.
 BATCH_ROWS = 2_000
@@ -229,7 +232,7 @@ def _list_rows(width: int, percent: int, boundary: int, hot):
         rarest_first = hot.value
         order = np.argsort(rarest_first)
         hot_sorted = rarest_first[order]
-        keys, ids, sizes, places, kinds = [], [], [], [], []
+        keys, ids, sizes, places, kinds, held = [], [], [], [], [], 0
 
         def batch() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
@@ -240,6 +243,8 @@ def _list_rows(width: int, percent: int, boundary: int, hot):
             return out
 
         def put(key: np.ndarray, owner: int, size: int, pos: np.ndarray, light: bool) -> None:
+            nonlocal held
+            held += len(key)
             keys.append(key.view(np.int64))
             ids.append(np.full(len(key), owner, np.int64))
             sizes.append(np.full(len(key), size, np.int32))
@@ -262,8 +267,9 @@ def _list_rows(width: int, percent: int, boundary: int, hot):
                     rank = np.where(hot_sorted[slot] == short, order[slot] + 1, 0)
                 first = tokens[np.lexsort((tokens, rank))][: prefix_length(n, percent)]
                 put(first, owner, n, np.arange(len(first)), False)
-            if len(keys) > 5_000:
+            if held > FLUSH_ROWS:
                 yield batch()
+                held = 0
         if keys:
             yield batch()
 
@@ -449,7 +455,7 @@ def _tokens_of(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for key, tokens in _distinct_sets(batches, width):
             out.append((key, tokens.tobytes()))
             size += 8 * len(tokens)
-            if size > 8_000_000:
+            if size > FLUSH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], ["set_id", "tokens"])
                 out, size = [], 0
         if out:
