@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mentionlake import schemas
 from mentionlake.functions import text as X
+from mentionlake.operators import terms
 from mentionlake.operators.joins import new_suggestions
-from mentionlake.operators.phrases import Sieve
-from mentionlake.session import materialize
+from mentionlake.session import stored
 
 # What an unscored article receives, by merge variant.
 BY_ID_DEFAULTS = {
@@ -101,48 +101,29 @@ def _with_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", X.joined_lower(F.col("title"), F.col("description")))
 
 
-def _words_of(text) -> Column:
-    """The words of four or more letters, in order."""
-    return F.filter(F.split(X.normalized_plain(text), " "), lambda w: F.length(w) > 3)
-
-
-def _supported_words(articles: DataFrame, text, min_support: int) -> Sieve:
-    """A sieve of the words that occur in at least ``min_support`` articles; it needs no matching."""
-    words = articles.select(F.explode(F.array_distinct(_words_of(text))).alias("piece"))
-    often = words.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
-    return Sieve(often.select("piece", F.lit(1).alias("mark")))
-
-
-def _article_terms(articles: DataFrame, text, keep: tuple, sieve: Sieve) -> DataFrame:
-    """``keep`` and ``terms``: an article's distinct words and bigrams that can have support. A term is as rare as its
-    rarest word, so bigrams are only made of words that pass."""
-    prepared = articles.select(*keep, F.explode(F.array(_words_of(text))).alias("__w"))
-    marked = prepared.select(*keep, F.explode(F.array(F.transform("__w", lambda w: F.struct(w.alias("w"), sieve.passes(w).alias("ok"))))).alias("__w"))
-    kept = F.transform(F.filter("__w", lambda x: x["ok"]), lambda x: x["w"])
-    pairs = F.zip_with(F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 1, F.lit(0))), F.slice("__w", F.lit(2), F.size("__w")), lambda a, b: F.when(a["ok"] & b["ok"], F.concat_ws(" ", a["w"], b["w"])))
-    return marked.select(*keep, F.array_distinct(F.concat(kept, F.array_compact(pairs))).alias("terms"))
-
-
 def suggest_keywords(articles: DataFrame, keywords: DataFrame, text=None, k: int = 8, min_support: int = 5) -> DataFrame:
     """Terms over-represented in matched articles, ranked by smoothed odds, minus existing keywords.
 
-    ``articles``: title, matched_keywords; terms come from the column ``text``, the title unless given. Words with
-    too little support are sieved out first, so bigrams of rare words never leave the scan; the articles are matched
-    once, and one count with map-side combination gives the terms and, under the empty term, both corpus sizes.
+    ``articles``: title, matched_keywords; terms come from the column ``text``, the title unless given. The articles are
+    matched once; one count of term keys gives the terms and, under the key 0, both corpus sizes. Only terms that
+    reach the k-th place, ties included, are named.
     """
     matched = F.size(F.coalesce("matched_keywords", F.array().cast("array<string>"))) > 0
-    body = F.col("title") if text is None else text
-    sieve = _supported_words(articles, body, min_support)
-    terms = _article_terms(articles.select(body.alias("__text"), matched.alias("m")), F.col("__text"), ("m",), sieve)
-    counts = terms.select("m", F.explode(F.concat("terms", F.array(F.lit("")))).alias("keyword")).groupBy("keyword").agg(
-        F.count(F.when(F.col("m"), 1)).alias("in_matched"), F.count(F.when(~F.col("m"), 1)).alias("in_other")
-    )
-    counts = materialize(counts.filter((F.col("in_matched") >= min_support) | (F.col("keyword") == "")), "term-counts")
-    sizes = counts.filter("keyword = ''").first()
+    hit, miss = F.lit("hit"), F.lit("miss")
+    texts = articles.select(X.normalized_plain(F.col("title") if text is None else text).alias("text"), F.array(F.when(matched, hit).otherwise(miss)).alias("labels"))
+    of = lambda label: F.sum(F.when(F.col("label") == F.xxhash64(label), F.col("n")).otherwise(0))
+    counts = terms.label_counts(texts).groupBy("term").agg(of(hit).alias("in_matched"), of(miss).alias("in_other"))
+    counts = stored(counts.filter((F.col("in_matched") >= min_support) | (F.col("term") == 0)), "term-counts")
+    sizes = counts.filter("term = 0").first()
     in_all, other = (sizes.in_matched, sizes.in_other) if sizes else (0, 0)
     odds = ((F.col("in_matched") + 1) * F.lit(other + 2)) / ((F.col("in_other") + 1) * F.lit(in_all + 2))
-    ranked = new_suggestions(counts.filter("keyword <> ''"), keywords).withColumn("odds", odds)
-    return ranked.orderBy(F.col("odds").desc(), F.col("in_matched").desc(), "keyword").limit(k)
+    known = keywords.select(terms.keys_of(F.lower("text")).alias("term")).distinct()
+    ranked = counts.filter("term <> 0").join(known, "term", "left_anti").withColumn("odds", odds)
+    last = ranked.orderBy(F.col("odds").desc(), F.col("in_matched").desc()).limit(k).agg(F.min(F.struct("odds", "in_matched")).alias("x")).first().x
+    reach = F.lit(False) if last is None else F.struct("odds", "in_matched") >= F.struct(F.lit(last.odds).alias("odds"), F.lit(last.in_matched).alias("in_matched"))
+    best = stored(ranked.filter(reach), "best-terms")
+    found = best.join(terms.named(texts, best), "term").select(F.col("name").alias("keyword"), "in_matched", "in_other", "odds")
+    return new_suggestions(found, keywords).orderBy(F.col("odds").desc(), F.col("in_matched").desc(), "keyword").limit(k)
 
 
 def propose_expansions(
@@ -150,26 +131,27 @@ def propose_expansions(
 ) -> DataFrame:
     """Terms that co-occur with a keyword more than chance (lift), best ``k`` per keyword.
 
-    One matching and one count: every article gives its (keyword, term) pairs, with an empty keyword and an empty term
-    beside its own, so the same count holds pairs, terms, keywords and the total. Pairs that survive
-    ``min_support`` are few; words without that support are sieved out before bigrams are made.
+    One matching and one count of (keyword, term) keys: articles also count under no keyword and under no term, so the same
+    count holds pairs, terms, keywords and the total. Only terms that reach a keyword's k-th place, ties included, are named.
     """
     from mentionlake.operators.dedup import top_per_key
 
-    body = F.col("title") if text is None else text
-    sieve = _supported_words(articles, body, min_support)
-    own = F.array_distinct(F.coalesce("matched_keywords", F.array().cast("array<string>")))
-    found = _article_terms(articles.select(body.alias("__text"), own.alias("own")), F.col("__text"), ("own",), sieve)
-    pairs = found.select(F.explode(F.concat("own", F.array(F.lit("")))).alias("keyword"), "terms").select("keyword", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
-    counts = materialize(pairs.groupBy("keyword", "term").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_support) | (F.col("keyword") == "") & (F.col("term") == "")), "pair-counts")
-    total = counts.filter("keyword = '' and term = ''").first()
-    by_term = counts.filter("keyword = '' and term <> ''").select("term", F.col("n").alias("n_term"))
-    by_keyword = counts.filter("keyword <> '' and term = ''").select("keyword", F.col("n").alias("n_keyword"))
-    known = keywords.select(F.col("text").alias("keyword"))
+    texts = articles.select(X.normalized_plain(F.col("title") if text is None else text).alias("text"), F.col("matched_keywords").alias("labels"))
+    counts = terms.label_counts(texts).groupBy("label", "term").agg(F.sum("n").alias("n"))
+    counts = stored(counts.filter((F.col("n") >= min_support) | (F.col("label") == terms.ALL) & (F.col("term") == 0)), "pair-counts")
+    total = counts.filter((F.col("label") == terms.ALL) & (F.col("term") == 0)).first()
+    by_term = counts.filter((F.col("label") == terms.ALL) & (F.col("term") != 0)).select("term", F.col("n").alias("n_term"))
+    by_keyword = counts.filter((F.col("label") != terms.ALL) & (F.col("term") == 0)).select("label", F.col("n").alias("n_keyword"))
+    known = keywords.filter("text <> ''").select(F.col("text").alias("keyword"), F.xxhash64("text").alias("label"), terms.keys_of(F.lower("text")).alias("itself"))
+    known = stored(known.join(by_keyword, "label"), "known-keywords")
     scored = (
-        counts.filter("keyword <> '' and term <> ''").withColumnRenamed("n", "n_both").join(known, "keyword").join(by_term, "term").join(by_keyword, "keyword")
-        .filter(F.col("term") != F.lower("keyword"))
+        counts.filter((F.col("label") != terms.ALL) & (F.col("term") != 0)).withColumnRenamed("n", "n_both").join(known, "label").join(by_term, "term")
+        .filter(~F.col("term").eqNullSafe(F.col("itself")))
         .withColumn("lift", (F.col("n_both") * F.lit(total.n if total else 0)) / (F.col("n_term") * F.col("n_keyword")))
     )
-    order = [F.col("lift").desc(), F.col("n_both").desc(), F.col("term").asc()]
-    return top_per_key(scored, ["keyword"], order, k)
+    order = [F.col("lift").desc(), F.col("n_both").desc()]
+    place = F.rank().over(Window.partitionBy("keyword").orderBy(*order))
+    best = stored(scored.withColumn("place", place).filter(F.col("place") <= k).select("keyword", F.col("term").alias("key"), "n_both", "n_term", "n_keyword", "lift"), "best-pairs")
+    names = terms.named(texts, best.select(F.col("key").alias("term"))).select(F.col("term").alias("key"), F.col("name").alias("term"))
+    found = best.join(names, "key").filter(F.col("term") != F.lower("keyword"))
+    return top_per_key(found.select("keyword", "term", "n_both", "n_term", "n_keyword", "lift"), ["keyword"], [*order, F.col("term").asc()], k)

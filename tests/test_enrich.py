@@ -46,3 +46,20 @@ def test_terms_equal_a_plain_count(spark):
     assert lifts == {(k, t): (c, round(c * len(texts) / (single[t] * per[k]), 9)) for (k, t), c in pair.items() if c >= 3}
     empty = a.limit(0)
     assert enrich.suggest_keywords(empty, known).collect() == [] and enrich.propose_expansions(empty, known).collect() == []
+
+
+def test_terms_are_shuffled_as_numbers_and_ties_are_named(spark):
+    """Before, every (keyword, term) pair of text was an exchange's key."""
+    from conftest import plan_text
+    from mentionlake.operators import terms
+
+    rows = [(i, " ".join(f"tied{chr(97 + j)}" for j in range(15)) + " gasoline", ["gasoline"]) for i in range(5)] + [(9, "other words", None), (10, None, ["gasoline"]), (11, "", [])]
+    a = literal_table(spark, "id int, title string, matched_keywords array<string>", rows)
+    known = literal_table(spark, "text string", [("gasoline",), ("Gasoline",), ("none of them",)])
+    counts = terms.label_counts(a.select(F.col("title").alias("text"), F.array(F.lit("seven"), F.lit(""), F.lit(None)).alias("labels"))).groupBy("label", "term").agg(F.sum("n").alias("n"))
+    assert "string" not in counts.schema.simpleString() and "hashpartitioning(label" in plan_text(counts)
+    assert {(x.label, x.n) for x in counts.filter("term = 0").collect()} == {(0, 7), (spark.range(1).select(F.xxhash64(F.lit('seven'))).first()[0], 7)}
+    first = sorted([f"tied{chr(97 + j)}" for j in range(15)] + [f"tied{chr(97 + j)} tied{chr(98 + j)}" for j in range(14)] + ["tiedo gasoline"])
+    assert [x.keyword for x in enrich.suggest_keywords(a, known).collect()] == first[:8]
+    got = enrich.propose_expansions(a, known).collect()
+    assert sorted((x.keyword, x.term, x.n_both, x.lift) for x in got) == [("gasoline", t, 5, 7 / 5) for t in first[:10]]
