@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SMALL
 
@@ -119,3 +120,15 @@ def test_light_subsets_and_prefixes_suffice():
             assert (need <= a) == (100 * a >= 85 * b)
             if need <= a:
                 assert a - need < J.prefix_length(a) and b - need < J.prefix_length(b)
+
+
+def test_list_rows_leave_in_portions():
+    """Before, a task handed on the rows of up to 5,000 lists at once, whatever their length."""
+    import types
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"{i}w{j}" for j in range(400)) for i in range(3000)]
+    run = J._list_rows(4, 85, 1, types.SimpleNamespace(value=np.zeros(0, np.uint32)))
+    sizes = [b.num_rows for b in run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))]
+    assert sum(sizes) == 3000 * J.prefix_length(397) and max(sizes) <= J.FLUSH_ROWS + 397
