@@ -19,8 +19,9 @@ UNIT = 1_000_000
 #: Between the scores of documents labelled good (over -0.07) and bad (under -0.1 for most) in the given tables.
 THRESHOLD = -0.1
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
+#: Repeated hashes up to this many are looked up window by window; with more, all windows of a text are sorted.
+FEW = 16
 #: Trusted ids up to this many are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -29,26 +30,31 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
-
 def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that the text holds at least twice.
 
-    Windows are sorted with their places, so equal ones are neighbours: n log n steps.
+    Windows are sorted with their places, so equal ones are neighbours: n log n steps. Their hashes are sorted
+    first: without a repeated hash nothing is repeated, and of few repeated ones only their windows are compared as words.
     """
+    starts = F.sequence(F.lit(0), F.size(words) - 3)
+    window = lambda i: [F.get(words, i + k) for k in range(3)]
 
-    def places(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p")))
+    def places(hashes: Column, twice: Column) -> Column:
+        at = F.when(F.size(twice) <= FEW, F.filter(starts, lambda i: F.array_contains(twice, F.get(hashes, i)))).otherwise(starts)
+        windows = F.transform(at, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("g"), i.alias("p")))
         return let(F.sort_array(windows), lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["g"] == x["g"]) | (F.get(s, k + 1)["g"] == x["g"])))
 
+    def repeated(hashes: Column) -> Column:
+        return let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda x, k: F.get(s, k + 1) == x)))
+
     def covered(found: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
         step = lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n"), (p + 3).alias("end"))
         return F.aggregate(F.sort_array(F.transform(found, lambda x: x["p"])), start, step)["n"]
 
-    return F.when(F.size(words) >= 3, covered(places(words))).otherwise(F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+    found = lambda h: let(repeated(h), lambda t: F.when(F.size(t) > 0, covered(places(h, t))).otherwise(none))
+    return F.when(F.size(words) >= 3, let(F.transform(starts, lambda i: F.xxhash64(*window(i))), found)).otherwise(none)
 
 
 def with_base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,8 +65,8 @@ def with_base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.translate(body, SPACE, "")).cast("long"),
-            "n_symbols": without(body, SYMBOLS).cast("long"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+            "n_symbols": F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": repeat_words(F.col("__words")),
         }

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -287,3 +288,16 @@ def test_personal_data_of_the_whole_table(spark):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(filter(None, r.spans.split(",")))
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [base.count(k + ":") for k in pii.KINDS]
+
+
+def test_repeat_words_compares_few_windows_as_words(spark):
+    """Before, every window of three words was put together and sorted as a string."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randint(0, 60))) for _ in range(200)] + ["x y z " * 500, "a b", None]
+    once = [f"w{i}" for i in range(300)]
+    texts += [" ".join(once), " ".join(once + once[:5]), " ".join(once + once[:100] + ["w1", "w2", "w3", "w4"])]  # no, few and many repeated windows
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = Q.with_base_rules(rows)
+    assert plan_text(found.select("n_repeat_words")).count("xxhash64") >= 1
+    for x in found.collect():
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == base_figures(x.text)[1]
