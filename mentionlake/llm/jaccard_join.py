@@ -8,7 +8,7 @@ from the start. Two sets link if their Jaccard similarity reaches ``percent`` pe
   so no text is read again. In each list every member is compared with the smallest one: if two
   members may link at all, both link to it, so components lose nothing and no pairs are made.
 * Heavy sets stand in the inverted lists of their first (rarest) shingles, as many as the
-  similarity leaves room to differ. Lists are scanned in rounds: first every member meets the
+  similarity leaves room to differ. Lists with the same members are one list. Lists are scanned in rounds: first every member meets the
   list's most connected member; verified links then tell which lists still hold sets that are
   not connected, and of such pairs only those are tried that the sets' bitmaps allow.
 * The boundary is where the total cost, from the sizes' histogram and the measured share of
@@ -49,8 +49,8 @@ CROWDED = 20
 #: 64-bit words of a set's bitmap.
 BITMAP_WORDS = 16
 WORDS = [f"w{i}" for i in range(BITMAP_WORDS)]
-#: Lists longer than this carry bitmaps when their pairs are formed.
-SHORT_LIST = 32
+#: Keys of a set's lists that its rows carry, so that a pair is made in one of its common lists; any number gives the same pairs.
+FIRST_KEYS = 8
 FLUSH_TOKENS = 1_000_000
 #: What a task hands on at once: list rows (25 bytes each), bytes of tokens. Larger batches stay in the executor's direct memory.
 FLUSH_ROWS = 100_000
@@ -360,6 +360,30 @@ def _star_pairs(rows: DataFrame, rank: Column, percent: int, boundary: int) -> D
     return _ordered(met, "r", "l").distinct()
 
 
+def _list_lengths(heavy: DataFrame) -> DataFrame:
+    """(key, n, x, y): length and 128-bit fingerprint of each list's members."""
+    marks = [F.bit_xor(F.xxhash64("set_id", F.lit(seed))).alias(name) for seed, name in enumerate("xy")]
+    return heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks)
+
+
+def _different_lists(lengths: DataFrame) -> DataFrame:
+    """One key of all lists with the same members: a passage that some sets share stands in a list for each of its
+    shingles. ``_may_link`` holds for similar sets at whatever shingle they share, so one of these lists is enough."""
+    return lengths.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+
+
+def _cross_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int, boundary: int) -> DataFrame:
+    """Pairs of unconnected sets of one list that may be similar by places and by bitmaps, so that unlike sets of a
+    list are never rows; rows hold key, set_id, size, pos, component. A list leaves a pair out if a smaller key is among
+    the first of both sets: the smallest key that they share never does."""
+    first = rows.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("first"))
+    drawn = rows.join(first, "set_id").join(bitmaps.drop("size"), "set_id")
+    side = lambda s: drawn.select(F.col("key").alias(f"{s}_key"), F.struct("set_id", "size", "pos", "component", "first", "bits", *WORDS).alias(s))
+    test = (F.col("p.set_id") < F.col("q.set_id")) & (F.col("p.component") != F.col("q.component")) & _may_link("p", "q", percent, boundary)
+    here = F.coalesce(F.array_min(F.array_intersect("p.first", "q.first")) >= F.col("p_key"), F.lit(True))
+    return _ordered(side("p").join(side("q"), (F.col("p_key") == F.col("q_key")) & test & _may_overlap("p", "q", percent) & here), "p", "q")
+
+
 def _hubs(links: DataFrame) -> DataFrame:
     """(set_id, component): the best connected set among each linked set and its neighbours. Sets with one
     hub are connected, which is all that the choice of further pairs needs; it takes one pass, not rounds."""
@@ -405,9 +429,9 @@ def _similar_sets(
     links = materialize(_light_links(lists, percent), "light-links")
     heavy = lists.filter("NOT light").select("key", "set_id", "size", "pos")
     sets = materialize(_tokens_of(texts, heavy.select("set_id").distinct(), width), "set-tokens")
-    lengths = heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    lengths = materialize(_list_lengths(heavy), "list-lengths")
     weight = heavy.join(lengths, "key").groupBy("set_id").agg(F.sum("n").alias("weight"))
-    heavy = materialize(heavy.join(weight, "set_id"), "heavy-lists")
+    heavy = materialize(heavy.join(_different_lists(lengths), "key", "left_semi").join(weight, "set_id"), "heavy-lists")
     bitmaps = materialize(_bitmaps(sets), "set-bitmaps")
     tested = None
     for turn in range(3):
@@ -425,14 +449,7 @@ def _similar_sets(
         else:
             last = False
         if last:
-            long = open_rows.filter(F.col("n") > SHORT_LIST).join(bitmaps.drop("size"), "set_id")
-            pairs = None
-            for part, extra in ((open_rows.filter(F.col("n") <= SHORT_LIST), []), (long, ["bits", *WORDS])):
-                side = lambda s, part=part, extra=extra: part.select("key", F.struct("set_id", "size", "pos", "component", *extra).alias(s))
-                test = (F.col("p.set_id") < F.col("q.set_id")) & (F.col("p.component") != F.col("q.component")) & _may_link("p", "q", percent, boundary)
-                met = side("p").join(side("q"), "key").filter(test & _may_overlap("p", "q", percent) if extra else test)
-                pairs = _ordered(met, "p", "q") if pairs is None else pairs.unionByName(_ordered(met, "p", "q"))
-            pairs = pairs.distinct()
+            pairs = _cross_pairs(open_rows, bitmaps, percent, boundary).distinct()
         else:
             pairs = _star_pairs(open_rows, F.col("weight") if not turn else F.xxhash64("set_id", F.lit(turn)), percent, boundary)
         if tested is not None:
@@ -442,7 +459,7 @@ def _similar_sets(
         links = links.unionByName(_verify(pairs, sets, bitmaps, percent, broadcast_sets))
         if last:
             break
-    for used in (lists, heavy, sets, bitmaps):  # the links are written
+    for used in (lists, lengths, heavy, sets, bitmaps):  # the links are written
         discard(used)
     return slim, connected_components(links)
 

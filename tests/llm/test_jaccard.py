@@ -132,3 +132,47 @@ def test_list_rows_leave_in_portions():
     run = J._list_rows(4, 85, 1, types.SimpleNamespace(value=np.zeros(0, np.uint32)))
     sizes = [b.num_rows for b in run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))]
     assert sum(sizes) == 3000 * J.prefix_length(397) and max(sizes) <= J.FLUSH_ROWS + 397
+
+
+def test_a_shared_passage_is_one_list_and_gives_each_pair_once(spark, monkeypatch):
+    """Before, each shingle of the passage was a list of its own, and each of them made every pair of its sets."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=8))
+    passage = [word() for _ in range(100)]
+    rows = [(i, " ".join([*passage, *[word() for _ in range(10)]])) for i in range(20)]
+    rows += [(100 + i, rows[i][1].rsplit(" ", 2)[0]) for i in range(5)]
+    seen, made, keep, cross = defaultdict(list), [], J.materialize, J._cross_pairs
+
+    def spy(df, label):
+        out = keep(df, label)
+        seen[label].append(out.count())
+        return out
+
+    def count(*a):
+        out = cross(*a)
+        made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(J, "materialize", spy)
+    monkeypatch.setattr(J, "_cross_pairs", count)
+    assert run(spark, rows) == brute(rows)
+    assert seen["heavy-lists"][0] < seen["shared-lists"][0] / 3
+    assert made and all(n <= max(once, 1) for n, once in made)
+
+
+@pytest.mark.parametrize("first", [0, 1])
+def test_first_keys_do_not_change_links(spark, family, monkeypatch, first):
+    monkeypatch.setattr(J, "FIRST_KEYS", first)
+    assert run(spark, family, boundary=1) == brute(family)
+
+
+def test_unlike_sets_of_a_short_list_are_no_pairs(spark):
+    """Before, lists of up to 32 sets made all their pairs; here ten sets share 12 of 60 shingles in 12 lists, and two are alike."""
+    r = np.random.default_rng(2)
+    shared = np.sort(r.integers(0, 1 << 63, 12, np.uint64))
+    sets = {i: np.concatenate((shared, r.integers(0, 1 << 63, 48, np.uint64))) for i in range(10)}
+    sets[10] = np.concatenate((sets[9][:-2], r.integers(0, 1 << 63, 2, np.uint64)))
+    tokens = spark.createDataFrame([(i, bytearray(np.sort(x).tobytes())) for i, x in sets.items()], "set_id long, tokens binary")
+    rows = [(int(k), i, 60, 5, i) for i in sets for k in shared]
+    rows = spark.createDataFrame(rows, "key long, set_id long, size int, pos int, component long")
+    assert [(x.a, x.b) for x in J._cross_pairs(rows, J._bitmaps(tokens), 85, 1).collect()] == [(9, 10)]
