@@ -13,7 +13,11 @@ threshold. The join is exact and avoids enumerating groups of copies:
    Longer keys are kept, and extended in turn, only where they at least halve the pairs: in a key of sets that share
    a passage they would not, and their number would multiply round by round, so there the key's own pairs are compared.
    Sets that need no more shared words than the key has are similar to one another and are linked to the first of them.
-4. Before the words of a pair are compared, their numbers and the places of the key must allow enough shared words.
+4. Keys hold no words of their sets but 256 parity bits. A word that stands in one of two sets only turns one bit, so the bits that differ
+   bound the shared words from above. Pairs that the bits, the sizes and the places of the key allow are made distinct, and only
+   then compared on their words.
+5. Longer keys cost disk, pairs only time: all rounds together write a bounded multiple of the first entries, and keys
+   whose extension saves least are compared as they are.
 
 The resulting links hold, for every set, its earliest similar set, and connect
 the same components as the full similarity graph.
@@ -31,8 +35,13 @@ FREQUENT_WORD = 2000
 SMALL_GROUP = 64
 #: So many pairs cost less than one more entry, which is written, shuffled and grouped.
 PAIRS_PER_ENTRY = 16
+#: Entries of longer keys, in all rounds together, for each entry of the first round.
+LONGER_PER_ENTRY = 2
 #: Sets of a key that one task compares with all others of it.
 BLOCK = 1000
+#: Words of parity bits of a set, of 64 bits each.
+BIT_WORDS = 4
+_BITS = [f"bits{i}" for i in range(BIT_WORDS)]
 _SLIM = ["a.sid as a", "b.sid as b", "b.ord as b_ord", "b.first_id as b_first"]
 _UNDATED = -(2**62)
 
@@ -57,16 +66,23 @@ def _word_sets(rows: DataFrame) -> DataFrame:
 
 
 def _ordered_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """Words of each set as (frequency, word), rarest first, with the prefix length."""
+    """Words of each set as (frequency, word), rarest first, with their parity bits and the prefix length."""
     tokens = sets.select("sid", F.explode(F.split("set_key", " ")).alias("word"))
     frequency = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.xxhash64("word")
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    bits = [F.bit_xor(F.when(F.shiftright("place", 6).bitwiseAND(F.lit(BIT_WORDS - 1)) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(c) for i, c in enumerate(_BITS)]
     ordered = (
-        skewed_lookup(tokens, frequency, "word").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ws"))
+        skewed_lookup(tokens, frequency, "word").withColumn("place", place).groupBy("sid")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ws"), *bits)
     )
     size = F.size("ws")
-    # Similar sets share more than threshold * size words, so at least one more than the floor.
-    overlap = F.floor(size * threshold + 1e-9).cast("int") + 1
-    return ordered.withColumns({"size": size, "prefix": size - overlap + 1}).filter(size >= 2)
+    return ordered.withColumns({"size": size, "prefix": size - _need(size, threshold) + 1}).filter(size >= 2)
+
+
+def _need(size: Column, threshold: float) -> Column:
+    """Similar sets share more than threshold * size words, so at least one more than the floor."""
+    return F.floor(size * threshold + 1e-9).cast("int") + 1
 
 
 def _entries(frequent: int) -> Column:
@@ -89,17 +105,17 @@ def _keys(frequent: int) -> Column:
     return F.transform(_entries(frequent), lambda e: e["key"])
 
 
-def _last_place(member: str) -> Column:
+def _last_place(member: str, threshold: float) -> Column:
     """The last place where the next shared word can stand."""
-    size = F.size(f"{member}.words")
-    return F.least(size, size - F.col(f"{member}.need") + F.col("depth") + 1)
+    size = F.col(f"{member}.size")
+    return F.least(size, size - _need(size, threshold) + F.col("depth") + 1)
 
 
-def _extended(member: str = "m") -> Column:
-    """(key, at, depth) one word longer: with every later word that can be the next shared one."""
-    at, depth, last = F.col("at"), F.col("depth"), _last_place(member)
+def _extended(threshold: float, member: str = "m") -> Column:
+    """(key, at, depth) one word longer: with every later word that can be the next shared one. ``words`` are the set's."""
+    at, depth, last = F.col("at"), F.col("depth"), _last_place(member, threshold)
     places = F.when(at < last, F.sequence(at + 1, last))
-    return F.transform(places, lambda q: F.struct(F.concat("key", F.lit(" "), F.element_at(f"{member}.words", q)).alias("key"), q.cast("int").alias("at"), (depth + 1).alias("depth")))
+    return F.transform(places, lambda q: F.struct(F.concat("key", F.lit(" "), F.element_at("words", q)).alias("key"), q.cast("int").alias("at"), (depth + 1).alias("depth")))
 
 
 def _pairs(n: str, unled: str) -> Column:
@@ -108,10 +124,17 @@ def _pairs(n: str, unled: str) -> Column:
     return u * (F.col(n) - u) + F.floor(u * (u - 1) / 2)
 
 
-def _may_be_similar() -> Column:
+def _bits_allow(a: str, b: str, threshold: float) -> Column:
+    """Sizes and parity bits of two sets leave room for enough shared words; holds for every similar pair."""
+    m, n = F.col(f"{a}.size"), F.col(f"{b}.size")
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _BITS), F.lit(0))
+    return (F.least(m, n) > F.greatest(m, n) * threshold) & (m + n - apart >= 2 * _need(F.greatest(m, n), threshold))
+
+
+def _places_allow(threshold: float) -> Column:
     """Enough words are left behind the key in both sets; holds for a similar pair in the key of its first shared words."""
-    rest = F.least(F.size("a.words") - F.col("a_at"), F.size("b.words") - F.col("b_at"))
-    return F.col("depth") + rest >= F.greatest("a.need", "b.need")
+    rest = F.least(F.col("a.size") - F.col("a_at"), F.col("b.size") - F.col("b_at"))
+    return F.col("depth") + rest >= _need(F.greatest("a.size", "b.size"), threshold)
 
 
 def _similar(a: Column, b: Column, threshold: float) -> Column:
@@ -120,16 +143,47 @@ def _similar(a: Column, b: Column, threshold: float) -> Column:
     return close & (F.size(F.array_intersect(a, b)) / largest > threshold)
 
 
-def _compared(entries: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
-    """Links among the sets of every key in ``keys`` (key, n). One side of a key of many sets is dealt to blocks, the other stands in each."""
-    blocks = keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    listed = entries.join(blocks, "key")
+def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The distinct ``pairs`` (a, b, ...) of sets whose words are similar. A set may be the earlier one of very many pairs."""
+    pairs = materialize(pairs.distinct(), "title-pairs")
+    of = words.select("sid", F.col("ws.word").alias("words"))
+    times = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    earlier = times.join(of.select(F.col("sid").alias("b"), F.col("words").alias("b_words")), "b")
+    both = skewed_lookup(pairs.join(of.select(F.col("sid").alias("a"), F.col("words").alias("a_words")), "a"), earlier, "b")
+    return both.filter(_similar(F.col("a_words"), F.col("b_words"), threshold)).select(*pairs.columns)
+
+
+def _compared(entries: DataFrame, keys: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+    """Pairs of sets of every key in ``keys`` (key, n) that may be similar. One side of a key of over ``BLOCK`` sets is dealt
+    to blocks, the other stands in each; ``most`` is the largest n if it is known."""
+    b_first = (F.col("b.ord") < F.col("a.ord")) | ((F.col("b.ord") == F.col("a.ord")) & (F.struct("b.first_id") < F.struct("a.first_id")))
+    may = _bits_allow("a", "b", threshold) & _places_allow(threshold) & b_first & ~(F.col("a_led") & F.col("b_led"))
+
+    def sides(listed: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        a, b = ([F.col("m").alias(x), F.col("at").alias(f"{x}_at"), F.col("led").alias(f"{x}_led")] for x in "ab")
+        return listed.select("key", *more, "depth", *a), listed.select("key", *more, *b)
+
+    # On the key alone the sets need no second exchange.
+    a, b = sides(entries.join(keys.filter(F.col("n") <= BLOCK).select("key"), "key"))
+    met = a.join(b, "key").filter(may).selectExpr(*_SLIM)
+    if most is not None and most <= BLOCK:
+        return met
+    blocks = keys.filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    large = entries.join(blocks, "key")
     one = F.pmod(F.xxhash64("m.sid"), F.col("blocks")).cast("int")
-    a = listed.select("key", one.alias("block"), "depth", F.col("m").alias("a"), F.col("at").alias("a_at"), F.col("led").alias("a_led"))
-    b = listed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("m").alias("b"), F.col("at").alias("b_at"), F.col("led").alias("b_led"))
-    later = F.struct("b.ord", "b.first_id") < F.struct("a.ord", "a.first_id")
-    met = a.join(b, ["key", "block"]).filter(later & ~(F.col("a_led") & F.col("b_led")) & _may_be_similar())
-    return met.filter(_similar(F.col("a.words"), F.col("b.words"), threshold)).selectExpr(*_SLIM)
+    a, _ = sides(large.withColumn("block", one), "block")
+    _, b = sides(large.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "block")
+    return met.unionByName(a.join(b, ["key", "block"]).filter(may).selectExpr(*_SLIM))
+
+
+def _least_gain(rest: DataFrame, allowed: int) -> int:
+    """Pairs per longer entry from which keys are extended, so that the longer entries are ``allowed`` at most."""
+    gain = F.floor(F.log2(F.col("pairs") / F.greatest("longer", F.lit(1)))).cast("int")
+    by_gain = {r["gain"]: r["longer"] for r in rest.groupBy(gain.alias("gain")).agg(F.sum("longer").alias("longer")).collect()}
+    least = PAIRS_PER_ENTRY.bit_length() - 1
+    while sum(n for g, n in by_gain.items() if g >= least) > allowed:
+        least += 1
+    return 1 << least
 
 
 def set_links(
@@ -144,32 +198,41 @@ def set_links(
     if threshold < 0.5:
         raise ValueError("the prefix filter needs a threshold of at least 0.5")
     dated = sets.select("sid", "ord", "first_id")
-    member = F.struct("ord", "first_id", "sid", F.transform("ws", lambda w: w["word"]).alias("words"), (F.col("size") - F.col("prefix") + 1).alias("need"))
-    entries = _ordered_sets(sets, threshold).join(dated, "sid").select(member.alias("m"), F.explode(_entries(frequent)).alias("e"), F.lit(False).alias("led"))
+    words = materialize(_ordered_sets(sets, threshold).join(dated, "sid"), "title-words")
+    member = F.struct("ord", "first_id", "sid", "size", *_BITS)
+    entries = words.select(member.alias("m"), F.explode(_entries(frequent)).alias("e"), F.lit(False).alias("led"))
     if same_date:
         entries = entries.withColumn("e", F.struct(F.concat_ws("@", "e.key", "m.ord").alias("key"), "e.at", "e.depth"))
     entries = entries.withColumn("parent", F.lit(None).cast("string"))
     fields = ["m", "key", "at", "depth", "led"]
-    links: list[DataFrame] = []
-    tried = None  # the entries of the keys that ``entries`` extends, with their numbers of sets and pairs
+    pairs: list[DataFrame] = []
+    tried = allowed = None  # the entries of the keys that ``entries`` extends, with their numbers of sets and pairs; how many longer entries may follow
     while True:
         entries = materialize(entries.select("m", "e.*", "led", "parent"), "title-entries")
-        first_closed = F.min(F.when(F.col("m.need") <= F.col("depth"), F.col("m"))).alias("closed")
         n, unled = F.count(F.lit(1)), F.count(F.when(~F.col("led"), 1))
-        groups = entries.groupBy("key").agg(F.min("m").alias("lead"), n.alias("n"), unled.alias("unled"), F.min("parent").alias("parent"), first_closed)
+        groups = entries.groupBy("key").agg(n.alias("n"), unled.alias("unled"), F.min("parent").alias("parent"))
         groups = materialize(groups.filter("n > 1 and unled > 0"), "title-groups")
         few = groups.filter(F.col("n") <= small).select("key", "parent", "n", _pairs("n", "unled").alias("pairs"), F.lit(0).cast("bigint").alias("longer"))
 
         due, crowded = few, groups.filter(F.col("n") > small).limit(1).count() > 0
         if crowded:
-            crowd = skewed_lookup(entries.drop("parent"), groups.filter(F.col("n") > small).drop("unled"), "key")
-            like = (F.col("m.sid") == F.col("lead.sid")) | _similar(F.col("m.words"), F.col("lead.words"), threshold)
-            crowd = materialize(crowd.withColumn("led", like), "title-crowds")
-            heads = F.array(F.when(F.col("led"), F.col("lead")), F.when(F.col("m.need") <= F.col("depth"), F.col("closed")))
-            to_head = crowd.select(F.col("m").alias("a"), F.explode(heads).alias("b")).filter("b is not null and a.sid <> b.sid")
-            links.append(to_head.selectExpr(*_SLIM))
+            large = groups.filter(F.col("n") > small).select("key", "n")
+            held = materialize(skewed_lookup(entries, large, "key"), "title-held")
+            closed = F.when(_need(F.col("m.size"), threshold) <= F.col("depth"), F.col("m"))
+            heads = held.groupBy("key").agg(F.min("m").alias("lead"), F.min(closed).alias("closed"), n.alias("n"))
+            near = (F.col("m.sid") != F.col("lead.sid")) & _bits_allow("m", "lead", threshold)
+            crowd = materialize(skewed_lookup(held.drop("n"), heads, "key").withColumn("near", near), "title-crowds")
+            to_closed = crowd.withColumn("b", F.col("closed")).filter(closed.isNotNull() & (F.col("m.sid") != F.col("b.sid")))
+            pairs.append(to_closed.withColumn("a", F.col("m")).selectExpr(*_SLIM))
+            to_lead = crowd.filter("near").select(F.col("m").alias("a"), F.col("lead").alias("b")).selectExpr(*_SLIM)
+            to_lead = materialize(_verified(to_lead, words, threshold), "title-led")
+            pairs.append(to_lead)
+            like = to_lead.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.lit(True).alias("like")).distinct()
+            alike = crowd.filter("near").join(like, (F.col("m.sid") == F.col("__a")) & (F.col("lead.sid") == F.col("__b")), "left")
+            alike = alike.withColumn("led", F.coalesce("like", F.lit(False))).select(*fields, "parent")
+            crowd = alike.unionByName(crowd.filter(~F.col("near")).withColumn("led", F.col("m.sid") == F.col("lead.sid")).select(*fields, "parent"))
             # A key whose sets are all similar to the leader is done.
-            longer = F.sum(F.greatest(_last_place("m") - F.col("at"), F.lit(0)))
+            longer = F.sum(F.greatest(_last_place("m", threshold) - F.col("at"), F.lit(0)))
             left = crowd.groupBy("key").agg(F.min("parent").alias("parent"), n.alias("n"), unled.alias("unled"), longer.cast("bigint").alias("longer"))
             left = left.filter("unled > 0").select("key", "parent", "n", _pairs("n", "unled").alias("pairs"), "longer")
             due = materialize(few.unionByName(left), "title-costs")
@@ -181,27 +244,33 @@ def set_links(
             vain = own.join(below, "key").filter(2 * F.col("below") > F.col("own")).select("key", "n", F.col("own").alias("pairs"))
             vain = materialize(vain, "title-vain")
             if vain.limit(1).count() > 0:
-                links.append(_compared(tried.select(*fields), vain, threshold))
+                pairs.append(_compared(tried.select(*fields), vain, threshold))
                 due = due.join(vain.select(F.col("key").alias("parent")), "parent", "left_anti")
-        now = (F.col("n") <= small) | (F.col("pairs") <= PAIRS_PER_ENTRY * F.col("longer"))
+        gain = PAIRS_PER_ENTRY
+        if crowded:
+            made = entries.count()
+            allowed = LONGER_PER_ENTRY * made if allowed is None else allowed - made
+            gain = _least_gain(due.filter((F.col("n") > small) & (F.col("pairs") > gain * F.col("longer"))), max(allowed, 0))
+        now = (F.col("n") <= small) | (F.col("pairs") <= gain * F.col("longer"))
         if trace is not None:
             met = due.filter(now).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
             if tried is not None:
                 met += vain.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
             trace.append((entries.count(), int(met)))
-        links.append(_compared(entries.select(*fields), due.filter(F.col("n") <= small), threshold))
+        pairs.append(_compared(entries.select(*fields), due.filter(F.col("n") <= small), threshold, most=small))
         if not crowded:
             break
-        links.append(_compared(crowd.select(*fields), due.filter(now & (F.col("n") > small)), threshold))
+        pairs.append(_compared(crowd, due.filter(now & (F.col("n") > small)), threshold))
         rest = due.filter(~now).select("key", "n", "pairs")
         if rest.limit(1).count() == 0:
             break
         tried = materialize(skewed_lookup(crowd.select(*fields), rest, "key", "pairs"), "title-tried")
-        entries = tried.select("m", F.explode(_extended()).alias("e"), "led", F.col("key").alias("parent"))
-    out = links[0]
-    for more in links[1:]:
+        at_words = tried.join(words.select(F.col("sid").alias("__sid"), F.col("ws.word").alias("words")), F.col("m.sid") == F.col("__sid"))
+        entries = at_words.select("m", F.explode(_extended(threshold)).alias("e"), "led", F.col("key").alias("parent"))
+    out = pairs[0]
+    for more in pairs[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return _verified(out, words, threshold)
 
 
 def near_duplicates(

@@ -211,3 +211,33 @@ def test_a_passage_shared_by_unlike_titles_multiplies_no_keys(spark):
     assert sum(n for n, _ in trace) < 4 * trace[0][0] and len(trace) < 5
     out = S.near_duplicates(df, window_days=None, threshold=threshold)
     assert {r.id: (r.is_duplicate, r.duplicate_of) for r in out.collect()} == brute(rows, threshold)
+
+
+def test_what_travels_with_a_key_holds_no_words(spark, monkeypatch):
+    """A long title has many keys: its words in every entry would cost the square of its length on disk."""
+    stored, write = {}, S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, label: stored.setdefault(label, df.schema) and write(df, label))
+    rows = [(i, " ".join(f"word{(i // 80 * 7 + k) % 90}" for k in range(40)) + f" extra{i}", i % 5) for i in range(160)]
+    out = S.near_duplicates(frame(spark, rows), window_days=None)
+    assert {r.id: (r.is_duplicate, r.duplicate_of) for r in out.collect()} == brute(rows, 0.65)
+    keyed = {label: schema.simpleString() for label, schema in stored.items() if "key" in schema.names}
+    assert {"title-entries", "title-crowds"} <= keyed.keys()
+    assert not [label for label, schema in keyed.items() if "array" in schema]
+
+
+def test_longer_keys_stay_within_a_multiple_of_the_first(spark):
+    """Where every key is worth extending, only as many longer entries are written as are allowed; the other keys are compared as they are."""
+    rng = random.Random(5)
+    vocab, rows = [f"word{i}" for i in range(60)], []
+    for i in range(1500):
+        ws = rng.sample(vocab, 24)
+        if i % 5 == 4:
+            ws = rows[rng.randrange(i)][1].split()[rng.randrange(1, 8):] + rng.sample(vocab, 2)
+        rows.append((i, " ".join(ws), rng.randrange(20)))
+    df, trace = frame(spark, rows), []
+    sets = S._word_sets(S._title_rows(df)).select("set_key", "sid", "first.ord", "first.first_id")
+    S.set_links(sets, 0.65, trace=trace).write.format("noop").mode("overwrite").save()
+    assert len(trace) > 1 and sum(n for n, _ in trace[1:]) <= 2 * trace[0][0]
+    out = S.near_duplicates(df, window_days=None)
+    got = {r.id: (r.is_duplicate, r.duplicate_of) for r in out.collect()}
+    assert got == brute(rows, 0.65) and sum(d for d, _ in got.values()) > 100
